@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from tracelake.llm import decontaminate, line_dedup, secrets, sharding
+from tracelake.llm import decontaminate, fingerprints, line_dedup, mixing, near_dedup, secrets, sharding, substring_dedup
 
 QUERIES = {
     "op3_decontamination": decontaminate.op3_decontamination,
+    "op4_fingerprints": fingerprints.op4_fingerprints,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_sharding": sharding.op6_sharding,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op9_mixing": mixing.op9_mixing,
     "op10_secrets": secrets.op10_secrets,
 }
 SQL = {
     "op3_decontamination": decontaminate.SQL,
     "op7_line_dedup": line_dedup.SQL,
+    "op8_substring_dedup": substring_dedup.SQL,
 }
