@@ -109,3 +109,14 @@ def secrets(docs):
         spans = [f"{k}:{s}:{e}" for s, _, e, k in sorted(spans)]
         out.append((doc, n["assign"], n["access"], n["hex"], spans))
     return out
+
+
+def unigram(docs, folds=7, held=2):
+    import math
+    import zlib
+
+    out = [zlib.crc32(str(d).encode() if d is not None else b"") % folds == held for d, _ in docs]
+    tokens = [[*words((t or "").translate(LOWER)), None] for _, t in docs]
+    count = Counter(w for own, skip in zip(tokens, out) if not skip for w in own)
+    n, v = sum(count.values()), len(count)
+    return [(d, h, len(w), sum(count[x] > 0 for x in w), n, sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w)) for (d, _), h, w in zip(docs, out, tokens)]
