@@ -175,7 +175,7 @@ def test_mixing(table, docs):
     assert Counter(r.doc_id for r in rows) == Counter(d for d, _ in docs)
     assert {k for k in by} == {(sizes[s], round(target[s], 6)) for s in sizes}
     for (_, goal), own in by.items():
-        assert abs(sum(r.taken for r in own) - goal) <= max(sum(r.size for r in own if r.k == x.k) for x in own)
+        assert abs(sum(r.taken for r in own) - goal) <= max(sum(r.size for r in own if r.h == x.h) for x in own)
     assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.mix(table.repartition(3)).collect()), key=repr)
 
 

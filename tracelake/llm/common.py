@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,15 +19,50 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the reliable folder that the cluster names; only unset, as in tests, in a local one."""
-    context = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The reliable folder that the cluster names; only unset, as in tests, a local one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept in the reliable folder."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df``, written as a table in the reliable folder and read again: smaller than a checkpoint for long texts."""
+    path = f"{folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that ``df`` doesn't have."""
+    out = []
+    for name in names:
+        while name.lower() in {x.lower() for x in [*df.columns, *out]}:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def keyed(df: DataFrame, *cols: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with the two hashes of ``cols``, and their names."""
+    names = fresh(df, "k1", "k2")
+    return df.select("*", *[k.alias(n) for k, n in zip(row_key(*[df[f"`{c}`"] for c in cols]), names)]), names
+
+
+def without(df: DataFrame, keys: DataFrame, *cols: str) -> DataFrame:
+    """The rows of ``df`` whose hashes of ``cols`` aren't among ``keys`` (k1, k2): with a broadcast of these if they are few."""
+    rows, names = keyed(df, *cols)
+    keys = broadcast_if_small(keys.select(*[F.col(k).alias(n) for k, n in zip(("k1", "k2"), names)]), keys.count(), 1_000_000)
+    return rows.join(keys, names, "left_anti").select(*df.columns)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if ``rows``, a counted figure, is within the bound; else ``df``, for a shuffled join."""
     return F.broadcast(df) if rows <= most else df

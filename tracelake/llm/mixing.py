@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import broadcast_if_small, checkpoint, columns, read
+from tracelake.llm.common import broadcast_if_small, checkpoint, columns, fresh, read, row_key
 from tracelake.llm.numbering import numbered
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
@@ -50,27 +50,21 @@ def targets(sources: DataFrame, weights: Sequence[float], share: float, most: fl
     return s.select("source", "source_size", F.least(F.col("weight") * F.lit(max(rate, 0.0)), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """``doc_id, k, size, source_size, target, copies, taken``: every row, ``copies`` the times it is taken, ``taken`` its words.
+def hashed(id_, text, source):
+    """The DEPTH bits that decide on a row."""
+    return F.shiftrightunsigned(row_key(id_, text, source)[0], 64 - DEPTH)
 
-    A source gets ``share`` of all words by its weight (weights repeat along sources by code point, null last), never more
-    than ``most`` times its own. The whole part of target / size is taken from every document, the rest from those with a
-    hash under the threshold, the one at it if that comes nearer to the target. The hash is of id and text, so reruns agree
-    and repeated rows are treated alike; ``k`` is that hash. Null and empty texts have size 0. An empty table gives an empty
-    result; other columns are not read.
-    """
-    d = columns(docs, id=id_col, text=text_col, source=source_col)
-    d = d.select("id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64(d["id"].isNull(), d["id"], d["text"].isNull(), d["text"]).alias("k"))
-    d = checkpoint(d.withColumn("h", F.shiftrightunsigned("k", 64 - DEPTH)))
+
+def plan(d: DataFrame, weights: Sequence[float], share: float, most: float) -> tuple[DataFrame, int]:
+    """``s, source_size, target, base, threshold`` by source, and the number of sources, from ``source, size, h``."""
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"))
-    t = checkpoint(targets(sizes, weights, share, most).withColumn("base", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)))
-    t = t.withColumn("left", F.col("target") - F.col("base") * F.col("source_size"))
+    t = targets(sizes, weights, share, most).withColumn("base", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
+    t = checkpoint(t.withColumn("left", F.col("target") - F.col("base") * F.col("source_size")))
     n_sources = t.count()
-
     # `low`: the first hash of the bucket on the border so far; `left`: the budget that remains for it.
     border = t.select("source", "left", F.lit(0).cast("long").alias("low"))
+    own = d.where(F.col("size") > 0)
     for shift in range(DEPTH - BITS, -1, -BITS):
-        own = d.select("source", "size", "h").where(F.col("size") > 0)
         near = broadcast_if_small(border.select(F.col("source").alias("s"), "left", "low"), n_sources)
         inside = own.join(near, own["source"].eqNullSafe(near["s"]))
         inside = inside.where(F.shiftright("h", shift + BITS) == F.shiftright("low", shift + BITS))
@@ -81,12 +75,43 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         border = checkpoint(first.select("source", F.col("b.rest").alias("left"), F.shiftleft("b.bucket", shift).alias("low"), F.col("b.words").alias("words")))
     # Of the hash at the border: in if more of it lies within the budget than beyond. Sources without a border take all.
     edge = border.select(F.col("source").alias("s"), (F.col("low") + F.when(F.col("left") * 2 >= F.col("words"), 1).otherwise(0)).alias("threshold"))
-    plan = checkpoint(t.join(edge, t["source"].eqNullSafe(edge["s"]), "left").select(F.col("source").alias("s"), "source_size", "target", "base", F.when(F.col("left") <= 0, 0).otherwise(F.coalesce("threshold", F.lit((1 << DEPTH) + 1))).alias("threshold")))
-    plan = broadcast_if_small(plan, n_sources)
-    out = d.join(plan, d["source"].eqNullSafe(plan["s"]))
-    copies = (F.col("base") + (F.col("h") < F.col("threshold")).cast("int")).cast("int")
-    copies = F.least(copies, F.lit(int(most)))
-    return out.select(F.col("id").alias("doc_id"), "k", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    threshold = F.when(F.col("left") <= 0, 0).otherwise(F.coalesce("threshold", F.lit((1 << DEPTH) + 1)))
+    found = t.join(edge, t["source"].eqNullSafe(edge["s"]), "left").select(t["source"].alias("s"), "source_size", "target", "base", threshold.alias("threshold"))
+    return checkpoint(found), n_sources
+
+
+def times(most: float):
+    """How often a row with ``h`` is taken under its source's plan."""
+    return F.least(F.col("base") + (F.col("h") < F.col("threshold")).cast("int"), F.lit(int(most))).cast("int")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """``doc_id, h, size, source_size, target, copies, taken``: every row, ``copies`` the times it is taken, ``taken`` its words.
+
+    A source gets ``share`` of all words by its weight (weights repeat along sources by code point, null last), never more
+    than ``most`` times its own. The whole part of target / size is taken from every document, the rest from those with a
+    hash under the threshold, the one at it if that comes nearer to the target. The hash ``h`` is of id, text and source, so
+    reruns agree and repeated rows are treated alike. Null and empty texts have size 0. An empty table gives an empty
+    result; other columns are not read.
+    """
+    d = columns(docs, id=id_col, text=text_col, source=source_col)
+    d = checkpoint(d.select("id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), hashed(d["id"], d["text"], d["source"]).alias("h")))
+    of, n = plan(d.select("source", "size", "h"), weights, share, most)
+    out = d.join(broadcast_if_small(of, n), d["source"].eqNullSafe(of["s"])).withColumn("copies", times(most))
+    return out.select(F.col("id").alias("doc_id"), "h", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The rows and columns of ``docs``, each row as often as ``mix`` takes it: a filter by hash, without a shuffle of texts."""
+    h, source, s, base, threshold = fresh(docs, "h", "source_", "s", "base", "threshold")
+    id_, text, from_ = (docs[f"`{x}`"] for x in (id_col, text_col, source_col))
+    d = checkpoint(docs.select(from_.cast("string").alias("source"), n_words(text).alias("size"), hashed(id_, text, from_).alias("h")))
+    of, n = plan(d, weights, share, most)
+    of = of.select(F.col("s").alias(s), F.col("base").alias(base), F.col("threshold").alias(threshold))
+    rows = docs.select("*", hashed(id_, text, from_).alias(h), from_.cast("string").alias(source))
+    rows = rows.join(broadcast_if_small(of, n), rows[source].eqNullSafe(of[s]))
+    copies = F.least(F.col(base) + (F.col(h) < F.col(threshold)).cast("int"), F.lit(int(most))).cast("int")
+    return rows.select(*[docs[f"`{x}`"] for x in docs.columns], F.explode(F.array_repeat(F.lit(1), copies)).alias(s)).drop(s)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import broadcast_if_small, checkpoint, columns, read, row_key
+from tracelake.llm.common import broadcast_if_small, checkpoint, columns, fresh, keyed, read, row_key
 from tracelake.llm.components import components
 
 BITS, SEGMENTS, RADIUS, SHINGLE = 64, 4, 3, 3
@@ -154,7 +154,8 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, k1, k2, fp, component_id``: every row with its group, the smallest id reachable over links.
+    """``doc_id, k1, k2, fp, component_id, component``: every row with its group: the smallest id reachable over links, and
+    the smallest fingerprint.
 
     A null, empty or blank text has fingerprint 0 and is linked like any other. Repeated rows are all returned. Null ids
     don't count as smallest; a group of such only has a null component. An empty table gives an empty result; other
@@ -167,8 +168,25 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     joined = components(links(fps))
     of = checkpoint(fps.join(joined, fps["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c")))
     least = checkpoint(of.groupBy("c").agg(F.min("least").alias("component_id")))
-    of = checkpoint(of.join(least, "c").select("fp", "component_id"))
-    return rows.join(broadcast_if_small(of, of.count()), "fp").select(F.col("id").alias("doc_id"), "k1", "k2", "fp", "component_id")
+    of = checkpoint(of.join(least, "c").select("fp", "component_id", F.col("c").alias("component")))
+    return rows.join(broadcast_if_small(of, of.count()), "fp").select(F.col("id").alias("doc_id"), "k1", "k2", "fp", "component_id", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all its columns, that stay: of each group the row of the smallest id (null last), then hash.
+
+    Of rows that repeat id and text one stays, whichever. An empty table gives an empty result.
+    """
+    rows, names = keyed(docs, id_col, text_col)
+    groups = checkpoint(near_groups(docs, id_col, text_col).select("component", "doc_id", "k1", "k2"))
+    best = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "k1", "k2")).alias("x")).select("x.k1", "x.k2")
+    repeated = groups.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2", F.lit(True).alias("repeated"))
+    (flag,) = fresh(docs, "repeated")
+    best = checkpoint(best.join(repeated, ["k1", "k2"], "left").select(F.col("k1").alias(names[0]), F.col("k2").alias(names[1]), F.coalesce("repeated", F.lit(False)).alias(flag)))
+    kept = rows.join(broadcast_if_small(best, best.count()), names)
+    if best.where(flag).isEmpty():
+        return kept.select(*docs.columns)
+    return kept.where(f"NOT `{flag}`").select(*docs.columns).unionByName(kept.where(f"`{flag}`").dropDuplicates(names).select(*docs.columns))
 
 
 def as_hex(fp):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tracelake.llm import decontaminate, fingerprints, line_dedup, lm_scoring, mixing, near_dedup, secrets, sharding, substring_dedup
+from tracelake.llm import decontaminate, fingerprints, lang_id, line_dedup, lm_scoring, mixing, near_dedup, secrets, sharding, substring_dedup
 
 QUERIES = {
+    "op1_language_id": lang_id.op1_language_id,
     "op2_lm_scoring": lm_scoring.op2_lm_scoring,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_fingerprints": fingerprints.op4_fingerprints,
