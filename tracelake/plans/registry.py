@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from tracelake.plans.oracle import SQL
+from tracelake.plans.queries import QUERIES
+
 FLAGSHIP = "fts_search"
-QUERIES: dict = {}
-SQL: dict = {}
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
