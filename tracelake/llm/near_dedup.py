@@ -5,6 +5,11 @@ has cumulative differences within the proportional budgets 0, 1, 2, 3 (the pigeo
 under an exact first segment and a second one with four of its bits left out; the budgets of chains prune them before the
 full Hamming check. Only distinct fingerprints are compared. A bucket yields a path through each of its components, not its
 pairs, so a large group of near copies makes as many rows as it has members; components are then merged by star steps.
+
+``near_groups`` links fingerprints of 64 bits within 3, as the query asks for. ``similar_groups`` is for documents whose sets of
+five-word shingles have a similarity of 0.8 or more, which is too far apart for that: it takes 640 bits, looks for an equal one
+of 40 pieces of 16 bits (at a similarity of 0.8 nineteen in twenty pairs have one), and links within 50 of the first 256 bits,
+again with a ring of four segments and proportional budgets before the full check.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.llm import textcore
 from tracelake.llm.common import broadcast_if_small, checkpoint, columns, fresh, keyed, read, row_key
 from tracelake.llm.components import components
 
@@ -172,13 +178,106 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.join(broadcast_if_small(of, of.count()), "fp").select(F.col("id").alias("doc_id"), "k1", "k2", "fp", "component_id", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Of similar_groups: words of a shingle; 64-bit parts of a fingerprint, and how many of these are compared; bits of a piece
+#: that has to be equal; the most of the compared bits that may differ.
+LONG_SHINGLE, PARTS, COMPARED, PIECE, FAR = 5, 10, 4, 16, 50
+_SALTS = textcore.mix(np.arange(1, PARTS + 1, dtype=np.uint64))
+
+
+def similarity_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The other columns and ``f0`` ...: majorities of each bit over a text's distinct shingles; 0 for a text without words."""
+    for batch in batches:
+        out = np.zeros((batch.num_rows, PARTS), np.uint64)
+        for at, data, offsets in textcore.texts(batch.column("text")):
+            data = textcore.LOWER[data]
+            starts, ends, first = textcore.words(data, offsets)
+            hashes = textcore.word_hashes(data, starts, ends)
+            for i in np.flatnonzero(np.diff(first)):
+                lo, hi = first[i], first[i + 1]
+                begin = np.arange(lo, max(lo + 1, hi - LONG_SHINGLE + 1))
+                h = np.unique(textcore.range_hashes(hashes[lo:hi], begin - lo, np.minimum(begin + LONG_SHINGLE, hi) - lo, textcore.BASES[1]))
+                for j, salt in enumerate(_SALTS):
+                    out[at + i, j] = np.packbits(bit_counts(textcore.mix(h ^ salt)) * 2 > len(h)).view(np.uint64)[0]
+        kept = [x for x in batch.schema.names if x != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), *(pa.array(out[:, j].copy().view(np.int64)) for j in range(PARTS))], names=[*kept, *(f"f{j}" for j in range(PARTS))])
+
+
+def similar_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in order of ``bucket``: path links ``a, b`` between nodes of each component of a bucket."""
+
+    def groups(node: np.ndarray, fp: np.ndarray) -> Iterator[np.ndarray]:
+        left = np.arange(len(node))
+        while len(left) > 1:
+            found, queue, left = [left[:1]], [left[0]], left[1:]
+            while queue and len(left):
+                apart = np.bitwise_count(fp[:, left] ^ fp[:, queue.pop()][:, None]).astype(np.int32)
+                near = np.zeros(len(left), bool)
+                for start in range(COMPARED):  # some chain of segments keeps within the proportional budgets, else it's too far
+                    sums = np.cumsum(np.roll(apart, -start, axis=0), axis=0)
+                    near |= (sums * COMPARED <= FAR * np.arange(1, COMPARED + 1)[:, None]).all(axis=0)
+                near &= apart.sum(axis=0) <= FAR
+                if near.any():
+                    found.append(left[near])
+                    queue.extend(left[near])
+                    left = left[~near]
+            if len(found) > 1:
+                yield node[np.concatenate(found)]
+
+    def links_of(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        bucket, node, fp = cols[0], cols[1], np.array([c.view(np.uint64) for c in cols[2:]])
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        starts, ends = np.r_[0, cuts].astype(int), np.r_[cuts, len(bucket)].astype(int)
+        # Most buckets of two have two strangers: these are told apart all at once.
+        two = np.flatnonzero(ends - starts == 2)
+        x = starts[two]
+        near = np.bitwise_count(fp[:, x] ^ fp[:, x + 1]).sum(axis=0, dtype=np.int64) <= FAR
+        a, b = [node[x[near]]], [node[x[near] + 1]]
+        for i in np.flatnonzero(ends - starts > 2):
+            for g in groups(node[starts[i] : ends[i]], fp[:, starts[i] : ends[i]]):
+                a.append(g[:-1])
+                b.append(g[1:])
+        if sum(map(len, a)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (a, b)], names=["a", "b"])
+
+    kept: list[np.ndarray] | None = None
+    for batch in batches:
+        cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in batch.schema.names]
+        if len(cols[0]):
+            cols = cols if kept is None else [np.concatenate(x) for x in zip(kept, cols)]
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            yield from links_of([x[:last] for x in cols])
+            kept = [x[last:] for x in cols]
+    if kept is not None:
+        yield from links_of(kept)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, k1, k2, component``: every row with its group of similar documents, over any chain of links.
+
+    Texts without words are one group. Repeated rows, nulls, empty tables and other columns: as for ``near_groups``.
+    """
+    d = columns(docs, id=id_col, text=text_col)
+    d = d.select("id", *row_key(d["id"], d["text"]), "text")
+    parts = [f"f{j}" for j in range(PARTS)]
+    kind = f"id {d.schema['id'].dataType.simpleString()}, k1 long, k2 long, " + ", ".join(f"{f} long" for f in parts)
+    rows = checkpoint(d.mapInArrow(similarity_batches, kind).withColumn("node", F.xxhash64(*parts)))
+    nodes = rows.groupBy("node").agg(*[F.min(f).alias(f) for f in parts])
+    pieces = [F.lit(i << PIECE).bitwiseOR(F.shiftrightunsigned(parts[i * PIECE // BITS], i * PIECE % BITS).bitwiseAND(F.lit((1 << PIECE) - 1))) for i in range(PARTS * BITS // PIECE)]
+    rows_of = nodes.select("node", *parts[:COMPARED], F.explode(F.array(*pieces)).alias("bucket")).repartition("bucket").sortWithinPartitions("bucket")
+    joined = components(rows_of.select("bucket", "node", *parts[:COMPARED]).mapInArrow(similar_links, "a long, b long"))
+    joined = checkpoint(joined)
+    return rows.join(broadcast_if_small(joined, joined.count()), "node", "left").select(F.col("id").alias("doc_id"), "k1", "k2", F.coalesce("component", "node").alias("component"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups_of=near_groups) -> DataFrame:
     """The rows of ``docs``, all its columns, that stay: of each group the row of the smallest id (null last), then hash.
 
+    Groups are those of ``near_groups`` or, with ``groups_of=similar_groups``, of similar documents.
+
     Of rows that repeat id and text one stays, whichever. An empty table gives an empty result.
     """
     rows, names = keyed(docs, id_col, text_col)
-    groups = checkpoint(near_groups(docs, id_col, text_col).select("component", "doc_id", "k1", "k2"))
+    groups = checkpoint(groups_of(docs, id_col, text_col).select("component", "doc_id", "k1", "k2"))
     best = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "k1", "k2")).alias("x")).select("x.k1", "x.k2")
     repeated = groups.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2", F.lit(True).alias("repeated"))
     (flag,) = fresh(docs, "repeated")
