@@ -115,6 +115,31 @@ def test_links_of_a_large_bucket():
     assert groups(split) == groups(brute_pairs)
 
 
+def test_similar_groups(spark):
+    """Copies with a few changed words are one group, a chain of them too; others stay alone, wordless texts are together."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts, group = ["", None, " . ".replace(".", " ")], [-1, -1, -1]
+    for g in range(60):
+        w = [word() for _ in range(300)]
+        for _ in range(4):
+            texts.append(" ".join(w))
+            group.append(g)
+            for _ in range(3):
+                w[rng.randrange(300)] = word()
+    rows = near_dedup.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = defaultdict(set)
+    for r in rows:
+        found[r.component].add(r.doc_id)
+    want = defaultdict(set)
+    for i, g in enumerate(group):
+        want[g].add(i)
+    assert {frozenset(x) for x in found.values()} == {frozenset(x) for x in want.values()}
+    assert near_dedup.similar_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
 def test_secrets(table, docs):
     rows = secrets.scan(table).collect()
     want = Counter((d, a, b, c, ",".join(s)) for d, a, b, c, s in brute.secrets(docs))
@@ -198,6 +223,19 @@ def test_fingerprints(table, docs):
     assert sum(r.near_edited for r in long) / len(long) > 0.7 and abs(sum(r.near_next for r in long) / len(long) - 0.5) < 0.12
 
 
+@pytest.mark.parametrize("radius", [0, 1, 3, 5])
+def test_search_within_a_radius(spark, radius):
+    import random
+
+    rng = random.Random(radius)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = base + [b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 7))) for b in base for _ in range(8)] + base[:5]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(x), i % 3 == 0) for i, x in enumerate(fps)], "fp long, asked boolean")
+    want = {signed(x): sum((x ^ y).bit_count() <= radius for y in fps) for i, x in enumerate(fps) if i % 3 == 0}
+    assert {r.fp: r.near for r in fingerprints.within(df, radius).collect()} == want
+
+
 def test_fingerprints_without_ids(spark):
     rows = fingerprints.fingerprint_pairs(spark.createDataFrame([(None, "a b c d e f g h"), (None, "x y z")], "doc_id long, text string")).collect()
     assert len(rows) == 2

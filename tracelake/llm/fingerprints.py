@@ -3,12 +3,17 @@
 Terms are 3-word shingles; a term's weight grows with its length, and each occurrence votes again. The fingerprint query
 compares a text with its edited form and with the next document: rows are dealt by ranges of the id, and the first row of
 each range also goes to the range before it, so that no row needs a window over the whole table.
+
+The search cuts fingerprints into RADIUS + 2 blocks. Within the radius at least two blocks are equal, so there is a table for
+each pair of blocks, as if the bits had been permuted to put that pair first. Only distinct fingerprints are in the tables,
+and a bucket yields a count for each of its queries, not its pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import textcore
-from tracelake.llm.common import columns, read, row_key
+from tracelake.llm.common import checkpoint, columns, read, row_key
 
-BITS, SHINGLE = 64, 3
+BITS, SHINGLE, RADIUS = 64, 3, 3
 
 
 def simhash(column: pa.Array) -> np.ndarray:
@@ -132,15 +137,88 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     d = columns(docs, id=id_col, text=text_col)
     d = d.select(F.col("id").cast("long").alias("id"), "text", row_key(d["id"], d["text"])[0])
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = d.agg(F.min("id"), F.percentile_approx("id", [i / parts for i in range(1, parts)], 10 * parts) if parts > 1 else F.array().cast("array<long>")).first()
+    ranges = 8 * parts  # several for each partition, so that their hashes share them out evenly
+    found = d.agg(F.min("id"), F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()
     bounds = np.array(sorted({found[0], *(found[1] or [])} - {None}), np.int64)
     kind = "id long, text string, k1 long, part int, halo int"
     dealt = d.mapInArrow(deal(bounds), kind).repartition(parts, "part").sortWithinPartitions("part", "halo", F.col("id").isNull(), "id", "k1")
     return dealt.mapInArrow(compared, "doc_id long, n_chars long, edited_sha256 string, fp long, edited_fp long, near_edited double, near_next double")
 
 
+def blocks(radius: int) -> list[tuple[int, int]]:
+    """(lowest bit, width) of radius + 2 blocks, 3 at least, that share the bits out: a pair then fits into 56 bits."""
+    n = max(3, radius + 2)
+    cuts = [BITS * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def count_near(radius: int):
+    """From rows in order of ``bucket``: for each query how many documents of its bucket are near, if no earlier table has them."""
+    cut = [(np.uint64(a), np.uint64((1 << w) - 1)) for a, w in blocks(radius)]
+    pairs = list(combinations(range(len(cut)), 2))
+
+    def found(bucket: int, fps: np.ndarray, n: np.ndarray, asked: np.ndarray) -> pa.RecordBatch | None:
+        table = bucket >> 56
+        own, out = fps[asked], np.zeros(int(asked.sum()), np.int64)
+        for i in range(0, len(own), 256):
+            differ = own[i : i + 256, None] ^ fps[None, :]
+            near = np.bitwise_count(differ) <= radius
+            if table:
+                same = [((differ >> at) & mask) == 0 for at, mask in cut]
+                for x, y in pairs[:table]:
+                    near &= ~(same[x] & same[y])
+            out[i : i + 256] = near @ n
+        some = out > 0
+        return pa.RecordBatch.from_arrays([pa.array(own[some].view(np.int64)), pa.array(out[some])], names=["fp", "near"]) if some.any() else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[list[np.ndarray]] = []
+        for batch in batches:
+            cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("bucket", "fp", "n", "asked")]
+            if len(cols[0]):
+                kept.append(cols)
+            if len(kept) and sum(len(k[0]) for k in kept) > 1:
+                whole = [np.concatenate(x) for x in zip(*kept)]
+                last = int(np.searchsorted(whole[0], whole[0][-1]))  # the last bucket may go on
+                yield from split([x[:last] for x in whole])
+                kept = [[x[last:] for x in whole]]
+        if kept:
+            yield from split([np.concatenate(x) for x in zip(*kept)])
+
+    def split(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        bucket, fp, n, asked = cols
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        starts, ends = np.r_[0, cuts].astype(int), np.r_[cuts, len(bucket)].astype(int)
+        if len(bucket):
+            with_query = np.logical_or.reduceat(asked, starts)
+            for i in np.flatnonzero(with_query):
+                a, b = starts[i], ends[i]
+                batch = found(int(bucket[a]), fp[a:b].view(np.uint64), n[a:b].astype(np.int64), asked[a:b].astype(bool))
+                if batch is not None:
+                    yield batch
+
+    return run
+
+
+def within(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``fp, near`` for each distinct ``fp`` (long) of a row that is ``asked``: how many rows are within the radius, itself too."""
+    f = fps.groupBy("fp").agg(F.count("*").alias("n"), F.max("asked").alias("asked"))
+    cut = blocks(radius)
+    keys = []
+    for table, (x, y) in enumerate(combinations(range(len(cut)), 2)):
+        part = lambda i: F.shiftrightunsigned("fp", cut[i][0]).bitwiseAND(F.lit((1 << cut[i][1]) - 1))  # noqa: B023, E731
+        keys.append(F.lit(table << 56).bitwiseOR(F.shiftleft(part(x), cut[y][1])).bitwiseOR(part(y)))
+    rows = f.select("fp", "n", "asked", F.explode(F.array(*keys)).alias("bucket"))
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "fp", "n", "asked")
+    return rows.mapInArrow(count_near(radius), "fp long, near long").groupBy("fp").agg(F.sum("near").alias("near"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Besides, for each document whose id 20 divides: how many others are within the radius of its fingerprint."""
     from tracelake.llm.near_dedup import as_hex
 
-    out = fingerprint_pairs(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_chars", "edited_sha256", as_hex("fp").alias("fingerprint"), as_hex("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next")
+    out = checkpoint(fingerprint_pairs(read(spark, sf_dir, "documents")))
+    asked = F.col("doc_id") % 20 == 0
+    near = within(out.select("fp", F.coalesce(asked, F.lit(False)).alias("asked")))
+    out = out.join(near, "fp", "left").withColumn("n_near", F.when(asked, F.col("near") - 1))
+    return out.select("doc_id", "n_chars", "edited_sha256", as_hex("fp").alias("fingerprint"), as_hex("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", "n_near")
