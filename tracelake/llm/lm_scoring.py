@@ -36,8 +36,8 @@ PIECE = 1 << 16
 END, GATES, BLOCK = 256, 16, 256
 #: First weights by context, the rate at which they follow the gradient, and the unit of the 8-bit logits.
 FIRST, RATE, UNIT = (0.4, 0.4, 0.5), 0.03, 1 / 15.875
-#: Bytes of text that are worked on at a time.
-RUN = 1 << 18
+#: Bytes of text that are worked on at a time, and symbols whose decisions are.
+RUN, PART = 1 << 19, 1 << 14
 
 U64 = np.uint64
 
@@ -129,20 +129,18 @@ def word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts ``word, train, total`` from ``text, held``; flushed when many."""
 
     def flush() -> pa.RecordBatch:
-        names = list(total)
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()).cast(pa.string()), pa.array([train[w] for w in names], pa.int64()), pa.array([total[w] for w in names], pa.int64())], names=["word", "train", "total"])
+        train, other = counts
+        names = list(train) + [w for w in other if w not in train]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()).cast(pa.string()), pa.array([train[w] for w in names], pa.int64()), pa.array([train[w] + other[w] for w in names], pa.int64())], names=["word", "train", "total"])
 
-    train, total = Counter(), Counter()
+    counts = Counter(), Counter()
     for batch in batches:
         for text, held in zip(batch.column("text").cast(pa.binary()), batch.column("held").to_pylist()):
-            words = (text.as_py() or b"").lower().split()
-            total.update(words)
-            if not held:
-                train.update(words)
-            if len(total) > 400_000:
+            counts[held].update((text.as_py() or b"").lower().split())
+            if len(counts[0]) + len(counts[1]) > 400_000:
                 yield flush()
-                train, total = Counter(), Counter()
-    if total:
+                counts = Counter(), Counter()
+    if counts[0] or counts[1]:
         yield flush()
 
 
@@ -193,9 +191,12 @@ def count_batches(code):
         for batch in batches:
             for _, data, offsets in runs(batch.column("text")):
                 seq, _, _, p1, hashes, _ = contexts(data, offsets)
-                _, _, bit, found = slots(code.value, seq, p1, hashes)
-                for table, slot in zip(counts, found):
-                    np.add.at(table, slot * 2 + bit, np.uint32(1))
+                for i in range(0, len(seq), PART):
+                    _, _, bit, found = slots(code.value, seq[i : i + PART], p1[i : i + PART], [h[i : i + PART] for h in hashes])
+                    for table, slot in zip(counts, found):
+                        slot *= 2
+                        slot += bit
+                        np.add.at(table, slot, np.uint32(1))
                 some = True
         first = 0
         for table in counts if some else ():
@@ -232,31 +233,37 @@ def log2_probabilities(code: Code, tables: list[np.ndarray], data: np.ndarray, o
     seq, row, place, p1, hashes, inside = contexts(data, offsets)
     block = place // BLOCK
     if block.max() > 0:
-        order = np.argsort(block, kind="stable")
+        # Of 16-bit numbers the stable sort is one of digits.
+        order = np.argsort(block.astype(np.uint16) if block.max() < 1 << 16 else block, kind="stable")
         seq, row, p1, inside, block, *hashes = (x[order] for x in (seq, row, p1, inside, block, *hashes))
-    of, step, bit, found = slots(code, seq, p1, hashes)
-    logits = [t[s].astype(np.float32) * np.float32(UNIT) for t, s in zip(tables, found)]
-    own = row[of] * GATES + inside[of] * 4 + np.minimum(step, 3)
-    text = row[of]
-    sign = np.where(bit > 0, np.float32(1), np.float32(-1))
+    own = row * GATES + inside * 4
     n = (len(offsets) - 1) * GATES
-    weights = [np.full(n, w, np.float32) for w in FIRST]
-    cost = np.zeros(len(offsets) - 1)
-    cuts = np.searchsorted(block[of], np.arange(int(block[-1]) + 2))
+    # Logits stay in units of UNIT, which the weights have taken in.
+    weights = [np.full(n, w * UNIT, np.float32) for w in FIRST]
+    cost = np.zeros(n)
+    cuts = np.searchsorted(block, np.arange(int(block[-1]) + 2))
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        here, x, s = own[lo:hi], [t[lo:hi] for t in logits], sign[lo:hi]
+        of, step, bit, found = slots(code, seq[lo:hi], p1[lo:hi], [h[lo:hi] for h in hashes])
+        x = [t[s].astype(np.float32) for t, s in zip(tables, found)]
+        here = own[lo:hi][of]
+        here += np.minimum(step, 3, out=step)
+        s = bit * np.float32(2)
+        s -= 1
         z = weights[0][here] * x[0]
         for w, t in zip(weights[1:], x[1:]):
             z += w[here] * t
         z *= s  # the logit of what came
-        np.clip(z, -20, 20, out=z)
-        q = np.exp(-z)
-        cost -= np.bincount(text[lo:hi], np.log(1 + q), len(cost))
-        miss = s * q / (1 + q)
-        rate = (RATE / (1 + np.bincount(here, minlength=n) / 64)).astype(np.float32)
+        np.maximum(z, -20, out=z)
+        np.exp(np.negative(z, out=z), out=z)
+        other = z + np.float32(1)
+        cost += np.bincount(here, np.log(other), n)
+        z /= other
+        z *= s  # by how much it was missed
+        rate = RATE * UNIT * UNIT / (1 + np.bincount(here, minlength=n) / 64)
         for w, t in zip(weights, x):
-            w += rate * np.bincount(here, miss * t, n).astype(np.float32)
-    return cost / math.log(2)
+            t *= z
+            w += (rate * np.bincount(here, t, n)).astype(np.float32)
+    return cost.reshape(-1, GATES).sum(axis=1) / -math.log(2)
 
 
 def score_batches(model, head, head_train, n_end: int):
@@ -273,12 +280,12 @@ def score_batches(model, head, head_train, n_end: int):
             tokens, known, sums, tails = [], [], [], []
             for text in batch.column("text").cast(pa.binary()):
                 words = (text.as_py() or b"").lower().split()
-                at = list(map(words_of.get, words, repeat(-1)))
-                found = counts[np.array(at, np.int64)] if at else np.zeros(0, np.int64)
+                at = np.fromiter(map(words_of.get, words, repeat(-1)), np.int64, len(words))
+                found = counts[at]
                 tokens.append(len(words) + 1)
                 known.append(int((found > 0).sum()) + (n_end > 0))
                 sums.append(float(np.log10(found + 1.0).sum()) + math.log10(n_end + 1))
-                tails.append(b" ".join([w for w, i in zip(words, at) if i < 0]))
+                tails.append(b" ".join([words[i] for i in np.flatnonzero(at < 0).tolist()]))
             kept = [batch.column(x) for x in ("id", "k1", "k2", "held")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(sums), pa.array(tails, pa.binary()).cast(pa.string()), pa.array(bits)], names=["id", "k1", "k2", "held", "tokens", "known", "sums", "tail", "bits"])
 
