@@ -59,7 +59,8 @@ def keyed(df: DataFrame, *cols: str) -> tuple[DataFrame, list[str]]:
 def without(df: DataFrame, keys: DataFrame, *cols: str) -> DataFrame:
     """The rows of ``df`` whose hashes of ``cols`` aren't among ``keys`` (k1, k2): with a broadcast of these if they are few."""
     rows, names = keyed(df, *cols)
-    keys = broadcast_if_small(keys.select(*[F.col(k).alias(n) for k, n in zip(("k1", "k2"), names)]), keys.count(), 1_000_000)
+    keys = checkpoint(keys.select(*[F.col(k).alias(n) for k, n in zip(("k1", "k2"), names)]))
+    keys = broadcast_if_small(keys, keys.count(), 1_000_000)
     return rows.join(keys, names, "left_anti").select(*df.columns)
 
 

@@ -181,6 +181,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 #: Of similar_groups: words of a shingle; 64-bit parts of a fingerprint, and how many of these are compared; bits of a piece
 #: that has to be equal; the most of the compared bits that may differ.
 LONG_SHINGLE, PARTS, COMPARED, PIECE, FAR = 5, 10, 4, 16, 50
+#: Rows of a bucket whose near pairs are linked one by one (larger ones make paths), and of one that is compared all at once.
+SMALL, LARGE = 32, 4096
 _SALTS = textcore.mix(np.arange(1, PARTS + 1, dtype=np.uint64))
 
 
@@ -210,12 +212,16 @@ def similar_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         while len(left) > 1:
             found, queue, left = [left[:1]], [left[0]], left[1:]
             while queue and len(left):
-                apart = np.bitwise_count(fp[:, left] ^ fp[:, queue.pop()][:, None]).astype(np.int32)
+                apart = np.bitwise_count(fp[:, left] ^ fp[:, queue.pop()][:, None])
+                # Some chain of segments keeps within the proportional budgets, its first segment too: else it is too far.
+                maybe = np.flatnonzero((apart <= FAR // COMPARED).any(axis=0))
+                some = apart[:, maybe].astype(np.int32)
+                chain = np.zeros(len(maybe), bool)
+                for start in range(COMPARED):
+                    sums = np.cumsum(np.roll(some, -start, axis=0), axis=0)
+                    chain |= (sums * COMPARED <= FAR * np.arange(1, COMPARED + 1)[:, None]).all(axis=0)
                 near = np.zeros(len(left), bool)
-                for start in range(COMPARED):  # some chain of segments keeps within the proportional budgets, else it's too far
-                    sums = np.cumsum(np.roll(apart, -start, axis=0), axis=0)
-                    near |= (sums * COMPARED <= FAR * np.arange(1, COMPARED + 1)[:, None]).all(axis=0)
-                near &= apart.sum(axis=0) <= FAR
+                near[maybe[chain & (some.sum(axis=0) <= FAR)]] = True
                 if near.any():
                     found.append(left[near])
                     queue.extend(left[near])
@@ -227,13 +233,24 @@ def similar_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         bucket, node, fp = cols[0], cols[1], np.array([c.view(np.uint64) for c in cols[2:]])
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         starts, ends = np.r_[0, cuts].astype(int), np.r_[cuts, len(bucket)].astype(int)
-        # Most buckets of two have two strangers: these are told apart all at once.
-        two = np.flatnonzero(ends - starts == 2)
-        x = starts[two]
-        near = np.bitwise_count(fp[:, x] ^ fp[:, x + 1]).sum(axis=0, dtype=np.int64) <= FAR
-        a, b = [node[x[near]]], [node[x[near] + 1]]
-        for i in np.flatnonzero(ends - starts > 2):
-            for g in groups(node[starts[i] : ends[i]], fp[:, starts[i] : ends[i]]):
+        # Buckets, most of them of strangers, are compared all at once: rows with those one, two, ... places further on.
+        size = ends - starts
+        rest = np.repeat(np.where(size <= LARGE, ends, 0), size) - np.arange(len(bucket))
+        small = np.repeat(size <= SMALL, size)
+        some = np.repeat(size > LARGE, size)  # rows that have anything near, or may have
+        a, b = [], []
+        for k in range(1, LARGE):
+            x = np.flatnonzero(rest > k)
+            if not len(x):
+                break
+            near = x[np.bitwise_count(fp[:, x] ^ fp[:, x + k]).sum(axis=0, dtype=np.int64) <= FAR]
+            some[near] = some[near + k] = True
+            near = near[small[near]]
+            a.append(node[near])
+            b.append(node[near + k])
+        for i in np.flatnonzero(size > SMALL):
+            own = starts[i] + np.flatnonzero(some[starts[i] : ends[i]])
+            for g in groups(node[own], fp[:, own]):
                 a.append(g[:-1])
                 b.append(g[1:])
         if sum(map(len, a)):
@@ -282,7 +299,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     repeated = groups.groupBy("k1", "k2").count().where("count > 1").select("k1", "k2", F.lit(True).alias("repeated"))
     (flag,) = fresh(docs, "repeated")
     best = checkpoint(best.join(repeated, ["k1", "k2"], "left").select(F.col("k1").alias(names[0]), F.col("k2").alias(names[1]), F.coalesce("repeated", F.lit(False)).alias(flag)))
-    kept = rows.join(broadcast_if_small(best, best.count()), names)
+    # Never a broadcast: the rows that stay grow with the input, so at every size the texts are shuffled once.
+    kept = rows.join(best.hint("merge"), names)
     if best.where(flag).isEmpty():
         return kept.select(*docs.columns)
     return kept.where(f"NOT `{flag}`").select(*docs.columns).unionByName(kept.where(f"`{flag}`").dropDuplicates(names).select(*docs.columns))
