@@ -140,6 +140,61 @@ def test_similar_groups(spark):
     assert near_dedup.similar_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def exact_groups(texts):
+    """Groups over any chain of pairs at a similarity of 0.8 or more, by brute force."""
+    sets = []
+    for t in texts:
+        w = (t or "").translate(brute.LOWER).split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    return {frozenset(i for i, g in enumerate(group) if g == x) for x in group}
+
+
+def similar_found(spark, texts):
+    found = defaultdict(set)
+    for r in near_dedup.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        found[r.component].add(r.doc_id)
+    return {frozenset(x) for x in found.values()}
+
+
+def test_similar_groups_at_the_limit(spark):
+    """All pairs at a similarity of exactly 0.8 are found: 5k and 4k shingles of 9 to 184 words."""
+    texts = []
+    for k in (1, 2, 36):
+        for g in range(60):
+            w = [f"w{k}x{g}x{i}" for i in range(5 * k + 4)]
+            texts += [" ".join(w), " ".join(w[: 4 * k + 4])]
+    want = {frozenset((i, i + 1)) for i in range(0, len(texts), 2)}
+    assert exact_groups(texts) == want and similar_found(spark, texts) == want
+
+
+def test_similar_groups_in_large_buckets(spark):
+    """A large group, a chain beside it and many texts with a passage in common, as by brute force."""
+    import random
+
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(80)]
+    texts = []
+    for n in range(90):
+        w = list(base)
+        for i in rng.sample(range(80), rng.randrange(4)):
+            w[i] = f"n{n}x{i}"
+        texts.append(" ".join(w))
+    for g in range(60):  # 46 of their 70 or so shingles are a passage that all have
+        texts.append(" ".join([f"p{i}" for i in range(50)] + [f"o{g}x{i}" for i in range(rng.randrange(8, 30))]))
+    for g in range(40):  # each is near the next one only
+        texts.append(" ".join(f"c{i}" for i in range(8 * g, 8 * g + 120)))
+    near_dedup.SMALL, was = 4, near_dedup.SMALL
+    try:
+        assert similar_found(spark, texts) == exact_groups(texts)
+    finally:
+        near_dedup.SMALL = was
+
+
 def test_secrets(table, docs):
     rows = secrets.scan(table).collect()
     want = Counter((d, a, b, c, ",".join(s)) for d, a, b, c, s in brute.secrets(docs))

@@ -7,9 +7,10 @@ full Hamming check. Only distinct fingerprints are compared. A bucket yields a p
 pairs, so a large group of near copies makes as many rows as it has members; components are then merged by star steps.
 
 ``near_groups`` links fingerprints of 64 bits within 3, as the query asks for. ``similar_groups`` is for documents whose sets of
-five-word shingles have a similarity of 0.8 or more, which is too far apart for that: it takes 640 bits, looks for an equal one
-of 40 pieces of 16 bits (at a similarity of 0.8 nineteen in twenty pairs have one), and links within 50 of the first 256 bits,
-again with a ring of four segments and proportional budgets before the full check.
+five-word shingles have a similarity of 0.8 or more, which is too far apart for that. It is exact: similar sets share one of
+their first shingles in any order of all shingles (prefix filter; frequent ones come last in it), sizes and places bound what
+they can share, and each pair that is left is verified by its whole sets. A large bucket first links its rows to one of them
+and their neighbours; after that only pairs that these links don't join yet are looked at.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import textcore
-from tracelake.llm.common import broadcast_if_small, checkpoint, columns, fresh, keyed, read, row_key
+from tracelake.llm.common import broadcast_if_small, checkpoint, columns, fresh, keyed, read, row_key, stored
 from tracelake.llm.components import components
 
 BITS, SEGMENTS, RADIUS, SHINGLE = 64, 4, 3, 3
@@ -178,111 +179,214 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.join(broadcast_if_small(of, of.count()), "fp").select(F.col("id").alias("doc_id"), "k1", "k2", "fp", "component_id", "component")
 
 
-#: Of similar_groups: words of a shingle; 64-bit parts of a fingerprint, and how many of these are compared; bits of a piece
-#: that has to be equal; the most of the compared bits that may differ.
-LONG_SHINGLE, PARTS, COMPARED, PIECE, FAR = 5, 10, 4, 16, 50
-#: Rows of a bucket whose near pairs are linked one by one (larger ones make paths), and of one that is compared all at once.
-SMALL, LARGE = 32, 4096
-_SALTS = textcore.mix(np.arange(1, PARTS + 1, dtype=np.uint64))
+#: Of similar_groups: words of a shingle, and the least similarity of a link, as a fraction.
+LONG_SHINGLE, NEAR, OUT_OF = 5, 4, 5
+#: Rows of a bucket whose pairs are all looked at in the first round (larger ones: those with its first row, and neighbours).
+SMALL = 16
+#: Texts that are looked at for shingles that are frequent, and the most of these that are told apart. Any order of shingles
+#: finds all pairs, so neither changes a result.
+ORDER_TEXTS, ORDER_SHINGLES = 10_000, 200_000
+#: Pairs that are put into one batch.
+PAIRS = 1 << 16
 
 
-def similarity_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The other columns and ``f0`` ...: majorities of each bit over a text's distinct shingles; 0 for a text without words."""
+def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted distinct hashes of five-word shingles) of each text with words; a shorter text is one shingle."""
+    for at, data, offsets in textcore.texts(column):
+        data = textcore.LOWER[data]
+        starts, ends, first = textcore.words(data, offsets)
+        hashes = textcore.word_hashes(data, starts, ends)
+        for i in np.flatnonzero(np.diff(first)):
+            lo, hi = first[i], first[i + 1]
+            begin = np.arange(max(1, hi - lo - LONG_SHINGLE + 1))
+            yield at + i, np.unique(textcore.range_hashes(hashes[lo:hi], begin, np.minimum(begin + LONG_SHINGLE, hi - lo), textcore.BASES[1]))
+
+
+def node_of(own: np.ndarray) -> int:
+    """A set's 64-bit hash."""
+    return xxhash.xxh64_intdigest(own.tobytes(), 42) - (1 << 63)
+
+
+def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, own`` from texts with words: a set's hash, and the set as bytes."""
+    for batch in batches:
+        found = [own for _, own in shingle_sets(batch.column("text"))]
+        yield pa.RecordBatch.from_pydict({"node": pa.array(map(node_of, found), pa.int64()), "own": pa.array([x.tobytes() for x in found], pa.binary())})
+
+
+def shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, shingle`` of each text."""
+    for batch in batches:
+        for _, own in shingle_sets(batch.column("text")):
+            yield pa.RecordBatch.from_pydict({"node": pa.array(np.full(len(own), node_of(own)), pa.int64()), "shingle": own.view(np.int64)})
+
+
+def prefix_batches(order):
+    """The other columns, ``node, n`` and ``prefix``: a set's first shingles, rare before frequent, of which similar sets share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, rank = order.value
+        for batch in batches:
+            nodes, sizes = np.full(batch.num_rows, node_of(np.zeros(0, np.uint64)), np.int64), np.zeros(batch.num_rows, np.int32)
+            prefix: list = [np.zeros(0, np.int64)] * batch.num_rows
+            for i, own in shingle_sets(batch.column("text")):
+                n = len(own)
+                nodes[i], sizes[i] = node_of(own), n
+                level = np.zeros(n, np.int64)
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+                    level = np.where(often[at] == own, rank[at], 0)
+                # Similar sets share NEAR/OUT_OF of the larger one at least, so what they share can't all come after this.
+                prefix[i] = own[np.lexsort((own, level))[: n + (-NEAR * n // OUT_OF) + 1]].view(np.int64)
+            kept = [x for x in batch.schema.names if x != "text"]
+            ends = np.cumsum([0, *map(len, prefix)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(nodes), pa.array(sizes), lists], names=[*kept, "node", "n", "prefix"])
+
+    return run
+
+
+def may_be_similar(n: np.ndarray, at: np.ndarray, i, j) -> np.ndarray:
+    """Whether sets of these sizes that first share a shingle at these places in their order can be similar enough."""
+    return np.minimum(n[i] - at[i], n[j] - at[j]) * (NEAR + OUT_OF) >= NEAR * (n[i] + n[j])
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch], done) -> Iterator[pa.RecordBatch]:
+    """``done(columns)`` for runs of whole buckets, from rows in order of ``bucket``, the first column."""
+    kept: list[list[np.ndarray]] = []
     for batch in batches:
-        out = np.zeros((batch.num_rows, PARTS), np.uint64)
-        for at, data, offsets in textcore.texts(batch.column("text")):
-            data = textcore.LOWER[data]
-            starts, ends, first = textcore.words(data, offsets)
-            hashes = textcore.word_hashes(data, starts, ends)
-            for i in np.flatnonzero(np.diff(first)):
-                lo, hi = first[i], first[i + 1]
-                begin = np.arange(lo, max(lo + 1, hi - LONG_SHINGLE + 1))
-                h = np.unique(textcore.range_hashes(hashes[lo:hi], begin - lo, np.minimum(begin + LONG_SHINGLE, hi) - lo, textcore.BASES[1]))
-                for j, salt in enumerate(_SALTS):
-                    out[at + i, j] = np.packbits(bit_counts(textcore.mix(h ^ salt)) * 2 > len(h)).view(np.uint64)[0]
-        kept = [x for x in batch.schema.names if x != "text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), *(pa.array(out[:, j].copy().view(np.int64)) for j in range(PARTS))], names=[*kept, *(f"f{j}" for j in range(PARTS))])
-
-
-def similar_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of ``bucket``: path links ``a, b`` between nodes of each component of a bucket."""
-
-    def groups(node: np.ndarray, fp: np.ndarray) -> Iterator[np.ndarray]:
-        left = np.arange(len(node))
-        while len(left) > 1:
-            found, queue, left = [left[:1]], [left[0]], left[1:]
-            while queue and len(left):
-                apart = np.bitwise_count(fp[:, left] ^ fp[:, queue.pop()][:, None])
-                # Some chain of segments keeps within the proportional budgets, its first segment too: else it is too far.
-                maybe = np.flatnonzero((apart <= FAR // COMPARED).any(axis=0))
-                some = apart[:, maybe].astype(np.int32)
-                chain = np.zeros(len(maybe), bool)
-                for start in range(COMPARED):
-                    sums = np.cumsum(np.roll(some, -start, axis=0), axis=0)
-                    chain |= (sums * COMPARED <= FAR * np.arange(1, COMPARED + 1)[:, None]).all(axis=0)
-                near = np.zeros(len(left), bool)
-                near[maybe[chain & (some.sum(axis=0) <= FAR)]] = True
-                if near.any():
-                    found.append(left[near])
-                    queue.extend(left[near])
-                    left = left[~near]
-            if len(found) > 1:
-                yield node[np.concatenate(found)]
-
-    def links_of(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        bucket, node, fp = cols[0], cols[1], np.array([c.view(np.uint64) for c in cols[2:]])
+        cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in batch.schema.names]
+        if not len(cols[0]):
+            continue
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last bucket may go on in the next batch
+        if cut:
+            yield from done([np.concatenate(x) for x in zip(*kept, [c[:cut] for c in cols])])
+            kept = []
+        kept.append([c[cut:] for c in cols])
+    if kept:
+        yield from done([np.concatenate(x) for x in zip(*kept)])
+
+
+def first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From ``bucket, node, n, at``: pairs ``a, b`` of small buckets, some pairs of large ones, and the rows of these (b null)."""
+
+    def done(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        bucket, node, n, at = cols[0], cols[1], cols[2].astype(np.int64), cols[3].astype(np.int64)
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         starts, ends = np.r_[0, cuts].astype(int), np.r_[cuts, len(bucket)].astype(int)
-        # Buckets, most of them of strangers, are compared all at once: rows with those one, two, ... places further on.
         size = ends - starts
-        rest = np.repeat(np.where(size <= LARGE, ends, 0), size) - np.arange(len(bucket))
         small = np.repeat(size <= SMALL, size)
-        some = np.repeat(size > LARGE, size)  # rows that have anything near, or may have
-        a, b = [], []
-        for k in range(1, LARGE):
-            x = np.flatnonzero(rest > k)
-            if not len(x):
-                break
-            near = x[np.bitwise_count(fp[:, x] ^ fp[:, x + k]).sum(axis=0, dtype=np.int64) <= FAR]
-            some[near] = some[near + k] = True
-            near = near[small[near]]
-            a.append(node[near])
-            b.append(node[near + k])
-        for i in np.flatnonzero(size > SMALL):
-            own = starts[i] + np.flatnonzero(some[starts[i] : ends[i]])
-            for g in groups(node[own], fp[:, own]):
-                a.append(g[:-1])
-                b.append(g[1:])
-        if sum(map(len, a)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (a, b)], names=["a", "b"])
-
-    kept: list[np.ndarray] | None = None
+        rest = np.repeat(ends, size) - np.arange(len(bucket))
+        pairs = [(x := np.flatnonzero((rest > k) & (small | (k == 1))), x + k) for k in range(1, SMALL)]
+        large = np.flatnonzero(~small)
+        pairs.append((np.repeat(starts, size)[large], large))
+        i, j = (np.concatenate(x) for x in zip(*pairs))
+        some = may_be_similar(n, at, i, j) & (node[i] != node[j])
+        a, b = np.minimum(node[i[some]], node[j[some]]), np.maximum(node[i[some]], node[j[some]])
+        none = len(large)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.r_[a, node[large]]),
+                pa.array(np.r_[b, np.zeros(none, np.int64)], mask=np.r_[np.zeros(len(b), bool), np.ones(none, bool)]),
+                *(pa.array(np.r_[np.zeros(len(b), x.dtype), x[large]]) for x in (bucket, n, at)),
+            ],
+            names=["a", "b", "bucket", "n", "at"],
+        )
+
+    return by_bucket(batches, done)
+
+
+def other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From ``bucket, node, n, at, c``, ``c`` the component so far: all pairs ``a, b`` of a bucket that it doesn't join yet."""
+
+    def done(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        bucket, c = cols[0], cols[4]
+        order = np.lexsort((cols[2], bucket))
+        bucket, node, n, at, c = (x[order] for x in (bucket, cols[1], cols[2].astype(np.int64), cols[3].astype(np.int64), c))
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        a, b, held = [], [], 0
+        for lo, hi in zip(np.r_[0, cuts].tolist(), [*cuts.tolist(), len(bucket)]):
+            if (c[lo:hi] == c[lo]).all():
+                continue
+            # Sizes go up: those more than OUT_OF/NEAR times as large can't be similar.
+            to = lo + np.searchsorted(n[lo:hi] * NEAR, n[lo:hi] * OUT_OF, "right")
+            for i in range(lo, hi - 1):
+                j = np.arange(i + 1, to[i - lo])
+                j = j[c[i + 1 : to[i - lo]] != c[i]]
+                j = j[may_be_similar(n, at, i, j)]
+                if len(j):
+                    a.append(np.minimum(node[i], node[j]))
+                    b.append(np.maximum(node[i], node[j]))
+                    held += len(j)
+                if held >= PAIRS:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
+                    a, b, held = [], [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
+
+    return by_bucket(batches, done)
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of NEAR/OUT_OF or more, in whole numbers."""
+    if min(len(x), len(y)) * OUT_OF < max(len(x), len(y)) * NEAR:
+        return False
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared * (NEAR + OUT_OF) >= NEAR * len(both)
+
+
+def similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs ``a, b`` whose sets ``x, y`` are similar."""
     for batch in batches:
-        cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in batch.schema.names]
-        if len(cols[0]):
-            cols = cols if kept is None else [np.concatenate(x) for x in zip(kept, cols)]
-            last = int(np.searchsorted(cols[0], cols[0][-1]))
-            yield from links_of([x[:last] for x in cols])
-            kept = [x[last:] for x in cols]
-    if kept is not None:
-        yield from links_of(kept)
+        sets = zip(batch.column("x"), batch.column("y"))
+        keep = np.fromiter((similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in xy)) for xy in sets), bool, batch.num_rows)
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+
+def frequent_shingles(d: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of more than one of a bounded number of texts, in order, and how many of these have them."""
+    some = d.orderBy("k1").limit(ORDER_TEXTS).select("text").repartition(2 * d.sparkSession.sparkContext.defaultParallelism)
+    counts = some.mapInArrow(shingle_batches, "node long, shingle long").distinct().groupBy("shingle").count()
+    rows = counts.where("count > 1").orderBy(F.desc("count")).limit(ORDER_SHINGLES).toArrow()
+    often = rows.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(often)
+    return often[order], rows.column("count").to_numpy()[order]
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, k1, k2, component``: every row with its group of similar documents, over any chain of links.
 
+    Two texts are linked if, and only if, their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
     Texts without words are one group. Repeated rows, nulls, empty tables and other columns: as for ``near_groups``.
     """
     d = columns(docs, id=id_col, text=text_col)
     d = d.select("id", *row_key(d["id"], d["text"]), "text")
-    parts = [f"f{j}" for j in range(PARTS)]
-    kind = f"id {d.schema['id'].dataType.simpleString()}, k1 long, k2 long, " + ", ".join(f"{f} long" for f in parts)
-    rows = checkpoint(d.mapInArrow(similarity_batches, kind).withColumn("node", F.xxhash64(*parts)))
-    nodes = rows.groupBy("node").agg(*[F.min(f).alias(f) for f in parts])
-    pieces = [F.lit(i << PIECE).bitwiseOR(F.shiftrightunsigned(parts[i * PIECE // BITS], i * PIECE % BITS).bitwiseAND(F.lit((1 << PIECE) - 1))) for i in range(PARTS * BITS // PIECE)]
-    rows_of = nodes.select("node", *parts[:COMPARED], F.explode(F.array(*pieces)).alias("bucket")).repartition("bucket").sortWithinPartitions("bucket")
-    joined = components(rows_of.select("bucket", "node", *parts[:COMPARED]).mapInArrow(similar_links, "a long, b long"))
-    joined = checkpoint(joined)
+    order = d.sparkSession.sparkContext.broadcast(frequent_shingles(d))
+    rows = checkpoint(d.mapInArrow(prefix_batches(order), f"id {d.schema['id'].dataType.simpleString()}, k1 long, k2 long, node long, n int, prefix array<long>"))
+    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    places = nodes.select("node", "n", F.posexplode("prefix").alias("at", "bucket")).select("bucket", "node", "n", "at")
+    found = checkpoint(places.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(first_pairs, "a long, b long, bucket long, n long, at long"))
+    pairs = checkpoint(found.where("b IS NOT NULL").select("a", "b").distinct())
+    wanted = checkpoint(found.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "node"))
+    sets = d.select("text").mapInArrow(set_batches, "node long, own binary").join(broadcast_if_small(wanted, wanted.count(), 1_000_000), "node", "left_semi")
+    sets = checkpoint(sets.groupBy("node").agg(F.first("own").alias("own")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        x, y = (sets.select(F.col("node").alias(a), F.col("own").alias(b)) for a, b in (("a", "x"), ("b", "y")))
+        # Stored, not kept as a checkpoint: that would hand the joins' partitioning on to each round of the components.
+        return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(similar_batches, "a long, b long"))
+
+    links = verified(pairs)
+    joined = stored(components(links))
+    large = found.where("b IS NULL").select("bucket", F.col("a").alias("node"), "n", "at")
+    if not large.isEmpty():
+        large = large.join(joined, "node", "left").select("bucket", "node", "n", "at", F.coalesce("component", "node").alias("c"))
+        more = large.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(other_pairs, "a long, b long").distinct()
+        more = verified(more.join(pairs, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            joined = stored(components(links.unionByName(more)))
     return rows.join(broadcast_if_small(joined, joined.count()), "node", "left").select(F.col("id").alias("doc_id"), "k1", "k2", F.coalesce("component", "node").alias("component"))
 
 
