@@ -195,6 +195,16 @@ def test_similar_groups_in_large_buckets(spark):
         near_dedup.SMALL = was
 
 
+def test_similar_groups_below_the_limit(spark):
+    """Pairs at 0.75 stay apart: 4k and 3k shingles."""
+    texts = []
+    for k in (2, 45):
+        for g in range(40):
+            w = [f"w{k}x{g}x{i}" for i in range(4 * k + 4)]
+            texts += [" ".join(w), " ".join(w[: 3 * k + 4])]
+    assert similar_found(spark, texts) == {frozenset([i]) for i in range(len(texts))}
+
+
 def test_secrets(table, docs):
     rows = secrets.scan(table).collect()
     want = Counter((d, a, b, c, ",".join(s)) for d, a, b, c, s in brute.secrets(docs))
