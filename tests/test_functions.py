@@ -117,6 +117,23 @@ def test_entropy(spark):
     assert kernels.redact_entropy("abcdefghij1234567", *kernels.SENSITIVITY["strict"]) == "[REDACTED]" and kernels.SENSITIVITY["relaxed"] is None
 
 
+def test_entropy_limits(spark):
+    assert kernels.entropy_limits() == (4.0, 20) and kernels.entropy_limits("strict") == (3.5, 16) and kernels.entropy_limits("relaxed") is None
+    assert kernels.entropy_limits("normal", 3.0) == (3.0, 20) and kernels.entropy_limits("strict", None, 30) == (3.5, 30) and kernels.entropy_limits("relaxed", 3.2) == (3.2, 20)
+    assert kernels.entropy_limits("strict", 1.0, 1, enabled=False) is None
+    text = ["abcdefghij1234567 x"]
+    assert col(spark, text, lambda c: kernels.redact(c, limits=(3.5, 16))) == ["[REDACTED] x"] and col(spark, text, lambda c: kernels.redact(c, limits=None)) == text and col(spark, text, kernels.redact) == text
+
+
+def test_paths_and_intents(spark):
+    assert col(spark, ["/a/b/c.rs", "src/c.rs", "a/b/c", "c.rs", "/c"], scalar.short_path) == ["b/c.rs", "src/c.rs", "b/c", "c.rs", "/c"]
+    assert col(spark, ["x" * 80, "x" * 81], scalar.short_intent) == ["x" * 80, "x" * 80 + "..."]
+
+
+def test_folding():
+    assert kernels.fold("ÉcoLE naïve") == "ecole naive" and kernels.fold("ﬁne x²") == "ﬁne x²"
+
+
 def test_search_syntax():
     cases = {"OPS-1234": '"OPS-1234"', "auth OR cargo": "auth OR cargo", "": None, "  ": None, "/src/auth.rs": '"/src/auth.rs"', '"a b"': '"a b"', "OR": '"OR"', "a (b)": 'a "(b)"'}
     assert {k: kernels.sanitize(k) for k in cases} == cases
@@ -137,6 +154,16 @@ def test_stems_like_sqlite():
 def test_schedules_and_tasks():
     now = 1_700_000_000
     assert [kernels.parse_schedule(x, now) - now for x in ("now", "in 5 minutes", "2h", "3 days", "1w", "30 s")] == [0, 300, 7200, 259200, 604800, 30]
+    day = now - now % 86400
+    assert [kernels.parse_schedule(x, now) for x in ("tomorrow", "Tonight", "2 wks", "10secs")] == [now + 86400, day + (45 if now >= day + 75600 else 21) * 3600, now + 1209600, now + 10]
+    assert kernels.parse_schedule("tonight", day + 75600) == day + 75600 + 86400
+    for bad in ("", "0m", "-5m", "5 moons"):
+        with pytest.raises(ValueError):
+            kernels.parse_schedule(bad, now)
+    assert kernels.parse_day("2024-02-29") == 1709164800 and kernels.parse_day("2024-1-1") == 1704067200
+    for bad in ("2025-02-29", "2024-13-01", "yesterday", "2024-01"):
+        with pytest.raises(ValueError):
+            kernels.parse_day(bad)
     assert kernels.parse_schedule("1800000000", now) == 1_800_000_000 and kernels.parse_schedule("2024-01-01T00:00:00", now) == 1_704_067_200
     with pytest.raises(ValueError):
         kernels.parse_schedule("whenever", now)

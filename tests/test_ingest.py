@@ -99,6 +99,8 @@ def test_transcript(spark):
 def test_settings():
     s = hooks.settings('[filter]\nsensitivity = "strict"\nextra_patterns = ["k-[0-9]+"]\n[retention]\nenabled = true\n[retention.days]\nfile_read = 7\n[other]\nx = 1\n')
     assert (s.sensitivity, s.extra_patterns, s.retention_enabled, s.retention_days) == ("strict", ("k-[0-9]+",), True, {"file_read": 7})
+    own = hooks.settings('[filter]\nentropy_threshold = 3.0\ndisable_entropy = false\n[projects.a]\nsensitivity = "relaxed"\n[projects.b]\nsensitivity = "default"\n[projects.c]\nx = 1\n')
+    assert (own.entropy_threshold, own.disable_entropy, own.projects) == (3.0, False, {"a": "relaxed", "b": "normal"})
     assert hooks.settings("") == hooks.Settings()
 
 
@@ -114,3 +116,16 @@ def test_sinks(spark, tmp_path):
     assert {(r.obs_type, r.total) for r in sinks.counters(t.observations).collect()} == {("file_read", 1), ("file_edit", 1), ("command", 1), ("session_compact", 1)}
     sinks.write_table(t.observations.withColumn("day", F.lit("d")), str(tmp_path / "t"), by="day")
     assert spark.read.parquet(str(tmp_path / "t")).count() == 4
+
+
+def test_limits_of_redaction(spark):
+    """A user's own limits and those of a project decide what goes."""
+    token = "abcdefghij1234567"  # 17 bytes of 4.09 bits
+    df = spark.createDataFrame([("/w/strict", token), ("/w/other", token)], "cwd string, text string")
+    run = lambda s: {r[0]: r[1] for r in df.select("cwd", hooks.redacted(F.col("text"), F.col("cwd"), s)).collect()}
+    gone, kept = "[REDACTED]", token
+    assert run(hooks.Settings()) == {"/w/strict": kept, "/w/other": kept}
+    assert run(hooks.Settings(projects={"strict": "strict"})) == {"/w/strict": gone, "/w/other": kept}
+    assert run(hooks.Settings(entropy_min_length=10)) == {"/w/strict": gone, "/w/other": gone}
+    assert run(hooks.Settings(sensitivity="strict", projects={"other": "relaxed"})) == {"/w/strict": gone, "/w/other": kept}
+    assert run(hooks.Settings(sensitivity="strict", disable_entropy=True)) == {"/w/strict": kept, "/w/other": kept}

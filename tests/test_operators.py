@@ -87,6 +87,11 @@ def test_lookups(t):
             ranking.get_observations(t, bad)
     (row,) = ranking.session_trace(t, "sess-a").collect()
     assert row.prompt_id == 1 and [o.id for o in row.observations] == [1, 2, 3, 4, 6]
+    assert [x.id for r in ranking.session_trace(t, "sess-a", before=1707400035).collect() for x in r.observations] == [1, 2]
+    assert [r.prompt_id for r in ranking.session_trace(t, "sess-a", after=1707400015).collect()] == []
+    assert ranking.session_head(t, "sess-a")["project"] == "myproj"
+    with pytest.raises(ValueError, match="session not found"):
+        ranking.session_trace(t, "nonexistent")
     (loose,) = ranking.session_trace(t, "sess-b").where("source = 'system'").collect()
     assert [o.id for o in loose.observations] == [5]
     history = lambda **k: [(r.session_id, r.n_touches) for r in ranking.file_history(t, "/src/auth.rs", **k).collect()]
@@ -207,7 +212,7 @@ def test_other_patterns(spark):
 TEXTS = ["the quick brown fox", "quick brown dogs and the fox", "a fox is quick", "brown bread", "", "running foxes run; the runner ran", "quick quick quick", "brown quick"]
 
 
-@pytest.mark.parametrize("query", ["quick", "quick AND brown", "quick OR bread", "quick NOT fox", '"quick brown"', "qui*", "quick brown", "the AND quick OR bread", '"brown fox" OR bread', "fox NOT the", "missing", "run*"])
+@pytest.mark.parametrize("query", ["quick", "quick AND brown", "quick OR bread", "quick NOT fox", '"quick brown"', "qui*", "quick brown", "the AND quick OR bread", '"brown fox" OR bread', "fox NOT the", "missing", "run*", "fox NOT the quick", "quick brown NOT fox the", "quick NOT fox NOT brown", "brown OR fox NOT quick", "fox AND quick NOT the OR bread", "quick OR bread AND brown NOT fox"])
 @pytest.mark.parametrize("stemmed", [False, True])
 def test_search_like_sqlite(spark, query, stemmed):
     db = sqlite3.connect(":memory:")
@@ -218,6 +223,45 @@ def test_search_like_sqlite(spark, query, stemmed):
     assert {r["doc"]: round(r["rank"], 6) for r in search.matches(index, query).collect()} == pytest.approx(want, abs=2e-6)
 
 
+@pytest.mark.parametrize("query", ["NOT quick", "quick AND", "OR", "quick NOT", "quick AND OR fox"])
+def test_search_errors_like_sqlite(query):
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE t USING fts5(x)")
+    with pytest.raises(sqlite3.OperationalError):
+        db.execute("SELECT rowid FROM t WHERE t MATCH ?", (query,)).fetchall()
+    with pytest.raises(ValueError):
+        search.parse(query)
+
+
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_stored_index(spark, tmp_path, stemmed):
+    """A stored index finds what one on the fly does, and reads the terms' buckets only."""
+    index = search.build(spark.createDataFrame(list(enumerate(TEXTS)), "id long, x string"), "id", "x", stemmed)
+    own = search.store(index, str(tmp_path / "i"))
+    for query in ("quick", "quick brown NOT fox", '"quick brown" OR run*', '"brown fo*" OR bread', "missing"):
+        have, want = ({r["doc"]: round(r["rank"], 6) for r in search.matches(x, query).collect()} for x in (own, index))
+        assert have == want
+    plan = search.matches(own, "quick")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert [r["tier"] for r in search.tiered(own, "brown quick").collect()] == [r["tier"] for r in search.tiered(index, "brown quick").collect()]
+
+
+def test_search_observations(spark, t):
+    index = search.build(t.observations, "id", "content")
+    run = lambda **k: ids(search.observations(index, t, "auth OR cargo OR read OR editing OR main", as_of=NOW, **k))
+    assert set(run()) == {1, 2, 3, 4, 5, 6} and set(run(before=1707400035)) == {1, 2} and set(run(after=1707400045)) == {4, 5, 6} and set(run(before=1707400055, after=1707400025)) == {2, 3, 4}
+    assert set(run(project="other")) == {5} and set(run(obs_type="command", order_by="blended")) == {3}
+    with pytest.raises(ValueError, match="relevance or blended"):
+        run(order_by="newest")
+
+
+def test_tiered_episodes(spark, t):
+    w = spark.createDataFrame([("sess-a", 1, 1, "the login work", None, 1, 1), ("sess-a", 2, 2, "other things", "of a session", 2, 2)], "session_id string, episode long, started_at long, intent string, summary string, first_prompt_id long, last_prompt_id long")
+    index = search.build(t.observations, "id", "content")
+    find = lambda q: [(r.episode, r.tier) for r in search.episodes_tiered(index, t.observations, w, q).collect()]
+    assert find("cargo tests") == [(1, 0)] and find("cargo token") == [(1, 2)] and find("tok") == [(1, 1)] and find("SESSION") == [(2, 2)] and find("of") == [(2, 0)] and find("nothing") == []
+
+
 def test_search_reports(spark):
     corpus = spark.createDataFrame([(i, x, NOW - i * 86400, "file_edit" if i % 2 else "command") for i, x in enumerate(TEXTS)], "id long, x string, ts long, kind string")
     index = search.build(corpus, "id", "x")
@@ -255,6 +299,8 @@ def test_purge_and_pins(t):
     assert ids(lifecycle.purge(t, lifecycle.purge_matches(t, as_of=NOW, session="sess-b")).sessions) == ["sess-a"]
     with pytest.raises(ValueError):
         lifecycle.purge_matches(t, as_of=NOW)
+    with pytest.raises(ValueError, match="not a date"):
+        lifecycle.purge_matches(t, as_of=NOW, before="2024-02-30")
     assert sorted(ids(lifecycle.purge_matches(t, as_of=NOW, before="2024-02-08", older_than_days=1))) == []
     gone = lifecycle.delete_sessions(t, t.sessions.where("id = 'sess-a'"))
     assert (gone.observations.count(), gone.prompts.count(), gone.sessions.count()) == (1, 0, 1)

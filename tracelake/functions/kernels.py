@@ -16,11 +16,12 @@ from pyspark.sql import types as T
 
 # Words that searches leave out.
 SEARCH_STOPWORDS = frozenset(
-    (
-        "a an and are as at be been being but by can could did do does for from had has have in is it its may might not of on or "
-        "shall should that the this to was were what which who will with would"
-    ).split()
-)
+    [
+        "a", "an", "and", "are", "as", "at", "be", "been", "being", "but", "by", "can", "could", "did", "do", "does", "for", "from",
+        "had", "has", "have", "in", "is", "it", "its", "may", "might", "not", "of", "on", "or", "shall", "should", "that", "the", "this",
+        "to", "was", "were", "what", "which", "who", "will", "with", "would",
+    ]
+)
 
 PLACEHOLDER = "[REDACTED]"
 # Patterns of secrets, in the order in which they are replaced.
@@ -42,6 +43,14 @@ SECRETS = (
 SENSITIVITY = {"strict": (3.5, 16), "normal": (4.0, 20), "relaxed": None}
 
 
+def entropy_limits(sensitivity: str = "normal", threshold: float | None = None, least: int | None = None, enabled: bool = True) -> tuple[float, int] | None:
+    """(threshold, least length): single limits win over the sensitivity; a threshold also over a relaxed one."""
+    if not enabled or (SENSITIVITY[sensitivity] is None and threshold is None):
+        return None
+    own = SENSITIVITY[sensitivity] or SENSITIVITY["normal"]
+    return (own[0] if threshold is None else threshold, own[1] if least is None else least)
+
+
 def redact_patterns(text: Column, extra: tuple[str, ...] = ()) -> Column:
     """Only patterns that the input matches are replaced, each in what the ones before left."""
 
@@ -49,10 +58,11 @@ def redact_patterns(text: Column, extra: tuple[str, ...] = ()) -> Column:
         # A one-element array binds ``out`` to a name: written out in both branches it would double with each pattern.
         return F.get(F.transform(F.array(out), lambda x: F.when(text.rlike(p), F.regexp_replace(x, p, PLACEHOLDER)).otherwise(x)), F.lit(0))
 
-    out = text
-    for p in (*SECRETS, *extra):
+    out, every = text, (*SECRETS, *extra)
+    for p in every:
         out = replaced(out, p)
-    return out
+    # Most texts match none: one pass tells.
+    return F.when(text.rlike("|".join(f"(?:{p})" for p in every)), out).otherwise(text)
 
 
 def entropy(token: str) -> float:
@@ -74,24 +84,25 @@ def redact_entropy(text: str | None, threshold: float = 4.0, least: int = 20) ->
     return None if text is None else _TOKEN.sub(one, text)
 
 
-def entropy_udf(sensitivity: str = "normal"):
-    limits = SENSITIVITY[sensitivity]
-
+def entropy_udf(limits: tuple[float, int] | None):
     @F.pandas_udf(T.StringType())
     def run(texts: pd.Series) -> pd.Series:
-        return texts if limits is None else texts.map(lambda x: redact_entropy(x, *limits))
+        return texts.map(lambda x: redact_entropy(x, *limits))
 
     return run
 
 
-def redact(text: Column, sensitivity: str = "normal", extra: tuple[str, ...] = ()) -> Column:
-    return entropy_udf(sensitivity)(redact_patterns(text, extra))
+def redact(text: Column, sensitivity: str = "normal", extra: tuple[str, ...] = (), limits: tuple[float, int] | None | str = "") -> Column:
+    """Patterns, then tokens by entropy: by the sensitivity, or by ``limits`` (None: no such stage) if they are given."""
+    limits = entropy_limits(sensitivity) if limits == "" else limits
+    out = redact_patterns(text, extra)
+    return out if limits is None else entropy_udf(limits)(out)
 
 
 def redact_json(value: str | None, sensitivity: str = "normal", extra: tuple[str, ...] = ()) -> str | None:
     """All string leaves of a JSON text, redacted; a text that isn't JSON is redacted as it stands."""
     patterns = [re.compile(p) for p in (*SECRETS, *extra)]
-    limits = SENSITIVITY[sensitivity]
+    limits = entropy_limits(sensitivity)
 
     def leaf(x: str) -> str:
         for p in [p for p in patterns if p.search(x)]:
@@ -119,8 +130,8 @@ def redact_json_udf(values: pd.Series) -> pd.Series:
 
 
 def fold(text: str) -> str:
-    """Lower case without diacritics."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    """Lower case without diacritics; ligatures and the like stay."""
+    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
 
 
 _VOWELS = "aeiou"
@@ -229,7 +240,7 @@ def sanitize(query: str) -> str | None:
 def tiers(query: str) -> list[str]:
     """Ever looser searches for the words of a text: phrase, all, any, any beginning."""
     words = [w for w in query.replace('"', " ").split() if len(w.encode()) >= 2 and w.lower() not in SEARCH_STOPWORDS]
-    terms = [f'"{w}"' if set(w) & _QUOTABLE else w for w in words]
+    terms = [f'"{w}"' if set(w) & _QUOTABLE or w in _OPERATORS else w for w in words]
     if not terms:
         return []
     prefix = [t if t.startswith('"') else f"{t}*" for t in terms]
@@ -238,23 +249,29 @@ def tiers(query: str) -> list[str]:
     return ['"' + " ".join(words) + '"', " AND ".join(terms), " OR ".join(terms), " OR ".join(prefix)]
 
 
-_UNITS = {"s": 1, "sec": 1, "second": 1, "m": 60, "min": 60, "minute": 60, "h": 3600, "hr": 3600, "hour": 3600, "d": 86400, "day": 86400, "w": 604800, "week": 604800}
+# Units of time and their seconds.
+_UNITS = {
+    "s": 1, "sec": 1, "secs": 1, "second": 1, "seconds": 1,
+    "m": 60, "min": 60, "mins": 60, "minute": 60, "minutes": 60,
+    "h": 3600, "hr": 3600, "hrs": 3600, "hour": 3600, "hours": 3600,
+    "d": 86400, "day": 86400, "days": 86400,
+    "w": 604800, "wk": 604800, "wks": 604800, "week": 604800, "weeks": 604800,
+}
 
 
 def parse_schedule(text: str, now: int) -> int:
-    """When a task is due: now, tonight (20:00), tomorrow (08:00), "[in] N unit", a Unix time, or an ISO time (UTC)."""
+    """When a task is due: now, tonight (the next 21:00), tomorrow (in a day), "[in] N unit" from 1, a Unix time, or an ISO time (UTC)."""
     t = text.strip().lower()
-    day = now - now % 86400
-    if t in ("", "now"):
+    if t == "now":
         return now
-    if t == "tonight":
-        return day + 20 * 3600 if now < day + 20 * 3600 else day + 44 * 3600
     if t == "tomorrow":
-        return day + 32 * 3600
-    if m := re.fullmatch(r"(?:in\s+)?(\d+)\s*([a-z]+?)s?", t):
-        unit = _UNITS.get(m[2]) or _UNITS.get(m[2] + "s")
-        if unit:
-            return now + int(m[1]) * unit
+        return now + 86400
+    if t == "tonight":
+        tonight = now - now % 86400 + 21 * 3600
+        return tonight if tonight > now else tonight + 86400
+    m = re.fullmatch(r"(?:in\s+)?(\d+)\s*([a-z]+)", t)
+    if m and int(m[1]) > 0 and m[2] in _UNITS:
+        return now + int(m[1]) * _UNITS[m[2]]
     if t.isdigit() and int(t) > 1_000_000_000:
         return int(t)
     try:
@@ -263,6 +280,17 @@ def parse_schedule(text: str, now: int) -> int:
         raise ValueError(f"not a time: {text!r}") from None
 
 
+def parse_day(text: str) -> int:
+    """Seconds at midnight UTC of a date like 2024-02-29; anything else is an error."""
+    parts = text.split("-")
+    try:
+        if len(parts) != 3:
+            raise ValueError
+        return int(datetime(*map(int, parts), tzinfo=UTC).timestamp())
+    except ValueError:
+        raise ValueError(f"not a date: {text!r} (YYYY-MM-DD is needed)") from None
+
+
 def parse_task(text: str) -> dict[str, str | None]:
     """A task file: settings between two ``---`` lines, then the prompt; without the second the whole text is the prompt."""
     out: dict[str, str | None] = {"project": None, "cwd": None, "after": None, "prompt": text.strip()}

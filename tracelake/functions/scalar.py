@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from tracelake.model import METADATA
 
 # Words that carry no intent.
-INTENT_STOPWORDS = (
-    "a an the and or to of in for with on at by from is it this that be as are was were been do does did will would could should "
-    "may might can has have had not no up out about into over after before"
-).split()
+INTENT_STOPWORDS = [
+    "a", "an", "the", "and", "or", "to", "of", "in", "for", "with", "on", "at", "by", "from", "is", "it",
+    "this", "that", "be", "as", "are", "was", "were", "been", "do", "does", "did", "will", "would", "could", "should", "may",
+    "might", "can", "has", "have", "had", "not", "no", "up", "out", "about", "into", "over", "after", "before",
+]
 
 # How much a type of action weighs in rankings.
 TYPE_WEIGHTS = {"file_edit": 1.0, "command": 0.67, "session_compact": 0.5, "mcp_call": 0.33}
@@ -158,9 +159,14 @@ def is_reference_path(path: Column) -> Column:
 
 
 def short_path(path: Column) -> Column:
-    """The last two segments of a long path."""
+    """The last two segments."""
     parts = F.split(path, "/")
-    return F.when(F.size(parts) > 3, F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1))).otherwise(path)
+    return F.when(F.size(parts) > 1, F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1))).otherwise(path)
+
+
+def short_intent(text: Column) -> Column:
+    """Its first 80 characters."""
+    return F.when(F.char_length(text) > 80, F.concat(F.substring(text, 1, 80), F.lit("..."))).otherwise(text)
 
 
 def clipped(text: Column, n: int) -> Column:

@@ -13,12 +13,75 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# What tells routine work, new ground and friction in a text.
-ROUTINE = r"(?i)^cargo\s+(build|test|check|clippy|run)\b|^git\s+(add|commit|push|diff|status|log)\b|^(ls|cat|mkdir|rm|cp|mv|echo)\b|^npm\s+(run|test|build)\b|^python3?\s+-m\s+pytest"
-NOVEL = r"error|Error|ERROR|failed|Failed|FAILED|traceback|panic|warning.*unused|investigate|debug|diagnose|why\s+(does|is|did|doesn)|how\s+to|search.*for"
-FRICTION = r"(?i)error\[|Error:|FAILED|failed|panic|traceback|warning\[|could not compile|cannot find|no such file|permission denied|timed? ?out|connection refused|exit code [1-9]|exit status [1-9]"
-EXTERNAL = r"(?i)https?://|\bcurl\b|\bwget\b|\bgh\s|\bdocker\b|\bssh\b|\bapi\b"
-INTERNAL = r"(?i)\bcargo\b|\bgrep\b|\bsrc/|\.rs\b|\.py\b|\.toml\b"
+# Patterns that tell where an action is, in any case of letters.
+EXTERNAL_PATTERNS = [
+    r"https?://",
+    r"web_?search",
+    r"web_?fetch",
+    r"npm\s+install",
+    r"pip\s+install",
+    r"cargo\s+install",
+    r"git\s+push",
+    r"git\s+clone",
+    r"curl\s+",
+    r"wget\s+",
+    r"gh\s+(pr|issue|api)",
+    r"docker\s+(pull|push)",
+]
+INTERNAL_PATTERNS = [
+    r"cargo\s+(build|test|check|clippy|run)",
+    r"git\s+(add|commit|diff|status|log)",
+    r"src/",
+    r"tests/",
+    r"\.rs\b",
+    r"\.py\b",
+    r"\.toml\b",
+]
+# Patterns of routine work, in any case of letters, and of new ground, as they are.
+ROUTINE_PATTERNS = [
+    r"^cargo\s+(build|test|check|clippy|run)\b",
+    r"^git\s+(add|commit|push|diff|status|log)\b",
+    r"^ls\b",
+    r"^cat\b",
+    r"^mkdir\b",
+    r"^rm\b",
+    r"^cp\b",
+    r"^mv\b",
+    r"^echo\b",
+    r"^npm\s+(run|test|build)\b",
+    r"^python3?\s+-m\s+pytest",
+]
+NOVEL_PATTERNS = [
+    r"error|Error|ERROR",
+    r"failed|Failed|FAILED",
+    r"traceback",
+    r"panic",
+    r"warning.*unused",
+    r"investigate|debug|diagnose",
+    r"why\s+(does|is|did|doesn)",
+    r"how\s+to",
+    r"search.*for",
+]
+# Patterns of friction, in any case of letters.
+FRICTION_PATTERNS = [
+    r"error\[",
+    r"Error:",
+    r"FAILED",
+    r"failed",
+    r"panic",
+    r"traceback",
+    r"warning\[",
+    r"could not compile",
+    r"cannot find",
+    r"no such file",
+    r"permission denied",
+    r"timed? ?out",
+    r"connection refused",
+    r"exit code [1-9]",
+    r"exit status [1-9]",
+]
+EXTERNAL, INTERNAL, ROUTINE, FRICTION = ("(?i)" + "|".join(p) for p in (EXTERNAL_PATTERNS, INTERNAL_PATTERNS, ROUTINE_PATTERNS, FRICTION_PATTERNS))
+NOVEL = "|".join(NOVEL_PATTERNS)
 
 
 def locus(obs_type: Column, content: Column, path: Column) -> Column:

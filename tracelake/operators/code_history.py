@@ -30,10 +30,15 @@ def dense_summary(churned: DataFrame) -> DataFrame:
     return churned.select("file", F.format_string("%d commits by %d authors over %d days, +%d/-%d, %d reverts", "commits", "authors", days, "insertions", "deletions", "reverts").alias("summary"))
 
 
-def blame(hunks: DataFrame, lines: DataFrame) -> DataFrame:
-    """Each wanted line (``file, line``) with the first hunk (``file, start, count, commit``) that it is in, or none."""
-    h = hunks.select("file", F.struct("start", "count", "commit").alias("h"))
-    found = lines.join(h, "file").where((F.col("h.start") <= F.col("line")) & (F.col("line") < F.col("h.start") + F.col("h.count"))).groupBy("file", "line").agg(F.min("h").alias("h"))
+def blame(hunks: DataFrame, lines: DataFrame, block: int = 64) -> DataFrame:
+    """Each wanted line (``file, line``) with the first hunk (``file, start, count, commit``) that it is in, or none.
+
+    Lines meet the hunks of their block of lines only, so that a long file's are dealt out; a hunk is in each block it reaches.
+    """
+    h = hunks.where("count > 0").select("file", F.struct("start", "count", "commit").alias("h"))
+    h = h.select("file", "h", F.explode(F.sequence(F.floor(F.col("h.start") / block), F.floor((F.col("h.start") + F.col("h.count") - 1) / block))).alias("block"))
+    at = lines.withColumn("block", F.floor(F.col("line") / block))
+    found = at.join(h, ["file", "block"]).where((F.col("h.start") <= F.col("line")) & (F.col("line") < F.col("h.start") + F.col("h.count"))).groupBy("file", "line").agg(F.min("h").alias("h"))
     return lines.join(found, ["file", "line"], "left").select("file", "line", "h.commit", (F.col("line") - F.col("h.start")).alias("offset"))
 
 

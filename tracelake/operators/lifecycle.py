@@ -7,16 +7,29 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.scalar import day_start
+from tracelake.functions.kernels import parse_day
 from tracelake.model import Tables
 
 # Days for which a type is kept; types that aren't named are kept for good.
-RETENTION_DAYS = (
-    dict.fromkeys(("git_commit", "git_push"), 730)
-    | dict.fromkeys(("file_write", "file_edit", "session_startup", "session_compact", "session_resume", "session_clear"), 365)
-    | dict.fromkeys(("command", "github"), 180)
-    | dict.fromkeys(("file_read", "search", "mcp_call", "web_fetch", "web_search", "task_spawn", "tool_other"), 90)
-)
+RETENTION_DAYS = {
+    "git_commit": 730,
+    "git_push": 730,
+    "file_write": 365,
+    "file_edit": 365,
+    "session_startup": 365,
+    "session_compact": 365,
+    "session_resume": 365,
+    "session_clear": 365,
+    "command": 180,
+    "github": 180,
+    "file_read": 90,
+    "search": 90,
+    "mcp_call": 90,
+    "web_fetch": 90,
+    "web_search": 90,
+    "task_spawn": 90,
+    "tool_other": 90,
+}
 
 
 def expired(t: Tables, *, as_of: int, days: dict[str, int] | None = None) -> DataFrame:
@@ -61,7 +74,7 @@ def purge_matches(t: Tables, *, as_of: int, ids: list[int] | None = None, sessio
     if session is not None:
         o = o.where(F.col("session_id") == session)
     if before is not None:
-        o = o.where(F.col("timestamp") < day_start(F.lit(before)))
+        o = o.where(F.col("timestamp") < parse_day(before))
     if obs_type is not None:
         o = o.where(F.col("obs_type") == obs_type)
     if older_than_days is not None:

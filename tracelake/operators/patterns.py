@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.functions.scalar import error_signature, exp_decay, failed, intent_keywords, is_diagnostic, is_reference_path, normalize_command
+from tracelake.functions.scalar import error_signature, exp_decay, failed, intent_keywords, is_diagnostic, is_reference_path, normalize_command, short_intent
 from tracelake.model import Tables
 
 THRESHOLD, HALF_LIFE_HOURS, TOP = 3, 168.0, 20
@@ -70,7 +70,7 @@ def repeated_intents(t: Tables, *, as_of: int, threshold: int = THRESHOLD, half_
     s = s.withColumn("bag", bag).join(seeds.withColumnRenamed("id", "bag"), "bag")
     heat = F.sum(exp_decay((F.lit(as_of) - F.col("started_at")) / 3600.0, half_life))
     g = s.groupBy("seed").agg(F.count("*").alias("session_count"), F.round(heat, 6).alias("heat"), F.array_sort(F.collect_set("id")).alias("sessions"), F.max_by("intent", F.struct("started_at", "id")).alias("example"))
-    g = g.where(F.col("session_count") >= threshold).withColumn("pattern", F.when(F.char_length("example") > 60, F.concat(F.substring("example", 1, 57), F.lit("..."))).otherwise(F.col("example")))
+    g = g.where(F.col("session_count") >= threshold).withColumn("pattern", short_intent(F.col("example")))
     return g.select(F.lit("repeated_intent").alias("kind"), "pattern", "session_count", "heat", "sessions", "example").orderBy(F.desc("heat"), "pattern").limit(TOP)
 
 

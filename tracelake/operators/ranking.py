@@ -36,13 +36,14 @@ def recent_context(t: Tables, *, as_of: int, project: str | None = None, before:
     recency, kind = exp_decay((F.lit(as_of) - F.col("timestamp")) / DAY, 7.0), type_weight(F.col("obs_type"))
     score = recency * 0.6 + kind * 0.4 if project is None else recency * 0.5 + kind * 0.3 + project_weight(F.col("project"), project) * 0.2
     o = o.withColumn("score", F.round(score, 6))
-    best = Window.partitionBy("file_path").orderBy(F.desc("score"), F.desc("id"))
-    # Rows without a file never shared a window: they would all be one group.
-    files = o.where(F.col("file_path").isNotNull()).withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn")
-    n = clamp(limit, 30, 100)
+    # The best of a file combines before the shuffle. Rows without a file share no group: they would all be one.
     columns = ["id", "timestamp", "project", "obs_type", "file_path", F.substring("content", 1, 120).alias("preview"), "score"]
+    o = o.select(columns)
+    whole = F.struct("score", "id", *[x for x in o.columns if x not in ("score", "id")])
+    files = o.where(F.col("file_path").isNotNull()).groupBy(F.col("file_path").alias("_file")).agg(F.max(whole).alias("x")).select("x.*").select(o.columns)
+    n = clamp(limit, 30, 100)
     top = lambda df: df.orderBy(F.desc("score"), F.desc("id")).limit(n)
-    return top(top(files.select(columns)).unionByName(top(o.where(F.col("file_path").isNull()).select(columns))))
+    return top(top(files).unionByName(top(o.where(F.col("file_path").isNull()))))
 
 
 def get_observations(t: Tables, ids: list[int]) -> DataFrame:
@@ -71,12 +72,24 @@ def session_summaries(t: Tables, *, project: str | None = None, before: int | No
     return s.orderBy(F.desc("started_at"), F.desc("id")).limit(clamp(limit, 10, 100))
 
 
-def session_trace(t: Tables, session_id: str) -> DataFrame:
-    """A session's prompts, each with its observations in order; those without one under a "system" entry."""
-    o = t.observations.where(F.col("session_id") == session_id)
+def session_head(t: Tables, session_id: str) -> dict:
+    """Project, times and summary of a session; one that isn't there is an error."""
+    row = t.sessions.where(F.col("id") == session_id).first()
+    if row is None:
+        raise ValueError("session not found")
+    return row.asDict()
+
+
+def session_trace(t: Tables, session_id: str, *, before: int | None = None, after: int | None = None) -> DataFrame:
+    """A session's prompts, each with its observations in order, of an open range of times; those without one under a "system" entry.
+
+    What was the session's own is ``session_head``. A session that isn't there is an error.
+    """
+    session_head(t, session_id)
+    o = between(t.observations.where(F.col("session_id") == session_id), before, after)
     item = F.struct("timestamp", "id", "obs_type", "file_path", F.substring("content", 1, 120).alias("preview"))
     own = o.groupBy("prompt_id").agg(F.array_sort(F.collect_list(item)).alias("observations"), F.min("timestamp").alias("first"))
-    p = t.prompts.where(F.col("session_id") == session_id).select(F.col("id").alias("prompt_id"), F.col("timestamp").alias("prompt_timestamp"), "source", F.substring("content", 1, 120).alias("prompt"))
+    p = between(t.prompts.where(F.col("session_id") == session_id), before, after).select(F.col("id").alias("prompt_id"), F.col("timestamp").alias("prompt_timestamp"), "source", F.substring("content", 1, 120).alias("prompt"))
     linked = p.join(own.where(F.col("prompt_id").isNotNull()), "prompt_id", "left").select("prompt_id", "prompt_timestamp", "source", "prompt", "observations")
     loose = own.where(F.col("prompt_id").isNull()).select("prompt_id", F.col("first").alias("prompt_timestamp"), F.lit("system").alias("source"), F.lit(None).cast("string").alias("prompt"), "observations")
     return linked.unionByName(loose).orderBy("prompt_timestamp", F.col("prompt_id").asc_nulls_first())
@@ -123,3 +136,15 @@ def link_prompts(obs: DataFrame, prompts: DataFrame) -> DataFrame:
     rows = obs.withColumn("_prompt", F.lit(None).cast("long")).unionByName(prompts.select("session_id", "timestamp", F.col("id").alias("_prompt")), allowMissingColumns=True)
     w = Window.partitionBy("session_id").orderBy("timestamp", F.col("_prompt").asc_nulls_last(), "id").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("prompt_id", F.last("_prompt", ignorenulls=True).over(w)).where(F.col("_prompt").isNull()).drop("_prompt")
+
+
+def deduplicated(obs: DataFrame, seconds: int = 300) -> DataFrame:
+    """Without repeats: rows of the type, file and session of one at most ``seconds`` before them."""
+    w = Window.partitionBy("session_id", "obs_type", "file_path").orderBy("timestamp", "id")
+    return obs.withColumn("_was", F.lag("timestamp").over(w)).where(F.col("_was").isNull() | (F.col("timestamp") - F.col("_was") > seconds)).drop("_was")
+
+
+def gaps(obs: DataFrame) -> DataFrame:
+    """``id, gap_seconds``: the time since the row before in the session."""
+    w = Window.partitionBy("session_id").orderBy("timestamp", "id")
+    return obs.select("id", (F.col("timestamp") - F.lag("timestamp").over(w)).alias("gap_seconds"))

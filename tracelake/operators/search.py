@@ -1,7 +1,9 @@
-"""Ranked full-text search over a postings table: terms, phrases, prefixes, AND, OR, NOT, BM25, blended ranks, tiers.
+"""Ranked full-text search: terms, phrases, prefixes, AND, OR, NOT, BM25, blended ranks, tiers.
 
-The postings (one row for a term of a document, with its positions) are made once for a corpus and kept; a search reads
-only its terms' rows, so the filter on ``term`` reaches the scan, and gathers them by document.
+An index is of words without endings and diacritics unless it is asked for plain ones. One made on the fly reads its texts
+twice for a search, whatever the number of its terms: once for the corpus' figures, once for ranks; nothing is shuffled. A stored
+one has postings (one row for a term of a document, with its positions), sorted by term in buckets of its hash, so that a search
+reads its own terms' rows only, and gathers them by document.
 """
 
 from __future__ import annotations
@@ -9,22 +11,31 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions import kernels
 from tracelake.functions.scalar import exp_decay, type_weight
+from tracelake.model import Tables
 from tracelake.operators.patterns import like
+from tracelake.operators.ranking import between
 
 K1, B = 1.2, 0.75
+#: Buckets of a stored index.
+BUCKETS = 64
 
 
 @dataclass
 class Index:
-    postings: DataFrame  # term, doc, positions array<int>, dl
-    n: int
-    average: float
+    texts: DataFrame | None  # doc, tokens
     stemmed: bool
+    stored: DataFrame | None = None  # bucket, term, doc, positions array<int>, dl
+    n: int = 0
+    average: float = 0.0
+
+    @property
+    def postings(self) -> DataFrame:
+        return postings_of(self.texts) if self.stored is None else self.stored.drop("bucket")
 
 
 def tokens(text: Column, stemmed: bool) -> Column:
@@ -33,22 +44,34 @@ def tokens(text: Column, stemmed: bool) -> Column:
     return kernels.stems_udf(text) if stemmed else F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def postings(corpus: DataFrame, id_col: str, text_col: str, stemmed: bool = False) -> DataFrame:
-    """``term, doc, positions, dl``: grouped within each document, so nothing is shuffled."""
-    t = corpus.select(F.col(id_col).alias("doc"), tokens(F.col(text_col), stemmed).alias("tokens"))
-    t = t.select("doc", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
+def postings_of(texts: DataFrame) -> DataFrame:
+    """``term, doc, positions, dl`` from ``doc, tokens``: a group for each term and document."""
+    t = texts.select("doc", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
     return t.groupBy("term", "doc", "dl").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
-def build(corpus: DataFrame, id_col: str, text_col: str, stemmed: bool = False) -> Index:
-    """An index over postings made on the fly; ``n`` and ``average`` are of all documents, those without words too."""
-    stats = corpus.select(F.size(tokens(F.col(text_col), stemmed)).alias("n")).agg(F.count("*"), F.avg("n")).first()
-    return Index(postings(corpus, id_col, text_col, stemmed), stats[0], stats[1] or 0.0, stemmed)
+def build(corpus: DataFrame, id_col: str, text_col: str, stemmed: bool = True) -> Index:
+    """An index on the fly, of all documents, those without words too."""
+    return Index(corpus.select(F.col(id_col).alias("doc"), tokens(F.col(text_col), stemmed).alias("tokens")), stemmed)
+
+
+def store(index: Index, path: str, buckets: int = BUCKETS) -> Index:
+    """Writes the index: postings by bucket and term, and the corpus' figures; what is there is replaced."""
+    rows = index.postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    figures = index.texts.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("average"), F.lit(index.stemmed).alias("stemmed"), F.lit(buckets).alias("buckets"))
+    figures.write.mode("overwrite").parquet(f"{path}/figures")
+    return load(index.texts.sparkSession, path)
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    f = spark.read.parquet(f"{path}/figures").first()
+    return Index(None, f["stemmed"], spark.read.parquet(f"{path}/postings").select("bucket", "term", "doc", "positions", "dl"), f["n"], f["average"])
 
 
 def missing_postings(index: Index, corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """An integrity check: postings that should be there and aren't, or are and shouldn't (side)."""
-    want, have = (x.select("term", "doc", F.array_join("positions", ",").alias("at")) for x in (postings(corpus, id_col, text_col, index.stemmed), index.postings))
+    want, have = (x.select("term", "doc", F.array_join("positions", ",").alias("at")) for x in (build(corpus, id_col, text_col, index.stemmed).postings, index.postings))
     on = ["term", "doc", "at"]
     return want.join(have, on, "left_anti").withColumn("side", F.lit("missing")).unionByName(have.join(want, on, "left_anti").withColumn("side", F.lit("extra")))
 
@@ -59,98 +82,150 @@ class Query:
     tree: tuple | None = None
 
 
-def parse(text: str, stemmed: bool = False) -> Query:
-    """The tree of a search: OR binds loosest, then AND (also between neighbours), then NOT."""
-    q = Query()
-    parts = re.findall(r'"[^"]*"\*?|\S+', text)
-
-    def words(part: str) -> tuple[tuple[str, ...], bool]:
-        prefix = part.endswith("*")
-        found = re.findall(r"[^\W_]+", part.lower())
-        return tuple(kernels.stems(part) if stemmed else found), prefix
+def parse(text: str, stemmed: bool = False, into: Query | None = None) -> Query:
+    """The tree of a search: neighbours bind tightest, then NOT, AND and OR. An operator without an operand is an error.
 
-    def leaf(part: str):
-        own = words(part)
-        if not own[0]:
+    Words that hold no letter or digit stand for nothing: what is left of an operator by them is its other side.
+    """
+    q = into or Query()
+    parts = re.findall(r'"[^"]*"\*?|\S+', text)
+    at = 0
+
+    def leaf() -> tuple | None:
+        nonlocal at
+        part = parts[at] if at < len(parts) else None
+        if part in (None, "AND", "OR", "NOT"):
+            raise ValueError(f"search: a word is missing in {text!r}" + (f" before {part}" if part else " at the end"))
+        at += 1
+        words = tuple(kernels.stems(part) if stemmed else re.findall(r"[^\W_]+", part.lower()))
+        if not words:
             return None
-        q.leaves.append(own)
+        q.leaves.append((words, part.endswith("*")))
         return ("leaf", len(q.leaves) - 1)
 
-    def join(kind: str, items: list):
-        items = [x for x in items if x is not None]
-        return items[0] if len(items) == 1 else (kind, *items) if items else None
-
-    groups: list[list[list]] = [[]]  # OR of AND of (item, negated)
-    negated = False
-    for part in parts:
-        if part == "OR":
-            groups.append([])
-        elif part == "NOT":
-            negated = True
-        elif part != "AND":
-            groups[-1].append((leaf(part), negated))
-            negated = False
-    sides = []
-    for g in groups:
-        wanted, unwanted = join("and", [x for x, no in g if not no]), [x for x, no in g if no and x is not None]
-        sides.append(("not", wanted, *unwanted) if wanted and unwanted else wanted)
-    q.tree = join("or", sides)
+    def joined(kind: str, a: tuple | None, b: tuple | None) -> tuple | None:
+        return b if a is None else a if b is None else (kind, a, b)
+
+    def neighbours() -> tuple | None:
+        out = leaf()
+        while at < len(parts) and parts[at] not in ("AND", "OR", "NOT"):
+            out = joined("and", out, leaf())
+        return out
+
+    def level(operator: str, below) -> tuple | None:
+        nonlocal at
+        out = below()
+        while at < len(parts) and parts[at] == operator:
+            at += 1
+            out = joined(operator.lower(), out, below())
+        return out
+
+    q.tree = level("OR", lambda: level("AND", lambda: level("NOT", neighbours))) if parts else None
     return q
 
 
-def _moved(is_word: Column, by: int) -> Column:
-    return F.when(is_word, F.transform("positions", lambda x: x - by)).otherwise(F.array().cast("array<int>"))
+def _in_texts(words: tuple[str, ...], prefix: bool) -> Column:
+    """How often a leaf occurs in ``tokens``."""
+    fits = lambda x, j: x.startswith(words[j]) if prefix and j == len(words) - 1 else x == words[j]
+    if len(words) == 1:
+        return F.size(F.filter("tokens", lambda x: fits(x, 0)))
+    last = F.size("tokens") - len(words)
+
+    def begins(i: Column) -> Column:
+        out = fits(F.get("tokens", i), 0)
+        for j in range(1, len(words)):
+            out = out & fits(F.get("tokens", i + j), j)
+        return out
+
+    return F.when(last >= 0, F.size(F.filter(F.sequence(F.lit(0), last), begins))).otherwise(0)
+
+
+def _in_postings(words: tuple[str, ...], prefix: bool) -> Column:
+    """The same as an aggregate over a document's postings: each word's positions, moved back by its place, meet where it begins."""
+    term = F.col("term")
+    fits = lambda j: term.startswith(words[j]) if prefix and j == len(words) - 1 else term == words[j]
+    moved = lambda by: F.transform("positions", lambda x: x - by)
+    if len(words) == 1:
+        return F.coalesce(F.sum(F.when(fits(0), F.size("positions"))), F.lit(0)).cast("int")
+    out = None
+    for j in range(len(words)):
+        places = F.flatten(F.collect_list(F.when(fits(j), moved(j))))
+        out = places if out is None else F.array_intersect(out, places)
+    return F.size(out)
+
+
+def _frequencies(index: Index, leaves: list[tuple[tuple[str, ...], bool]]) -> DataFrame:
+    """``doc, dl, f0, f1, ...``: of all documents, or of a stored index's those that have one of the terms."""
+    if index.stored is None:
+        return index.texts.select("doc", F.size("tokens").alias("dl"), *[_in_texts(*x).alias(f"f{i}") for i, x in enumerate(leaves)])
+    rows = index.stored
+    exact = sorted({w for words, prefix in leaves for w in (words[:-1] if prefix else words)})
+    begins = sorted({words[-1] for words, prefix in leaves if prefix})
+    wanted = F.col("term").isin(exact) if exact else F.lit(False)
+    for x in begins:
+        wanted = wanted | F.col("term").startswith(x)
+    if not begins:
+        # Only the terms' buckets are read.
+        hashes = rows.sparkSession.range(1).select(F.array(*[F.pmod(F.xxhash64(F.lit(w)), F.lit(BUCKETS)).cast("int") for w in exact])).first()[0]
+        rows = rows.where(F.col("bucket").isin(sorted(set(hashes))))
+    return rows.where(wanted).groupBy("doc", "dl").agg(*[_in_postings(*x).alias(f"f{i}") for i, x in enumerate(leaves)])
+
+
+def _holds(node: tuple) -> Column:
+    kind, *items = node
+    if kind == "leaf":
+        return F.col(f"f{items[0]}") > 0
+    a, b = map(_holds, items)
+    return a & b if kind == "and" else a | b if kind == "or" else a & ~b
+
+
+def _counted(node: tuple, given: Column) -> list[tuple[int, Column]]:
+    """Leaves that count for a rank, and when: if all that they are a part of holds, and never behind NOT."""
+    if node[0] == "leaf":
+        return [(node[1], given)]
+    own = given if node[0] == "or" else given & _holds(node)
+    return [x for side in (node[1:2] if node[0] == "not" else node[1:]) for x in _counted(side, own)]
+
+
+def _evaluated(index: Index, queries: list[str]) -> tuple[DataFrame, list[tuple[Column, Column]], list[int]]:
+    """Frequencies in documents; for each query that has words whether it holds and its rank; how many documents it holds for."""
+    q, trees = Query(), []
+    for text in queries:
+        parse(text, index.stemmed, q)
+        trees += [q.tree] if q.tree is not None else []
+    docs = _frequencies(index, q.leaves)
+    if not trees:
+        return docs, [], []
+    figures = docs.agg(
+        F.count("*").alias("n"),
+        F.coalesce(F.avg("dl"), F.lit(0.0)).alias("average"),
+        F.array(*[F.count_if(F.col(f"f{i}") > 0) for i in range(len(q.leaves))]).alias("with"),
+        F.array(*[F.count_if(_holds(t)) for t in trees]).alias("found"),
+    ).first()  # one row
+    n, average = (figures["n"], figures["average"]) if index.stored is None else (index.n, index.average)
+    out = []
+    for t in trees:
+        score = F.lit(0.0)
+        for i, given in _counted(t, F.lit(True)):
+            f, have = F.col(f"f{i}").cast("double"), figures["with"][i]
+            idf = F.greatest(F.log((F.lit(float(n)) - have + 0.5) / (F.lit(float(have)) + 0.5)), F.lit(1e-6))
+            score = score + F.when((f > 0) & given, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.lit(average)))).otherwise(0.0)
+        out.append((_holds(t), -score))
+    return docs, out, figures["found"]
 
 
 def matches(index: Index, query: str) -> DataFrame:
     """``doc, rank`` of the documents that match; the lower the rank the better. A blank search matches nothing."""
-    q = parse(query, index.stemmed)
-    if q.tree is None:
-        return index.postings.select("doc", F.lit(0.0).alias("rank")).limit(0)
-    rows = None
-    for i, (words, prefix) in enumerate(q.leaves):
-        own = index.postings
-        if len(words) == 1:
-            own = own.where(F.col("term").startswith(words[0]) if prefix else F.col("term") == words[0])
-            own = own.select("doc", "dl", F.size("positions").alias("f"))
-        else:
-            # Each word's positions, moved back by its place: where all of them meet the phrase begins.
-            place = F.array(*[_moved(F.col("term").startswith(w) if prefix and j == len(words) - 1 else F.col("term") == w, j) for j, w in enumerate(words)])
-            wanted = F.col("term").isin(*words)
-            own = own.where(wanted | F.col("term").startswith(words[-1]) if prefix else wanted).select("doc", "dl", F.posexplode(place).alias("j", "at"))
-            own = own.select("doc", "dl", "j", F.explode("at").alias("at")).groupBy("doc", "dl", "at").agg(F.countDistinct("j").alias("k")).where(F.col("k") == len(words)).select("doc", "dl", F.lit(1).alias("f"))
-        own = own.withColumn("leaf", F.lit(i))
-        rows = own if rows is None else rows.unionByName(own)
-    k = len(q.leaves)
-    docs = rows.groupBy("doc", "dl").agg(*[F.sum(F.when(F.col("leaf") == i, F.col("f")).otherwise(0)).alias(f"f{i}") for i in range(k)])
-    counts = docs.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(k)])  # one row
-
-    def holds(node) -> Column:
-        kind, *items = node
-        if kind == "leaf":
-            return F.col(f"f{items[0]}") > 0
-        if kind == "not":
-            out = holds(items[0])
-            for x in items[1:]:
-                out = out & ~holds(x)
-            return out
-        out = holds(items[0])
-        for x in items[1:]:
-            out = out & holds(x) if kind == "and" else out | holds(x)
-        return out
-
-    score = F.lit(0.0)
-    for i in range(k):
-        n, f = F.col(f"n{i}"), F.col(f"f{i}").cast("double")
-        idf = F.greatest(F.log((index.n - n + 0.5) / (n + 0.5)), F.lit(1e-6))
-        score = score + F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / index.average))).otherwise(0.0)
-    return docs.crossJoin(F.broadcast(counts)).where(holds(q.tree)).select("doc", (-score).alias("rank"))
+    docs, found, _ = _evaluated(index, [query])
+    if not found:
+        return docs.select("doc", F.lit(0.0).alias("rank")).limit(0)
+    ((holds, rank),) = found
+    return docs.where(holds).select("doc", rank.alias("rank"))
 
 
 def relevance(index: Index, corpus: DataFrame, id_col: str, query: str, limit: int = 20, offset: int = 0) -> DataFrame:
     """The best documents by rank; ``corpus`` may be filtered, which doesn't change the ranks."""
-    clean = kernels.sanitize(query) or ""
-    m = matches(index, clean)
+    m = matches(index, kernels.sanitize(query) or "")
     top = corpus.join(m, corpus[id_col] == m["doc"]).drop("doc").withColumn("rank", F.round("rank", 6)).orderBy("rank", id_col)
     return top.offset(max(0, offset)).limit(max(1, min(limit, 100)))
 
@@ -166,25 +241,51 @@ def blended(index: Index, corpus: DataFrame, id_col: str, query: str, *, as_of:
     return out.orderBy(F.desc("score"), F.desc(id_col)).offset(max(0, offset)).limit(max(1, min(limit, 100)))
 
 
+def observations(index: Index, t: Tables, query: str, *, as_of: int, project: str | None = None, obs_type: str | None = None, before: int | None = None, after: int | None = None, order_by: str = "relevance", limit: int = 20, offset: int = 0) -> DataFrame:
+    """Observations that match, of a project, a type and an open range of times, by relevance or blended; ``index`` is by id."""
+    o = between(t.observations, before, after)
+    if obs_type is not None:
+        o = o.where(F.col("obs_type") == obs_type)
+    if project is not None:
+        o = o.join(t.sessions.where(F.col("project") == project).select(F.col("id").alias("session_id")), "session_id", "left_semi")
+    if order_by == "relevance":
+        return relevance(index, o, "id", query, limit, offset)
+    if order_by == "blended":
+        return blended(index, o, "id", query, as_of=as_of, timestamp="timestamp", kind="obs_type", limit=limit, offset=offset)
+    raise ValueError(f"an order of {order_by!r}: relevance or blended is needed")
+
+
 def tiered(index: Index, query: str, limit: int = 20) -> DataFrame:
-    """Documents of the first tier that has any (all are evaluated in one job), best first, with the tier's number."""
-    rows = None
-    for i, tier in enumerate(kernels.tiers(query)):
-        one = matches(index, tier).withColumn("tier", F.lit(i))
-        rows = one if rows is None else rows.unionByName(one)
-    if rows is None:
-        return matches(index, "").withColumn("tier", F.lit(0))
-    first = rows.agg(F.min("tier").alias("first"))
-    return rows.join(F.broadcast(first), F.col("tier") == F.col("first")).select("doc", F.round("rank", 6).alias("rank"), "tier").orderBy("rank", "doc").limit(limit)
+    """Documents of the first tier that has any (all are evaluated at once), best first, with the tier's number."""
+    docs, found, n = _evaluated(index, kernels.tiers(query))
+    first = next((i for i, x in enumerate(n) if x), None)
+    if first is None:
+        return docs.select("doc", F.lit(0.0).alias("rank"), F.lit(0).alias("tier")).limit(0)
+    return docs.where(found[first][0]).select("doc", F.round(found[first][1], 6).alias("rank"), F.lit(first).alias("tier")).orderBy("rank", "doc").limit(limit)
 
 
-def episodes_matching(index: Index, observations: DataFrame, work_units: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Episodes by their best observation; ``index`` is of observations by id."""
-    m = matches(index, query)
+def _by_episode(m: DataFrame, observations: DataFrame, work_units: DataFrame) -> DataFrame:
     o = observations.select("id", "session_id", "prompt_id").join(m, F.col("id") == m["doc"])
     e = work_units.select("session_id", "episode", "intent", "first_prompt_id", "last_prompt_id")
     o = o.join(e, "session_id").where(F.col("prompt_id").between(F.col("first_prompt_id"), F.col("last_prompt_id")))
-    return o.groupBy("session_id", "episode", "intent").agg(F.round(F.min("rank"), 6).alias("rank")).orderBy("rank", "session_id", "episode").limit(limit)
+    return o.groupBy("tier", "session_id", "episode", "intent").agg(F.round(F.min("rank"), 6).alias("rank"))
+
+
+def episodes_matching(index: Index, observations: DataFrame, work_units: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """Episodes by their best observation; ``index`` is of observations by id."""
+    m = matches(index, query).withColumn("tier", F.lit(0))
+    return _by_episode(m, observations, work_units).drop("tier").orderBy("rank", "session_id", "episode").limit(limit)
+
+
+def episodes_tiered(index: Index, observations: DataFrame, work_units: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """Episodes of the first tier that has any; without one those that have the text in intent or summary, newest first."""
+    docs, found, _ = _evaluated(index, kernels.tiers(query))
+    each = F.filter(F.array(*[F.when(holds, F.struct(F.lit(i).alias("tier"), rank.alias("rank"))) for i, (holds, rank) in enumerate(found)]), lambda x: x.isNotNull()) if found else F.array().cast("array<struct<tier:int,rank:double>>")
+    rows = _by_episode(docs.select("doc", F.explode(each).alias("x")).select("doc", "x.*"), observations, work_units)
+    last = work_units.where(like(query, "intent", "summary")).select(F.lit(len(found)).alias("tier"), "session_id", "episode", "intent", (-F.col("started_at")).cast("double").alias("rank"))
+    rows = rows.unionByName(last)
+    first = rows.agg(F.min("tier").alias("first"))
+    return rows.join(F.broadcast(first), F.col("tier") == F.col("first")).drop("first").orderBy("rank", "session_id", "episode").limit(limit)
 
 
 def episodes_like(work_units: DataFrame, term: str, limit: int = 20) -> DataFrame:

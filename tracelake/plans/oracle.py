@@ -4,10 +4,6 @@ from __future__ import annotations
 
 import math
 
-from tracelake.functions.kernels import PLACEHOLDER, SECRETS
-from tracelake.functions.scalar import INTENT_STOPWORDS
-from tracelake.operators import classify
-from tracelake.operators.lifecycle import RETENTION_DAYS
 from tracelake.sources.driver_tables import SQL as MODEL
 
 SQL: dict[str, str] = {}
@@ -129,13 +125,13 @@ def renamed(source: str, n: int) -> str:
 
 _ALL = ", ".join(renamed(s, i) for i, s in enumerate((FAILED, UNRESOLVED, ERRORS)))
 _UNION = " UNION ALL ".join(f"SELECT '{k}' AS kind, * FROM grp{i}" for i, k in enumerate(("failed_command", "unresolved_read", "recurring_error")))
-model("pattern_heat_normalized", f"{_ALL}, u AS ({_UNION})", "SELECT kind, pattern, session_count, round(heat / max(heat) OVER () * 100) AS heat FROM u")
 #: The made-up intents differ in one word of five or six, so all of them are one cluster.
 _INTENTS = f"ci AS (SELECT count(*) AS session_count, round(sum({decay('(now.t - started_at)::DOUBLE / 3600', '168')}), 6) AS heat, list_sort(list(id)) AS sessions, max_by(intent, (started_at, id)) AS example FROM ses, now WHERE intent IS NOT NULL)"
-model("repeated_intents", _INTENTS, "SELECT 'repeated_intent' AS kind, CASE WHEN length(example) > 60 THEN substr(example, 1, 57) || '...' ELSE example END AS pattern, session_count, heat, len(sessions) AS n_sessions, sessions[1] AS first_session, example FROM ci WHERE session_count >= 3")
+model("pattern_heat_normalized", f"{_ALL}, {_INTENTS}, u AS ({_UNION} UNION ALL SELECT 'repeated_intent', CASE WHEN length(example) > 80 THEN substr(example, 1, 80) || '...' ELSE example END, session_count, heat, sessions, example FROM ci WHERE session_count >= 3)", "SELECT kind, pattern, session_count, round(heat / max(heat) OVER () * 100) AS heat FROM u")
+model("repeated_intents", _INTENTS, "SELECT 'repeated_intent' AS kind, CASE WHEN length(example) > 80 THEN substr(example, 1, 80) || '...' ELSE example END AS pattern, session_count, heat, len(sessions) AS n_sessions, sessions[1] AS first_session, example FROM ci WHERE session_count >= 3")
 model(
     "stuck_loops",
-    f"{_ALL}, {_INTENTS}, u AS ({_UNION}), e AS (SELECT kind, pattern, unnest(sessions) AS session_id FROM u WHERE kind <> 'unresolved_read'), i AS (SELECT CASE WHEN length(example) > 60 THEN substr(example, 1, 57) || '...' ELSE example END AS intent, unnest(sessions) AS session_id FROM ci)",
+    f"{_ALL}, {_INTENTS}, u AS ({_UNION}), e AS (SELECT kind, pattern, unnest(sessions) AS session_id FROM u WHERE kind <> 'unresolved_read'), i AS (SELECT CASE WHEN length(example) > 80 THEN substr(example, 1, 80) || '...' ELSE example END AS intent, unnest(sessions) AS session_id FROM ci)",
     "SELECT intent, kind, pattern, count(*) AS shared_sessions FROM i JOIN e USING (session_id) GROUP BY ALL HAVING count(*) >= 2",
 )
 
@@ -172,6 +168,8 @@ def found(name: str, leaves: list[str], holds: str, rest: str | None = None) ->
 found("search_and", [has("the"), has("hand")], "f0 > 0 AND f1 > 0")
 found("search_or", [has("hand"), has("elle")], "f0 > 0 OR f1 > 0")
 found("search_not", [has("the"), has("hand")], "f0 > 0 AND NOT f1 > 0")
+#: A word counts for the rank if what it is a part of holds; what is behind NOT never does.
+SQL["search_not_neighbours"] = f"WITH {TOKENS}, fr AS (SELECT doc_id, len(w) AS dl, {has('the')} AS the, {has('hand')} AS hand, {has('elle')} AS elle, {has('shthe')}::DOUBLE AS f1 FROM tok), gr AS (SELECT *, the > 0 AND NOT (hand > 0 AND elle > 0) AS left_, CASE WHEN the > 0 AND NOT (hand > 0 AND elle > 0) THEN the ELSE 0 END::DOUBLE AS f0 FROM fr), ct AS (SELECT count_if(the > 0) AS n0, count_if(f1 > 0) AS n1 FROM fr), " + "m AS (SELECT doc_id, round(-(" + " + ".join(f"CASE WHEN f{i} > 0 THEN greatest(ln((n - n{i} + 0.5::DOUBLE) / (n{i} + 0.5::DOUBLE)), 1e-6::DOUBLE) * f{i} * 2.2::DOUBLE / (f{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / a)) ELSE 0 END" for i in (0, 1)) + "), 6) AS rank FROM gr, ct, st WHERE left_ OR f1 > 0) SELECT doc_id, lang, source, substr(text, 1, 120) AS preview, rank FROM m JOIN documents USING (doc_id) ORDER BY rank, doc_id LIMIT 20"
 found("search_phrase", [phrase("in", "the")], "f0 > 0")
 found("search_prefix", [begins("hand")], "f0 > 0")
 found("search_bm25", [has("hand"), has("shthe"), has("elle")], "f0 > 0 OR f1 > 0 OR f2 > 0", "SELECT doc_id, rank FROM m")
@@ -179,7 +177,7 @@ found("search_filtered", [has("the"), has("la")], "f0 > 0 OR f1 > 0", "SELECT do
 _tiers = [([phrase("hand", "erthe")], "f0 > 0"), ([has("hand"), has("erthe")], "f0 > 0 AND f1 > 0"), ([has("hand"), has("erthe")], "f0 > 0 OR f1 > 0"), ([begins("hand"), begins("erthe")], "f0 > 0 OR f1 > 0")]
 _parts = [bm25(*t).replace("fr AS", f"fr{i} AS").replace("FROM fr", f"FROM fr{i}").replace("ct AS", f"ct{i} AS").replace(", ct,", f", ct{i},").replace("m AS", f"m{i} AS") for i, t in enumerate(_tiers)]
 SQL["search_tiered"] = f"WITH {TOKENS}, {', '.join(_parts)}, u AS ({' UNION ALL '.join(f'SELECT doc_id, rank, {i} AS tier FROM m{i}' for i in range(4))}) SELECT doc_id, rank, tier FROM u WHERE tier = (SELECT min(tier) FROM u) ORDER BY rank, doc_id LIMIT 20"
-SQL["fts_integrity"] = r"SELECT 'missing' AS side, doc_id, count(DISTINCT t) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(substr(text, 1, 300)), '[\p{L}\p{N}]+')) AS t FROM documents WHERE doc_id % 9 = 0) GROUP BY doc_id"
+SQL["fts_integrity"] = r"SELECT 'missing' AS side, doc_id, count(DISTINCT t) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS t FROM documents WHERE doc_id % 9 = 0) GROUP BY doc_id"
 
 
 def tokens_of(source: str) -> str:
@@ -192,9 +190,16 @@ model(
     f"SELECT o.id, session_id, obs_type, content, round(CASE WHEN best = worst THEN 1.0::DOUBLE ELSE (rank - worst) / (best - worst) END * 0.5::DOUBLE + {decay(AGE_DAYS, '7')} * 0.3::DOUBLE + {TYPE_WEIGHT} * 0.2::DOUBLE, 6) AS score FROM m JOIN obs o ON o.id = m.doc_id, e, now ORDER BY score DESC, o.id DESC LIMIT 20",
 )
 
+# The words of these observations are their own stems.
+model("fts_search_filtered", f"{tokens_of('obs')}, {bm25([has('test'), has('run')], 'f0 > 0 OR f1 > 0')}", "SELECT o.id, timestamp, rank FROM m JOIN obs o ON o.id = m.doc_id JOIN ses ON ses.id = o.session_id, now WHERE project = 'p3' AND obs_type = 'command' AND timestamp < now.t - 86400 AND timestamp > now.t - 20 * 86400 ORDER BY rank, o.id LIMIT 50")
+
 # --- episodes ---
 
-_STOP = ", ".join(f"'{w}'" for w in INTENT_STOPWORDS)
+_STOP = """
+  'a', 'an', 'the', 'and', 'or', 'to', 'of', 'in', 'for', 'with', 'on', 'at', 'by', 'from', 'is', 'it',
+  'this', 'that', 'be', 'as', 'are', 'was', 'were', 'been', 'do', 'does', 'did', 'will', 'would', 'could', 'should', 'may',
+  'might', 'can', 'has', 'have', 'had', 'not', 'no', 'up', 'out', 'about', 'into', 'over', 'after', 'before'
+"""
 KEYWORDS = rf"list_filter(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]+'), lambda x: strlen(x) > 2 AND x NOT IN ({_STOP}))"
 COUNT = "(length(content) - length(replace(content, ' ', '')) + 1)"
 EPISODES = f"""up AS (SELECT session_id, id, timestamp, content, {COUNT} < 5 AS terse, list_distinct({KEYWORDS}) AS kw, row_number() OVER (PARTITION BY session_id ORDER BY id) AS rn FROM prompts WHERE source = 'user'),
@@ -220,6 +225,7 @@ model("episodes_friction", ANNOTATED, "SELECT o.id, CASE WHEN a.failures > 0 THE
 model("episodes_obs_trace", ANNOTATED, "SELECT e.session_id, e.episode, a.obs_trace FROM epi e LEFT JOIN ann a USING (session_id, episode)")
 model("episodes_store", EPISODES + ", o AS (SELECT * FROM epi WHERE first_prompt_id % 2 = 0)", "SELECT session_id, episode, 'old' AS kind FROM o UNION ALL SELECT session_id, episode, 'new' FROM epi WHERE session_id NOT IN (SELECT session_id FROM o)")
 model("episode_search_fts", f"{ANNOTATED}, {tokens_of('obs WHERE prompt_id IS NOT NULL')}, {bm25([has('p0'), has('cargo')], 'f0 > 0 OR f1 > 0')}", "SELECT a.session_id, a.episode, min(rank) AS rank FROM m JOIN obs o ON o.id = m.doc_id JOIN ann a ON a.session_id = o.session_id AND o.prompt_id BETWEEN a.first_prompt_id AND a.last_prompt_id GROUP BY ALL ORDER BY rank, a.session_id, a.episode LIMIT 20")
+model("episode_search_tiered", ANNOTATED, "SELECT 2 AS tier, session_id, episode, -started_at::DOUBLE AS rank FROM ann WHERE contains(translate(intent, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'episode') OR first_prompt_id % 3 = 0 ORDER BY rank, session_id, episode LIMIT 20")
 model("episode_search_like", ANNOTATED, "SELECT session_id, episode, started_at FROM ann WHERE contains(translate(intent, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the') OR (first_prompt_id % 3 = 0 AND contains('{\"intent\":\"episode\",\"next_steps\":[\"step 0\"]}', 'the')) ORDER BY started_at DESC, session_id, episode LIMIT 20")
 model(
     "summary_payload",
@@ -257,10 +263,25 @@ model(
 # --- functions ---
 
 
+# Written out here, so that a slip in the library's own list shows.
+_PATTERNS = [
+    r"AKIA[0-9A-Z]{16}",
+    r"(?i)aws[_\-]?secret[_\-]?access[_\-]?key\s*[=:]\s*\S+",
+    r"github_pat_[A-Za-z0-9_]{82}",
+    r"ghp_[A-Za-z0-9]{36}",
+    r"gho_[A-Za-z0-9]{36}",
+    r"ghs_[A-Za-z0-9]{36}",
+    r"sk-ant-[A-Za-z0-9\-]{20,}",
+    r"sk-[A-Za-z0-9\-]{20,}",
+    r"(?i)bearer\s+[A-Za-z0-9_\-.~+/]{20,}=*",
+    r"-----BEGIN\s+(RSA|EC|DSA|OPENSSH|PGP)\s+PRIVATE\s+KEY-----",
+    r"(postgres|mysql|mongodb|redis|amqp|https?)://[^:]+:[^@\s]+@",
+    r"(?i)(password|passwd|secret|token|api_key|apikey)\s*[=:]\s*\S+",
+]
 _steps = ["r0 AS (SELECT doc_id, text, text AS x FROM documents)"]
-for _i, _p in enumerate(SECRETS):
-    _steps.append(f"r{_i + 1} AS (SELECT doc_id, text, CASE WHEN regexp_matches(text, '{_p}') THEN regexp_replace(x, '{_p}', '{PLACEHOLDER}', 'g') ELSE x END AS x FROM r{_i})")
-SQL["redact_regex"] = f"WITH {', '.join(_steps)} SELECT doc_id, md5(x) AS redacted_md5, x <> text AS redacted FROM r{len(SECRETS)}"
+for _i, _p in enumerate(_PATTERNS):
+    _steps.append(f"r{_i + 1} AS (SELECT doc_id, text, CASE WHEN regexp_matches(text, '{_p}') THEN regexp_replace(x, '{_p}', '[REDACTED]', 'g') ELSE x END AS x FROM r{_i})")
+SQL["redact_regex"] = f"WITH {', '.join(_steps)} SELECT doc_id, md5(x) AS redacted_md5, x <> text AS redacted FROM r12"
 SQL["shannon_entropy"] = "WITH x AS (SELECT o_orderkey, string_split(o_orderkey || '-' || o_orderpriority || '-' || o_orderstatus, '') AS c FROM orders), n AS (SELECT o_orderkey, len(c) AS n, unnest(c) AS ch FROM x), k AS (SELECT o_orderkey, n, ch, count(*) AS k FROM n GROUP BY ALL) SELECT o_orderkey, round(-sum(k::DOUBLE / n * log2(k::DOUBLE / n)), 6) AS entropy FROM k GROUP BY o_orderkey"
 model("intent_keywords", "", f"SELECT id, {COUNT} AS word_count, array_to_string({KEYWORDS}, '|') AS keywords FROM prompts")
 model("jaccard_pairs", f"k AS (SELECT id, {KEYWORDS} AS a, lead({KEYWORDS}) OVER (PARTITION BY session_id ORDER BY id) AS b FROM prompts)", "SELECT id, round(len(list_distinct(list_intersect(a, b)))::DOUBLE / greatest(len(list_distinct(list_concat(a, b))), 1), 6) AS jaccard FROM k WHERE b IS NOT NULL")
@@ -270,13 +291,21 @@ model(
     f"c AS (SELECT id, content, CASE WHEN id % 3 = 0 THEN '/home/u/' ELSE '' END || content || CASE WHEN id % 2 = 0 THEN ' 2>&1 | tail -5' ELSE '' END AS raw FROM obs WHERE obs_type = 'command'), s AS (SELECT id, content, {STRIPPED.format(c='raw')} AS s FROM c), w AS (SELECT *, {WORDS} AS w FROM s)",
     f"SELECT id, {NORM('w')} AS normalized, {DIAGNOSTIC.format(c='content')} AS diagnostic FROM w",
 )
-_re = lambda p: p.replace("'", "''")
+#: Commands that reach each rule; patterns are written out, letters in any case by lower().
+_LABELLED = """['npm install lodash', 'pip install x', 'git clone ../x', 'cargo install ripgrep', 'grep -rn foo .', 'ssh host', 'docker ps', 'run tests/ now', 'docker pull y', 'gh pr list', 'curl localhost', 'git diff src/a.rs',
+'cargo build', 'CARGO TEST', 'git log', 'echo traceback', 'python -m pytest', 'python3 x.py', 'why does it fail', 'search all for it', 'Timed out', 'ERROR: exit code 3', 'permission DENIED', 'plain words']"""
 model(
     "heuristic_labels",
-    "",
-    f"""SELECT id, CASE WHEN obs_type IN ('file_read', 'file_edit', 'file_write', 'search', 'git_commit') THEN 'internal' WHEN regexp_matches(content, '{_re(classify.EXTERNAL)}') AND NOT regexp_matches(content, '{_re(classify.INTERNAL)}') THEN 'external' WHEN regexp_matches(content, '{_re(classify.INTERNAL)}') AND NOT regexp_matches(content, '{_re(classify.EXTERNAL)}') THEN 'internal' WHEN file_path <> '' THEN 'internal' END AS locus,
-CASE WHEN obs_type = 'command' AND regexp_matches(content, '{_re(classify.ROUTINE)}') THEN 'routine' WHEN regexp_matches(content, '{_re(classify.NOVEL)}') THEN 'novel' WHEN obs_type IN ('file_read', 'file_edit', 'file_write') AND file_path <> '' THEN 'routine' END AS novelty,
-CASE WHEN failed THEN 'friction' WHEN regexp_matches(content, '{_re(classify.FRICTION)}') THEN 'friction' WHEN obs_type IN ('file_edit', 'file_write', 'file_read') THEN 'smooth' WHEN obs_type = 'command' THEN 'smooth' END AS friction FROM obs""",
+    rf"""c AS (SELECT id, obs_type, file_path, failed, CASE WHEN id % 2 = 0 THEN {_LABELLED}[id % 24 + 1] || ' ' || repeat('x', (id % 3 * 200)::INT) || ' ' || {_LABELLED}[id % 24 + 1] ELSE content END AS content FROM obs),
+l AS (SELECT *, lower(content) AS low, substr(content, 1, 200) AS short,
+  regexp_matches(lower(content), 'https?://|web_?search|web_?fetch|npm\s+install|pip\s+install|cargo\s+install|git\s+push|git\s+clone|curl\s+|wget\s+|gh\s+(pr|issue|api)|docker\s+(pull|push)') AS outside,
+  regexp_matches(lower(content), 'cargo\s+(build|test|check|clippy|run)|git\s+(add|commit|diff|status|log)|src/|tests/|\.rs\b|\.py\b|\.toml\b') AS inside,
+  'error\[|error:|failed|panic|traceback|warning\[|could not compile|cannot find|no such file|permission denied|timed? ?out|connection refused|exit code [1-9]|exit status [1-9]' AS trouble FROM c)""",
+    r"""SELECT id, CASE WHEN obs_type IN ('file_read', 'file_edit', 'file_write', 'search', 'git_commit') THEN 'internal' WHEN outside AND NOT inside THEN 'external' WHEN inside AND NOT outside THEN 'internal' WHEN file_path <> '' THEN 'internal' END AS locus,
+CASE WHEN obs_type = 'command' AND regexp_matches(lower(short), '^cargo\s+(build|test|check|clippy|run)\b|^git\s+(add|commit|push|diff|status|log)\b|^ls\b|^cat\b|^mkdir\b|^rm\b|^cp\b|^mv\b|^echo\b|^npm\s+(run|test|build)\b|^python3?\s+-m\s+pytest') THEN 'routine'
+     WHEN obs_type = 'command' AND length(content) > 300 THEN 'novel'
+     WHEN regexp_matches(short, 'error|Error|ERROR|failed|Failed|FAILED|traceback|panic|warning.*unused|investigate|debug|diagnose|why\s+(does|is|did|doesn)|how\s+to|search.*for') THEN 'novel' WHEN obs_type IN ('file_read', 'file_edit', 'file_write') AND file_path <> '' THEN 'routine' END AS novelty,
+CASE WHEN failed THEN 'friction' WHEN regexp_matches(substr(low, 1, 500), trouble) THEN 'friction' WHEN obs_type IN ('file_edit', 'file_write', 'file_read') THEN 'smooth' WHEN obs_type = 'command' AND NOT regexp_matches(low, trouble) THEN 'smooth' END AS friction FROM l""",
 )
 model("event_decay", "", f"SELECT obs_type, round(sum({decay(AGE_DAYS, '7')}), 3) AS heat, round(sum({TYPE_WEIGHT}), 3) AS weight FROM obs, now GROUP BY obs_type")
 
@@ -298,13 +327,14 @@ SQL["balanced_labels"] = "WITH n AS (SELECT toxic, count(*) AS n FROM labels WHE
 
 # --- lifecycle ---
 
-_TTL = "CASE obs_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in RETENTION_DAYS.items()) + " END"
+_TTL = """CASE WHEN obs_type IN ('git_commit', 'git_push') THEN 730 WHEN obs_type IN ('file_write', 'file_edit', 'session_startup', 'session_compact', 'session_resume', 'session_clear') THEN 365
+WHEN obs_type IN ('command', 'github') THEN 180 WHEN obs_type IN ('file_read', 'search', 'mcp_call', 'web_fetch', 'web_search', 'task_spawn', 'tool_other') THEN 90 END"""
 EXPIRED = f"xp AS (SELECT obs.id, obs.obs_type FROM obs JOIN ses ON ses.id = obs.session_id, now WHERE intent IS NOT NULL AND NOT is_pinned AND timestamp < now.t + 6480000 - {_TTL} * 86400)"
 model("sweep_survivors", EXPIRED, "SELECT session_id, count(*) AS n FROM obs WHERE id NOT IN (SELECT id FROM xp) GROUP BY session_id")
 model("sweep_deleted_by_type", EXPIRED, "SELECT obs_type, count(*) AS deleted FROM xp GROUP BY obs_type")
 model("purge_preview", "", "SELECT obs.id, session_id FROM obs JOIN ses ON ses.id = obs.session_id WHERE project = 'p3' AND timestamp < 1705276800 AND obs_type = 'command'")
 model("purge_survivors", "", "SELECT session_id, count(*) AS n, count(prompt_id) AS linked FROM obs, now WHERE NOT timestamp < now.t - 20 * 86400 GROUP BY session_id")
-model("orphan_cleanup", "", "SELECT id FROM ses WHERE id NOT IN (SELECT session_id FROM obs WHERE id % 3 = 0 UNION SELECT session_id FROM prompts WHERE id % 2 = 0)")
+model("orphan_cleanup", "", "SELECT c_custkey || '-w1' AS id FROM customer WHERE c_custkey || '-w1' NOT IN (SELECT id FROM ses)")
 model("delete_project", "", "SELECT ses.id, count(*) AS n FROM ses JOIN obs ON obs.session_id = ses.id WHERE project <> 'p3' GROUP BY ses.id")
 SQL["task_eligible"] = "WITH t AS (SELECT o_orderkey AS id, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS created_at, CASE WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderkey % 501 = 0 THEN 'running' ELSE 'pending' END AS status, CASE WHEN o_custkey % 2 = 0 THEN CAST(floor(epoch(o_orderdate)) AS BIGINT) + 86400000 END AS run_after FROM orders) SELECT id, created_at FROM (SELECT *, row_number() OVER (ORDER BY created_at, id) AS rn FROM t WHERE status = 'pending' AND (run_after IS NULL OR run_after <= 900000000)) WHERE rn <= greatest(0, 200 - (SELECT count(*) FROM t WHERE status = 'running'))"
 
@@ -316,8 +346,10 @@ SQL["git_churn"] = f"{COMMITS}{CHURN} SELECT * FROM ch"
 SQL["git_co_change"] = f"{COMMITS} SELECT file, count(DISTINCT \"commit\") AS times FROM cm WHERE file <> 'part7' AND \"commit\" IN (SELECT \"commit\" FROM cm WHERE file = 'part7') GROUP BY file ORDER BY times DESC, file LIMIT 20"
 SQL["git_summary"] = f"{COMMITS}{CHURN} SELECT file, commits || ' commits by ' || authors || ' authors over ' || CAST(floor((last_ts - first_ts) / 86400) AS BIGINT) || ' days, +' || insertions || '/-' || deletions || ', ' || reverts || ' reverts' AS summary FROM ch"
 SQL["git_file_commits"] = f"{COMMITS} SELECT \"commit\", timestamp, message FROM cm WHERE file = 'part7' ORDER BY timestamp DESC, \"commit\" LIMIT 20"
-SQL["blame_lookup"] = "WITH h AS (SELECT 'f' || (l_orderkey % 200) AS file, l_partkey % 500 AS start, l_quantity::BIGINT AS n, 'c' || l_orderkey || '-' || l_linenumber AS c FROM lineitem WHERE l_orderkey % 5 = 0), l AS (SELECT file, unnest(range(1, 542, 60)) AS line FROM (SELECT DISTINCT file FROM h)), f AS (SELECT l.file, line, min((start, n, c)) AS x FROM l JOIN h ON h.file = l.file AND start <= line AND line < start + n GROUP BY ALL) SELECT l.file, l.line, x[3] AS \"commit\", l.line - x[1] AS \"offset\" FROM l LEFT JOIN f USING (file, line)"
-ROLES = "WITH mo AS (SELECT 'm' || (p_partkey % 40) AS module, sum(p_size)::BIGINT AS lines, count(*) AS items FROM part GROUP BY 1), us AS (SELECT DISTINCT 'm' || (l_partkey % 37) AS module, 'm' || (l_suppkey % 9) AS target FROM lineitem WHERE l_linenumber = 1 AND l_suppkey % 3 = 0), e AS (SELECT us.* FROM us JOIN mo ON mo.module = us.target), d AS (SELECT module, lines, items, (SELECT count(*) FROM e WHERE e.target = mo.module) AS in_degree, (SELECT count(*) FROM e WHERE e.module = mo.module) AS out_degree FROM mo)"
+SQL["blame_lookup"] = """WITH h AS (SELECT 'f' || (l_partkey % 1000) AS file, l_orderkey % 5000 AS start, l_quantity::BIGINT % 7 + 1 AS n, 'c' || l_orderkey || '-' || l_linenumber AS c FROM lineitem),
+l AS (SELECT DISTINCT file, unnest(range(start, start + n + 1)) AS line FROM h), f AS (SELECT file, line, min((start, n, c)) AS x FROM (SELECT *, unnest(range(start, start + n)) AS line FROM h) GROUP BY file, line)
+SELECT l.file, l.line, x[3] AS "commit", l.line - x[1] AS "offset" FROM l LEFT JOIN f USING (file, line)"""
+ROLES = "WITH mo AS (SELECT 'm' || (p_partkey % 40) AS module, sum(p_size)::BIGINT AS lines, count(*) AS items FROM part GROUP BY 1), us AS (SELECT DISTINCT 'm' || (l_partkey % 37) AS module, 'm' || (l_suppkey % greatest(l_partkey % 37 % 11, 1) * 4 + 2) AS target FROM lineitem), e AS (SELECT us.* FROM us JOIN mo ON mo.module = us.target), d AS (SELECT module, lines, items, (SELECT count(*) FROM e WHERE e.target = mo.module) AS in_degree, (SELECT count(*) FROM e WHERE e.module = mo.module) AS out_degree FROM mo)"
 SQL["module_degrees"] = f"{ROLES} SELECT module, in_degree, out_degree FROM d"
 SQL["module_roles"] = f"{ROLES} SELECT module, CASE WHEN in_degree = 0 AND out_degree = 0 THEN 'isolated' WHEN in_degree = 0 THEN 'leaf' WHEN out_degree = 0 THEN 'foundation' WHEN in_degree >= 5 AND out_degree >= 5 THEN 'hub' WHEN out_degree > in_degree * 2 THEN 'orchestrator' WHEN in_degree > out_degree * 2 THEN 'foundation' ELSE 'internal' END AS role, lines // items AS lines_per_item FROM d"
 SQL["module_rankings"] = f"{ROLES} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{x}' AS ranking, module, {x} AS value FROM d ORDER BY {x} DESC, module LIMIT 15)" for x in ("in_degree", "lines", "items"))
@@ -340,6 +372,11 @@ model("write_dedup_5min", "l AS (SELECT *, lag(timestamp) OVER (PARTITION BY ses
 model("session_gaps", "", "SELECT id, timestamp - lag(timestamp) OVER (PARTITION BY session_id ORDER BY timestamp, id) AS gap_seconds FROM obs")
 SQL["event_rate_5min"] = "SELECT CAST(floor(epoch(ts) / 300) * 300 AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY ALL"
 SQL["value_quantiles"] = "SELECT event_type, " + ", ".join(f"round(quantile_cont(value, {q}), 6) AS p{int(q * 100)}" for q in (0.5, 0.95, 0.99)) + " FROM events GROUP BY event_type"
+SQL["duration_histogram"] = (
+    "WITH e AS (SELECT event_type, round(value / 100, 3) AS s FROM events) SELECT event_type, count(s) AS count, round(sum(s), 2) AS sum, concat_ws(',', "
+    + ", ".join(f"count_if(s <= {b}::DOUBLE)" for b in ("0.001", "0.005", "0.01", "0.05", "0.1", "0.5", "1.0", "5.0", "10.0"))
+    + ", count(s)) AS buckets FROM e GROUP BY event_type"
+)
 model("metric_counters", "", "SELECT obs_type, 'PostToolUse' AS source_event, count(*) AS total FROM obs GROUP BY obs_type")
 model("log_records", "", "SELECT '[' || obs_type || '] ' || substr(coalesce(file_path, content), 1, 80) AS message, count(*) AS n FROM obs GROUP BY 1")
 _recent = recent(f"{decay(AGE_DAYS, '7')} * 0.5::DOUBLE + {TYPE_WEIGHT} * 0.3::DOUBLE + CASE WHEN project = 'p3' THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END * 0.2::DOUBLE", 5)

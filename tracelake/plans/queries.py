@@ -174,7 +174,7 @@ def repeated_intents(spark, sf_dir):
 @query
 def pattern_heat_normalized(spark, sf_dir):
     t, now = loaded(spark, sf_dir)
-    return patterns.all_patterns(t, as_of=now, intents=False).select("kind", "pattern", "session_count", "heat")
+    return patterns.all_patterns(t, as_of=now).select("kind", "pattern", "session_count", "heat")
 
 
 @query
@@ -187,9 +187,9 @@ def stuck_loops(spark, sf_dir):
 # --- search ---
 
 
-def _corpus(spark, sf_dir) -> tuple[search.Index, DataFrame]:
+def _corpus(spark, sf_dir, stemmed: bool = False) -> tuple[search.Index, DataFrame]:
     docs = src.read(spark, sf_dir, "documents")
-    return search.build(docs, "doc_id", "text"), docs.select("doc_id", "lang", "source", F.substring("text", 1, 120).alias("preview"))
+    return search.build(docs, "doc_id", "text", stemmed), docs.select("doc_id", "lang", "source", F.substring("text", 1, 120).alias("preview"))
 
 
 def _search(name: str, text: str, limit: int = 20) -> None:
@@ -200,7 +200,7 @@ def _search(name: str, text: str, limit: int = 20) -> None:
     QUERIES[name] = run
 
 
-SEARCHES = {"search_and": "the hand", "search_or": "hand OR elle", "search_not": "the NOT hand", "search_phrase": '"in the"', "search_prefix": "hand*"}
+SEARCHES = {"search_and": "the hand", "search_or": "hand OR elle", "search_not": "the NOT hand", "search_not_neighbours": "the NOT hand elle OR shthe", "search_phrase": '"in the"', "search_prefix": "hand*"}
 for _name, _text in SEARCHES.items():
     _search(_name, _text)
 
@@ -221,7 +221,15 @@ def fts_search(spark, sf_dir):
     """The flagship: observations by text, recency and type."""
     t, now = loaded(spark, sf_dir)
     index = search.build(t.observations, "id", "content")
-    return search.blended(index, t.observations, "id", "cargo OR build", as_of=now, timestamp="timestamp", kind="obs_type").select("id", "session_id", "obs_type", "content", "score")
+    return search.observations(index, t, "cargo OR building", as_of=now, order_by="blended").select("id", "session_id", "obs_type", "content", "score")
+
+
+@query
+def fts_search_filtered(spark, sf_dir):
+    """Of a project, a type and an open range of times, by relevance."""
+    t, now = loaded(spark, sf_dir)
+    index = search.build(t.observations, "id", "content")
+    return search.observations(index, t, "test OR run", as_of=now, project=PROJECT, obs_type="command", before=now - 86400, after=now - 20 * 86400, limit=50).select("id", "timestamp", "rank")
 
 
 @query
@@ -237,11 +245,10 @@ def search_porter(spark, sf_dir):
 
 @query
 def fts_integrity(spark, sf_dir):
-    """What an index over all documents lacks after every ninth one has been changed."""
-    docs = src.read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 300).alias("text"))
-    changed = docs.where("doc_id % 9 = 0")
-    index = search.build(docs.where("doc_id % 9 <> 0"), "doc_id", "text")
-    return search.missing_postings(index, changed.unionByName(docs.where("doc_id % 9 <> 0")), "doc_id", "text").groupBy("side", "doc").agg(F.count("*").alias("n")).withColumnRenamed("doc", "doc_id")
+    """What an index of documents lacks when every ninth one is missing from it."""
+    docs = src.read(spark, sf_dir, "documents").select("doc_id", "text")
+    index = search.build(docs.where("doc_id % 9 <> 0"), "doc_id", "text", stemmed=False)
+    return search.missing_postings(index, docs, "doc_id", "text").groupBy("side", "doc").agg(F.count("*").alias("n")).withColumnRenamed("doc", "doc_id")
 
 
 @query
@@ -251,6 +258,14 @@ def episode_search_fts(spark, sf_dir):
     return search.episodes_matching(search.build(own, "id", "content"), own, t.work_units, "p0 OR cargo").select("session_id", "episode", "rank")
 
 
+@query
+def episode_search_tiered(spark, sf_dir):
+    """No observation has the word, so the episodes' own texts are looked at."""
+    t = with_episodes(src.tables(spark, sf_dir))
+    own = t.observations.where("prompt_id IS NOT NULL")
+    return search.episodes_tiered(search.build(own, "id", "content"), own, t.work_units, "episode").select("tier", "session_id", "episode", "rank")
+
+
 @query
 def episode_search_like(spark, sf_dir):
     t = with_episodes(src.tables(spark, sf_dir))
@@ -400,9 +415,18 @@ def normalize_commands(spark, sf_dir):
     return o.select("id", scalar.normalize_command(c).alias("normalized"), scalar.is_diagnostic(F.col("content")).alias("diagnostic"))
 
 
+#: Commands and words that reach each rule of the labels.
+LABELLED = (
+    "npm install lodash", "pip install x", "git clone ../x", "cargo install ripgrep", "grep -rn foo .", "ssh host", "docker ps", "run tests/ now", "docker pull y", "gh pr list", "curl localhost", "git diff src/a.rs",
+    "cargo build", "CARGO TEST", "git log", "echo traceback", "python -m pytest", "python3 x.py", "why does it fail", "search all for it", "Timed out", "ERROR: exit code 3", "permission DENIED", "plain words",
+)
+
+
 @query
 def heuristic_labels(spark, sf_dir):
     o = src.tables(spark, sf_dir).observations
+    words = F.element_at(F.array(*map(F.lit, LABELLED)), (F.col("id") % len(LABELLED) + 1).cast("int"))
+    o = o.withColumn("content", F.when(F.col("id") % 2 == 0, F.concat(words, F.lit(" "), F.repeat(F.lit("x"), (F.col("id") % 3 * 200).cast("int")), F.lit(" "), words)).otherwise(F.col("content")))
     return o.select("id", classify.locus(F.col("obs_type"), F.col("content"), F.col("file_path")).alias("locus"), classify.novelty(F.col("obs_type"), F.col("content"), F.col("file_path")).alias("novelty"), classify.friction(F.col("obs_type"), F.col("content"), scalar.failed(F.col("metadata"))).alias("friction"))
 
 
@@ -488,9 +512,10 @@ def purge_survivors(spark, sf_dir):
 
 @query
 def orphan_cleanup(spark, sf_dir):
+    """Each customer as a session besides; those who never did anything are left alone."""
     t = src.tables(spark, sf_dir)
-    left = replace(t, observations=t.observations.where("id % 3 = 0"), prompts=t.prompts.where("id % 2 = 0"))
-    return lifecycle.orphans(left).select("id")
+    more = src.read(spark, sf_dir, "customer").select(F.concat(F.col("c_custkey").cast("string"), F.lit("-w1")).alias("id")).join(t.sessions.select("id"), "id", "left_anti")
+    return lifecycle.orphans(replace(t, sessions=t.sessions.select("id").unionByName(more))).select("id")
 
 
 @query
@@ -535,10 +560,10 @@ def git_file_commits(spark, sf_dir):
 
 @query
 def blame_lookup(spark, sf_dir):
-    li = src.read(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0")
-    file = F.concat(F.lit("f"), (F.col("l_orderkey") % 200).cast("string"))
-    hunks = li.select(file.alias("file"), (F.col("l_partkey") % 500).alias("start"), F.col("l_quantity").cast("long").alias("count"), F.concat(F.lit("c"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("commit"))
-    lines = hunks.select("file").distinct().select("file", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(541).cast("long"), F.lit(60).cast("long"))).alias("line"))
+    """All lines that any hunk of a file has, and the one after each."""
+    li = src.read(spark, sf_dir, "lineitem")
+    hunks = li.select(F.concat(F.lit("f"), (F.col("l_partkey") % 1000).cast("string")).alias("file"), (F.col("l_orderkey") % 5000).alias("start"), (F.col("l_quantity").cast("long") % 7 + 1).alias("count"), F.concat(F.lit("c"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("commit"))
+    lines = hunks.select("file", F.explode(F.sequence("start", F.col("start") + F.col("count"))).alias("line")).distinct()
     return code_history.blame(hunks, lines)
 
 
@@ -602,16 +627,12 @@ def ensemble_quality(spark, sf_dir):
 
 @query
 def write_dedup_5min(spark, sf_dir):
-    o = src.tables(spark, sf_dir).observations
-    w = Window.partitionBy("session_id", "obs_type", "file_path").orderBy("timestamp", "id")
-    return o.withColumn("was", F.lag("timestamp").over(w)).where(F.col("was").isNull() | (F.col("timestamp") - F.col("was") > 300)).groupBy("obs_type").agg(F.count("*").alias("kept"))
+    return ranking.deduplicated(src.tables(spark, sf_dir).observations).groupBy("obs_type").agg(F.count("*").alias("kept"))
 
 
 @query
 def session_gaps(spark, sf_dir):
-    o = src.tables(spark, sf_dir).observations
-    w = Window.partitionBy("session_id").orderBy("timestamp", "id")
-    return o.select("id", (F.col("timestamp") - F.lag("timestamp").over(w)).alias("gap_seconds"))
+    return ranking.gaps(src.tables(spark, sf_dir).observations)
 
 
 @query
@@ -622,8 +643,14 @@ def event_rate_5min(spark, sf_dir):
 
 @query
 def value_quantiles(spark, sf_dir):
-    e = src.read(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(*[F.round(F.percentile("value", q), 6).alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)])
+    return sinks.quantiles(src.read(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query
+def duration_histogram(spark, sf_dir):
+    e = src.read(spark, sf_dir, "events").withColumn("seconds", F.round(F.col("value") / 100, 3))
+    h = sinks.histogram(e, "event_type", "seconds")
+    return h.select("event_type", "count", F.round("sum", 2).alias("sum"), F.array_join("buckets", ",").alias("buckets"))
 
 
 @query

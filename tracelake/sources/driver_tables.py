@@ -109,8 +109,9 @@ def module_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     """(modules ``module, lines, items``, uses ``module, uses``): brands of parts and what is ordered with them."""
     p = read(spark, sf_dir, "part")
     modules = p.groupBy(F.concat(F.lit("m"), (F.col("p_partkey") % 40).cast("string")).alias("module")).agg(F.sum("p_size").cast("long").alias("lines"), F.count("*").alias("items"))
-    li = read(spark, sf_dir, "lineitem").where((F.col("l_linenumber") == 1) & (F.col("l_suppkey") % 3 == 0))
-    uses = li.select(F.concat(F.lit("m"), (F.col("l_partkey") % 37).cast("string")).alias("module"), F.concat(F.lit("dir/m"), (F.col("l_suppkey") % 9).cast("string")).alias("uses")).distinct()
+    # Module n uses at most n % 11 others, so that all roles are there.
+    li, n = read(spark, sf_dir, "lineitem"), F.col("l_partkey") % 37
+    uses = li.select(F.concat(F.lit("m"), n.cast("string")).alias("module"), F.concat(F.lit("dir/m"), (F.col("l_suppkey") % F.greatest(n % 11, F.lit(1)) * 4 + 2).cast("string")).alias("uses")).distinct()
     return modules, uses
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tomllib
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions import kernels
@@ -24,16 +24,40 @@ class Settings:
     extra_patterns: tuple[str, ...] = ()
     entropy_threshold: float | None = None
     entropy_min_length: int | None = None
+    disable_entropy: bool = False
+    #: Sensitivity of single projects, by name.
+    projects: dict[str, str] = field(default_factory=dict)
     retention_enabled: bool = False
     retention_days: dict[str, int] = field(default_factory=dict)
     home: str = "/root"
 
 
 def settings(text: str) -> Settings:
-    """From TOML. Unknown keys are ignored; single limits of entropy win over the sensitivity."""
+    """From TOML. Unknown keys are ignored; single limits of entropy win over the sensitivity, a project's over the general one."""
     t = tomllib.loads(text)
     f, r = t.get("filter", {}), t.get("retention", {})
-    return Settings(f.get("sensitivity", "normal"), tuple(f.get("extra_patterns", ())), f.get("entropy_threshold"), f.get("entropy_min_length"), bool(r.get("enabled", False)), dict(r.get("days", {})), t.get("project", {}).get("home", "/root"))
+    return Settings(
+        sensitivity=f.get("sensitivity", "normal"),
+        extra_patterns=tuple(f.get("extra_patterns", ())),
+        entropy_threshold=f.get("entropy_threshold"),
+        entropy_min_length=f.get("entropy_min_length"),
+        disable_entropy=bool(f.get("disable_entropy", False)),
+        projects={name: "normal" if p["sensitivity"] == "default" else p["sensitivity"] for name, p in t.get("projects", {}).items() if "sensitivity" in p},
+        retention_enabled=bool(r.get("enabled", False)),
+        retention_days=dict(r.get("days", {})),
+        home=t.get("project", {}).get("home", "/root"),
+    )
+
+
+def redacted(text: Column, cwd: Column, s: Settings) -> Column:
+    """Text without secrets, under the limits of the project of its folder."""
+    limits = lambda x: kernels.entropy_limits(x, s.entropy_threshold, s.entropy_min_length, not s.disable_entropy)
+    out = kernels.redact(text, extra=s.extra_patterns, limits=limits(s.sensitivity))
+    project = derive_project(cwd, F.lit(None).cast("string"), s.home)
+    for own in dict.fromkeys(map(limits, s.projects.values())):
+        if own != limits(s.sensitivity):
+            out = F.when(project.isin([p for p, x in s.projects.items() if limits(x) == own]), kernels.redact(text, extra=s.extra_patterns, limits=own)).otherwise(out)
+    return out
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -55,7 +79,7 @@ def sessions(events: DataFrame, s: Settings) -> DataFrame:
 def prompts(events: DataFrame, s: Settings) -> DataFrame:
     """What users said, 2000 characters of it, without the system's reminders, redacted. The id is of session, time and text."""
     e = events.where((F.col("hook_event_name") == "UserPromptSubmit") & F.col("prompt").isNotNull() & (F.trim("prompt") != "") & ~F.col("prompt").startswith("<system-reminder>"))
-    text = kernels.redact(F.substring("prompt", 1, 2000), s.sensitivity, s.extra_patterns)
+    text = redacted(F.substring("prompt", 1, 2000), F.col("cwd"), s)
     return e.select(F.xxhash64("session_id", "t", "prompt").alias("id"), "session_id", F.col("t").alias("timestamp"), F.lit("user").alias("source"), text.alias("content"))
 
 
@@ -64,12 +88,12 @@ def observations(events: DataFrame, s: Settings) -> DataFrame:
     use = events.where(F.col("hook_event_name").isin("PostToolUse", "PostToolUseFailure"))
     kind = F.when(F.col("tool_name") == "Bash", classify_bash(F.coalesce(F.get_json_object("tool_input", "$.command"), F.lit("")))).otherwise(classify_tool(F.col("tool_name")))
     failed = F.col("hook_event_name") == "PostToolUseFailure"
-    use = use.select("session_id", "t", "tool_name", F.col("hook_event_name").alias("source_event"), kind.alias("obs_type"), extract_file_path(F.col("tool_name"), F.col("tool_input")).alias("file_path"), extract_content(F.col("tool_name"), F.col("tool_input")).alias("raw"), failed.alias("failed"), F.substring(F.coalesce("tool_response", F.lit("")), 1, 2000).alias("raw_response"))
+    use = use.select("session_id", "t", "cwd", "tool_name", F.col("hook_event_name").alias("source_event"), kind.alias("obs_type"), extract_file_path(F.col("tool_name"), F.col("tool_input")).alias("file_path"), extract_content(F.col("tool_name"), F.col("tool_input")).alias("raw"), failed.alias("failed"), F.substring(F.coalesce("tool_response", F.lit("")), 1, 2000).alias("raw_response"))
     start = events.where((F.col("hook_event_name") == "SessionStart") & F.col("source").isin(*SESSION_SOURCES))
     kind = F.concat(F.lit("session_"), F.col("source"))
-    start = start.select("session_id", "t", F.lit(None).cast("string").alias("tool_name"), F.col("hook_event_name").alias("source_event"), kind.alias("obs_type"), F.lit(None).cast("string").alias("file_path"), kind.alias("raw"), F.lit(False).alias("failed"), F.lit("").alias("raw_response"))
+    start = start.select("session_id", "t", "cwd", F.lit(None).cast("string").alias("tool_name"), F.col("hook_event_name").alias("source_event"), kind.alias("obs_type"), F.lit(None).cast("string").alias("file_path"), kind.alias("raw"), F.lit(False).alias("failed"), F.lit("").alias("raw_response"))
     o = use.unionByName(start)
-    o = o.withColumn("content", kernels.redact(F.col("raw"), s.sensitivity, s.extra_patterns)).withColumn("response", kernels.redact(F.col("raw_response"), s.sensitivity, s.extra_patterns))
+    o = o.withColumn("content", redacted(F.col("raw"), F.col("cwd"), s)).withColumn("response", redacted(F.col("raw_response"), F.col("cwd"), s))
     git = git_details(F.col("obs_type"), F.col("response"))
     metadata = F.to_json(F.struct(F.when(F.col("content") != F.col("raw"), True).alias("redacted"), F.when(F.col("failed"), True).alias("failed"), F.when(F.col("failed") & (F.col("response") != ""), F.col("response")).alias("response"), *[git[x].alias(x) for x in ("branch", "commit_hash", "commit_message", "files_changed", "insertions", "deletions", "new_files", "remote_url", "hash_range")]))
     return o.select(
