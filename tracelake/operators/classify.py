@@ -178,9 +178,9 @@ def train(rows: DataFrame, text: str, label: str, classes: tuple[str, str], *, m
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, CountVectorizer
 
-    @F.udf(T.ArrayType(T.StringType()))
-    def grams(x: str):
-        return list(word_grams(x or "", *word))
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def grams(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: list(word_grams(x or "", *word)))
 
     d = rows.where(F.col(label).isin(*classes)).orderBy(F.xxhash64(text)).limit(most).select(grams(F.col(text)).alias("grams"), (F.col(label) == classes[1]).cast("double").alias("label")).cache()
     counts = CountVectorizer(inputCol="grams", outputCol="tf", minDF=least_docs, vocabSize=3000, binary=True).fit(d)
@@ -224,11 +224,20 @@ def label_counts(obs: DataFrame, column: str) -> DataFrame:
 
 
 def balanced(rows: DataFrame, label: str, seed: int = 42) -> DataFrame:
-    """As many rows of each class as the smallest has, by a hash in place of chance."""
-    counts = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("_n"))
-    least = counts.agg(F.min("_n").alias("_least"))
-    w = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in rows.columns]))
-    return rows.where(F.col(label).isNotNull()).withColumn("_rn", F.row_number().over(w)).crossJoin(F.broadcast(least)).where("_rn <= _least").drop("_rn", "_least")
+    """As many rows of each class as the smallest has, those of the least hash, in place of chance.
+
+    A histogram of the hash tells in which of its 4,096 buckets a class has enough; only that bucket's rows are put in order.
+    """
+    hashed = rows.where(F.col(label).isNotNull()).withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in rows.columns]))
+    hashed = hashed.withColumn("_bucket", F.shiftright("_h", 52))
+    along = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    counts = hashed.groupBy(label, "_bucket").agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(along))
+    least = counts.groupBy(label).agg(F.max("_upto").alias("_all")).agg(F.min("_all").alias("_least"))
+    border = counts.crossJoin(F.broadcast(least)).where(F.col("_upto") >= F.col("_least")).groupBy(label).agg(F.min(F.struct("_bucket", (F.col("_least") - F.col("_upto") + F.col("_n")).alias("_rest"))).alias("_b"))
+    found = hashed.join(border.select(label, F.col("_b._bucket").alias("_border"), "_b._rest"), label)
+    within = found.where(F.col("_bucket") < F.col("_border"))
+    last = found.where(F.col("_bucket") == F.col("_border")).withColumn("_rn", F.row_number().over(Window.partitionBy(label).orderBy("_h"))).where("_rn <= _rest")
+    return within.select(rows.columns).unionByName(last.select(rows.columns))
 
 
 def sample(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:

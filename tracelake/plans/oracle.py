@@ -180,6 +180,61 @@ SQL["search_tiered"] = f"WITH {TOKENS}, {', '.join(_parts)}, u AS ({' UNION ALL
 SQL["fts_integrity"] = r"SELECT 'missing' AS side, doc_id, count(DISTINCT t) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS t FROM documents WHERE doc_id % 9 = 0) GROUP BY doc_id"
 
 
+# Porter's algorithm in SQL, from its publication: each step is a subquery over ``t`` (the term) and ``w`` (what is left of it).
+def _cv(x: str) -> str:
+    """Vowels as V, consonants as C; y is a vowel after a consonant."""
+    x = f"regexp_replace(regexp_replace({x}, '[aeiou]', 'V', 'g'), '[a-xz]', 'C', 'g')"
+    for a, b in (("^y", "C"), ("Cy", "CV"), ("Vy", "VC"), ("Cy", "CV"), ("Vy", "VC")):
+        x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
+    return x
+
+
+def _measure(x: str) -> str:
+    return f"len(regexp_extract_all({_cv(x)}, 'V+C+'))"
+
+
+def _short(x: str) -> str:
+    return f"(regexp_matches({_cv(x)}, 'CVC$') AND NOT regexp_matches({x}, '[wxy]$'))"
+
+
+def _ends(pairs: list[tuple[str, str]], least: int, extra: str = "true") -> str:
+    """The longest ending that fits is replaced if what is before it is long enough; else nothing is."""
+    out = "CASE "
+    for end, new in sorted(pairs, key=lambda p: -len(p[0])):
+        stem = f"left(w, length(w) - {len(end)})"
+        out += f"WHEN suffix(w, '{end}') THEN CASE WHEN {_measure(stem)} > {least} AND ({extra.replace('STEM', stem) if end == 'ion' else 'true'}) THEN {stem} || '{new}' ELSE w END "
+    return out + "ELSE w END"
+
+
+_TWO = "ational ate, tional tion, enci ence, anci ance, izer ize, bli ble, alli al, entli ent, eli e, ousli ous, ization ize, ation ate, ator ate, alism al, iveness ive, fulness ful, ousness ous, aliti al, iviti ive, biliti ble, logi log"
+_THREE = "icate ic, ative -, alize al, iciti ic, ical ic, ful -, ness -"
+_FOUR = "al, ance, ence, er, ic, able, ible, ant, ement, ment, ent, ion, ou, ism, ate, iti, ous, ive, ize"
+_pairs = lambda x: [(a, "" if b == "-" else b) for a, b in (y.split() for y in x.split(", "))]
+_cut = lambda n: f"left(w, length(w) - {n})"
+_PORTER_STEPS = [
+    f"CASE WHEN suffix(w, 'sses') OR suffix(w, 'ies') THEN {_cut(2)} WHEN suffix(w, 'ss') THEN w WHEN suffix(w, 's') THEN {_cut(1)} ELSE w END",
+    f"CASE WHEN suffix(w, 'eed') THEN CASE WHEN {_measure(_cut(3))} > 0 THEN {_cut(1)} ELSE w END WHEN suffix(w, 'ed') AND contains({_cv(_cut(2))}, 'V') THEN {_cut(2)} || '#' WHEN suffix(w, 'ing') AND contains({_cv(_cut(3))}, 'V') THEN {_cut(3)} || '#' ELSE w END",
+    f"CASE WHEN NOT suffix(w, '#') THEN w WHEN regexp_matches(w, '(at|bl|iz)#$') THEN {_cut(1)} || 'e' WHEN right(w, 2) = '#' OR (length(w) > 2 AND substr(w, length(w) - 1, 1) = substr(w, length(w) - 2, 1) AND regexp_matches({_cv(_cut(1))}, 'C$') AND NOT regexp_matches(w, '[lsz]#$')) THEN {_cut(2)} WHEN {_measure(_cut(1))} = 1 AND {_short(_cut(1))} THEN {_cut(1)} || 'e' ELSE {_cut(1)} END",
+    f"CASE WHEN suffix(w, 'y') AND contains({_cv(_cut(1))}, 'V') THEN {_cut(1)} || 'i' ELSE w END",
+    _ends(_pairs(_TWO), 0),
+    _ends(_pairs(_THREE), 0),
+    _ends([(x, "") for x in _FOUR.split(", ")], 1, "regexp_matches(STEM, '[st]$')"),
+    f"CASE WHEN suffix(w, 'e') AND ({_measure(_cut(1))} > 1 OR ({_measure(_cut(1))} = 1 AND NOT {_short(_cut(1))})) THEN {_cut(1)} ELSE w END",
+    f"CASE WHEN suffix(w, 'll') AND {_measure(_cut(1))} > 1 THEN {_cut(1)} ELSE w END",
+]
+_PORTER = "SELECT t, t AS w FROM terms WHERE regexp_matches(t, '^[a-z]{3,}$')"
+for _step in _PORTER_STEPS:
+    _PORTER = f"SELECT t, {_step} AS w FROM ({_PORTER})"
+STEMMED = rf"""raw AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{{L}}\p{{N}}]+') AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS a FROM raw),
+occ AS (SELECT doc_id, len(w) AS dl, unnest(w) AS t FROM raw), terms AS (SELECT DISTINCT t FROM occ), stems AS ({_PORTER}),
+fq AS (SELECT doc_id, dl, coalesce(s.w, t) AS s, count(*) AS f FROM occ LEFT JOIN stems s USING (t) GROUP BY ALL)"""
+SQL["search_porter"] = (
+    f"WITH {STEMMED}, fr AS (SELECT doc_id, dl, sum(CASE WHEN s = 'hand' THEN f ELSE 0 END)::DOUBLE AS f0, sum(CASE WHEN s = 'ell' THEN f ELSE 0 END)::DOUBLE AS f1 FROM fq GROUP BY doc_id, dl), "
+    + bm25(["0", "0"], "f0 > 0 OR f1 > 0").partition("), ")[2]
+    + " SELECT doc_id, lang, rank FROM m JOIN documents USING (doc_id) ORDER BY rank, doc_id LIMIT 20"
+)
+
+
 def tokens_of(source: str) -> str:
     return TOKENS.replace("doc_id", "id AS doc_id").replace("text", "content").replace("documents", source)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,9 +116,17 @@ def module_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return modules, uses
 
 
+#: The model of each folder that this process has loaded, by application; its tables stay cached, on disk where memory is short.
+_LOADED: dict[tuple[str, str], Tables] = {}
+
+
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    obs = observations(spark, sf_dir)
-    return Tables(sessions=sessions(obs), prompts=prompts(spark, sf_dir), observations=obs)
+    """The model, made once for all queries of an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LOADED:
+        obs = observations(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+        _LOADED[key] = Tables(sessions=sessions(obs).persist(StorageLevel.MEMORY_AND_DISK), prompts=prompts(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK), observations=obs)
+    return _LOADED[key]
 
 
 def as_of(obs: DataFrame) -> int:
