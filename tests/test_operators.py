@@ -323,7 +323,7 @@ def test_tasks(spark):
 
 
 def test_context(spark, t):
-    w = spark.createDataFrame([("sess-a", 1, 1707400010, 1707400060, "ok", 1, 1, ["/src/auth.rs"], (0, 2, 1, 0, 0, 0, 0, 0, 0, 0, 0), 5, '{"next_steps":["b","c"]}', None), ("sess-a", 2, 1707400070, 1707400080, "nothing was done here", 2, 2, [], (0,) * 11, 0, None, None)], model.WORK_UNITS)
+    w = spark.createDataFrame([("sess-a", 1, 1707400010, 1707400060, "ok", 1, 1, ["/src/auth.rs"], (0, 2, 1, 0, 0, 0, 0, 0, 0, 0, 0), 5, '{"next_steps":["b","c"],"learned":["one","two"]}', None), ("sess-a", 2, 1707400070, 1707400080, "nothing was done here", 2, 2, [], (0,) * 11, 0, None, None)], model.WORK_UNITS)
     s = sessions(spark, [("sess-a", "myproj", 1707400000, 1, '{"intent":"repair the login","next_steps":["a","b"]}'), ("old", "myproj", 1700000000, 1, '{"intent":"older work"}'), ("sess-b", "other", 1707400100, 1, None)])
     own = replace(t, work_units=w, sessions=s)
     now = 1707400200
@@ -332,11 +332,12 @@ def test_context(spark, t):
     assert context.recent_episodes(own, "myproj", as_of=now + 49 * 3600).collect() == []
     assert ids(context.fallback_summaries(own, "myproj", as_of=now)) == ["old"]
     assert [r.task for r in context.suggested_tasks(own, "myproj").collect()] == ["a", "b", "c"]
+    assert [r.task for r in context.suggested_tasks(own, "myproj", as_of=1707400005).collect()] == ["a", "b"]
     assert ids(context.local_activity(own, "myproj", as_of=now)) == [6, 2]
     pinned = lifecycle.pin(own, 5)
     assert ids(context.cross_project_pins(pinned, "myproj", as_of=now)) == [5]
     text = context.render(pinned, "myproj", as_of=now)
-    assert "## Recent Episodes" in text and "- /src/auth.rs — 2 edits (2m ago)" in text and "(pinned)" in text
+    assert "## Recent Episodes" in text and "- /src/auth.rs — 2 edits (2m ago)" in text and "  learned: one; two" in text and "(pinned)" in text
     assert context.render(own, "none", as_of=now) == ""
 
 

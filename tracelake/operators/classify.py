@@ -260,3 +260,9 @@ def summary_quality(summaries: DataFrame, column: str = "summary") -> DataFrame:
         *[count(f).alias(f"{f}_count") for f in lists],
         (raw("notes") != "").alias("notes_present"),
     )
+
+
+def variant_averages(quality: DataFrame, variant: str) -> DataFrame:
+    """By variant of a prompt or model: answers, those that are JSON or have notes, and averages of the other measures of ``summary_quality``."""
+    mean = ("fields_present", "array_compliance", "intent_words", "learned_count", "completed_count", "next_steps_count")
+    return quality.groupBy(variant).agg(F.count("*").alias("n"), F.count_if("json_valid").alias("json_valid"), F.count_if("notes_present").alias("notes_present"), *[F.round(F.avg(x), 6).alias(f"avg_{x}") for x in mean])

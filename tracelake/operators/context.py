@@ -24,7 +24,9 @@ def recent_episodes(t: Tables, project: str, *, as_of: int, window_hours: int =
     w = w.join(_own(t, project), "session_id").orderBy(F.desc("started_at"), "session_id", "episode").limit(limit)
     better = F.get_json_object("session_summary", "$.intent")
     title = F.when(low_quality_intent(F.coalesce("intent", F.lit(""))) & better.isNotNull(), better).otherwise(F.col("intent"))
-    return w.select("session_id", "episode", "started_at", F.substring(title, 1, 120).alias("title"), "obs_count", phase_label(F.col("phase_signature")).alias("label"), "hot_files")
+    learned = F.get_json_object("summary", "$.learned")
+    learned = F.when(learned.startswith("["), F.array_join(F.slice(F.from_json(learned, "array<string>"), 1, 3), "; ")).otherwise(learned)
+    return w.select("session_id", "episode", "started_at", F.substring(title, 1, 120).alias("title"), "obs_count", phase_label(F.col("phase_signature")).alias("label"), "hot_files", learned.alias("learned"))
 
 
 def fallback_summaries(t: Tables, project: str, *, as_of: int, window_hours: int = WINDOW_HOURS, limit: int = SUMMARIES) -> DataFrame:
@@ -35,15 +37,15 @@ def fallback_summaries(t: Tables, project: str, *, as_of: int, window_hours: int
     return s.orderBy(F.desc("started_at"), F.desc("id")).limit(limit)
 
 
-def suggested_tasks(t: Tables, project: str, *, limit: int = TASKS) -> DataFrame:
-    """Next steps of the newest session, then of the five newest episodes, each text once, in that order."""
-    s = t.sessions.where((F.col("project") == project) & F.col("summary").isNotNull()).orderBy(F.desc("started_at"), F.desc("id")).limit(1)
+def suggested_tasks(t: Tables, project: str, *, as_of: int | None = None, limit: int = TASKS) -> DataFrame:
+    """Next steps of the newest session, then of the five newest episodes, each text once, in that order; of before ``as_of`` if given."""
+    s = between(t.sessions.where((F.col("project") == project) & F.col("summary").isNotNull()), as_of, column="started_at").orderBy(F.desc("started_at"), F.desc("id")).limit(1)
     steps = lambda c: F.posexplode(F.from_json(F.get_json_object(c, "$.next_steps"), "array<string>")).alias("i", "task")
     rows = s.select(F.lit(0).alias("source"), F.lit(0).alias("rank"), steps("summary"))
     if t.work_units is not None:
         from pyspark.sql import Window
 
-        w = t.work_units.where(F.col("summary").isNotNull()).join(_own(t, project), "session_id").orderBy(F.desc("started_at"), "session_id", "episode").limit(5)
+        w = between(t.work_units, as_of, column="started_at").where(F.col("summary").isNotNull()).join(_own(t, project), "session_id").orderBy(F.desc("started_at"), "session_id", "episode").limit(5)
         w = w.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.desc("started_at"), "session_id", "episode")))  # five rows
         rows = rows.unionByName(w.select(F.lit(1).alias("source"), "rank", steps("summary")))
     first = rows.groupBy("task").agg(F.min(F.struct("source", "rank", "i")).alias("at"))
@@ -79,8 +81,10 @@ def render(t: Tables, project: str, *, as_of: int, recovery: bool = False) -> st
         parts["## Recent Episodes"].append(f"- {r.title} [{r.label}, {r.obs_count} actions]")
         if i < 3 and r.hot_files:
             parts["## Recent Episodes"].append(f"  files: {', '.join(r.hot_files[:5])}")
+        if i < 3 and r.learned:
+            parts["## Recent Episodes"].append(f"  learned: {r.learned}")
     parts["## Earlier Sessions"] = [f"- {r[0]}" for r in fallback_summaries(t, project, as_of=as_of).select(F.coalesce(F.get_json_object("summary", "$.intent"), F.lit("?"))).collect()]
-    parts["## Suggested Tasks"] = [f"- {r.task}" for r in suggested_tasks(t, project).collect()]
+    parts["## Suggested Tasks"] = [f"- {r.task}" for r in suggested_tasks(t, project, as_of=as_of).collect()]
     parts["## Recent Activity"] = [r.line for r in activity_lines(local_activity(t, project, as_of=as_of, recovery=recovery), as_of=as_of).collect()]
     parts["## Pinned Elsewhere"] = [f"{r.line}" for r in activity_lines(cross_project_pins(t, project, as_of=as_of, recovery=recovery), as_of=as_of).collect()]
     if not any(v for k, v in parts.items() if k != "## Suggested Tasks"):

@@ -95,6 +95,21 @@ def payload(t: Tables, *, prompts: int | None = None, agent: int = 5, agent_char
     return o.join(p, "session_id", "left").select("session_id", F.col("n").alias("obs_count"), text.alias("payload"))
 
 
+def episode_payload(t: Tables, work_units: DataFrame, *, prompts: int = 10, agent: int = 5, actions: int = 30, least: int = 3) -> DataFrame:
+    """What a narrative of each episode is made from, as one text: the users' prompts and the agent's thoughts in its range of
+    prompts, by id, and its actions with their labels, by time. Episodes of fewer than ``least`` observations are left out."""
+    p = t.prompts.select(F.col("session_id").alias("_s"), F.col("id").alias("_id"), "source", F.col("content").alias("_text"))
+    e = work_units.where(F.col("obs_count") >= least).select("session_id", "episode", "first_prompt_id", "last_prompt_id")
+    said = e.join(p, (e["session_id"] == p["_s"]) & p["_id"].between(e["first_prompt_id"], e["last_prompt_id"])).groupBy("session_id", "episode")
+    said = said.agg(*[F.array_sort(F.collect_list(F.when(F.col("source") == x, F.struct("_id", "_text")))).alias(x) for x in ("user", "agent")])
+    labels = F.concat_ws(",", "phase", "scope", "locus", "novelty")
+    line = F.concat(F.lit("["), F.col("obs_type"), F.lit("] "), F.coalesce("file_path", F.substring("content", 1, 120)), F.when(labels != "", F.concat(F.lit(" ("), labels, F.lit(")"))).otherwise(""), F.when(failed(F.col("metadata")), " failed").otherwise(""))
+    done = members(e, t.observations).groupBy("session_id", "episode").agg(F.array_sort(F.collect_list(F.struct("timestamp", "id", line.alias("line")))).alias("actions"))
+    of = lambda x, n: F.transform(F.slice(F.coalesce(F.col(x), F.array().cast("array<struct<_id:bigint,_text:string>>")), 1, n), lambda y: F.concat(F.lit(f"{x}: "), y["_text"]))
+    text = F.array_join(F.concat(of("user", prompts), of("agent", agent), F.transform(F.slice("actions", 1, actions), lambda x: x["line"])), "\n")
+    return done.join(said, ["session_id", "episode"], "left").select("session_id", "episode", text.alias("payload"))
+
+
 def template_summary(payloads: DataFrame) -> DataFrame:
     """A deterministic stand-in for a language model's summary: the first prompt as intent, touched files, no lessons."""
     none = F.array().cast("array<string>")

@@ -144,3 +144,18 @@ def task(tasks: DataFrame, task_id: int) -> DataFrame:
 def append_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Adds rows whose keys aren't there yet; of new rows with equal keys one."""
     return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+
+
+def maintain(t: Tables, *, as_of: int, days: dict[str, int] | None = None, retention: bool = True, least: int = 3) -> Tables:
+    """What is due at the end of sessions, in one plan: episodes of sessions that have none are added, ended sessions without a summary
+    get one (a fixed one if there is little to say), then what has expired goes."""
+    from tracelake.operators import episodes
+
+    found = episodes.annotate(t, episodes.detect(t)).select("*", F.lit(None).cast("string").alias("summary"))
+    units = found if t.work_units is None else episodes.store(t.work_units, found)
+    made = episodes.template_summary(episodes.payload(t, least=least)).select(F.col("session_id").alias("_s"), F.col("summary").alias("_summary"))
+    s = t.sessions.join(made, F.col("id") == F.col("_s"), "left")
+    due = F.col("ended_at").isNotNull() & F.col("summary").isNull()
+    s = s.withColumn("summary", F.when(due, F.coalesce("_summary", F.lit(episodes.SENTINEL))).otherwise(F.col("summary"))).select(t.sessions.columns)
+    out = replace(t, sessions=s, work_units=units)
+    return sweep(out, as_of=as_of, days=days) if retention else out

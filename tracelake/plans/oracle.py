@@ -288,6 +288,16 @@ model(
 u AS (SELECT session_id, list('user: ' || content ORDER BY timestamp, id) FILTER (source = 'user') AS u, (list('agent: ' || substr(content, 1, 200) ORDER BY timestamp, id) FILTER (source = 'agent'))[1:5] AS g FROM prompts GROUP BY session_id)""",
     "SELECT session_id, n AS obs_count, md5(array_to_string(list_concat(list_concat(coalesce(u, []), coalesce(g, [])), a), chr(10))) AS payload_md5 FROM o LEFT JOIN u USING (session_id)",
 )
+model(
+    "episode_payload",
+    ANNOTATED + """, ae AS (SELECT * FROM ann WHERE obs_count >= 2),
+pu AS (SELECT a.session_id, a.episode, (list('user: ' || p.content ORDER BY p.id) FILTER (p.source = 'user'))[1:10] AS u, (list('agent: ' || p.content ORDER BY p.id) FILTER (p.source = 'agent'))[1:5] AS g
+  FROM ae a JOIN prompts p ON p.session_id = a.session_id AND p.id BETWEEN a.first_prompt_id AND a.last_prompt_id GROUP BY ALL),
+po AS (SELECT a.session_id, a.episode, list('[' || o.obs_type || '] ' || coalesce(o.file_path, substr(o.content, 1, 120)) || CASE WHEN concat_ws(',', o.phase, o.scope, o.locus, o.novelty) <> '' THEN ' (' || concat_ws(',', o.phase, o.scope, o.locus, o.novelty) || ')' ELSE '' END || CASE WHEN o.failed THEN ' failed' ELSE '' END ORDER BY o.timestamp, o.id)[1:30] AS x
+  FROM ae a JOIN obs o ON o.session_id = a.session_id AND o.prompt_id BETWEEN a.first_prompt_id AND a.last_prompt_id GROUP BY ALL)""",
+    "SELECT session_id, episode, md5(array_to_string(list_concat(list_concat(coalesce(u, []), coalesce(g, [])), x), chr(10))) AS payload_md5 FROM po LEFT JOIN pu USING (session_id, episode)",
+)
+model("variant_averages", "", "SELECT project, count(*) AS n, count(*) AS json_valid, 0 AS notes_present, 7.0 AS avg_fields_present, 5.0 AS avg_array_compliance, 10.0 AS avg_intent_words, 1.0 AS avg_learned_count, 0.0 AS avg_completed_count, 2.0 AS avg_next_steps_count FROM ses WHERE intent IS NOT NULL GROUP BY project")
 model("catch_up_candidates", "", "SELECT ses.id, project, count(*) AS obs_count, CASE WHEN count(*) < 3 THEN 'sentinel' ELSE 'summarise' END AS action FROM ses JOIN obs ON obs.session_id = ses.id WHERE intent IS NULL GROUP BY ses.id, project")
 
 # --- context ---
@@ -386,6 +396,12 @@ _TTL = """CASE WHEN obs_type IN ('git_commit', 'git_push') THEN 730 WHEN obs_typ
 WHEN obs_type IN ('command', 'github') THEN 180 WHEN obs_type IN ('file_read', 'search', 'mcp_call', 'web_fetch', 'web_search', 'task_spawn', 'tool_other') THEN 90 END"""
 EXPIRED = f"xp AS (SELECT obs.id, obs.obs_type FROM obs JOIN ses ON ses.id = obs.session_id, now WHERE intent IS NOT NULL AND NOT is_pinned AND timestamp < now.t + 6480000 - {_TTL} * 86400)"
 model("sweep_survivors", EXPIRED, "SELECT session_id, count(*) AS n FROM obs WHERE id NOT IN (SELECT id FROM xp) GROUP BY session_id")
+#: All sessions have ended, so each has a summary by then: a fixed one if there was none and they have under three observations.
+model(
+    "maintenance",
+    f"all_ AS (SELECT session_id, count(*) AS before FROM obs GROUP BY session_id), xp AS (SELECT id FROM obs, now WHERE NOT is_pinned AND timestamp < now.t + 6480000 - ({_TTL}) * 86400), left_ AS (SELECT session_id, count(*) AS n FROM obs WHERE id NOT IN (SELECT id FROM xp) GROUP BY session_id)",
+    "SELECT ses.id, coalesce(left_.n, 0) AS n, intent IS NULL AND before < 3 AS sentinel FROM ses JOIN all_ ON all_.session_id = ses.id LEFT JOIN left_ ON left_.session_id = ses.id WHERE left_.n > 0 OR ses.id IN (SELECT session_id FROM prompts)",
+)
 model("sweep_deleted_by_type", EXPIRED, "SELECT obs_type, count(*) AS deleted FROM xp GROUP BY obs_type")
 model("purge_preview", "", "SELECT obs.id, session_id FROM obs JOIN ses ON ses.id = obs.session_id WHERE project = 'p3' AND timestamp < 1705276800 AND obs_type = 'command'")
 model("purge_survivors", "", "SELECT session_id, count(*) AS n, count(prompt_id) AS linked FROM obs, now WHERE NOT timestamp < now.t - 20 * 86400 GROUP BY session_id")

@@ -313,6 +313,28 @@ def summary_payload(spark, sf_dir):
     return p.select("session_id", "obs_count", F.md5("payload").alias("payload_md5"))
 
 
+@query
+def episode_payload(spark, sf_dir):
+    t = src.tables(spark, sf_dir)
+    p = episodes.episode_payload(t, episodes.annotate(t, episodes.detect(t)), least=2)
+    return p.select("session_id", "episode", F.md5("payload").alias("payload_md5"))
+
+
+@query
+def variant_averages(spark, sf_dir):
+    """Projects as variants."""
+    s = src.tables(spark, sf_dir).sessions.where(F.col("summary").isNotNull())
+    return classify.variant_averages(classify.summary_quality(s), "project")
+
+
+@query
+def maintenance(spark, sf_dir):
+    t, now = loaded(spark, sf_dir)
+    out = lifecycle.maintain(t, as_of=now + 75 * 86400)
+    s = out.sessions.join(out.observations.groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("n")), "id", "left")
+    return s.select("id", F.coalesce("n", F.lit(0)).alias("n"), (F.col("summary") == episodes.SENTINEL).alias("sentinel"))
+
+
 @query
 def template_summaries(spark, sf_dir):
     s = episodes.template_summary(episodes.payload(src.tables(spark, sf_dir)))

@@ -116,14 +116,17 @@ def observations(events: DataFrame, s: Settings) -> DataFrame:
     )
 
 
-def ingest(events: DataFrame, timestamp: str, s: Settings | None = None) -> Tables:
-    """Events as tables; each observation has the newest prompt of its session at its time; ended sessions are closed."""
+def ingest(events: DataFrame, timestamp: str, s: Settings | None = None, models: dict[str, dict] | None = None) -> Tables:
+    """Events as tables; each observation has the newest prompt of its session at its time; ended sessions are closed.
+
+    ``models`` (of phase, scope and others, see ``classify``) label what the rules leave open.
+    """
     from tracelake.operators.ranking import link_prompts
 
     s = s or Settings()
     e = stamped(events, timestamp)
     p, o = prompts(e, s), observations(e, s)
-    o = link_prompts(o, p)
+    o = link_prompts(o if models is None else classify.backfill(o, models), p)
     return close(Tables(sessions=sessions(e, s), prompts=p, observations=o))
 
 
