@@ -209,6 +209,26 @@ def test_other_patterns(spark):
     assert "error: cargo" in context.pattern_report(errors)
 
 
+def test_seeds_of_intents(spark):
+    """Greedy clusters, chains among them, as one pass in order makes them."""
+    import random
+
+    rng = random.Random(6)
+    vocabulary = [f"word{i}" for i in range(14)]
+    rows, seen = [], set()
+    for i in range(150):
+        words = sorted(set(rng.choices(vocabulary, k=rng.randint(1, 6))))
+        if " ".join(words) not in seen:
+            seen.add(" ".join(words))
+            rows.append((" ".join(words), (rng.randrange(40), f"s{i}"), words))
+    want = {}
+    for bag, _, words in (inorder := sorted(rows, key=lambda r: r[1])):
+        if bag not in want:
+            want |= {b: bag for b, first, w in inorder if b not in want and (b == bag or 10 * len(set(w) & set(words)) >= 4 * len(set(w) | set(words)))}
+    df = spark.createDataFrame(rows, "bag string, first struct<started_at:long,id:string>, words array<string>")
+    assert {r.bag: r.seed for r in patterns._seeds(df).collect()} == want and 3 < len(set(want.values())) < len(want)
+
+
 TEXTS = ["the quick brown fox", "quick brown dogs and the fox", "a fox is quick", "brown bread", "", "running foxes run; the runner ran", "quick quick quick", "brown quick"]
 
 

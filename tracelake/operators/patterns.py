@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.functions.reliable import checkpoint
 from tracelake.functions.scalar import error_signature, exp_decay, failed, intent_keywords, is_diagnostic, is_reference_path, normalize_command, short_intent
 from tracelake.model import Tables
 
@@ -41,33 +41,61 @@ def recurring_errors(t: Tables, *, as_of: int, threshold: int = THRESHOLD, half_
     return grouped(o, "recurring_error", "key", "response", as_of=as_of, threshold=threshold, half_life=half_life)
 
 
-def _cluster(rows: pd.DataFrame) -> pd.DataFrame:
-    """Greedy clusters of the rows of a block, in order of time and id: a seed takes all later ones that are like it."""
-    rows = rows.sort_values(["started_at", "id"], ignore_index=True)
-    bags = [set(x) for x in rows["words"]]
-    seed = [-1] * len(rows)
-    for i in range(len(rows)):
-        if seed[i] < 0:
-            for j in range(i, len(rows)):
-                union = len(bags[i] | bags[j])
-                if seed[j] < 0 and (j == i or (union and len(bags[i] & bags[j]) / union >= 0.4)):
-                    seed[j] = i
-    return pd.DataFrame({"id": rows["id"], "seed": [rows["id"][i] for i in seed]})
+#: Of repeated intents: the least similarity of an intent to its seed's, as a fraction.
+ALIKE, OUT_OF = 4, 10
+
+
+def _alike(bags: DataFrame) -> DataFrame:
+    """``early, late``: pairs of bags (``bag, first, words``) with a Jaccard similarity of ALIKE/OUT_OF or more, the one that comes first
+    as ``early``.
+
+    Such bags share one of their first words, rare before frequent, so only bags that do are compared.
+    """
+    words = bags.select("bag", F.explode("words").alias("word"))
+    often = words.groupBy("word").agg(F.count("*").alias("often"))
+    in_order = words.join(often, "word").groupBy("bag").agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("w"))
+    n = F.size("w")
+    first = F.slice("w", F.lit(1), (n - F.ceil(n * ALIKE / OUT_OF) + 1).cast("int"))
+    prefix = in_order.select("bag", F.explode(first).alias("w")).select("bag", "w.word")
+    pairs = prefix.alias("x").join(prefix.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("x.bag") < F.col("y.bag"))).select(F.col("x.bag").alias("a"), F.col("y.bag").alias("b")).distinct()
+    x, y = (bags.select(F.col("bag").alias(k), F.col("first").alias(f"first_{k}"), F.col("words").alias(f"words_{k}")) for k in ("a", "b"))
+    both = pairs.join(x, "a").join(y, "b")
+    both = both.where(F.size(F.array_intersect("words_a", "words_b")) * OUT_OF >= F.size(F.array_union("words_a", "words_b")) * ALIKE)
+    later = F.col("first_a") > F.col("first_b")
+    return both.select(F.when(later, F.col("b")).otherwise(F.col("a")).alias("early"), F.when(later, F.col("a")).otherwise(F.col("b")).alias("late"), F.when(later, F.col("first_b")).otherwise(F.col("first_a")).alias("first"))
+
+
+def _seeds(bags: DataFrame) -> DataFrame:
+    """``bag, seed``: greedy clusters in order of ``first``, in which a seed takes all later bags that are like it and free.
+
+    In rounds: of those that a bag is like, the earliest that isn't known to be taken decides. If it is a seed, it takes the
+    bag; if there is none, the bag is a seed; else the bag waits. The earliest bag that waits is settled in each round.
+    """
+    edges = checkpoint(_alike(bags))
+    settled, waiting = None, checkpoint(bags.select("bag"))
+    while not waiting.isEmpty():
+        known = waiting.select("bag", F.lit(None).cast("string").alias("seed"))
+        known = known if settled is None else known.unionByName(settled)
+        open_ = known.where(F.col("seed").isNull() | (F.col("seed") == F.col("bag"))).select(F.col("bag").alias("early"), F.col("seed").isNotNull().alias("is_seed"))
+        first = edges.join(open_, "early").groupBy(F.col("late").alias("bag")).agg(F.min(F.struct("first", "early", "is_seed")).alias("x"))
+        now = checkpoint(waiting.join(first, "bag", "left").select("bag", F.when(F.col("x").isNull(), F.col("bag")).when(F.col("x.is_seed"), F.col("x.early")).alias("seed")))
+        done = now.where("seed IS NOT NULL")
+        settled = done if settled is None else settled.unionByName(done)
+        waiting = now.where("seed IS NULL").select("bag")
+    return settled if settled is not None else bags.select("bag", F.lit(None).cast("string").alias("seed"))
 
 
 def repeated_intents(t: Tables, *, as_of: int, threshold: int = THRESHOLD, half_life: float = HALF_LIFE_HOURS) -> DataFrame:
     """Sessions of like intents (Jaccard of keywords with a seed's of 0.4 or more).
 
-    Equal keyword sets are one before they are clustered, so the one task that compares them has a row for each distinct
-    set, not for each session. Order is by first start and id; the newest intent stands for its group.
+    Equal keyword sets are one before they are clustered. Order is by first start and id; the newest intent stands for its group.
     """
     s = t.sessions.withColumn("intent", F.get_json_object("summary", "$.intent")).where(F.col("intent").isNotNull())
     s = s.select("id", "started_at", "intent", F.array_sort(F.array_distinct(intent_keywords(F.col("intent")))).alias("words"))
-    bag = F.array_join("words", " ")
-    distinct = s.groupBy(bag.alias("bag")).agg(F.min(F.struct("started_at", "id")).alias("first"), F.first("words").alias("words"))
     # No keywords: such intents are like none, each is a cluster of its own.
-    seeds = distinct.where("bag != ''").select(F.col("bag").alias("id"), F.col("first.started_at").alias("started_at"), "words").groupBy().applyInPandas(_cluster, "id string, seed string")
-    s = s.withColumn("bag", bag).join(seeds.withColumnRenamed("id", "bag"), "bag")
+    s = s.withColumn("bag", F.array_join("words", " ")).where("bag != ''")
+    bags = checkpoint(s.groupBy("bag").agg(F.min(F.struct("started_at", "id")).alias("first"), F.first("words").alias("words")))
+    s = s.join(_seeds(bags), "bag")
     heat = F.sum(exp_decay((F.lit(as_of) - F.col("started_at")) / 3600.0, half_life))
     g = s.groupBy("seed").agg(F.count("*").alias("session_count"), F.round(heat, 6).alias("heat"), F.array_sort(F.collect_set("id")).alias("sessions"), F.max_by("intent", F.struct("started_at", "id")).alias("example"))
     g = g.where(F.col("session_count") >= threshold).withColumn("pattern", short_intent(F.col("example")))
