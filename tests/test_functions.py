@@ -170,3 +170,13 @@ def test_schedules_and_tasks():
     assert kernels.parse_task("---\nproject: p\nafter: 2h\n---\nDo it\n") == {"project": "p", "cwd": None, "after": "2h", "prompt": "Do it"}
     assert kernels.parse_task("---\nproject: p\nno end")["prompt"] == "---\nproject: p\nno end"
     assert kernels.balanced_json('x {"a":"}\\"{","b":{}} y') == '{"a":"}\\"{","b":{}}' and kernels.balanced_json("{ open") is None
+
+
+def test_display_strings(spark):
+    fail = '{"failed":true,"response":"exit 1"}'
+    line = lambda t, p, c, m: scalar.action_line(t, p, c, [F.lit("act"), F.lit(None).cast("string"), F.lit("internal")], m)
+    cases = [("command", None, "c" * 90, None), ("file_edit", "/a", "x" * 70, None), ("file_edit", "/a", "", None), ("command", None, "ls", fail), ("command", None, "ls", '{"failed":true}')]
+    assert col(spark, cases, line, ["string"] * 4) == ["[command|act|internal] " + "c" * 80, "[file_edit|act|internal] /a - " + "x" * 60, "[file_edit|act|internal] /a", "[command|act|internal] ls FAILED: exit 1", "[command|act|internal] ls FAILED"]
+    logs = [("git_commit", None, "git commit", '{"commit_hash":"ab1","commit_message":"m","insertions":3}'), ("git_push", None, "git push", '{"hash_range":"a..b","branch":"main"}'), ("git_push", None, "git push", None), ("file_read", "/f", "x", None), ("command", None, "y" * 99, None)]
+    assert col(spark, logs, scalar.log_message, ["string"] * 4) == ["git_commit: [ab1] m (3+/0−)", "git_push: a..b main → ?", "git_push: git push", "file_read: /f", "command: " + "y" * 80]
+    assert col(spark, [("/f", "x"), (None, "z" * 61), (None, "short")], scalar.row_title, ["string"] * 2) == ["/f", "z" * 60 + "...", "short"]

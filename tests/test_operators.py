@@ -388,6 +388,7 @@ def test_timeouts(spark):
         return spark.createDataFrame([(list(rtts),)], "r array<double>").select(fleet.estimate(F.col("r"))).first()[0]
 
     assert rto() == 3.0 and rto(0.1) == pytest.approx(0.3) and 0.09 < rto(*[0.1] * 50) < 0.15 and rto(0.2) == pytest.approx(0.6) and rto(*[0.001] * 60) == 0.05
+    assert rto(0.1, None) == pytest.approx(0.4) and rto(0.1, None, None) == pytest.approx(0.6)
     v = spark.createDataFrame([(i, 5, 5 if i % 2 else 4) for i in range(10)], "claim long, n long, k long")
     row = fleet.ensemble_quality(v).first()
     assert (row.agreement, row.majority_right) == (0.9, 0.99144)
@@ -404,6 +405,16 @@ def test_models(spark):
     rows = [(f"{'good fine nice' if i % 2 else 'bad awful poor'} text {i % 5}", "good" if i % 2 else "poor") for i in range(60)]
     model_ = classify.train(spark.createDataFrame(rows, "text string, label string"), "text", "label", ("poor", "good"))
     assert classify.predict(model_, "nice and good")[0] == "good" and classify.predict(model_, "awful")[0] == "poor"
+    assert model_["char"]["vocabulary"] and "accuracy" not in model_
+    mixed = [(f"{' '.join(('red', 'blue', 'green')[(i * j) % 3] for j in range(4))} {'bad' if i % 3 else 'good'}ness {i % 7}", "poor" if i % 3 else "good") for i in range(120)]
+    frame = spark.createDataFrame(mixed, "text string, label string")
+    checked = classify.train(frame, "text", "label", ("poor", "good"), folds=5)
+    assert checked["accuracy"] > 0.95 and classify.train(frame.limit(0), "text", "label", ("poor", "good"))["bias"] == 0
+    none_yet = spark.createDataFrame([], "id long, name string, model_hash string, accuracy double, created_at long")
+    runs, first = classify.register_run(none_yet, "phase", checked, as_of=5)
+    again, second = classify.register_run(runs, "phase", checked, as_of=6)
+    other, third = classify.register_run(again, "scope", checked, as_of=7)
+    assert (first, second, third, other.count(), other.agg(F.max("accuracy")).first()[0]) == (1, 1, 2, 2, checked["accuracy"])
     obs = observations(spark, [{"id": 1, "content": "fix bug"}, {"id": 2, "content": "x", "phase": "keep"}])
     assert {r.id: r.phase for r in classify.backfill(obs, {"phase": m}).collect()} == {1: "a", 2: "keep"}
     pairs = spark.createDataFrame([("x", "x"), ("x", "y"), ("y", "y"), ("y", "y")], "expected string, predicted string")

@@ -224,3 +224,25 @@ def shannon_entropy(text: Column) -> Column:
     n = F.size(code).cast("double")
     terms = F.transform(F.array_distinct(code), lambda b: F.size(F.filter(code, lambda x: x == b)) / n)
     return F.when(n > 0, -F.aggregate(terms, F.lit(0.0), lambda a, p: a + p * F.log2(p))).otherwise(0.0)
+
+
+def action_line(obs_type: Column, path: Column, content: Column, labels: list[Column], metadata: Column) -> Column:
+    """An action for a summary: type and labels, file and 60 characters of it or 80 without a file, and what failed, 120 characters."""
+    tag = F.concat(F.lit("["), F.concat_ws("|", obs_type, *labels), F.lit("] "))
+    short = F.substring(content, 1, 60)
+    base = F.concat(tag, F.when(path.isNull(), F.substring(content, 1, 80)).when(short == "", path).otherwise(F.concat(path, F.lit(" - "), short)))
+    error = F.substring(F.coalesce(F.get_json_object(metadata, "$.response"), F.lit("")), 1, 120)
+    return F.when(~failed(metadata), base).when(error == "", F.concat(base, F.lit(" FAILED"))).otherwise(F.concat(base, F.lit(" FAILED: "), error))
+
+
+def log_message(obs_type: Column, path: Column, content: Column, metadata: Column) -> Column:
+    """An action for a log: a commit by hash, message and lines, a push by range, branch and remote, else its file or 80 characters."""
+    of = lambda x, other: F.coalesce(F.get_json_object(metadata, f"$.{x}"), F.lit(other))
+    commit = F.concat(F.lit("git_commit: ["), of("commit_hash", "?"), F.lit("] "), of("commit_message", ""), F.lit(" ("), of("insertions", "0"), F.lit("+/"), of("deletions", "0"), F.lit("−)"))
+    push = F.concat(F.lit("git_push: "), of("hash_range", "?"), F.lit(" "), of("branch", "?"), F.lit(" → "), of("remote_url", "?"))
+    return F.when((obs_type == "git_commit") & metadata.isNotNull(), commit).when((obs_type == "git_push") & metadata.isNotNull(), push).otherwise(F.concat(obs_type, F.lit(": "), F.coalesce(path, F.substring(content, 1, 80))))
+
+
+def row_title(path: Column, content: Column) -> Column:
+    """A file, or 60 characters of what was done."""
+    return F.coalesce(path, F.when(F.char_length(content) > 60, F.concat(F.substring(content, 1, 60), F.lit("..."))).otherwise(content))

@@ -11,12 +11,12 @@ ALPHA, BETA, K, FLOOR, COLD = 0.25, 0.25, 4.0, 0.05, 3.0
 def estimate(rtts: Column) -> Column:
     """The time-out (seconds) after the ordered round-trip times of an array: smoothed mean and four deviations.
 
-    The first sample sets the mean and half of it as deviation; then the deviation follows first, from the old mean. Without
-    samples it is three seconds; it never is less than 50 ms.
+    The first sample sets the mean and half of it as deviation; then the deviation follows first, from the old mean. A null stands
+    for a time-out: it doubles the mean. Without samples it is three seconds; it never is less than 50 ms.
     """
     kind = "struct<srtt:double,var:double,n:int>"
     start = F.struct(F.lit(0.0).alias("srtt"), F.lit(0.0).alias("var"), F.lit(0).alias("n")).cast(kind)
-    step = lambda a, r: F.when(a["n"] == 0, F.struct(r.alias("srtt"), (r / 2).alias("var"), F.lit(1).alias("n"))).otherwise(
+    step = lambda a, r: F.when(r.isNull(), F.struct((a["srtt"] * 2).alias("srtt"), a["var"].alias("var"), a["n"].alias("n"))).when(a["n"] == 0, F.struct(r.alias("srtt"), (r / 2).alias("var"), F.lit(1).alias("n"))).otherwise(
         F.struct((a["srtt"] * (1 - ALPHA) + r * ALPHA).alias("srtt"), (a["var"] * (1 - BETA) + F.abs(a["srtt"] - r) * BETA).alias("var"), (a["n"] + 1).alias("n")))
     return F.aggregate(rtts, start, step, lambda a: F.when(a["n"] == 0, COLD).otherwise(F.greatest(a["srtt"] + a["var"] * K, F.lit(FLOOR))))
 
