@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.functions.reliable import checkpoint, folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANKS = " \t\n\x0b\x0c\r"
-#: A broadcast side may have this many rows at most; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: A broadcast side may have this many rows at most, or this many of two or three longs; beyond it the join shuffles.
+BROADCAST_ROWS, KEYS = 200_000, 1_000_000
 
 
 def lower_ascii(text: Column) -> Column:
@@ -19,27 +20,29 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def folder(spark: SparkSession) -> str:
-    """The reliable folder that the cluster names; only unset, as in tests, a local one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the reliable folder."""
-    folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Names of the tables that this process has stored.
+_MADE: set[str] = set()
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df``, written as a table in the reliable folder and read again: smaller than a checkpoint for long texts."""
-    path = f"{folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    """``df``, written as a table in the reliable folder and read again: smaller than a checkpoint for long texts, and read by column."""
+    name = f"stored-{uuid.uuid4().hex}"
+    _MADE.add(name)
+    path = f"{folder(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of tables that ``stored`` has made and ``df`` reads, once nothing needs them any more; no others."""
+    jvm = df.sparkSession._jvm
+    for folder_ in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        if (name := folder_.rpartition("/")[2]) in _MADE:
+            path = jvm.org.apache.hadoop.fs.Path(folder_)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            _MADE.discard(name)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like these that ``df`` doesn't have."""
     out = []
@@ -60,13 +63,16 @@ def without(df: DataFrame, keys: DataFrame, *cols: str) -> DataFrame:
     """The rows of ``df`` whose hashes of ``cols`` aren't among ``keys`` (k1, k2): with a broadcast of these if they are few."""
     rows, names = keyed(df, *cols)
     keys = checkpoint(keys.select(*[F.col(k).alias(n) for k, n in zip(("k1", "k2"), names)]))
-    keys = broadcast_if_small(keys, keys.count(), 1_000_000)
+    keys = broadcast_if_small(keys, keys.count(), KEYS)
     return rows.join(keys, names, "left_anti").select(*df.columns)
 
 
-def broadcast_if_small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if ``rows``, a counted figure, is within the bound; else ``df``, for a shuffled join."""
-    return F.broadcast(df) if rows <= most else df
+def broadcast_if_small(df: DataFrame, rows: int, most: int | None = None) -> DataFrame:
+    """A broadcast hint if ``rows``, a counted figure, is within the bound (BROADCAST_ROWS); else ``df``, for a shuffled join.
+
+    ``df`` should be kept already: then both sides of a shuffled join are plain exchanges, which adaptive execution can split.
+    """
+    return F.broadcast(df) if rows <= (BROADCAST_ROWS if most is None else most) else df
 
 
 def columns(df: DataFrame, **named: str) -> DataFrame:

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import BROADCAST_ROWS, broadcast_if_small, checkpoint, columns, lower_ascii, read, row_key
+from tracelake.llm import common
+from tracelake.llm.common import broadcast_if_small, checkpoint, columns, lower_ascii, read, row_key
 
 WINDOW, GRAM = 10, 5
 #: What is between words; A-Z are lower-cased, not separators.
@@ -71,22 +72,26 @@ def find_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
         return d.select(F.col("id").alias("doc_id"), "k1", "k2", F.coalesce(F.size(words_of(F.col("text"))), F.lit(0)).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     spans = checkpoint(spans.distinct())
 
+    n_spans = spans.count()
+    # Only whether a window is one of the benchmark's: no row for each item that has it.
+    windows = checkpoint(spans.select("n", "w1", "w2").distinct())
     found = []
     if window in lengths:
         theirs = checkpoint(fingerprints(unique.where(F.col("n") == window), [], window, gram).select("fp").distinct())
         hits = fingerprints(worded, ["k1", "k2"], window, gram).join(broadcast_if_small(theirs, theirs.count()), "fp", "left_semi")
         hits = checkpoint(hits.groupBy("k1", "k2").agg(F.collect_set("pos").alias("pos")))
         size = hits.agg(F.sum(F.size("pos") + 8)).first()[0] or 0
-        hit = worded.join(broadcast_if_small(hits, size, 10 * BROADCAST_ROWS), ["k1", "k2"])
+        hit = worded.join(broadcast_if_small(hits, size, 10 * common.BROADCAST_ROWS), ["k1", "k2"])
         around = F.array_distinct(F.flatten(F.transform("pos", lambda p: F.sequence(F.greatest(p - (window - gram), F.lit(0)), p))))
-        found.append((window, hit.select("k1", "k2", "words", F.explode(around).alias("i")).where(F.col("i") <= F.size("words") - window)))
-    found += [(n, worded.select("k1", "k2", "words", F.explode(upto(F.size("words") - n)).alias("i"))) for n in lengths if n < window]
-    n_spans = spans.count()
+        at = hit.select("k1", "k2", "words", F.explode(around).alias("i")).where(F.col("i") <= F.size("words") - window)
+        found.append(at.select("k1", "k2", "i", F.lit(window).alias("n"), *[ngram_hash(F.col("words"), F.col("i"), window, s).alias(f"w{s}") for s in (1, 2)]))
+    # A pass for each shorter length that there is: rows that keep the words while they wait for a second explode would not fit.
+    for n in (n for n in lengths if n < window):
+        at = worded.select("k1", "k2", "words", F.explode(upto(F.size("words") - n)).alias("i"))
+        found.append(at.select("k1", "k2", "i", F.lit(n).alias("n"), *[ngram_hash(F.col("words"), F.col("i"), n, s).alias(f"w{s}") for s in (1, 2)]))
     matched = None
-    for n, at in found:
-        at = at.select("k1", "k2", "i", *[ngram_hash(F.col("words"), F.col("i"), n, s).alias(f"w{s}") for s in (1, 2)])
-        # Only whether a window is one of the benchmark's: no row for each item that has it.
-        one = at.join(broadcast_if_small(spans.where(F.col("n") == n).select("w1", "w2").distinct(), n_spans), ["w1", "w2"], "left_semi").withColumn("n", F.lit(n))
+    for at in found:
+        one = at.join(broadcast_if_small(windows, n_spans), ["n", "w1", "w2"], "left_semi")
         matched = one if matched is None else matched.unionByName(one)
     matched = checkpoint(matched)
 
@@ -97,9 +102,10 @@ def find_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
         lambda a: a["n"],
     )
     covered = matched.groupBy("k1", "k2").agg(cover.alias("n_hit"))
-    named = b.where(F.col("item").isNotNull()).groupBy("c1", "c2").agg(F.collect_set("item").alias("ids"))
-    classes = matched.select("k1", "k2", "w1", "w2", "n").distinct().join(broadcast_if_small(spans, n_spans), ["w1", "w2", "n"]).select("k1", "k2", "c1", "c2").distinct()
-    ids = classes.join(named, ["c1", "c2"]).groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("items"))
+    named = checkpoint(b.where(F.col("item").isNotNull()).groupBy("c1", "c2").agg(F.collect_set("item").alias("ids")))
+    classes = checkpoint(matched.select("k1", "k2", "w1", "w2", "n").distinct())
+    classes = checkpoint(classes.join(broadcast_if_small(spans, n_spans), ["w1", "w2", "n"]).select("k1", "k2", "c1", "c2").distinct())
+    ids = classes.join(broadcast_if_small(named, named.count()), ["c1", "c2"]).groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("items"))
     out = d.select("id", "k1", "k2", F.coalesce(F.size(words_of(F.col("text"))), F.lit(0)).cast("long").alias("n_words")).join(covered, ["k1", "k2"], "left").join(ids, ["k1", "k2"], "left")
     return out.select(F.col("id").alias("doc_id"), "k1", "k2", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 

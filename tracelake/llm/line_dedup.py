@@ -48,7 +48,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verdict = checkpoint(verdict.where(F.col("n") >= min_docs).select("h1", "h2", "keeper"))
     hits = lines.join(broadcast_if_small(verdict, verdict.count()), ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
     # Repeated rows share a key: their positions come once for each copy, hence the set.
-    dropped = hits.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+    dropped = checkpoint(hits.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("pos")).alias("dropped")))
     lines_of = F.split("text", "\n", -1)
     out = d.join(dropped, ["k1", "k2"], "left")
     return out.select(

@@ -18,12 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import textcore
+from tracelake.llm import common, textcore
 from tracelake.llm.common import broadcast_if_small, checkpoint, columns, read
 
 WINDOW = 35
-#: Rows of two longs each that may be broadcast; about 100 MB on an executor.
-KEYS = 1_000_000
 
 
 class Grams:
@@ -171,16 +169,16 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     grams = keyed.mapInArrow(anchor_batches(window, False), "gram long, loc long")
     grams = checkpoint(grams.groupBy("gram").agg(F.min("loc").alias("a"), F.max("loc").alias("b")).where("a != b").select("gram"))
     extended = keyed.mapInArrow(anchor_batches(window, True), "gram long, t1 long, t2 int, pos int, left long, right long")
-    extended = extended.join(broadcast_if_small(grams, grams.count(), KEYS), "gram", "left_semi")
+    extended = extended.join(broadcast_if_small(grams, grams.count(), common.KEYS), "gram", "left_semi")
     sides = extended.select("t1", "t2", "pos", F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(x).alias("h")) for i, x in enumerate(("left", "right"))])).alias("x"))
     sides = checkpoint(sides.select("t1", "t2", (F.col("pos") * 2 + F.col("x.side")).alias("side"), F.col("x.h").alias("h")).where("h IS NOT NULL"))
     loc = F.xxhash64("t1", "t2", "side")
     twice = checkpoint(sides.groupBy("h").agg(F.min(loc).alias("a"), F.max(loc).alias("b")).where("a != b").select("h"))
-    sides = sides.join(broadcast_if_small(twice, twice.count(), KEYS), "h", "left_semi")
+    sides = sides.join(broadcast_if_small(twice, twice.count(), common.KEYS), "h", "left_semi")
     sides = checkpoint(sides.groupBy("t1", "t2").agg(F.collect_set("side").alias("sides")))
 
     n = sides.count()
-    near = keyed.join(broadcast_if_small(sides.select("t1", "t2"), n, KEYS), ["t1", "t2"], "left_semi") if n <= KEYS else keyed
+    near = keyed.join(broadcast_if_small(sides.select("t1", "t2"), n, common.KEYS), ["t1", "t2"], "left_semi") if n <= common.KEYS else keyed
     near = near.dropDuplicates(["t1", "t2"]).join(sides, ["t1", "t2"])
     windows = checkpoint(near.select("t1", "t2", "text", "sides").mapInArrow(window_batches(window), "t1 long, t2 int, pos array<int>, w1 array<long>, w2 array<long>"))
     each = windows.select("t1", "t2", F.explode(F.arrays_zip("pos", "w1", "w2")).alias("x"))
@@ -194,7 +192,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     n = found.count()
     cut, out = cut_batches(window), f"doc_id {kind}, text string, n_words long, n_removed long"
     flags = ["id", "text", "starts", "copied"]
-    if n > KEYS:
+    if n > common.KEYS:
         return d.join(found, ["t1", "t2"], "left").select("id", "text", "starts", F.coalesce("copied", F.lit(False)).alias("copied")).mapInArrow(cut, out)
     # Only texts that lose a part of their words are shuffled; the rest are told apart by their keys.
     known = d.join(F.broadcast(found.select("t1", "t2", "copied")), ["t1", "t2"], "left")
