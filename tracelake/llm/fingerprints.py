@@ -1,8 +1,9 @@
 """Document fingerprints (4): SimHash with weighted terms, and a Hamming search over permuted block tables.
 
-Terms are 3-word shingles; a term's weight grows with its length, and each occurrence votes again. The fingerprint query
-compares a text with its edited form and with the next document: rows are dealt by ranges of the id, and the first row of
-each range also goes to the range before it, so that no row needs a window over the whole table.
+Terms are 3-word shingles; a term's weight, a whole number, grows with its length, and each occurrence votes again. The
+fingerprint query compares a text with its edited form and with the next document: rows are dealt by ranges of the id (those
+without one, which come last, by ranges of a hash), and the first row of each range also goes to the range before it, so that no
+row needs a window over the whole table.
 
 The search cuts fingerprints into RADIUS + 2 blocks. Within the radius at least two blocks are equal, so there is a table for
 each pair of blocks, as if the bits had been permuted to put that pair first. Only distinct fingerprints are in the tables,
@@ -21,33 +22,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import textcore
-from tracelake.llm.common import checkpoint, columns, read, row_key
+from tracelake.llm.common import broadcast_if_small, checkpoint, columns, read, row_key
 
 BITS, SHINGLE, RADIUS = 64, 3, 3
+#: Votes of a term of one byte, for each doubling of its length, and at most. Terms whose votes are counted at a time: the sums
+#: of so many are exact in 32-bit floats.
+UNIT, MOST, PART = 16, 128, 1 << 12
 
 
 def simhash(column: pa.Array) -> np.ndarray:
-    """Fingerprints of an array of texts: 0 for a text without words. Texts of equal words have equal ones."""
+    """Fingerprints of an array of texts: 0 for a text without words. Texts of equal words have equal ones.
+
+    A bit is 1 if the terms whose hash has it set have more than half of all votes.
+    """
     out = np.zeros(len(column), np.uint64)
-    for at, data, offsets in textcore.texts(column):
-        starts, ends, first = textcore.words(data, offsets)
-        if not len(starts):
-            continue
-        hashes = textcore.word_hashes(data, starts, ends)
-        n = np.diff(first)
-        # A text of fewer words than a shingle is one term.
-        terms = np.where(n >= SHINGLE, n - SHINGLE + 1, (n > 0).astype(np.int64))
-        has = np.flatnonzero(terms)
-        begin = np.cumsum(terms[has]) - terms[has]
-        index = np.repeat(first[has] - begin, terms[has]) + np.arange(terms[has].sum())
-        last = np.minimum(index + SHINGLE, np.repeat(first[has + 1], terms[has]))
-        term = textcore.range_hashes(hashes, index, last, textcore.BASES[1])
-        weight = np.minimum(1 + np.log2(ends[last - 1] - starts[index]), 8).astype(np.float32)
-        bits = np.unpackbits(term.view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
-        bits -= np.float32(0.5)
-        bits *= weight[:, None]
-        for row, lo, hi in zip((at + has).tolist(), begin.tolist(), (begin + terms[has]).tolist()):
-            out[row] = np.packbits(bits[lo:hi].sum(axis=0) > 0).view(np.uint64)[0]
+    for at, hashes, starts, ends, first in textcore.hashed(column, folded=False):
+        for row in np.flatnonzero(np.diff(first)).tolist():
+            lo, hi = int(first[row]), int(first[row + 1])
+            votes, total = np.zeros(BITS, np.int64), 0
+            # A text of fewer words than a shingle is one term.
+            for i in range(lo, max(lo + 1, hi - SHINGLE + 1), PART):
+                begin = np.arange(i, min(i + PART, max(lo + 1, hi - SHINGLE + 1)))
+                last = np.minimum(begin + SHINGLE, hi)
+                term = textcore.range_hashes(hashes[i : last[-1]], begin - i, last - i, textcore.BASES[1])
+                weight = np.minimum(UNIT + np.floor(UNIT * np.log2(ends[last - 1] - starts[begin])), MOST).astype(np.float32)
+                bits = np.unpackbits(term.view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
+                votes += (weight @ bits).astype(np.int64)
+                total += int(weight.sum(dtype=np.float64))
+            out[at + row] = np.packbits(votes * 2 > total).view(np.uint64)[0]
     return out
 
 
@@ -55,26 +57,32 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 - np.bitwise_count(a ^ b) / BITS
 
 
-def deal(bounds: np.ndarray):
-    """Adds ``part``, ``halo`` to batches: the range of the id, and copies of each range's first rows for the range before."""
+#: Bits that are left out of numbers beyond 52, which quantiles would round: so many neighbours then open a range together.
+SHIFT = 12
+
+
+def deal(ids: np.ndarray, hashes: np.ndarray, shift: int):
+    """Adds ``part``, ``halo`` to batches of ``id, text, k1``: the range of the id, or without one of the hash, and copies of each
+    range's first rows for the range before (1), of the first range's for the last (2).
+
+    ``ids, hashes``: the least of each range, which are there, without their last ``shift`` bits, or SHIFT.
+    """
+    parts = len(ids) + len(hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id")
-            null = np.asarray(ids.is_null())
-            values = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            part = np.where(null, len(bounds), np.maximum(np.searchsorted(bounds, values, "right") - 1, 0)).astype(np.int32)
-            firsts = np.flatnonzero(~null & (values == bounds[np.minimum(part, len(bounds) - 1)])) if len(bounds) else np.zeros(0, np.int64)
-            nulls = np.flatnonzero(null)
-            whole = batch.append_column("part", pa.array(part)).append_column("halo", pa.array(np.zeros(len(part), np.int32)))
-            yield whole
-            for rows, to, halo in ((firsts[part[firsts] > 0], part[firsts[part[firsts] > 0]] - 1, 1), (nulls, np.full(len(nulls), len(bounds) - 1, np.int32), 1), (firsts[part[firsts] == 0], None, 2)):
-                if to is None:  # the table's first row comes after its last, in whichever range that is
-                    for last in (len(bounds) - 1, len(bounds)):
-                        if len(rows):
-                            yield batch.take(pa.array(rows)).append_column("part", pa.array(np.full(len(rows), last, np.int32))).append_column("halo", pa.array(np.full(len(rows), 2, np.int32)))
-                elif len(rows) and len(bounds):
-                    yield batch.take(pa.array(rows)).append_column("part", pa.array(to.astype(np.int32))).append_column("halo", pa.array(np.full(len(rows), halo, np.int32)))
+            null = np.asarray(batch.column("id").is_null())
+            value, hash_ = batch.column("id").fill_null(0).to_numpy(zero_copy_only=False), batch.column("k1").to_numpy(zero_copy_only=False)
+            part, first = np.zeros(len(null), np.int64), np.zeros(len(null), bool)
+            for own, bounds, x, begin in ((~null, ids, value >> shift, 0), (null, hashes, hash_ >> SHIFT, len(ids))):
+                if own.any():
+                    at = np.maximum(np.searchsorted(bounds, x[own], "right") - 1, 0)
+                    part[own], first[own] = at + begin, bounds[at] == x[own]
+            yield batch.append_column("part", pa.array(part.astype(np.int32))).append_column("halo", pa.array(np.zeros(len(part), np.int32)))
+            if len(rows := np.flatnonzero(first)):
+                to = (part[rows] - 1) % parts
+                halo = np.where(part[rows] > 0, 1, 2)
+                yield batch.take(pa.array(rows)).append_column("part", pa.array(to.astype(np.int32))).append_column("halo", pa.array(halo.astype(np.int32)))
 
     return run
 
@@ -95,7 +103,7 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         changed = simhash(pa.array(edited, pa.large_string()))
         return pa.RecordBatch.from_pydict(
             {
-                "doc_id": [x[1] for x in left],
+                "doc_id": pa.array([x[1] for x in left], pa.int64()),
                 "n_chars": [len(x[2]) for x in left],
                 "edited_sha256": [hashlib.sha256(x.encode("utf-8")).hexdigest() for x in edited],
                 "fp": own.view(np.int64),
@@ -105,7 +113,6 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             }
         )
 
-    # Without any id there is no first row to come round again: the last one is then followed by itself.
     for whole in batches:
         for at in range(0, whole.num_rows, 1000):
             batch = whole.slice(at, 1000)
@@ -129,19 +136,23 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fp, edited_fp, near_edited, near_next``: every row against the next by integer id.
 
-    Null ids come last, ties are ordered by the hash of the text, and after the last row comes the first. A null text is
-    empty; an empty text has fingerprint 0. Repeated rows are all returned, each followed by the next copy. An empty table
-    gives an empty result; other columns are not read.
+    An id that is no integer is none. Rows without an id come last, by a hash of the text, which also orders ties; after the last
+    row comes the first. A null text is empty; an empty text has fingerprint 0. Repeated rows are all returned, each followed by
+    the next copy. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     d = columns(docs, id=id_col, text=text_col)
-    d = d.select(F.col("id").cast("long").alias("id"), "text", row_key(d["id"], d["text"])[0])
+    id_ = d["id"].try_cast("long")
+    d = d.select(id_.alias("id"), "text", row_key(id_, d["text"])[0])
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranges = 8 * parts  # several for each partition, so that their hashes share them out evenly
-    found = d.agg(F.min("id"), F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()
-    bounds = np.array(sorted({found[0], *(found[1] or [])} - {None}), np.int64)
+    cuts = lambda x: (F.min(x), F.percentile_approx(x, [i / ranges for i in range(1, ranges)], 10 * ranges))
+    ends = d.agg(F.min("id"), F.max("id")).first()
+    shift = SHIFT if any(x is not None and abs(x) >= 1 << 52 for x in ends) else 0
+    found = d.agg(*cuts(F.shiftright("id", shift)), *cuts(F.when(F.col("id").isNull(), F.shiftright("k1", SHIFT)))).first()
+    ids, hashes = (np.array(sorted({least, *(more or [])} - {None}), np.int64) for least, more in (found[:2], found[2:]))
     kind = "id long, text string, k1 long, part int, halo int"
-    dealt = d.mapInArrow(deal(bounds), kind).repartition(parts, "part").sortWithinPartitions("part", "halo", F.col("id").isNull(), "id", "k1")
+    dealt = d.mapInArrow(deal(ids, hashes, shift), kind).repartition(parts, "part").sortWithinPartitions("part", "halo", F.col("id").isNull(), "id", "k1")
     return dealt.mapInArrow(compared, "doc_id long, n_chars long, edited_sha256 string, fp long, edited_fp long, near_edited double, near_next double")
 
 
@@ -218,7 +229,9 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelake.llm.near_dedup import as_hex
 
     out = checkpoint(fingerprint_pairs(read(spark, sf_dir, "documents")))
-    asked = F.col("doc_id") % 20 == 0
-    near = within(out.select("fp", F.coalesce(asked, F.lit(False)).alias("asked")))
-    out = out.join(near, "fp", "left").withColumn("n_near", F.when(asked, F.col("near") - 1))
+    asked = F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False))
+    near = checkpoint(within(out.select("fp", asked.alias("asked"))))
+    # Only rows that ask are joined; a fingerprint that many of them have is split, as both sides are plain exchanges.
+    found = out.where(asked).join(broadcast_if_small(near, near.count()), "fp").withColumn("n_near", F.col("near") - 1).drop("near")
+    out = found.unionByName(out.where(~asked).withColumn("n_near", F.lit(None).cast("long")))
     return out.select("doc_id", "n_chars", "edited_sha256", as_hex("fp").alias("fingerprint"), as_hex("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", "n_near")
