@@ -50,6 +50,32 @@ def test_evidence(spark, model):
     assert {out[i].lang for i in (303, 304, 305)} == {"und"}
 
 
+def test_against_plain_python(spark, model):
+    import random
+
+    from tests.llm import brute
+
+    rng = random.Random(4)
+    words = {"en": "the of and in to it is that for".split(), "de": "der die und nicht ist das ein".split(), "fr": "les des une pour dans que".split(), None: "xq zzv wk".split()}
+    rows = []
+    for i in range(120):
+        lang = rng.choice(list(words))
+        text = " ".join(rng.choices(words[lang], k=rng.randint(1, 12)))
+        rows.append((i, rng.choice([text, text, text, "", None, "1 2 3"]), rng.choice([lang, None, "de", "xx"]), rng.choice(["a.de", "b.de", "c.com", None]), rng.choice(["de", "com"])))
+    out = {r.id: (r.lang, r.confidence) for r in lang_id.fuse(spark.createDataFrame(rows, "id long, text string, declared string, host string, suffix string"), model).collect()}
+    want = brute.fuse(rows, model, lang_id.POWER, lang_id.HOST_WEIGHT, lang_id.SUFFIX_WEIGHT, lang_id.DECLARED_WEIGHT)
+    assert {i: x[0] for i, x in out.items()} == {i: x[0] for i, x in want.items()}
+    assert {i: x[1] for i, x in out.items()} == pytest.approx({i: x[1] for i, x in want.items()}, abs=2e-5)
+
+
+def test_rare_and_copied_labels(spark):
+    """A rare label has a model beside one whose copied text is most rows; of many labels the most frequent have one."""
+    rows = [("der die und nicht " * 9, "de")] * 3000 + [(f"the of and in {i}", "en") for i in range(40)] + [(f"les des une pour {i}", "fr") for i in range(3)] + [(f"x {i}", f"l{i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    assert {"de", "en", "fr", "und"} <= set(lang_id.train(df, sample=20).languages)
+    assert lang_id.train(df, most=3).languages == ["de", "en", "fr", "und"]
+
+
 def test_pages(spark, model):
     page = '<!DOCTYPE html><HTML class="a" LANG="fr-FR"><head><title>x</title></head><body><script>var the = "and";</script><p>les des une pour dans</p></body></html>'
     df = spark.createDataFrame([(1, "https://user@WWW.Example.org:80/a?b", page), (2, None, None), (3, "nonsense", "<p>")], "page_id long, url string, html string").withColumn("host", F.lit(1))

@@ -6,7 +6,8 @@ prior of its host, smoothed towards that of its address suffix, which is smoothe
 last two are sums of the text's own posteriors in grouped aggregations, the row itself left out of its host's. "und", the
 likelihood of widely spread trigrams, stands for text of no known language.
 
-The trigram models are fitted on a bounded sample of labelled rows (SAMPLE, by hash); all other counts are of all rows.
+The trigram models are fitted on a bounded sample of labelled rows (distinct texts, SAMPLE of each label, by hash; LABELS labels); all
+other counts are of all rows.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm import textcore
 from tracelake.llm.common import broadcast_if_small, checkpoint, columns, read, row_key
 
-SAMPLE, SLOTS = 4000, 1 << 16
+SAMPLE, LABELS, SLOTS = 1000, 64, 1 << 16
 #: Power of the text's likelihood; weight, in rows, of the suffix in a host's prior and of all rows in a suffix's.
 POWER, HOST_WEIGHT, SUFFIX_WEIGHT = 0.25, 20.0, 100.0
 #: Rows that each declaration is taken to have met each language beforehand.
@@ -73,14 +74,19 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pydict({"label": list(found), "counts": [x.astype(np.int64).tobytes() for x in found.values()]})
 
 
-def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Trigram models of the labels in a sample of at most ``sample`` labelled rows, those of the least hash."""
+def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE, most: int = LABELS) -> Model:
+    """Trigram models of the ``most`` most frequent labels, each of at most ``sample`` distinct texts, those of the least hash."""
     d = columns(docs, text=text_col, label=label_col).where(F.col("text").isNotNull() & F.col("label").isNotNull())
-    share = min(1.0, 2.0 * sample / max(1, d.count()))
-    d = d.withColumn("h", F.xxhash64("label", "text")).where(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000)
-    d = d.orderBy("h", "label").limit(sample).select("text", "label").repartition(d.sparkSession.sparkContext.defaultParallelism)
+    d = d.select(F.col("label").cast("string").alias("label"), "text", F.xxhash64("text").alias("h"))
+    # Distinct hashes by label, by an estimate: where a label's sample may end.
+    labels = d.groupBy("label").agg(F.count("*").alias("rows"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("rows"), "label").limit(most)
+    share = labels.select("label", F.least(F.lit(1.0), F.lit(2.0 * sample) / F.greatest("texts", F.lit(1))).alias("share"))
+    some = d.join(F.broadcast(share), "label").where(F.pmod("h", F.lit(1_000_000)) < F.col("share") * 1_000_000).drop("share")
+    some = some.dropDuplicates(["label", "h"])
+    first = Window.partitionBy("label").orderBy("h")
+    some = some.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample).select("text", "label").repartition(d.sparkSession.sparkContext.defaultParallelism)
     counts: dict[str, np.ndarray] = {}
-    for r in d.mapInArrow(count_batches, "label string, counts binary").collect():  # a row for each label and task
+    for r in some.mapInArrow(count_batches, "label string, counts binary").collect():  # a row for each label and task
         counts[r["label"]] = counts.get(r["label"], 0) + np.frombuffer(r["counts"], np.int64)
     languages = sorted(counts)
     logs = [np.log((counts[x] + SMOOTH) / (counts[x].sum() + SMOOTH * SLOTS)) for x in languages]
