@@ -172,7 +172,7 @@ def test_similar_groups_at_the_limit(spark):
     assert exact_groups(texts) == want and similar_found(spark, texts) == want
 
 
-def test_similar_groups_in_large_buckets(spark):
+def test_similar_groups_in_large_buckets(spark, monkeypatch):
     """A large group, a chain beside it and many texts with a passage in common, as by brute force."""
     import random
 
@@ -188,11 +188,10 @@ def test_similar_groups_in_large_buckets(spark):
         texts.append(" ".join([f"p{i}" for i in range(50)] + [f"o{g}x{i}" for i in range(rng.randrange(8, 30))]))
     for g in range(40):  # each is near the next one only
         texts.append(" ".join(f"c{i}" for i in range(8 * g, 8 * g + 120)))
-    near_dedup.SMALL, was = 4, near_dedup.SMALL
-    try:
+    for small, block in ((4, 4096), (2, 16)):
+        monkeypatch.setattr(near_dedup, "SMALL", small)
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
         assert similar_found(spark, texts) == exact_groups(texts)
-    finally:
-        near_dedup.SMALL = was
 
 
 def test_similar_groups_below_the_limit(spark):
@@ -301,9 +300,139 @@ def test_search_within_a_radius(spark, radius):
     assert {r.fp: r.near for r in fingerprints.within(df, radius).collect()} == want
 
 
-def test_fingerprints_without_ids(spark):
-    rows = fingerprints.fingerprint_pairs(spark.createDataFrame([(None, "a b c d e f g h"), (None, "x y z")], "doc_id long, text string")).collect()
-    assert len(rows) == 2
+def test_fingerprint_values():
+    """Against a plain version; equal words give equal fingerprints wherever they stand, long texts too."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["", " ", "one", "one two", "one two three", "one two three  four\tfive É", "a b " * 400, LONG, None, "a  b\n" * 400]
+    found = [int(x) for x in fingerprints.simhash(pa.array(texts))]
+    assert found == [brute.simhash(t or "") for t in texts]
+    assert int(fingerprints.simhash(pa.array(["x", texts[7], "y" * 10]))[1]) == found[7]
+    long = " ".join(f"w{i % 9973}" for i in range(400_000))
+    whole = int(fingerprints.simhash(pa.array([long]))[0])
+    fingerprints.textcore.CHUNK, was = 1 << 24, fingerprints.textcore.CHUNK
+    try:
+        assert int(fingerprints.simhash(pa.array([long]))[0]) == whole
+    finally:
+        fingerprints.textcore.CHUNK = was
+    assert isinstance(np.uint64(whole), np.uint64)
+
+
+@pytest.mark.parametrize("n_null, n", [(2, 0), (1, 0), (40, 0), (30, 50), (3, 4), (0, 1)])
+def test_fingerprints_without_ids(spark, n_null, n):
+    """Rows without an id come last, by hash; after the last row comes the first."""
+    rows = [(i * 7, f"text number {i} of some words") for i in range(n)] + [(None, f"nameless text {i} with words") for i in range(n_null)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keyed = df.select("doc_id", "text", fingerprints.row_key(F.col("doc_id"), F.col("text"))[0].alias("k")).collect()
+    order = sorted(keyed, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.k))
+    want = [(a.doc_id, brute.sha(fingerprints.edit(a.text, b.text))) for a, b in zip(order, order[1:] + order[:1])]
+    assert Counter((r.doc_id, r.edited_sha256) for r in fingerprints.fingerprint_pairs(df).collect()) == Counter(want)
+
+
+def test_fingerprints_of_large_ids(spark):
+    """Ids beyond the whole numbers of a double, near each other and far apart."""
+    ids = [*range(2**62, 2**62 + 300), -(2**63), 2**63 - 1, *range(-(2**61), -(2**61) + 2**20, 2**14)]
+    df = spark.createDataFrame([(i, f"text of {i}") for i in ids], "doc_id long, text string").repartition(3)
+    order = sorted(ids)
+    want = {i: brute.sha(fingerprints.edit(f"text of {i}", f"text of {j}")) for i, j in zip(order, order[1:] + order[:1])}
+    assert {r.doc_id: r.edited_sha256 for r in fingerprints.fingerprint_pairs(df).collect()} == want
+
+
+def test_fingerprints_of_other_ids(spark):
+    rows = spark.createDataFrame([("7", "a b c d"), ("x", "e f g h")], "doc_id string, text string")
+    assert {r.doc_id for r in fingerprints.fingerprint_pairs(rows).collect()} == {7, None}
+
+
+def test_bare_tokens_and_owners(spark):
+    import random
+
+    rng = random.Random(8)
+    tokens = ["".join(rng.choices("abcXYZ0189+/_-", k=rng.randint(18, 30))) for _ in range(30)]
+    rows = []
+    for i in range(80):
+        parts = [rng.choice([rng.choice(tokens), "password=" + rng.choice(tokens), "plain", "é", "token: " + rng.choice(tokens), "ab" * 20]) for _ in range(rng.randint(0, 6))]
+        rows.append((i, rng.choice([" ", ", ", "=", "."]).join(parts) or None, rng.choice(["s1", "s2", "s3", "s4", None])))
+    out = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    want = dict(brute.bare_secrets(rows))
+    assert {i: [x for x in r.spans.split(",") if x.startswith("bare:")] for i, r in out.items()} == want
+    assert sum(map(len, want.values())) > 5
+
+
+def test_joins_that_are_shuffled(spark, table, docs, items, monkeypatch):
+    """Beyond the bounds of broadcasts, where a large corpus is, results are the same."""
+    from tracelake.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(common, "KEYS", -1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontaminate.find_contaminated(table, bench)
+    same(out.select("doc_id", "n_words", "n_hit", F.size("items").alias("n_items"), F.sha2(F.array_join("items", ","), 256), F.col("n_hit") > 0), brute.decontaminate(docs, items))
+    same(line_dedup.dedup_lines(table).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256)), brute.line_dedup(docs))
+    same(substring_dedup.dedup_substrings(table).select("doc_id", "n_words", "n_removed", F.sha2("text", 256)), brute.substring_dedup(docs))
+    same(near_dedup.near_groups(table).select("doc_id", near_dedup.as_hex("fp"), "component_id"), brute.near_dedup(docs))
+    assert Counter((r.doc_id, r.base) for r in secrets.scan(table).collect()) == Counter((d, ",".join(s)) for d, *_, s in brute.secrets(docs))
+    texts = [" ".join(f"w{g}x{i}" for i in range(n)) for g in range(20) for n in (40, 40, 45, 60)]
+    assert similar_found(spark, texts) == exact_groups(texts)
+    few = sorted(map(tuple, mixing.mix(table).collect()), key=repr)
+    monkeypatch.undo()
+    assert few == sorted(map(tuple, mixing.mix(table).collect()), key=repr)
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    """Without a named folder intermediate results stay on one machine only where all runs on it."""
+    from tracelake.llm import common
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        made = None
+
+        def setCheckpointDir(self, path):
+            self.made = path
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.folder(Session)
+    Session.conf = {"spark.checkpoint.dir": "hdfs://x/y"}
+    common.folder(Session)
+    assert Session.sparkContext.made == "hdfs://x/y"
+    kept = common.stored(spark.range(5))
+    common.discard(spark.read.parquet(f"{DIR}/documents.parquet"))
+    common.discard(kept)
+    with pytest.raises(Exception):
+        kept.collect()
+
+
+def test_long_texts_take_bounded_memory():
+    """Slices of a text of megabytes are worked on in turn: fingerprints, shingle sets and windows of it, against the whole at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    long = " ".join(f"Wort{i * i % 99991}" for i in range(1_500_000))
+    column = pa.array([long])
+    size = len(long)
+    for run, most in ((lambda: near_dedup.shingle_fingerprint(long.encode()), 8), (lambda: fingerprints.simhash(column), 12), (lambda: list(near_dedup.set_batches(iter([pa.RecordBatch.from_pydict({"node": pa.array([1]), "text": column})]))), 14), (lambda: list(near_dedup.node_batches(iter([pa.RecordBatch.from_pydict({"text": column})]))), 10)):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most * size, (peak, size)
+    short = " ".join(f"Wort{i * i % 991}" for i in range(90_000))
+    whole = near_dedup.shingle_fingerprint(short.encode())
+    near_dedup.textcore.CHUNK, was = 1 << 24, near_dedup.textcore.CHUNK
+    try:
+        assert near_dedup.shingle_fingerprint((short + " " + short).encode()) != 0 and near_dedup.shingle_fingerprint(short.encode()) == whole
+        one = [x["own"].to_pylist() for x in near_dedup.set_batches(iter([pa.RecordBatch.from_pydict({"node": pa.array([1]), "text": pa.array([short * 3])})]))]
+        near_dedup.textcore.CHUNK = 1 << 16
+        assert near_dedup.shingle_fingerprint(short.encode()) == whole
+        assert [x["own"].to_pylist() for x in near_dedup.set_batches(iter([pa.RecordBatch.from_pydict({"node": pa.array([1]), "text": pa.array([short * 3])})]))] == one
+    finally:
+        near_dedup.textcore.CHUNK = was
 
 
 @pytest.mark.parametrize("run", [line_dedup.dedup_lines, substring_dedup.dedup_substrings, near_dedup.near_groups, secrets.scan, sharding.shard, mixing.mix, fingerprints.fingerprint_pairs])

@@ -38,8 +38,8 @@ def test_stages(spark, table):  # noqa: F811
     sets = {r: shingles(r[1]) for r in left}
     alike = lambda a, b: len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
     kept_rows = list(stay)
-    assert all(alike(a, b) < 0.85 for i, a in enumerate(kept_rows) for b in kept_rows[:i])
-    assert all(any(alike(r, x) > 0.4 for x in left if x != r) for r in left if r not in stay and left[r] == 1)
+    assert all(alike(a, b) < 0.8 for i, a in enumerate(kept_rows) for b in kept_rows[:i])
+    assert all(any(alike(r, x) >= 0.8 for x in left if x != r) for r in left if r not in stay and left[r] == 1)
     kept = [r.doc_id for r in two.collect()]
 
     three = free(spark, two, DIR).cache()

@@ -10,7 +10,9 @@ pairs, so a large group of near copies makes as many rows as it has members; com
 five-word shingles have a similarity of 0.8 or more, which is too far apart for that. It is exact: similar sets share one of
 their first shingles in any order of all shingles (prefix filter; frequent ones come last in it), sizes and places bound what
 they can share, and each pair that is left is verified by its whole sets. A large bucket first links its rows to one of them
-and their neighbours; after that only pairs that these links don't join yet are looked at.
+and their neighbours; after that only pairs that these links don't join yet are looked at, block by block, first as many as join
+what may be similar, then what these leave apart. No pair is made a row whose signatures (the parities of a set's hashes in 4,096 cells, which differ in no more cells than the sets in shingles)
+differ in more cells than similar sets could.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import textcore
+from tracelake.llm import common, textcore
 from tracelake.llm.common import broadcast_if_small, checkpoint, columns, fresh, keyed, read, row_key, stored
 from tracelake.llm.components import components
 
@@ -45,19 +47,29 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 
 def shingle_fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """The majority of each bit over XXH64 (seed 42) of the word shingles, repeats counted; 0 if there are no words."""
-    words = text.lower().split() if text else []
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, 42)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = ends - np.fromiter(map(len, words), np.int64, len(words)) - 1
-    cuts = map(slice, starts[: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist())
-    n = len(words) - shingle + 1
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, cuts), repeat(42)), np.uint64, n)
-    return int(np.packbits(bit_counts(hashes) * 2 > n).view(np.uint64)[0])
+    """The majority of each bit over XXH64 (seed 42) of the word shingles, repeats counted; 0 if there are no words.
+
+    A long text is worked on in slices; the last words of one go on into the next.
+    """
+    parts = [text or b""]
+    if text and len(text) > textcore.CHUNK:
+        data = np.frombuffer(text, np.uint8)
+        parts = (text[lo:hi] for lo, hi in textcore.slices(data))
+    bits, n, words = np.zeros(64, np.int64), 0, []
+    for part in parts:
+        words += part.lower().split()
+        if len(words) < shingle:
+            continue
+        joined, m = b" ".join(words), len(words) - shingle + 1
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths + 1)
+        starts = ends - lengths - 1
+        cuts = map(slice, starts[:m].tolist(), (ends[shingle - 1 :] - 1).tolist())
+        bits += bit_counts(np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, cuts), repeat(42)), np.uint64, m))
+        n, words = n + m, words[m:]
+    if not n:
+        return xxhash.xxh64_intdigest(b" ".join(words), 42) if words else 0
+    return int(np.packbits(bits * 2 > n).view(np.uint64)[0])
 
 
 def fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,62 +198,75 @@ SMALL = 16
 #: Texts that are looked at for shingles that are frequent, and the most of these that are told apart. Any order of shingles
 #: finds all pairs, so neither changes a result.
 ORDER_TEXTS, ORDER_SHINGLES = 10_000, 200_000
-#: Pairs that are put into one batch.
-PAIRS = 1 << 16
+#: Cells of a signature. Rows of a bucket that are compared in one task, and rows of these at a time.
+CELLS, BLOCK, AT_ONCE = 4096, 4096, 16
 
 
-def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct hashes of five-word shingles) of each text with words; a shorter text is one shingle."""
-    for at, data, offsets in textcore.texts(column):
-        data = textcore.LOWER[data]
-        starts, ends, first = textcore.words(data, offsets)
-        hashes = textcore.word_hashes(data, starts, ends)
-        for i in np.flatnonzero(np.diff(first)):
-            lo, hi = first[i], first[i + 1]
-            begin = np.arange(max(1, hi - lo - LONG_SHINGLE + 1))
-            yield at + i, np.unique(textcore.range_hashes(hashes[lo:hi], begin, np.minimum(begin + LONG_SHINGLE, hi - lo), textcore.BASES[1]))
+def shingle_set(hashes: np.ndarray) -> np.ndarray:
+    """The sorted distinct hashes of the five-word shingles of a text's words; a shorter text is one shingle, one without words none."""
+    begin = np.arange(max(1, len(hashes) - LONG_SHINGLE + 1) if len(hashes) else 0)
+    return np.unique(textcore.range_hashes(hashes, begin, np.minimum(begin + LONG_SHINGLE, len(hashes)), textcore.BASES[1]))
 
 
-def node_of(own: np.ndarray) -> int:
-    """A set's 64-bit hash."""
-    return xxhash.xxh64_intdigest(own.tobytes(), 42) - (1 << 63)
+def node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The other columns and ``node``: a 64-bit hash of a text's words, the same for all texts without any."""
+    for batch in batches:
+        nodes = np.zeros(batch.num_rows, np.uint64)
+        for at, hashes, _, _, first in textcore.hashed(batch.column("text")):
+            nodes[at : at + len(first) - 1] = textcore.range_hashes(hashes, first[:-1], first[1:], textcore.BASES[1])
+        kept = [x for x in batch.schema.names if x != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(nodes.view(np.int64))], names=[*kept, "node"])
 
 
 def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``node, own`` from texts with words: a set's hash, and the set as bytes."""
+    """``node, own`` from ``node, text``: the set of a text's shingles, as bytes."""
     for batch in batches:
-        found = [own for _, own in shingle_sets(batch.column("text"))]
-        yield pa.RecordBatch.from_pydict({"node": pa.array(map(node_of, found), pa.int64()), "own": pa.array([x.tobytes() for x in found], pa.binary())})
+        for at, hashes, _, _, first in textcore.hashed(batch.column("text")):
+            n = len(first) - 1
+            found = [shingle_set(hashes[first[i] : first[i + 1]]).tobytes() for i in range(n)]
+            yield pa.RecordBatch.from_pydict({"node": batch.column("node").slice(at, n), "own": pa.array(found, pa.binary())})
+
+
+def signature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, cells`` from ``node, text``: for each cell whether an odd number of the text's shingles is in it."""
+    for batch in batches:
+        for at, hashes, _, _, first in textcore.hashed(batch.column("text")):
+            n = len(first) - 1
+            found = [np.packbits(np.bincount((shingle_set(hashes[first[i] : first[i + 1]]) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint8) & 1).tobytes() for i in range(n)]
+            yield pa.RecordBatch.from_pydict({"node": batch.column("node").slice(at, n), "cells": pa.array(found, pa.binary())})
 
 
 def shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``node, shingle`` of each text."""
+    """``shingle``: the distinct shingles of each text."""
     for batch in batches:
-        for _, own in shingle_sets(batch.column("text")):
-            yield pa.RecordBatch.from_pydict({"node": pa.array(np.full(len(own), node_of(own)), pa.int64()), "shingle": own.view(np.int64)})
+        for _, hashes, _, _, first in textcore.hashed(batch.column("text")):
+            for i in range(len(first) - 1):
+                yield pa.RecordBatch.from_pydict({"shingle": shingle_set(hashes[first[i] : first[i + 1]]).view(np.int64)})
 
 
 def prefix_batches(order):
-    """The other columns, ``node, n`` and ``prefix``: a set's first shingles, rare before frequent, of which similar sets share one."""
+    """``k1, k2, node, n, prefix`` from ``k1, k2, text``: a set's first shingles, rare before frequent, of which similar sets share one."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first_ones(own: np.ndarray) -> np.ndarray:
         often, rank = order.value
+        level = np.zeros(len(own), np.int64)
+        if len(often):
+            at = np.minimum(np.searchsorted(often, own), len(often) - 1)
+            level = np.where(often[at] == own, rank[at], 0)
+        # Similar sets share NEAR/OUT_OF of the larger one at least, so what they share can't all come after this.
+        n = len(own)
+        return own[np.lexsort((own, level))[: n + (-NEAR * n // OUT_OF) + 1]].view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes = np.full(batch.num_rows, node_of(np.zeros(0, np.uint64)), np.int64), np.zeros(batch.num_rows, np.int32)
-            prefix: list = [np.zeros(0, np.int64)] * batch.num_rows
-            for i, own in shingle_sets(batch.column("text")):
-                n = len(own)
-                nodes[i], sizes[i] = node_of(own), n
-                level = np.zeros(n, np.int64)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, own), len(often) - 1)
-                    level = np.where(often[at] == own, rank[at], 0)
-                # Similar sets share NEAR/OUT_OF of the larger one at least, so what they share can't all come after this.
-                prefix[i] = own[np.lexsort((own, level))[: n + (-NEAR * n // OUT_OF) + 1]].view(np.int64)
-            kept = [x for x in batch.schema.names if x != "text"]
-            ends = np.cumsum([0, *map(len, prefix)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(nodes), pa.array(sizes), lists], names=[*kept, "node", "n", "prefix"])
+            for at, hashes, _, _, first in textcore.hashed(batch.column("text")):
+                n = len(first) - 1
+                nodes = textcore.range_hashes(hashes, first[:-1], first[1:], textcore.BASES[1])
+                sets = [shingle_set(hashes[first[i] : first[i + 1]]) for i in range(n)]
+                prefix = [first_ones(x) for x in sets]
+                ends = np.cumsum([0, *map(len, prefix)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(at, n) for x in ("k1", "k2")), pa.array(nodes.view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), lists], names=["k1", "k2", "node", "n", "prefix"])
 
     return run
 
@@ -251,11 +276,18 @@ def may_be_similar(n: np.ndarray, at: np.ndarray, i, j) -> np.ndarray:
     return np.minimum(n[i] - at[i], n[j] - at[j]) * (NEAR + OUT_OF) >= NEAR * (n[i] + n[j])
 
 
+def as_numpy(column: pa.Array) -> np.ndarray:
+    """Numbers as they are, signatures as rows of 64-bit words."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), CELLS // 64)
+    return column.to_numpy(zero_copy_only=False)
+
+
 def by_bucket(batches: Iterator[pa.RecordBatch], done) -> Iterator[pa.RecordBatch]:
     """``done(columns)`` for runs of whole buckets, from rows in order of ``bucket``, the first column."""
     kept: list[list[np.ndarray]] = []
     for batch in batches:
-        cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in batch.schema.names]
+        cols = [as_numpy(batch.column(x)) for x in batch.schema.names]
         if not len(cols[0]):
             continue
         cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last bucket may go on in the next batch
@@ -296,35 +328,45 @@ def first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return by_bucket(batches, done)
 
 
-def other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From ``bucket, node, n, at, c``, ``c`` the component so far: all pairs ``a, b`` of a bucket that it doesn't join yet."""
+def other_pairs(joining: bool):
+    """From ``bucket, node, n, at, c, block, crossed, cells``: the pairs ``a, b`` of a bucket (of two blocks, if it is crossed) that
+    the components ``c`` don't join yet and whose sizes, places and signatures allow them to be similar; if ``joining`` only as many
+    as would join all that these pairs do."""
 
     def done(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        bucket, c = cols[0], cols[4]
+        bucket = cols[0]
         order = np.lexsort((cols[2], bucket))
-        bucket, node, n, at, c = (x[order] for x in (bucket, cols[1], cols[2].astype(np.int64), cols[3].astype(np.int64), c))
+        bucket, node, n, at, c, block, crossed, cells = (x[order] for x in (bucket, cols[1], cols[2].astype(np.int64), cols[3].astype(np.int64), *cols[4:]))
         cuts = np.flatnonzero(np.diff(bucket)) + 1
-        a, b, held = [], [], 0
         for lo, hi in zip(np.r_[0, cuts].tolist(), [*cuts.tolist(), len(bucket)]):
-            if (c[lo:hi] == c[lo]).all():
+            if hi - lo < 2 or (c[lo:hi] == c[lo]).all():
                 continue
+            own = c[lo:hi].copy()
             # Sizes go up: those more than OUT_OF/NEAR times as large can't be similar.
             to = lo + np.searchsorted(n[lo:hi] * NEAR, n[lo:hi] * OUT_OF, "right")
-            for i in range(lo, hi - 1):
-                j = np.arange(i + 1, to[i - lo])
-                j = j[c[i + 1 : to[i - lo]] != c[i]]
-                j = j[may_be_similar(n, at, i, j)]
-                if len(j):
-                    a.append(np.minimum(node[i], node[j]))
-                    b.append(np.maximum(node[i], node[j]))
-                    held += len(j)
-                if held >= PAIRS:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
-                    a, b, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
-
-    return by_bucket(batches, done)
+            for first in range(lo, hi - 1, AT_ONCE):
+                i = np.arange(first, min(first + AT_ONCE, hi))[:, None]
+                j = np.arange(first + 1, int(to[i[-1, 0] - lo]))[None, :]
+                some = (j > i) & (j < to[i - lo]) & (own[i - lo] != own[j - lo]) & may_be_similar(n, at, i, j)
+                if crossed[lo]:
+                    some &= block[i] != block[j]
+                x, y = np.nonzero(some)
+                x, y = i[x, 0], j[0, y]
+                # What is in one set only is at most a share of both, if they are similar, and at least the cells that differ.
+                near = np.bitwise_count(cells[x] ^ cells[y]).sum(axis=1, dtype=np.int64) * (NEAR + OUT_OF) <= (n[x] + n[y]) * (OUT_OF - NEAR)
+                x, y = x[near], y[near]
+                if joining:
+                    kept = []
+                    for k, (p, q) in enumerate(zip((x - lo).tolist(), (y - lo).tolist())):
+                        if own[p] != own[q]:
+                            own[own == own[q]] = own[p]
+                            kept.append(k)
+                    x, y = x[kept], y[kept]
+                if len(x):
+                    x, y = node[x], node[y]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return lambda batches: by_bucket(batches, done)
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -347,8 +389,8 @@ def similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def frequent_shingles(d: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of more than one of a bounded number of texts, in order, and how many of these have them."""
-    some = d.orderBy("k1").limit(ORDER_TEXTS).select("text").repartition(2 * d.sparkSession.sparkContext.defaultParallelism)
-    counts = some.mapInArrow(shingle_batches, "node long, shingle long").distinct().groupBy("shingle").count()
+    some = d.orderBy("k1").limit(ORDER_TEXTS).select("text").distinct().repartition(2 * d.sparkSession.sparkContext.defaultParallelism)
+    counts = some.mapInArrow(shingle_batches, "shingle long").groupBy("shingle").count()
     rows = counts.where("count > 1").orderBy(F.desc("count")).limit(ORDER_SHINGLES).toArrow()
     often = rows.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(often)
@@ -364,29 +406,53 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     d = columns(docs, id=id_col, text=text_col)
     d = d.select("id", *row_key(d["id"], d["text"]), "text")
     order = d.sparkSession.sparkContext.broadcast(frequent_shingles(d))
-    rows = checkpoint(d.mapInArrow(prefix_batches(order), f"id {d.schema['id'].dataType.simpleString()}, k1 long, k2 long, node long, n int, prefix array<long>"))
-    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    places = nodes.select("node", "n", F.posexplode("prefix").alias("at", "bucket")).select("bucket", "node", "n", "at")
+    rows = checkpoint(d.mapInArrow(node_batches, f"id {d.schema['id'].dataType.simpleString()}, k1 long, k2 long, node long"))
+    # One row stands for all of a node; only that one's shingles are looked at.
+    one = checkpoint(rows.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("one"), F.count("*").alias("rows")).select("node", "one.k1", "one.k2", "rows"))
+    copied = one.where("rows > 1").select("node", F.col("k1").alias("one1"), F.col("k2").alias("one2"))
+    others = rows.join(broadcast_if_small(copied, copied.count()), "node").where("k1 != one1 OR k2 != one2").select("k1", "k2")
+    others = checkpoint(others.distinct())
+    prefixes = d.select("k1", "k2", "text").mapInArrow(prefix_batches(order), "k1 long, k2 long, node long, n int, prefix array<long>")
+    prefixes = prefixes.join(broadcast_if_small(others, others.count(), common.KEYS), ["k1", "k2"], "left_anti")
+    places = prefixes.select("node", "n", F.posexplode("prefix").alias("at", "bucket")).select("bucket", "node", "n", "at")
     found = checkpoint(places.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(first_pairs, "a long, b long, bucket long, n long, at long"))
     pairs = checkpoint(found.where("b IS NOT NULL").select("a", "b").distinct())
-    wanted = checkpoint(found.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "node"))
-    sets = d.select("text").mapInArrow(set_batches, "node long, own binary").join(broadcast_if_small(wanted, wanted.count(), 1_000_000), "node", "left_semi")
-    sets = checkpoint(sets.groupBy("node").agg(F.first("own").alias("own")))
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """``node, text`` of each of the distinct nodes."""
+        wanted = checkpoint(one.select("node", "k1", "k2").join(nodes, "node"))
+        return d.select("k1", "k2", "text").join(broadcast_if_small(wanted, wanted.count(), common.KEYS), ["k1", "k2"]).select("node", "text")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        # One exchange of the sets serves both joins; of repeated rows any is as good.
+        texts = texts_of(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"))
+        sets = texts.mapInArrow(set_batches, "node long, own binary").dropDuplicates(["node"])
         x, y = (sets.select(F.col("node").alias(a), F.col("own").alias(b)) for a, b in (("a", "x"), ("b", "y")))
         # Stored, not kept as a checkpoint: that would hand the joins' partitioning on to each round of the components.
         return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(similar_batches, "a long, b long"))
 
     links = verified(pairs)
     joined = stored(components(links))
-    large = found.where("b IS NULL").select("bucket", F.col("a").alias("node"), "n", "at")
-    if not large.isEmpty():
-        large = large.join(joined, "node", "left").select("bucket", "node", "n", "at", F.coalesce("component", "node").alias("c"))
-        more = large.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(other_pairs, "a long, b long").distinct()
-        more = verified(more.join(pairs, ["a", "b"], "left_anti"))
+    places = found.where("b IS NULL").select("bucket", F.col("a").alias("node"), "n", "at")
+    for joining in (True, False):
+        if places.isEmpty():
+            break
+        large = checkpoint(places.join(joined, "node", "left").select("bucket", "node", "n", "at", F.coalesce("component", "node").alias("c")))
+        mixed = checkpoint(large.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("rows")).where("least != most").select("bucket", "rows"))
+        large = large.join(broadcast_if_small(mixed, mixed.count()), "bucket")
+        # A bucket of many rows is dealt out by pairs of its blocks.
+        blocks = F.ceil(F.col("rows") / BLOCK)
+        large = large.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        i, j = F.least("block", "other"), F.greatest("block", "other")
+        large = checkpoint(large.select(F.xxhash64("bucket", i, j).alias("bucket"), "node", "n", "at", "c", "block", (i != j).alias("crossed")))
+        cells = checkpoint(texts_of(large.select("node").distinct()).mapInArrow(signature_batches, "node long, cells binary").dropDuplicates(["node"]))
+        large = large.join(cells, "node").select("bucket", "node", "n", "at", "c", "block", "crossed", "cells")
+        more = large.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(other_pairs(joining), "a long, b long").distinct()
+        more = checkpoint(more.join(pairs, ["a", "b"], "left_anti"))
         if not more.isEmpty():
-            joined = stored(components(links.unionByName(more)))
+            links = links.unionByName(verified(more))
+            joined = stored(components(links))
+            pairs = pairs.unionByName(more)
     return rows.join(broadcast_if_small(joined, joined.count()), "node", "left").select(F.col("id").alias("doc_id"), "k1", "k2", F.coalesce("component", "node").alias("component"))
 
 
