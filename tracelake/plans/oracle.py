@@ -444,7 +444,7 @@ model("session_gaps", "", "SELECT id, timestamp - lag(timestamp) OVER (PARTITION
 SQL["event_rate_5min"] = "SELECT CAST(floor(epoch(ts) / 300) * 300 AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY ALL"
 SQL["value_quantiles"] = "SELECT event_type, " + ", ".join(f"round(quantile_cont(value, {q}), 6) AS p{int(q * 100)}" for q in (0.5, 0.95, 0.99)) + " FROM events GROUP BY event_type"
 SQL["duration_histogram"] = (
-    "WITH e AS (SELECT event_type, round(value / 100, 3) AS s FROM events) SELECT event_type, count(s) AS count, round(sum(s), 2) AS sum, concat_ws(',', "
+    "WITH e AS (SELECT event_type, value / 100 AS s FROM events) SELECT event_type, count(s) AS count, round(sum(s), 2) AS sum, concat_ws(',', "
     + ", ".join(f"count_if(s <= {b}::DOUBLE)" for b in ("0.001", "0.005", "0.01", "0.05", "0.1", "0.5", "1.0", "5.0", "10.0"))
     + ", count(s)) AS buckets FROM e GROUP BY event_type"
 )

@@ -670,7 +670,7 @@ def value_quantiles(spark, sf_dir):
 
 @query
 def duration_histogram(spark, sf_dir):
-    e = src.read(spark, sf_dir, "events").withColumn("seconds", F.round(F.col("value") / 100, 3))
+    e = src.read(spark, sf_dir, "events").withColumn("seconds", F.col("value") / 100)
     h = sinks.histogram(e, "event_type", "seconds")
     return h.select("event_type", "count", F.round("sum", 2).alias("sum"), F.array_join("buckets", ",").alias("buckets"))
 
