@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import checkpoint
 
+#: Edges of a partition, at least, that is kept after a step: few edges don't make a file for each shuffle partition.
+ROWS = 100_000
+
 
 def _marks(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -22,13 +25,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct()
     e = checkpoint(e)
     was = _marks(e)
+    kept = lambda df: checkpoint(df.coalesce(max(1, -(-was[0] // ROWS))))
     while was[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = checkpoint(both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct())
-        least = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = kept(both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct())
+        least = kept(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpoint(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        e = kept(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = _marks(e)
         if now == was:
             break

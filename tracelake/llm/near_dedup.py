@@ -198,8 +198,8 @@ SMALL = 16
 #: Texts that are looked at for shingles that are frequent, and the most of these that are told apart. Any order of shingles
 #: finds all pairs, so neither changes a result.
 ORDER_TEXTS, ORDER_SHINGLES = 10_000, 200_000
-#: Cells of a signature. Rows of a bucket that are compared in one task, and rows of these at a time.
-CELLS, BLOCK, AT_ONCE = 4096, 4096, 16
+#: Pairs of a partition that is read anew, at least. Cells of a signature. Rows of a bucket that are compared in one task, and rows of these at a time.
+SMALL_PART, CELLS, BLOCK, AT_ONCE = 1000, 4096, 4096, 16
 
 
 def shingle_set(hashes: np.ndarray) -> np.ndarray:
@@ -449,7 +449,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         large = large.join(cells, "node").select("bucket", "node", "n", "at", "c", "block", "crossed", "cells")
         more = large.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(other_pairs(joining), "a long, b long").distinct()
         more = checkpoint(more.join(pairs, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
+        if n := more.count():
+            more = more.coalesce(max(1, -(-n // SMALL_PART)))
             links = links.unionByName(verified(more))
             joined = stored(components(links))
             pairs = pairs.unionByName(more)
