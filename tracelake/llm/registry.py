@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelake.llm import decontaminate, fingerprints, lang_id, line_dedup, lm_scoring, mixing, near_dedup, secrets, sharding, substring_dedup
+from tracelake.llm import decontaminate, divergence, fingerprints, lang_id, line_dedup, lm_scoring, mixing, near_dedup, runs, secrets, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_language_id": lang_id.op1_language_id,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_secrets": secrets.op10_secrets,
+    "op11_periodic_runs": runs.op11_periodic_runs,
+    "op12_token_counts": token_counts.op12_token_counts,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 SQL = {
     "op3_decontamination": decontaminate.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
+    "op13_source_divergence": divergence.SQL,
 }
