@@ -23,3 +23,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the reliable folder."""
     folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.scalar import failed, friction_label, intent_keywords, word_count
@@ -85,29 +85,42 @@ def backfill_traces(t: Tables, work_units: DataFrame) -> DataFrame:
     return work_units.join(made, ["session_id", "episode"], "left").withColumn("obs_trace", F.coalesce("obs_trace", "_trace")).drop("_trace")
 
 
+def _first(rows: DataFrame, by: list[str], order: list[str], n: int | None) -> DataFrame:
+    """The first ``n`` rows of each group (all if None), cut within each task before they are shuffled."""
+    if n is None:
+        return rows
+    return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_place") <= n).drop("_place")
+
+
 def payload(t: Tables, *, prompts: int | None = None, agent: int = 5, agent_chars: int = 200, actions: int = 50, least: int = 3) -> DataFrame:
     """What a summary of each session is made from: prompts, some of the agent's thoughts, its first actions, as one text."""
-    first = lambda items, n: items if n is None else F.slice(items, 1, n)
-    p = t.prompts.groupBy("session_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("source") == s, F.struct("timestamp", "id", "content")))).alias(s) for s in ("user", "agent")])
+    kinds = (("user", prompts), ("agent", agent))
+    p = [_first(t.prompts.where(F.col("source") == s).select("session_id", "source", "timestamp", "id", "content"), ["session_id"], ["timestamp", "id"], n) for s, n in kinds]
+    p = p[0].unionByName(p[1]).groupBy("session_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("source") == s, F.struct("timestamp", "id", "content")))).alias(s) for s, _ in kinds])
     line = F.concat(F.lit("["), F.col("obs_type"), F.lit("] "), F.coalesce("file_path", F.substring("content", 1, 120)))
-    o = t.observations.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("timestamp", "id", line.alias("line")))).alias("actions"), F.count("*").alias("n")).where(F.col("n") >= least)
-    text = F.concat_ws("\n", F.transform(first(F.col("user"), prompts), lambda x: F.concat(F.lit("user: "), x["content"])), F.transform(first(F.col("agent"), agent), lambda x: F.concat(F.lit("agent: "), F.substring(x["content"], 1, agent_chars))), F.transform(first(F.col("actions"), actions), lambda x: x["line"]))
+    n = t.observations.groupBy("session_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    o = _first(t.observations.select("session_id", "timestamp", "id", line.alias("line")), ["session_id"], ["timestamp", "id"], actions)
+    o = o.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("timestamp", "id", "line"))).alias("actions")).join(n, "session_id")
+    text = F.concat_ws("\n", F.transform("user", lambda x: F.concat(F.lit("user: "), x["content"])), F.transform("agent", lambda x: F.concat(F.lit("agent: "), F.substring(x["content"], 1, agent_chars))), F.transform("actions", lambda x: x["line"]))
     return o.join(p, "session_id", "left").select("session_id", F.col("n").alias("obs_count"), text.alias("payload"))
 
 
 def episode_payload(t: Tables, work_units: DataFrame, *, prompts: int = 10, agent: int = 5, actions: int = 30, least: int = 3) -> DataFrame:
     """What a narrative of each episode is made from, as one text: the users' prompts and the agent's thoughts in its range of
     prompts, by id, and its actions with their labels, by time. Episodes of fewer than ``least`` observations are left out."""
+    by = ["session_id", "episode"]
     p = t.prompts.select(F.col("session_id").alias("_s"), F.col("id").alias("_id"), "source", F.col("content").alias("_text"))
-    e = work_units.where(F.col("obs_count") >= least).select("session_id", "episode", "first_prompt_id", "last_prompt_id")
-    said = e.join(p, (e["session_id"] == p["_s"]) & p["_id"].between(e["first_prompt_id"], e["last_prompt_id"])).groupBy("session_id", "episode")
-    said = said.agg(*[F.array_sort(F.collect_list(F.when(F.col("source") == x, F.struct("_id", "_text")))).alias(x) for x in ("user", "agent")])
+    e = work_units.where(F.col("obs_count") >= least).select(*by, "first_prompt_id", "last_prompt_id")
+    said = e.join(p, (e["session_id"] == p["_s"]) & p["_id"].between(e["first_prompt_id"], e["last_prompt_id"])).select(*by, "source", "_id", "_text")
+    said = [_first(said.where(F.col("source") == x), by, ["_id"], n) for x, n in (("user", prompts), ("agent", agent))]
+    said = said[0].unionByName(said[1]).groupBy(*by).agg(*[F.array_sort(F.collect_list(F.when(F.col("source") == x, F.struct("_id", "_text")))).alias(x) for x in ("user", "agent")])
     labels = F.concat_ws(",", "phase", "scope", "locus", "novelty")
     line = F.concat(F.lit("["), F.col("obs_type"), F.lit("] "), F.coalesce("file_path", F.substring("content", 1, 120)), F.when(labels != "", F.concat(F.lit(" ("), labels, F.lit(")"))).otherwise(""), F.when(failed(F.col("metadata")), " failed").otherwise(""))
-    done = members(e, t.observations).groupBy("session_id", "episode").agg(F.array_sort(F.collect_list(F.struct("timestamp", "id", line.alias("line")))).alias("actions"))
-    of = lambda x, n: F.transform(F.slice(F.coalesce(F.col(x), F.array().cast("array<struct<_id:bigint,_text:string>>")), 1, n), lambda y: F.concat(F.lit(f"{x}: "), y["_text"]))
-    text = F.array_join(F.concat(of("user", prompts), of("agent", agent), F.transform(F.slice("actions", 1, actions), lambda x: x["line"])), "\n")
-    return done.join(said, ["session_id", "episode"], "left").select("session_id", "episode", text.alias("payload"))
+    done = _first(members(e, t.observations).select(*by, "timestamp", "id", line.alias("line")), by, ["timestamp", "id"], actions)
+    done = done.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("timestamp", "id", "line"))).alias("actions"))
+    of = lambda x: F.transform(F.coalesce(F.col(x), F.array().cast("array<struct<_id:bigint,_text:string>>")), lambda y: F.concat(F.lit(f"{x}: "), y["_text"]))
+    text = F.array_join(F.concat(of("user"), of("agent"), F.transform("actions", lambda x: x["line"])), "\n")
+    return done.join(said, by, "left").select(*by, text.alias("payload"))
 
 
 def template_summary(payloads: DataFrame) -> DataFrame:

@@ -14,11 +14,13 @@ THRESHOLD, HALF_LIFE_HOURS, TOP = 3, 168.0, 20
 
 def grouped(df: DataFrame, kind: str, key: str, example: str, *, as_of: int, threshold: int, half_life: float, top: int = TOP) -> DataFrame:
     """Sessions by pattern: how many, how hot (each session's newest time decays), and which. Two partial aggregations."""
-    each = df.groupBy(key, "session_id").agg(F.max("timestamp").alias("t"), F.min(example).alias("example"))
+    each = checkpoint(df.groupBy(F.col(key).alias("pattern"), "session_id").agg(F.max("timestamp").alias("t"), F.min(example).alias("example")))
     heat = F.sum(exp_decay((F.lit(as_of) - F.col("t")) / 3600.0, half_life))
-    g = each.groupBy(F.col(key).alias("pattern")).agg(F.count("*").alias("session_count"), F.round(heat, 6).alias("heat"), F.array_sort(F.collect_set("session_id")).alias("sessions"), F.min("example").alias("example"))
-    g = g.where(F.col("session_count") >= threshold)
-    return g.select(F.lit(kind).alias("kind"), "pattern", "session_count", "heat", "sessions", F.substring("example", 1, 200).alias("example")).orderBy(F.desc("heat"), "pattern").limit(top)
+    g = each.groupBy("pattern").agg(F.count("*").alias("session_count"), F.round(heat, 6).alias("heat"), F.min("example").alias("example"))
+    g = checkpoint(g.where(F.col("session_count") >= threshold).orderBy(F.desc("heat"), "pattern").limit(top))
+    # Only the sessions of the few patterns that stay are gathered.
+    of = each.join(F.broadcast(g.select("pattern")), "pattern").groupBy("pattern").agg(F.array_sort(F.collect_set("session_id")).alias("sessions"))
+    return g.join(of, "pattern").select(F.lit(kind).alias("kind"), "pattern", "session_count", "heat", "sessions", F.substring("example", 1, 200).alias("example")).orderBy(F.desc("heat"), "pattern")
 
 
 def failed_commands(t: Tables, *, as_of: int, threshold: int = THRESHOLD, half_life: float = HALF_LIFE_HOURS) -> DataFrame:

@@ -32,6 +32,7 @@ class Index:
     stored: DataFrame | None = None  # bucket, term, doc, positions array<int>, dl
     n: int = 0
     average: float = 0.0
+    buckets: int = BUCKETS
 
     @property
     def postings(self) -> DataFrame:
@@ -55,10 +56,15 @@ def build(corpus: DataFrame, id_col: str, text_col: str, stemmed: bool = True) -
     return Index(corpus.select(F.col(id_col).alias("doc"), tokens(F.col(text_col), stemmed).alias("tokens")), stemmed)
 
 
+def by_bucket(rows: DataFrame) -> DataFrame:
+    """Postings dealt out by bucket and sorted by term; a bucket with a term of most documents is split, small ones share a task."""
+    return rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "doc")
+
+
 def store(index: Index, path: str, buckets: int = BUCKETS) -> Index:
     """Writes the index: postings by bucket and term, and the corpus' figures; what is there is replaced."""
     rows = index.postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    by_bucket(rows).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     figures = index.texts.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("average"), F.lit(index.stemmed).alias("stemmed"), F.lit(buckets).alias("buckets"))
     figures.write.mode("overwrite").parquet(f"{path}/figures")
     return load(index.texts.sparkSession, path)
@@ -66,7 +72,7 @@ def store(index: Index, path: str, buckets: int = BUCKETS) -> Index:
 
 def load(spark: SparkSession, path: str) -> Index:
     f = spark.read.parquet(f"{path}/figures").first()
-    return Index(None, f["stemmed"], spark.read.parquet(f"{path}/postings").select("bucket", "term", "doc", "positions", "dl"), f["n"], f["average"])
+    return Index(None, f["stemmed"], spark.read.parquet(f"{path}/postings").select("bucket", "term", "doc", "positions", "dl"), f["n"], f["average"], f["buckets"])
 
 
 def missing_postings(index: Index, corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -124,17 +130,17 @@ def parse(text: str, stemmed: bool = False, into: Query | None = None) -> Query:
     return q
 
 
-def _in_texts(words: tuple[str, ...], prefix: bool) -> Column:
-    """How often a leaf occurs in ``tokens``."""
+def _in_texts(tokens: Column, words: tuple[str, ...], prefix: bool) -> Column:
+    """How often a leaf occurs in an array of tokens."""
     fits = lambda x, j: x.startswith(words[j]) if prefix and j == len(words) - 1 else x == words[j]
     if len(words) == 1:
-        return F.size(F.filter("tokens", lambda x: fits(x, 0)))
-    last = F.size("tokens") - len(words)
+        return F.size(F.filter(tokens, lambda x: fits(x, 0)))
+    last = F.size(tokens) - len(words)
 
     def begins(i: Column) -> Column:
-        out = fits(F.get("tokens", i), 0)
+        out = fits(F.get(tokens, i), 0)
         for j in range(1, len(words)):
-            out = out & fits(F.get("tokens", i + j), j)
+            out = out & fits(F.get(tokens, i + j), j)
         return out
 
     return F.when(last >= 0, F.size(F.filter(F.sequence(F.lit(0), last), begins))).otherwise(0)
@@ -157,7 +163,10 @@ def _in_postings(words: tuple[str, ...], prefix: bool) -> Column:
 def _frequencies(index: Index, leaves: list[tuple[tuple[str, ...], bool]]) -> DataFrame:
     """``doc, dl, f0, f1, ...``: of all documents, or of a stored index's those that have one of the terms."""
     if index.stored is None:
-        return index.texts.select("doc", F.size("tokens").alias("dl"), *[_in_texts(*x).alias(f"f{i}") for i, x in enumerate(leaves)])
+        # One expression that names the tokens once, behind a generator: a filter of the figures is not pushed below it, where it
+        # would tokenise each text again, for a phrase even at each of its words.
+        figures = lambda w: F.struct(F.size(w).alias("dl"), *[_in_texts(w, *x).alias(f"f{i}") for i, x in enumerate(leaves)])
+        return index.texts.select("doc", F.inline_outer(F.transform(F.array("tokens"), figures)))
     rows = index.stored
     exact = sorted({w for words, prefix in leaves for w in (words[:-1] if prefix else words)})
     begins = sorted({words[-1] for words, prefix in leaves if prefix})
@@ -166,7 +175,7 @@ def _frequencies(index: Index, leaves: list[tuple[tuple[str, ...], bool]]) -> Da
         wanted = wanted | F.col("term").startswith(x)
     if not begins:
         # Only the terms' buckets are read.
-        hashes = rows.sparkSession.range(1).select(F.array(*[F.pmod(F.xxhash64(F.lit(w)), F.lit(BUCKETS)).cast("int") for w in exact])).first()[0]
+        hashes = rows.sparkSession.range(1).select(F.array(*[F.pmod(F.xxhash64(F.lit(w)), F.lit(index.buckets)).cast("int") for w in exact])).first()[0]
         rows = rows.where(F.col("bucket").isin(sorted(set(hashes))))
     return rows.where(wanted).groupBy("doc", "dl").agg(*[_in_postings(*x).alias(f"f{i}") for i, x in enumerate(leaves)])
 

@@ -173,6 +173,7 @@ SQL["search_not_neighbours"] = f"WITH {TOKENS}, fr AS (SELECT doc_id, len(w) AS
 found("search_phrase", [phrase("in", "the")], "f0 > 0")
 found("search_prefix", [begins("hand")], "f0 > 0")
 found("search_bm25", [has("hand"), has("shthe"), has("elle")], "f0 > 0 OR f1 > 0 OR f2 > 0", "SELECT doc_id, rank FROM m")
+found("search_kept", [phrase("in", "the"), begins("hand")], "f0 > 0 OR f1 > 0", "SELECT doc_id, rank FROM m")
 found("search_filtered", [has("the"), has("la")], "f0 > 0 OR f1 > 0", "SELECT doc_id, rank FROM m JOIN documents USING (doc_id) WHERE source = 'src1' ORDER BY rank, doc_id LIMIT 10 OFFSET 2")
 _tiers = [([phrase("hand", "erthe")], "f0 > 0"), ([has("hand"), has("erthe")], "f0 > 0 AND f1 > 0"), ([has("hand"), has("erthe")], "f0 > 0 OR f1 > 0"), ([begins("hand"), begins("erthe")], "f0 > 0 OR f1 > 0")]
 _parts = [bm25(*t).replace("fr AS", f"fr{i} AS").replace("FROM fr", f"FROM fr{i}").replace("ct AS", f"ct{i} AS").replace(", ct,", f", ct{i},").replace("m AS", f"m{i} AS") for i, t in enumerate(_tiers)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -9,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import kernels, scalar
+from tracelake.functions.reliable import checkpoint, delete, folder
 from tracelake.model import Tables
-from tracelake.operators import classify, code_history, context, episodes, fleet, lifecycle, patterns, ranking, search, stance
+from tracelake.operators import classify, code_history, context, episodes, fleet, kept_index, lifecycle, patterns, ranking, search, stance
 from tracelake.sources import driver_tables as src
 from tracelake.sources import sinks
 from tracelake.streaming import ingest
@@ -232,6 +234,23 @@ def fts_search_filtered(spark, sf_dir):
     return search.observations(index, t, "test OR run", as_of=now, project=PROJECT, obs_type="command", before=now - 86400, after=now - 20 * 86400, limit=50).select("id", "timestamp", "rank")
 
 
+@query
+def search_kept(spark, sf_dir):
+    """All documents in an index that is kept: English ones first, then the others; one source is removed and comes back."""
+    docs = src.read(spark, sf_dir, "documents")
+    path = f"{folder(spark)}/index-{uuid.uuid4().hex}"
+    kept_index.create(spark, path, stemmed=False, buckets=16)
+    kept_index.add(spark, path, docs.where("lang = 'en'"), "doc_id", "text")
+    kept_index.add(spark, path, docs, "doc_id", "text")
+    kept_index.remove(spark, path, docs.where("source = 'src1'"), "doc_id")
+    kept_index.merge(spark, path)
+    kept_index.add(spark, path, docs.where("source = 'src1'"), "doc_id", "text")
+    found = search.matches(kept_index.load(spark, path), '"in the" OR hand*').select(F.col("doc").alias("doc_id"), F.round("rank", 6).alias("rank"))
+    found = checkpoint(found)
+    delete(spark, path)
+    return found
+
+
 @query
 def search_tiered(spark, sf_dir):
     return search.tiered(_corpus(spark, sf_dir)[0], "hand and erthe").withColumnRenamed("doc", "doc_id")
