@@ -291,7 +291,7 @@ u AS (SELECT session_id, list('user: ' || content ORDER BY timestamp, id) FILTER
 )
 model(
     "episode_payload",
-    ANNOTATED + """, ae AS (SELECT * FROM ann WHERE obs_count >= 2),
+    ANNOTATED + """, ae AS (SELECT * FROM ann WHERE obs_count >= 1),
 pu AS (SELECT a.session_id, a.episode, (list('user: ' || p.content ORDER BY p.id) FILTER (p.source = 'user'))[1:10] AS u, (list('agent: ' || p.content ORDER BY p.id) FILTER (p.source = 'agent'))[1:5] AS g
   FROM ae a JOIN prompts p ON p.session_id = a.session_id AND p.id BETWEEN a.first_prompt_id AND a.last_prompt_id GROUP BY ALL),
 po AS (SELECT a.session_id, a.episode, list('[' || o.obs_type || '] ' || coalesce(o.file_path, substr(o.content, 1, 120)) || CASE WHEN concat_ws(',', o.phase, o.scope, o.locus, o.novelty) <> '' THEN ' (' || concat_ws(',', o.phase, o.scope, o.locus, o.novelty) || ')' ELSE '' END || CASE WHEN o.failed THEN ' failed' ELSE '' END ORDER BY o.timestamp, o.id)[1:30] AS x
@@ -449,6 +449,24 @@ SQL["duration_histogram"] = (
     + ", ".join(f"count_if(s <= {b}::DOUBLE)" for b in ("0.001", "0.005", "0.01", "0.05", "0.1", "0.5", "1.0", "5.0", "10.0"))
     + ", count(s)) AS buckets FROM e GROUP BY event_type"
 )
+_BOUNDS = ("0.001", "0.005", "0.01", "0.05", "0.1", "0.5", "1.0", "5.0", "10.0")
+
+
+def _bucket_quantile(q: str) -> str:
+    low = "CASE i " + " ".join(f"WHEN {k} THEN {b}::DOUBLE" for k, b in enumerate(("0", *_BOUNDS))) + " END"
+    high = "CASE i " + " ".join(f"WHEN {k} THEN {b}::DOUBLE" for k, b in enumerate(_BOUNDS)) + " END"
+    i = f"len(list_filter(b[1:9], lambda n: n < {q}::DOUBLE * b[10]))"
+    return f"(SELECT CASE WHEN b[10] = 0 THEN NULL WHEN i >= 9 THEN 10.0::DOUBLE ELSE {low} + ({high} - {low}) * ({q}::DOUBLE * b[10] - CASE WHEN i = 0 THEN 0 ELSE b[i] END) / (b[i + 1] - CASE WHEN i = 0 THEN 0 ELSE b[i] END) END FROM (SELECT {i} AS i))"
+
+
+SQL["bucket_quantiles"] = (
+    "WITH h AS (SELECT event_type, [" + ", ".join(f"count_if(value / 100 <= {b}::DOUBLE)" for b in _BOUNDS) + ", count(value)] AS b FROM events GROUP BY event_type) "
+    "SELECT event_type, b[10] AS count, " + ", ".join(f"round({_bucket_quantile(q)}, 6) AS p{round(float(q) * 100)}" for q in ("0.5", "0.95", "0.99")) + " FROM h"
+)
+SQL["counter_rates"] = """WITH s AS (SELECT event_type, floor(epoch(ts))::BIGINT AS t, event_id % 997 AS v FROM events),
+d AS (SELECT *, lag(v) OVER (PARTITION BY event_type ORDER BY t, v) AS before FROM s)
+SELECT event_type, t // 3600 * 3600 AS start, count(*) AS samples, count_if(v < before) AS resets, sum(CASE WHEN before IS NULL THEN 0 WHEN v >= before THEN v - before ELSE v END)::BIGINT AS increase,
+  round(sum(CASE WHEN before IS NULL THEN 0 WHEN v >= before THEN v - before ELSE v END) / 3600.0::DOUBLE, 6) AS rate FROM d GROUP BY event_type, t // 3600 * 3600"""
 model("metric_counters", "", "SELECT obs_type, 'PostToolUse' AS source_event, count(*) AS total FROM obs GROUP BY obs_type")
 model("log_records", "", "SELECT '[' || obs_type || '] ' || substr(coalesce(file_path, content), 1, 80) AS message, count(*) AS n FROM obs GROUP BY 1")
 _recent = recent(f"{decay(AGE_DAYS, '7')} * 0.5::DOUBLE + {TYPE_WEIGHT} * 0.3::DOUBLE + CASE WHEN project = 'p3' THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END * 0.2::DOUBLE", 5)

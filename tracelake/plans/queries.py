@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import kernels, scalar
 from tracelake.functions.reliable import checkpoint, delete, folder
 from tracelake.model import Tables
-from tracelake.operators import classify, code_history, context, episodes, fleet, kept_index, lifecycle, patterns, ranking, search, stance
+from tracelake.operators import classify, code_history, context, episodes, fleet, kept_index, lifecycle, metrics, patterns, ranking, search, stance
 from tracelake.sources import driver_tables as src
 from tracelake.sources import sinks
 from tracelake.streaming import ingest
@@ -335,7 +335,7 @@ def summary_payload(spark, sf_dir):
 @query
 def episode_payload(spark, sf_dir):
     t = src.tables(spark, sf_dir)
-    p = episodes.episode_payload(t, episodes.annotate(t, episodes.detect(t)), least=2)
+    p = episodes.episode_payload(t, episodes.annotate(t, episodes.detect(t)), least=1)
     return p.select("session_id", "episode", F.md5("payload").alias("payload_md5"))
 
 
@@ -684,7 +684,22 @@ def event_rate_5min(spark, sf_dir):
 
 @query
 def value_quantiles(spark, sf_dir):
-    return sinks.quantiles(src.read(spark, sf_dir, "events"), "event_type", "value")
+    return metrics.quantiles(src.read(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query
+def bucket_quantiles(spark, sf_dir):
+    """Histograms of each user's durations, merged by kind of event."""
+    e = src.read(spark, sf_dir, "events").withColumn("seconds", F.col("value") / 100)
+    h = e.groupBy("event_type", "user_id").agg(sinks.buckets_of(F.col("seconds")).alias("buckets"))
+    return metrics.merged_quantiles(h, "event_type", "buckets", sinks.BOUNDS)
+
+
+@query
+def counter_rates(spark, sf_dir):
+    """Numbers of events as counters that start anew after 997, by kind and hour."""
+    e = src.read(spark, sf_dir, "events").select("event_type", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"), (F.col("event_id") % 997).alias("v"))
+    return metrics.increases(e, "event_type", "t", "v", 3600)
 
 
 @query

@@ -47,17 +47,15 @@ def module_map(roles: DataFrame) -> str:
     return "\n".join(out)
 
 
-def quantiles(rows: DataFrame, kind: str, value: str, at: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """``kind, p50, p95, ...``: exact quantiles of each kind, from counts of equal values, so that a kind of many rows is combined first."""
-    counted = rows.where(F.col(value).isNotNull()).groupBy(kind, value).agg(F.count("*").alias("n"))
-    return counted.groupBy(kind).agg(*[F.round(F.percentile(value, q, F.col("n")), 6).alias(f"p{round(q * 100)}") for q in at])
-
-
 #: Upper bounds, in seconds, of a histogram of durations.
 BOUNDS = (0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1.0, 5.0, 10.0)
 
 
+def buckets_of(seconds: Column, bounds: tuple[float, ...] = BOUNDS) -> Column:
+    """An aggregate: for each bound how many are at most that, then how many there are."""
+    return F.array(*[F.count_if(seconds <= b) for b in bounds], F.count(seconds))
+
+
 def histogram(rows: DataFrame, kind: str, seconds: str, bounds: tuple[float, ...] = BOUNDS) -> DataFrame:
     """``kind, count, sum, buckets`` of durations: each bucket counts what is at most its bound, the last all."""
-    buckets = F.array(*[F.count_if(F.col(seconds) <= b) for b in bounds], F.count(seconds))
-    return rows.groupBy(kind).agg(F.count(seconds).alias("count"), F.round(F.sum(seconds), 6).alias("sum"), buckets.alias("buckets"))
+    return rows.groupBy(kind).agg(F.count(seconds).alias("count"), F.round(F.sum(seconds), 6).alias("sum"), buckets_of(F.col(seconds), bounds).alias("buckets"))
