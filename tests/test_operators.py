@@ -394,6 +394,19 @@ def test_timeouts(spark):
     assert (row.agreement, row.majority_right) == (0.9, 0.99144)
 
 
+def test_timeouts_of_many(spark):
+    """The fold of rounds in order against the estimate of an array; one instance has most rounds, one no answers, one no name."""
+    rng = random.Random(4)
+    rows = [(k, i, None if rng.random() < 0.1 else rng.random()) for k, n in (("hot", 2000), ("b", 7), (None, 5), ("one", 1)) for i in range(n)] + [("silent", 1, None)]
+    of = {}
+    for k, i, r in rows:
+        of.setdefault(k, []).append(r)
+    want = {r.k: (r.n, r.rto) for r in spark.createDataFrame(list(of.items()), "k string, r array<double>").select("k", F.size("r").alias("n"), F.round(fleet.estimate(F.col("r")), 6).alias("rto")).collect()}
+    rng.shuffle(rows)
+    got = fleet.timeouts(spark.createDataFrame(rows, "k string, round long, rtt double"), "k").collect()
+    assert {r.k: (r.rounds, pytest.approx(r.rto)) for r in got} == want and len(got) == 5
+
+
 def test_models(spark):
     part = {"vocabulary": {"fix": 0, "bug": 1}, "idf": [1.5, 2.0], "weights": [-0.5, -0.3], "ngram_range": [1, 1], "binary": True, "sublinear_tf": False}
     none = {"vocabulary": {}, "idf": [], "weights": [], "ngram_range": [3, 5], "binary": False, "sublinear_tf": True}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +30,37 @@ def heartbeat_rounds(pongs: DataFrame, own: str) -> DataFrame:
 
 
 def timeouts(rounds: DataFrame, by: str) -> DataFrame:
-    """The estimate for each ``by`` after its rounds in order."""
-    g = rounds.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("round", "rtt"))).alias("r"))
-    return g.select(by, F.size("r").cast("long").alias("rounds"), F.round(estimate(F.transform("r", lambda x: x["rtt"].cast("double"))), 6).alias("rto"))
+    """The estimate (see ``estimate``) for each ``by`` after its rounds in order.
+
+    Rounds are sorted within tasks and folded as they pass, so that one with any number of rounds takes no memory.
+    """
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, have, n, srtt, var, samples = None, False, 0, 0.0, 0.0, 0
+
+        def done() -> list:
+            return [(key, n, round(COLD if not samples else max(srtt + K * var, FLOOR), 6))]
+
+        for frame in frames:
+            out = []
+            for k, r in zip(frame["by"], frame["rtt"]):
+                k = None if pd.isna(k) else k
+                if not have or k != key:
+                    out += done() if have else []
+                    key, have, n, srtt, var, samples = k, True, 0, 0.0, 0.0, 0
+                n += 1
+                if pd.isna(r):
+                    srtt *= 2
+                elif not samples:
+                    srtt, var, samples = r, r / 2, 1
+                else:
+                    srtt, var, samples = srtt * (1 - ALPHA) + r * ALPHA, var * (1 - BETA) + abs(srtt - r) * BETA, samples + 1
+            yield pd.DataFrame(out, columns=["by", "rounds", "rto"])
+        yield pd.DataFrame(done() if have else [], columns=["by", "rounds", "rto"])
+
+    r = rounds.select(F.col(by).alias("by"), "round", F.col("rtt").cast("double").alias("rtt"))
+    r = r.repartition("by").sortWithinPartitions("by", "round", "rtt").drop("round")
+    return r.mapInPandas(fold, f"by {r.schema['by'].dataType.simpleString()}, rounds long, rto double").withColumnRenamed("by", by)
 
 
 def gather(results: DataFrame, own: str | None, limit: int, score: str = "rank") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import kernels, scalar
 from tracelake.functions.reliable import checkpoint, delete, folder
 from tracelake.model import Tables
-from tracelake.operators import classify, code_history, context, episodes, fleet, kept_index, lifecycle, metrics, patterns, ranking, search, stance
+from tracelake.operators import classify, code_history, context, episodes, fleet, kept_index, lifecycle, metrics, patterns, ranking, search, stance, training
 from tracelake.sources import driver_tables as src
 from tracelake.sources import sinks
 from tracelake.streaming import ingest
@@ -517,6 +517,18 @@ def classifier_trained(spark, sf_dir):
     return classify.measures(d.where("doc_id % 4 = 0").select(F.col("label").alias("expected"), run(F.col("text"))["quality"].alias("predicted")))
 
 
+@query
+def classifier_all_rows(spark, sf_dir):
+    """Models of quality and of toxicity, trained on all labelled rows and measured on folds; equal texts share a fold."""
+    d = src.read(spark, sf_dir, "documents").join(src.read(spark, sf_dir, "labels"), "doc_id")
+    out = []
+    for of in ("quality", "toxic"):
+        rows = d.select("text", F.when(F.col(of) == 1, "yes").otherwise("no").alias("label"))
+        model = training.train_all(rows, "text", "label", ("no", "yes"), folds=5)
+        out.append((of, len(model["word"]["vocabulary"]), len(model["char"]["vocabulary"]), round(model["accuracy"], 3)))
+    return spark.createDataFrame(out, "dimension string, word_grams long, char_grams long, accuracy double")
+
+
 @query
 def balanced_labels(spark, sf_dir):
     l = src.read(spark, sf_dir, "labels")  # noqa: E741
