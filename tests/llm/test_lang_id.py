@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import html
+import random
+import re
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -96,3 +101,27 @@ def test_hard_cases_and_empty(spark, table, model):  # noqa: F811
     assert lang_id.identify_documents(table.limit(0), model).collect() == []
     assert lang_id.train(table.limit(0)).languages == ["und"]
     assert list(lang_id.count_batches(iter([pa.RecordBatch.from_pydict({"text": pa.array([], pa.string()), "label": pa.array([], pa.string())})]))) == []
+
+
+def test_pages_without_their_parts():
+    """The same as one pattern that looks back, which takes time with the square where parts aren't closed."""
+    rng = random.Random(5)
+    pieces = ["<script>", "</script>", "<SCRIPT x", "</Script \n>", "<nav>", "</nav>", "<style", "</style>", "<head>", "<header>", "</head>", "<!--", "-->", "<!-->", "--", "text", " ", ">", "<", "</", "<b>", "&amp;"]
+    for _ in range(3000):
+        page = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
+        want = html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"(?is)<(script|style|nav|head)\b.*?</\1\s*>|<!--.*?-->", " ", page)))
+        assert lang_id.visible(page) == want, page
+
+
+@pytest.mark.parametrize("piece", ["<nav>", "<script", "<!--", "<", "</nav ", "<nav></script>", "-->"])
+def test_hostile_pages(piece):
+    began = time.perf_counter()
+    lang_id.visible(piece * (2_000_000 // len(piece)))
+    assert time.perf_counter() - began < 20
+
+
+def test_declared_language_of_hostile_pages(spark):
+    model = lang_id.Model(["en", lang_id.UNKNOWN], np.zeros((2, lang_id.SLOTS), np.float32))
+    pages = [(1, "http://a.de/x", '<!doctype html><HTML class="x"\n LANG = \'fr-CA\'>'), (2, "http://a.de/x", "<html " * 300_000), (3, None, "<html><p lang=de>"), (4, "x", "<html lang" + " " * 100_000 + "=de>")]
+    got = {r.id: r.declared for r in lang_id.identify_pages(spark.createDataFrame(pages, "page_id long, url string, html string"), model).collect()}
+    assert got == {1: "fr", 2: "", 3: "", 4: "de"}
