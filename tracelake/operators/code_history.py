@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import heapq
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.functions.reliable import checkpoint
 from tracelake.functions.scalar import failed, is_revert
 from tracelake.model import Tables
 
@@ -73,10 +77,63 @@ def rankings(roles: DataFrame, limit: int = 15) -> DataFrame:
     return out
 
 
+def commit_order(commits: DataFrame, parents: DataFrame) -> DataFrame:
+    """``repo, commit, position``: each repository's commits (``repo, commit, timestamp``) from the newest on, no parent before a
+    child of it (``repo, commit, parent``); of those that may come next the newest, at equal times the greatest id.
+
+    Where all children are later than their parents, that is the order of time and ids. Only repositories in which a clock
+    went wrong are walked, each in a task. Parents that aren't among the commits, as in a shallow copy, don't count. A circle
+    of commits is an error.
+    """
+    c = commits.select("repo", "commit", "timestamp")
+    old = c.select("repo", F.col("commit").alias("parent"), F.col("timestamp").alias("was"))
+    edges = parents.select("repo", "commit", "parent").distinct().join(old, ["repo", "parent"]).join(c, ["repo", "commit"])
+    wrong = checkpoint(edges.where(F.struct("timestamp", "commit") <= F.struct(F.col("was"), F.col("parent"))).select("repo").distinct())
+    newest = Window.partitionBy("repo").orderBy(F.desc("timestamp"), F.desc("commit"))
+    sorted_ = c.join(wrong, "repo", "left_anti").select("repo", "commit", F.row_number().over(newest).cast("long").alias("position"))
+    if wrong.isEmpty():
+        return sorted_
+    links = edges.groupBy("repo", "commit").agg(F.collect_list("parent").alias("parents"))
+    rows = c.join(wrong, "repo", "left_semi").join(links, ["repo", "commit"], "left")
+    kind = {f.name: f.dataType.simpleString() for f in c.schema}
+    return sorted_.unionByName(rows.groupBy("repo").applyInPandas(_walk, f"repo {kind['repo']}, commit {kind['commit']}, position long"))
+
+
+def _walk(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values(["timestamp", "commit"]).reset_index(drop=True)
+    at = {c: i for i, c in enumerate(rows["commit"])}
+    parents = [[at[p] for p in (x if x is not None else ())] for x in rows["parents"]]
+    waiting = [0] * len(rows)  # children that haven't come yet
+    for own in parents:
+        for p in own:
+            waiting[p] += 1
+    ready, out = [-i for i, n in enumerate(waiting) if not n], []
+    heapq.heapify(ready)
+    while ready:
+        out.append(i := -heapq.heappop(ready))
+        for p in parents[i]:
+            waiting[p] -= 1
+            if not waiting[p]:
+                heapq.heappush(ready, -p)
+    if len(out) < len(rows):
+        raise ValueError(f"the commits of {rows['repo'][0]} go in a circle")
+    return pd.DataFrame({"repo": rows["repo"], "commit": rows["commit"].to_numpy()[out], "position": range(1, len(out) + 1)})
+
+
+def first_parent_changes(trees: DataFrame, parents: DataFrame) -> DataFrame:
+    """``repo, commit, path, change``: what each commit's files (``repo, commit, path, blob``) have added, modified or deleted against
+    its first parent (``place`` 0 of ``repo, commit, parent, place``); the first commit, and one whose parent isn't there, has
+    added all. Files whose content is the same aren't changes. A commit without files has deleted what its parent had."""
+    first = parents.where("place = 0").select("repo", "commit", "parent")
+    there = trees.select("repo", "commit", "path", F.col("blob").alias("new"))
+    before = first.join(trees.select("repo", F.col("commit").alias("parent"), "path", F.col("blob").alias("old")), ["repo", "parent"]).drop("parent")
+    both = there.join(before, ["repo", "commit", "path"], "full").where(~F.col("new").eqNullSafe(F.col("old")))
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "deleted").otherwise("modified")
+    return both.select("repo", "commit", "path", change.alias("change"))
+
+
 def refined_file_history(t: Tables) -> DataFrame:
     """The last change of each file in each session, and whether the session had a failure before it."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("session_id").orderBy("timestamp", "id").rowsBetween(Window.unboundedPreceding, -1)
     o = t.observations.withColumn("failures_before", F.coalesce(F.sum(failed(F.col("metadata")).cast("int")).over(w), F.lit(0)).cast("long"))
     o = o.where(F.col("obs_type").isin("file_edit", "file_write") & F.col("file_path").isNotNull())

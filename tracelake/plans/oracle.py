@@ -298,6 +298,21 @@ po AS (SELECT a.session_id, a.episode, list('[' || o.obs_type || '] ' || coalesc
   FROM ae a JOIN obs o ON o.session_id = a.session_id AND o.prompt_id BETWEEN a.first_prompt_id AND a.last_prompt_id GROUP BY ALL)""",
     "SELECT session_id, episode, md5(array_to_string(list_concat(list_concat(coalesce(u, []), coalesce(g, [])), x), chr(10))) AS payload_md5 FROM po LEFT JOIN pu USING (session_id, episode)",
 )
+model(
+    "template_summaries",
+    """o AS (SELECT session_id, list('[' || obs_type || '] ' || coalesce(file_path, substr(content, 1, 120)) ORDER BY timestamp, id)[1:50] AS a FROM obs GROUP BY session_id HAVING count(*) >= 3),
+u AS (SELECT session_id, list('user: ' || content ORDER BY timestamp, id) FILTER (source = 'user') AS u, (list('agent: ' || substr(content, 1, 200) ORDER BY timestamp, id) FILTER (source = 'agent'))[1:5] AS g FROM prompts GROUP BY session_id),
+l AS (SELECT session_id, string_split(array_to_string(list_concat(list_concat(coalesce(u, []), coalesce(g, [])), a), chr(10)), chr(10)) AS lines FROM o LEFT JOIN u USING (session_id)),
+i AS (SELECT *, coalesce(substr(list_filter(lines, lambda x: starts_with(x, 'user: '))[1], 7, 200), 'session without prompts') AS intent FROM l)""",
+    r"""SELECT session_id, true AS json_valid, 6 AS fields_present, 5 AS array_compliance, len(list_filter(regexp_split_to_array(intent, '\s+'), lambda x: x <> '')) AS intent_words,
+  len(list_distinct(list_filter(lines, lambda x: starts_with(x, '[file_read] ')))) AS files_read_count, len(list_distinct(list_filter(lines, lambda x: starts_with(x, '[file_edit] ')))) AS files_edited_count FROM i""",
+)
+_COMMITS = "c AS (SELECT o_custkey AS repo, o_orderkey AS commit, floor(epoch(o_orderdate))::BIGINT AS timestamp FROM orders)"
+SQL["commit_order"] = f"WITH {_COMMITS} SELECT repo, commit, row_number() OVER (PARTITION BY repo ORDER BY timestamp DESC, commit DESC) AS position FROM c"
+SQL["first_parent_changes"] = f"""WITH {_COMMITS}, p AS (SELECT repo, commit, lag(commit) OVER (PARTITION BY repo ORDER BY timestamp, commit) AS parent FROM c),
+t AS (SELECT repo, commit, l_partkey % 5 AS path, max(l_suppkey % 3) AS blob FROM lineitem JOIN c ON commit = l_orderkey GROUP BY ALL),
+b AS (SELECT p.repo, p.commit, t.path, t.blob FROM p JOIN t ON t.repo = p.repo AND t.commit = p.parent)
+SELECT repo, commit, path, CASE WHEN b.blob IS NULL THEN 'added' WHEN t.blob IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM t FULL JOIN b USING (repo, commit, path) WHERE t.blob IS DISTINCT FROM b.blob"""
 model("variant_averages", "", "SELECT project, count(*) AS n, count(*) AS json_valid, 0 AS notes_present, 7.0 AS avg_fields_present, 5.0 AS avg_array_compliance, 10.0 AS avg_intent_words, 1.0 AS avg_learned_count, 0.0 AS avg_completed_count, 2.0 AS avg_next_steps_count FROM ses WHERE intent IS NOT NULL GROUP BY project")
 model("catch_up_candidates", "", "SELECT ses.id, project, count(*) AS obs_count, CASE WHEN count(*) < 3 THEN 'sentinel' ELSE 'summarise' END AS action FROM ses JOIN obs ON obs.session_id = ses.id WHERE intent IS NULL GROUP BY ses.id, project")
 

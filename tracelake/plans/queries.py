@@ -596,6 +596,18 @@ def git_churn(spark, sf_dir):
     return code_history.churn(src.commits(spark, sf_dir))
 
 
+@query
+def commit_order(spark, sf_dir):
+    commits, parents, _ = src.repositories(spark, sf_dir)
+    return code_history.commit_order(commits, parents)
+
+
+@query
+def first_parent_changes(spark, sf_dir):
+    _, parents, trees = src.repositories(spark, sf_dir)
+    return code_history.first_parent_changes(trees, parents)
+
+
 @query
 def git_co_change(spark, sf_dir):
     return code_history.co_changes(src.commits(spark, sf_dir), "part7", 20)

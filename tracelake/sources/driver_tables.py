@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.model import Tables
@@ -106,6 +106,17 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repositories(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(commits, parents, trees): each customer is a repository, orders are its commits and their lines its files. A commit's
+    first parent is the customer's order before it; every fifth key also has the one before that as a second parent."""
+    c = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("repo"), F.col("o_orderkey").alias("commit"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("timestamp"))
+    along = Window.partitionBy("repo").orderBy("timestamp", "commit")
+    p = c.select("repo", "commit", F.lag("commit").over(along).alias("first"), F.when(F.col("commit") % 5 == 0, F.lag("commit", 2).over(along)).alias("second"))
+    p = p.select("repo", "commit", F.posexplode(F.array("first", "second")).alias("place", "parent")).where("parent IS NOT NULL")
+    li = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("commit"), (F.col("l_partkey") % 5).alias("path")).agg(F.max(F.col("l_suppkey") % 3).alias("blob"))
+    return c, p, li.join(c.select("repo", "commit"), "commit").select("repo", "commit", "path", "blob")
+
+
 def module_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(modules ``module, lines, items``, uses ``module, uses``): brands of parts and what is ordered with them."""
     p = read(spark, sf_dir, "part")
