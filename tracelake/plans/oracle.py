@@ -480,7 +480,7 @@ SQL["bucket_quantiles"] = (
 )
 SQL["counter_rates"] = """WITH s AS (SELECT event_type, floor(epoch(ts))::BIGINT AS t, event_id % 997 AS v FROM events),
 d AS (SELECT *, lag(v) OVER (PARTITION BY event_type ORDER BY t, v) AS before FROM s)
-SELECT event_type, t // 3600 * 3600 AS start, count(*) AS samples, count_if(v < before) AS resets, sum(CASE WHEN before IS NULL THEN 0 WHEN v >= before THEN v - before ELSE v END)::BIGINT AS increase,
+SELECT event_type, t // 3600 * 3600 AS start, count(*) AS samples, count(*) FILTER (v < before) AS resets, sum(CASE WHEN before IS NULL THEN 0 WHEN v >= before THEN v - before ELSE v END)::BIGINT AS increase,
   round(sum(CASE WHEN before IS NULL THEN 0 WHEN v >= before THEN v - before ELSE v END) / 3600.0::DOUBLE, 6) AS rate FROM d GROUP BY event_type, t // 3600 * 3600"""
 model("metric_counters", "", "SELECT obs_type, 'PostToolUse' AS source_event, count(*) AS total FROM obs GROUP BY obs_type")
 model("log_records", "", "SELECT '[' || obs_type || '] ' || substr(coalesce(file_path, content), 1, 80) AS message, count(*) AS n FROM obs GROUP BY 1")
