@@ -144,15 +144,15 @@ class Shares:
         d = columns(docs, lang=lang_col, source=source_col, text=text_col)
         d = d.select(*[F.coalesce(c, F.lit("")).alias(c) for c in d.columns])
         counted = d.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
-        counted = checkpoint(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-        seen = counted.where(F.col("term").isNotNull())
-        kept = seen.groupBy("lang", "term").agg(F.sum("n").alias("of_lang"), F.sum("docs").alias("docs")).where(F.col("docs") >= least)
-        kept = checkpoint(kept.select("lang", "term", "of_lang"))
-        rows = kept.count()
-        langs = kept.groupBy("lang").agg(F.count("*").alias("kinds"), F.sum("of_lang").alias("lang_total"))
-        postings = seen.select("lang", "source", "term", "n").join(broadcast_if_small(kept, rows), ["lang", "term"])
+        # Dealt out by lang and term once: sums by group and by lang then need no further exchange.
+        counted = counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        of_term = Window.partitionBy("lang", "term")
+        seen = counted.select("lang", "source", "term", "n", F.sum("n").over(of_term).alias("of_lang"), F.sum("docs").over(of_term).alias("docs"), F.row_number().over(of_term.orderBy("source")).alias("place"))
+        seen = checkpoint(seen.where(F.col("term").isNull() | (F.col("docs") >= least)).drop("docs"))
+        postings = seen.where(F.col("term").isNotNull())
+        langs = postings.where("place = 1").groupBy("lang").agg(F.count("*").alias("kinds"), F.sum("of_lang").alias("lang_total"))
         own = postings.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("own_kinds"))
-        groups = counted.where(F.col("term").isNull()).select("lang", "source").join(own, ["lang", "source"], "left").join(langs, "lang", "left")
+        groups = seen.where(F.col("term").isNull()).select("lang", "source").join(own, ["lang", "source"], "left").join(langs, "lang", "left")
         groups = groups.na.fill(0, ["total", "own_kinds", "kinds", "lang_total"])
         #: lang, source, total, own_kinds (terms it has), kinds (of the lang), lang_total, p0 (the share of a term it hasn't; null without terms).
         self.groups = checkpoint(groups.withColumn("p0", F.when(F.col("kinds") > 0, share(F.lit(0), F.col("total"), F.greatest("kinds", F.lit(1))))))
@@ -174,7 +174,7 @@ class Shares:
         before = F.sum("m").over(best_first.rowsBetween(Window.unboundedPreceding, -1))
         bounds = checkpoint(bounds.select("*", F.coalesce(before, F.lit(0)).alias("before")))
         places = Window.partitionBy(*keys).orderBy(F.desc("value"), "item")
-        best, lo, hi = None, 0, top
+        best, hi = None, top
         left = bounds
         while (n := left.count()) or best is None:
             taken = left.where(F.col("before") < hi).select(*keys, "n")
