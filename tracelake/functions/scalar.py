@@ -173,7 +173,7 @@ def clipped(text: Column, n: int) -> Column:
     return F.when(F.char_length(text) > n, F.concat(F.substring(text, 1, n - 3), F.lit("..."))).otherwise(text)
 
 
-def relative_time(ts: Column, as_of: int) -> Column:
+def relative_time(ts: Column, as_of: int | Column) -> Column:
     """Minutes (one at least), hours or days ago; a date from a week on, with its year if another."""
     age = F.lit(as_of) - ts
     day, now = F.timestamp_seconds(ts), F.timestamp_seconds(F.lit(as_of))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.scalar import low_quality_intent, phase_label, relative_time
@@ -18,15 +18,23 @@ def _own(t: Tables, project: str) -> DataFrame:
     return t.sessions.where(F.col("project") == project).select(F.col("id").alias("session_id"), F.col("summary").alias("session_summary"))
 
 
+def episode_title() -> Column:
+    """An episode's intent, or its session's if it is poor."""
+    better = F.get_json_object("session_summary", "$.intent")
+    return F.substring(F.when(low_quality_intent(F.coalesce("intent", F.lit(""))) & better.isNotNull(), better).otherwise(F.col("intent")), 1, 120)
+
+
+def learned() -> Column:
+    """What a summary says was learned, three of its items if it is a list."""
+    x = F.get_json_object("summary", "$.learned")
+    return F.when(x.startswith("["), F.array_join(F.slice(F.from_json(x, "array<string>"), 1, 3), "; ")).otherwise(x)
+
+
 def recent_episodes(t: Tables, project: str, *, as_of: int, window_hours: int = WINDOW_HOURS, limit: int = EPISODES) -> DataFrame:
     """Newest episodes of a project in the window before ``as_of``; a poor intent gives way to its session's."""
     w = t.work_units.where((F.col("started_at") >= as_of - window_hours * 3600) & (F.col("started_at") < as_of) & (F.col("obs_count") > 0))
     w = w.join(_own(t, project), "session_id").orderBy(F.desc("started_at"), "session_id", "episode").limit(limit)
-    better = F.get_json_object("session_summary", "$.intent")
-    title = F.when(low_quality_intent(F.coalesce("intent", F.lit(""))) & better.isNotNull(), better).otherwise(F.col("intent"))
-    learned = F.get_json_object("summary", "$.learned")
-    learned = F.when(learned.startswith("["), F.array_join(F.slice(F.from_json(learned, "array<string>"), 1, 3), "; ")).otherwise(learned)
-    return w.select("session_id", "episode", "started_at", F.substring(title, 1, 120).alias("title"), "obs_count", phase_label(F.col("phase_signature")).alias("label"), "hot_files", learned.alias("learned"))
+    return w.select("session_id", "episode", "started_at", episode_title().alias("title"), "obs_count", phase_label(F.col("phase_signature")).alias("label"), "hot_files", learned().alias("learned"))
 
 
 def fallback_summaries(t: Tables, project: str, *, as_of: int, window_hours: int = WINDOW_HOURS, limit: int = SUMMARIES) -> DataFrame:
@@ -65,20 +73,37 @@ def cross_project_pins(t: Tables, project: str, *, as_of: int, recovery: bool =
     return o.orderBy(F.desc("timestamp"), F.desc("id")).limit((RECOVERY_LIMITS if recovery else LIMITS)[1]).select("id", "timestamp", "obs_type", "file_path", "content", "is_pinned", "project")
 
 
+def stands_alone() -> Column:
+    """Whether an action has a line of its own."""
+    return F.col("is_pinned") | F.col("obs_type").isin("git_commit", "git_push") | F.col("file_path").isNull()
+
+
+def single_title() -> Column:
+    title = F.coalesce("file_path", F.when(F.char_length("content") > 60, F.concat(F.substring("content", 1, 60), F.lit("..."))).otherwise(F.col("content")), F.lit("?"))
+    return F.concat(title, F.when(F.col("is_pinned"), " (pinned)").otherwise(""))
+
+
+def edits_title() -> Column:
+    return F.concat(F.col("file_path"), F.when(F.col("n") > 1, F.concat(F.lit(" — "), F.col("n").cast("string"), F.lit(" edits"))).otherwise(""))
+
+
+def activity_line(as_of: Column) -> Column:
+    return F.concat(F.lit("- "), F.replace("title", F.lit("|"), F.lit("\\|")), F.lit(" ("), relative_time(F.col("timestamp"), as_of), F.lit(")"))
+
+
 def activity_lines(rows: DataFrame, *, as_of: int) -> DataFrame:
     """Edits by file with their number; pinned rows and git work alone. Newest first within each kind."""
-    alone = F.col("is_pinned") | F.col("obs_type").isin("git_commit", "git_push") | F.col("file_path").isNull()
-    title = F.coalesce("file_path", F.when(F.char_length("content") > 60, F.concat(F.substring("content", 1, 60), F.lit("..."))).otherwise(F.col("content")))
-    grouped = rows.where(~alone).groupBy("file_path").agg(F.count("*").alias("n"), F.max("timestamp").alias("timestamp")).select(F.lit(0).alias("part"), "timestamp", F.lit(None).cast("long").alias("id"), F.concat(F.col("file_path"), F.when(F.col("n") > 1, F.concat(F.lit(" — "), F.col("n").cast("string"), F.lit(" edits"))).otherwise("")).alias("title"))
-    single = rows.where(alone).select(F.lit(1).alias("part"), "timestamp", "id", F.concat(title, F.when(F.col("is_pinned"), " (pinned)").otherwise("")).alias("title"))
-    return grouped.unionByName(single).withColumn("line", F.concat(F.lit("- "), F.replace("title", F.lit("|"), F.lit("\\|")), F.lit(" ("), relative_time(F.col("timestamp"), as_of), F.lit(")"))).orderBy("part", F.desc("timestamp"), "title")
+    alone = stands_alone()
+    grouped = rows.where(~alone).groupBy("file_path").agg(F.count("*").alias("n"), F.max("timestamp").alias("timestamp")).select(F.lit(0).alias("part"), "timestamp", F.lit(None).cast("long").alias("id"), edits_title().alias("title"))
+    single = rows.where(alone).select(F.lit(1).alias("part"), "timestamp", "id", single_title().alias("title"))
+    return grouped.unionByName(single).withColumn("line", activity_line(F.lit(as_of))).orderBy("part", F.desc("timestamp"), "title")
 
 
 def render(t: Tables, project: str, *, as_of: int, recovery: bool = False) -> str:
     """The five parts as Markdown, each from a small collected frame; empty if all but the tasks are empty."""
     parts = {"## Recent Episodes": [], "## Earlier Sessions": [], "## Suggested Tasks": [], "## Recent Activity": [], "## Pinned Elsewhere": []}
     for i, r in enumerate(recent_episodes(t, project, as_of=as_of).collect()):
-        parts["## Recent Episodes"].append(f"- {r.title} [{r.label}, {r.obs_count} actions]")
+        parts["## Recent Episodes"].append(f"- {r.title or '?'} [{r.label or '?'}, {r.obs_count} actions]")
         if i < 3 and r.hot_files:
             parts["## Recent Episodes"].append(f"  files: {', '.join(r.hot_files[:5])}")
         if i < 3 and r.learned:

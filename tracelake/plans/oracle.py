@@ -340,6 +340,7 @@ model(
     LOCAL,
     "SELECT 0 AS part, max(timestamp) AS timestamp, file_path || CASE WHEN count(*) > 1 THEN ' — ' || count(*) || ' edits' ELSE '' END AS title FROM la WHERE NOT is_pinned AND file_path IS NOT NULL GROUP BY file_path UNION ALL SELECT 1, timestamp, coalesce(file_path, CASE WHEN length(content) > 60 THEN substr(content, 1, 60) || '...' ELSE content END) || CASE WHEN is_pinned THEN ' (pinned)' ELSE '' END FROM la WHERE is_pinned OR file_path IS NULL",
 )
+model("start_pins", "pi AS (SELECT obs.id, obs.timestamp, project FROM obs JOIN ses ON ses.id = obs.session_id WHERE is_pinned)", "SELECT session_id, own, id FROM (SELECT ses.id AS session_id, pi.project = ses.project AS own, pi.id, row_number() OVER (PARTITION BY ses.id, pi.project = ses.project ORDER BY pi.timestamp DESC, pi.id DESC) AS rn FROM ses JOIN pi ON pi.timestamp < ses.ended_at) WHERE rn <= 10")
 
 # --- functions ---
 
@@ -440,6 +441,14 @@ ROLES = "WITH mo AS (SELECT 'm' || (p_partkey % 40) AS module, sum(p_size)::BIGI
 SQL["module_degrees"] = f"{ROLES} SELECT module, in_degree, out_degree FROM d"
 SQL["module_roles"] = f"{ROLES} SELECT module, CASE WHEN in_degree = 0 AND out_degree = 0 THEN 'isolated' WHEN in_degree = 0 THEN 'leaf' WHEN out_degree = 0 THEN 'foundation' WHEN in_degree >= 5 AND out_degree >= 5 THEN 'hub' WHEN out_degree > in_degree * 2 THEN 'orchestrator' WHEN in_degree > out_degree * 2 THEN 'foundation' ELSE 'internal' END AS role, lines // items AS lines_per_item FROM d"
 SQL["module_rankings"] = f"{ROLES} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{x}' AS ranking, module, {x} AS value FROM d ORDER BY {x} DESC, module LIMIT 15)" for x in ("in_degree", "lines", "items"))
+SQL["module_files"] = """WITH m AS (SELECT 'm' || (p_partkey % 40) AS module, sum(p_size)::BIGINT AS lines, count(*) AS items FROM part GROUP BY 1),
+u AS (SELECT 'm' || (l_partkey % 37) AS module, list_sort(list(DISTINCT 'dir/m' || (l_suppkey % greatest(l_partkey % 37 % 11, 1) * 4 + 2))) AS d FROM lineitem GROUP BY 1),
+x AS (SELECT module, lines, 'f' || items AS f, items % 2 = 0 AS two, coalesce(d, []) AS d FROM m LEFT JOIN u USING (module))
+SELECT module || '.toml' AS file, concat('[module]', chr(10), 'name = "', module, '"', chr(10), 'path = "src/', module, '.rs"', chr(10), 'lines = ', lines, chr(10), chr(10),
+'[coordination]', chr(10), 'deps = [', coalesce(array_to_string(list_transform(d, lambda y: '"' || y || '"'), ', '), ''), ']', chr(10), chr(10), '[control]', chr(10), 'lines = ', lines, chr(10), 'dep_count = ', len(d), chr(10), chr(10),
+'[policy]', chr(10), 'pub_fns = ["', f, '"]', chr(10), 'pub_types = [', CASE WHEN two THEN '"T", "U\\""' ELSE '' END, ']', chr(10),
+chr(10), '[[items]]', chr(10), 'name = "', f, '"', chr(10), 'kind = "function"', chr(10),
+CASE WHEN two THEN concat(chr(10), '[[items]]', chr(10), 'name = "T"', chr(10), 'kind = "type"', chr(10), chr(10), '[[items]]', chr(10), 'name = "U\\""', chr(10), 'kind = "type"', chr(10)) ELSE '' END) AS text FROM x"""
 model("refined_file_history", "f AS (SELECT *, coalesce(sum(failed::INT) OVER (PARTITION BY session_id ORDER BY timestamp, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS failures_before FROM obs), r AS (SELECT *, count(*) OVER (PARTITION BY file_path, session_id) AS touches, row_number() OVER (PARTITION BY file_path, session_id ORDER BY timestamp DESC, id DESC) AS rn FROM f WHERE obs_type IN ('file_edit', 'file_write') AND file_path IS NOT NULL)", "SELECT file_path, session_id, id, timestamp, touches, failures_before FROM r WHERE rn = 1")
 
 # --- fleet ---
@@ -452,6 +461,13 @@ SELECT fleet, n AS rounds, round(greatest(srtt + v * 4, 0.05::DOUBLE), 6) AS rto
 SQL["fleet_topk_per_instance"] = "SELECT instance, id, rn::INT AS position FROM (SELECT 'i' || (o_custkey % 50) AS instance, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY round(o_totalprice, 2), o_orderkey) AS rn FROM orders WHERE o_custkey % 50 <> 0) WHERE rn <= 3"
 SQL["ensemble_quality"] = """WITH v AS (SELECT (l_linenumber + 2)::BIGINT AS n, least(l_quantity::BIGINT % 9, l_linenumber + 2) AS k FROM lineitem), p AS (SELECT n, count(*) AS claims, avg(greatest(k, n - k)::DOUBLE / n) AS p FROM v GROUP BY n),
 t AS (SELECT n, claims, p, unnest(range(CAST(ceil(n / 2) AS BIGINT), n + 1)) AS k FROM p) SELECT n, claims, round(p, 6) AS agreement, round(sum(factorial(n::INT)::DOUBLE / factorial(k::INT)::DOUBLE / factorial((n - k)::INT)::DOUBLE * pow(p, k) * pow(1 - p, n - k)), 6) AS majority_right FROM t GROUP BY n, claims, p"""
+CLAIMS = "c AS (SELECT l_orderkey AS document, (l_orderkey % 4 + 3)::BIGINT AS n, l_partkey % (l_orderkey % 4 + 4) AS k, l_linenumber % 3 > 0 AS tagged, l_returnflag = 'R' AS wrong FROM lineitem)"
+SQL["document_quality"] = f"""WITH {CLAIMS}, d AS (SELECT document, n, count(*) AS claims, avg(greatest(k, n - k)::DOUBLE / n) AS p, count_if(tagged)::BIGINT AS tagged, count_if(tagged AND wrong)::BIGINT AS failed FROM c GROUP BY document, n),
+t AS (SELECT *, unnest(range(CAST(ceil(n / 2) AS BIGINT), n + 1)) AS k FROM d),
+q AS (SELECT document, n, claims, tagged, failed, p, sum(factorial(n::INT)::DOUBLE / factorial(k::INT)::DOUBLE / factorial((n - k)::INT)::DOUBLE * pow(p, k) * pow(1 - p, n - k)) AS r, CASE WHEN tagged > 0 THEN 1 - failed::DOUBLE / tagged ELSE 1 END AS z FROM t GROUP BY ALL)
+SELECT document, n::INT AS n, claims, tagged, failed, round(p, 6) AS agreement, round(r, 6) AS majority_right, round(z, 6) AS calibration, round(r * z, 6) AS quality FROM q"""
+SQL["agreement_tiers"] = f"""WITH {CLAIMS}, t AS (SELECT document % 10 AS document, n, k, count(*) AS claims FROM c GROUP BY ALL), p AS (SELECT document, n, sum(claims) AS a, sum(greatest(k, n - k) * claims)::DOUBLE / sum(n * claims)::DOUBLE AS p FROM t GROUP BY ALL)
+SELECT document, n::INT AS n, k::INT AS k, claims, round(a::DOUBLE * factorial(n::INT)::DOUBLE / factorial(k::INT)::DOUBLE / factorial((n - k)::INT)::DOUBLE * pow(p, k) * pow(1 - p, n - k), 4) AS expected FROM t JOIN p USING (document, n)"""
 
 # --- sinks, streams, dashboards ---
 

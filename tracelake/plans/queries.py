@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import kernels, scalar
 from tracelake.functions.reliable import checkpoint, delete, folder
 from tracelake.model import Tables
-from tracelake.operators import classify, code_history, context, episodes, fleet, kept_index, lifecycle, metrics, patterns, ranking, search, stance, training
+from tracelake.operators import classify, code_history, context, episodes, fleet, kept_index, lifecycle, metrics, patterns, ranking, search, stance, start_context, training
 from tracelake.sources import driver_tables as src
 from tracelake.sources import sinks
 from tracelake.streaming import ingest
@@ -406,6 +406,25 @@ def context_activity_lines(spark, sf_dir):
     return context.activity_lines(context.local_activity(t, PROJECT, as_of=now), as_of=now).select("part", "timestamp", "title")
 
 
+@query
+def start_contexts(spark, sf_dir):
+    """Each session begins, and is compacted when its last action is over: what either start is told."""
+    t = with_episodes(src.tables(spark, sf_dir))
+    s = t.sessions.select(F.col("id").alias("session_id"), "project", F.explode(F.array(F.struct(F.col("started_at").alias("t"), F.lit(False).alias("recovery")), F.struct((F.col("ended_at") + 1).alias("t"), F.lit(True).alias("recovery")))).alias("x"))
+    return start_context.at_starts(t, s.select("session_id", "project", "x.*"))
+
+
+@query
+def start_pins(spark, sf_dir):
+    """For each session the ten newest pins, of its project and of the others, of before its end."""
+    t = src.tables(spark, sf_dir)
+    o = ranking.with_project(t.observations, t.sessions).where("is_pinned")
+    marks = o.select("project", F.col("timestamp").alias("at"), "id", F.struct("id").alias("m"))
+    s = t.sessions.select("project", F.col("ended_at").alias("at"), F.struct("id").alias("s"))
+    both = start_context.latest(marks, s, ["id"], 10).withColumn("own", F.lit(True)).drop("i").unionByName(start_context.latest_of_others(marks, s, ["id"], 10).withColumn("own", F.lit(False)))
+    return both.select(F.col("s.id").alias("session_id"), "own", F.col("m.id").alias("id"))
+
+
 # --- functions ---
 
 
@@ -650,6 +669,14 @@ def module_rankings(spark, sf_dir):
     return code_history.rankings(code_history.module_roles(m, u))
 
 
+@query
+def module_files(spark, sf_dir):
+    """A TOML file for each module."""
+    m, u = src.module_edges(spark, sf_dir)
+    m = m.select("module", F.concat(F.lit("src/"), "module", F.lit(".rs")).alias("path"), "lines", F.array(F.concat(F.lit("f"), F.col("items").cast("string"))).alias("functions"), F.when(F.col("items") % 2 == 0, F.array(F.lit("T"), F.lit('U"'))).otherwise(F.array().cast("array<string>")).alias("types"))
+    return sinks.module_files(m, u)
+
+
 @query
 def refined_file_history(spark, sf_dir):
     return code_history.refined_file_history(src.tables(spark, sf_dir))
@@ -687,6 +714,24 @@ def ensemble_quality(spark, sf_dir):
     return fleet.ensemble_quality(v)
 
 
+def _claims(spark, sf_dir) -> DataFrame:
+    """Orders as documents, their lines as claims."""
+    li = src.read(spark, sf_dir, "lineitem")
+    n = F.col("l_orderkey") % 4 + 3
+    return li.select(F.col("l_orderkey").alias("document"), n.alias("n"), (F.col("l_partkey") % (n + 1)).alias("k"), (F.col("l_linenumber") % 3 > 0).alias("tagged"), (F.col("l_returnflag") == "R").alias("wrong"))
+
+
+@query
+def document_quality(spark, sf_dir):
+    return fleet.document_quality(_claims(spark, sf_dir))
+
+
+@query
+def agreement_tiers(spark, sf_dir):
+    """All orders of a day's remainder as one document."""
+    return fleet.agreement_tiers(_claims(spark, sf_dir).withColumn("document", F.col("document") % 10))
+
+
 # --- sinks, streams, dashboards ---
 
 

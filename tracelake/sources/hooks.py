@@ -18,6 +18,37 @@ from tracelake.operators.ranking import signatures
 SESSION_SOURCES = ("compact", "resume", "clear")
 
 
+@dataclass(frozen=True)
+class ContextLimits:
+    """What sessions of a project start with: rows of its own and of others (0: none), hours of episodes. None is the usual."""
+
+    local: int | None = None
+    cross: int | None = None
+    hours: int | None = None
+
+
+@dataclass(frozen=True)
+class Summarization:
+    """How a model that is brought along is to be asked for summaries (see ``episodes.payload``)."""
+
+    enabled: bool = False
+    model_path: str | None = None
+    adapter_path: str | None = None
+    temperature: float = 0.0
+    max_tokens: int | None = None
+    context_tokens: int | None = None
+
+
+@dataclass(frozen=True)
+class Beacon:
+    """An instance among others: what it is called, whether it answers searches and with how many rows (see ``fleet.answer``)."""
+
+    org: str | None = None
+    identity: str | None = None
+    respond: bool = True
+    limit: int = 20
+
+
 @dataclass
 class Settings:
     sensitivity: str = "normal"
@@ -30,12 +61,16 @@ class Settings:
     retention_enabled: bool = False
     retention_days: dict[str, int] = field(default_factory=dict)
     home: str = "/root"
+    contexts: dict[str, ContextLimits] = field(default_factory=dict)
+    summarization: Summarization = Summarization()
+    beacon: Beacon = Beacon()
 
 
 def settings(text: str) -> Settings:
     """From TOML. Unknown keys are ignored; single limits of entropy win over the sensitivity, a project's over the general one."""
     t = tomllib.loads(text)
-    f, r = t.get("filter", {}), t.get("retention", {})
+    f, r, m, b = (t.get(x, {}) for x in ("filter", "retention", "summarization", "beacon"))
+    own = {name: ContextLimits(p.get("context_local_limit"), 0 if p.get("suppress_cross_project") else p.get("context_cross_limit"), p.get("context_episode_window_hours")) for name, p in t.get("projects", {}).items()}
     return Settings(
         sensitivity=f.get("sensitivity", "normal"),
         extra_patterns=tuple(f.get("extra_patterns", ())),
@@ -46,6 +81,9 @@ def settings(text: str) -> Settings:
         retention_enabled=bool(r.get("enabled", False)),
         retention_days=dict(r.get("days", {})),
         home=t.get("project", {}).get("home", "/root"),
+        contexts={name: x for name, x in own.items() if x != ContextLimits()},
+        summarization=Summarization(bool(m.get("enabled", False)), m.get("model_path"), m.get("lora_path"), float(m.get("temperature", 0.0)), m.get("max_tokens"), m.get("n_ctx")),
+        beacon=Beacon(b.get("org"), b.get("identity"), bool(b.get("respond", True)), int(b.get("limit", 20))),
     )
 
 
@@ -76,6 +114,27 @@ def sessions(events: DataFrame, s: Settings) -> DataFrame:
     return e.select("id", derive_project(F.col("cwd"), F.lit(None).cast("string"), s.home).alias("project"), "started_at", "ended_at")
 
 
+def starts(events: DataFrame, s: Settings) -> DataFrame:
+    """``session_id, project, t, recovery, local_limit, cross_limit, hours`` of each start of a session, new or not."""
+    e = events.where(F.col("hook_event_name") == "SessionStart").select("session_id", derive_project(F.col("cwd"), F.lit(None).cast("string"), s.home).alias("project"), "t", F.coalesce(F.col("source").isin("compact", "clear"), F.lit(False)).alias("recovery"))
+
+    def own(name: str) -> Column:
+        out = F.lit(None).cast("long")
+        for project, x in s.contexts.items():
+            out = F.when(F.col("project") == project, F.lit(getattr(x, name)).cast("long")).otherwise(out)
+        return out
+
+    return e.select("*", own("local").alias("local_limit"), own("cross").alias("cross_limit"), own("hours").alias("hours"))
+
+
+def start_contexts(events: DataFrame, timestamp: str, t: Tables, s: Settings | None = None) -> DataFrame:
+    """The context that each start among events is given (see ``start_context.at_starts``), out of the tables as of its time."""
+    from tracelake.operators import start_context
+
+    s = s or Settings()
+    return start_context.at_starts(t, starts(stamped(events, timestamp), s))
+
+
 def prompts(events: DataFrame, s: Settings) -> DataFrame:
     """What users said, 2000 characters of it, without the system's reminders, redacted. The id is of session, time and text."""
     e = events.where((F.col("hook_event_name") == "UserPromptSubmit") & F.col("prompt").isNotNull() & (F.trim("prompt") != "") & ~F.col("prompt").startswith("<system-reminder>"))
@@ -157,12 +216,12 @@ def transcript(lines: DataFrame, have: DataFrame | None = None, from_line: int =
 
 
 def rust_modules(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(modules ``module, lines, items, functions, types``, uses ``module, uses``) from source texts ``path, text``."""
-    f = files.select(F.replace(F.regexp_replace("path", r"\.rs$", ""), F.lit("/src/"), F.lit("/")).alias("module"), "text", F.split("text", "\n").alias("all"))
+    """(modules ``module, path, lines, items, functions, types``, uses ``module, uses``) from source texts ``path, text``."""
+    f = files.select(F.replace(F.regexp_replace("path", r"\.rs$", ""), F.lit("/src/"), F.lit("/")).alias("module"), "path", "text", F.split("text", "\n").alias("all"))
     code = F.filter("all", lambda x: ~F.trim(x).startswith("//"))
     f = f.withColumn("code", code)
     found = lambda pattern: F.filter(F.transform("code", lambda x: F.regexp_extract(x, pattern, 1)), lambda x: x != "")
     f = f.withColumn("functions", found(r"^\s*pub\s+(?:async\s+)?fn\s+(\w+)")).withColumn("types", found(r"^\s*pub\s+(?:struct|enum|trait|type|const|static)\s+(?!fn\b)(\w+)"))
     uses = f.select("module", F.explode(F.array_distinct(F.regexp_extract_all(F.array_join("code", "\n"), F.lit(r"use\s+crate::(\w+)"), F.lit(1)))).alias("uses"))
     lines = F.size("all") - F.when(F.col("text").endswith("\n") | (F.col("text") == ""), 1).otherwise(0)
-    return f.select("module", lines.cast("long").alias("lines"), (F.size("functions") + F.size("types")).cast("long").alias("items"), "functions", "types"), uses
+    return f.select("module", "path", lines.cast("long").alias("lines"), (F.size("functions") + F.size("types")).cast("long").alias("items"), "functions", "types"), uses

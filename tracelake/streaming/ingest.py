@@ -18,9 +18,10 @@ def source(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFr
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def ingest(events: DataFrame, out: str, checkpoint: str, settings: hooks.Settings | None = None):
+def ingest(events: DataFrame, out: str, checkpoint: str, settings: hooks.Settings | None = None, contexts: bool = False):
     """Appends prompts and observations to tables. Ids are hashes of their events, so a batch that is done again is told
-    apart: within the watermark equal events are one, and a batch's files are replaced under its own number."""
+    apart: within the watermark equal events are one, and a batch's files are replaced under its own number. With ``contexts``
+    each start of a session also gets its context, out of what had been ingested and its own batch."""
     s = settings or hooks.Settings()
     seen = events.withWatermark("event_time", "1 hour").dropDuplicatesWithinWatermark(["session_id", "event_time", "hook_event_name", "tool_name", "tool_input", "prompt"])
 
@@ -28,6 +29,9 @@ def ingest(events: DataFrame, out: str, checkpoint: str, settings: hooks.Setting
         e = hooks.stamped(batch, "event_time")
         for name, df in (("prompts", hooks.prompts(e, s)), ("observations", hooks.observations(e, s)), ("sessions", hooks.sessions(e, s))):
             df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        if contexts:
+            told = hooks.start_contexts(batch, "event_time", tables(batch.sparkSession, out), s)
+            told.write.mode("overwrite").parquet(f"{out}/contexts/batch={number}")
 
     return seen.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
