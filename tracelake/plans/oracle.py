@@ -364,6 +364,15 @@ _steps = ["r0 AS (SELECT doc_id, text, text AS x FROM documents)"]
 for _i, _p in enumerate(_PATTERNS):
     _steps.append(f"r{_i + 1} AS (SELECT doc_id, text, CASE WHEN regexp_matches(text, '{_p}') THEN regexp_replace(x, '{_p}', '[REDACTED]', 'g') ELSE x END AS x FROM r{_i})")
 SQL["redact_regex"] = f"WITH {', '.join(_steps)} SELECT doc_id, md5(x) AS redacted_md5, x <> text AS redacted FROM r12"
+# Distinct tokens of 16 bytes or more are judged once, by counts of their bytes; what lies between tokens is kept as it is.
+_CUT, _SEP = r"[^\s`\"''()\[\]{},;]+", r"[\s`\"''()\[\]{},;]+"
+_ALLOWED = r"(?s)(?:/|\./|~/|https?://|file://).*|[0-9a-fA-F]{40}|[0-9a-fA-F]{7,12}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|\[REDACTED\]"
+SQL["redact_entropy"] = f"""WITH {', '.join(_steps)}, p AS (SELECT doc_id, unnest(regexp_extract_all(x, '{_CUT}|{_SEP}')) AS piece, generate_subscripts(regexp_extract_all(x, '{_CUT}|{_SEP}'), 1) AS i FROM r12),
+t AS (SELECT DISTINCT piece, hex(encode(piece)) AS bytes FROM p WHERE strlen(piece) >= 16 AND regexp_full_match(piece, '{_CUT}') AND NOT regexp_full_match(piece, '{_ALLOWED}')),
+b AS (SELECT piece, len(bytes) // 2 AS n, unnest(regexp_extract_all(bytes, '..')) AS byte FROM t), k AS (SELECT piece, n, byte, count(*) AS k FROM b GROUP BY ALL),
+e AS (SELECT piece FROM k GROUP BY piece HAVING -sum(k::DOUBLE / n * log2(k::DOUBLE / n)) >= 3.5),
+o AS (SELECT doc_id, string_agg(CASE WHEN e.piece IS NOT NULL THEN '[REDACTED]' ELSE p.piece END, '' ORDER BY i) AS redacted FROM p LEFT JOIN e ON e.piece = p.piece GROUP BY doc_id)
+SELECT doc_id, md5(CASE WHEN text IS NOT NULL THEN coalesce(redacted, '') END) AS redacted_md5 FROM documents LEFT JOIN o USING (doc_id)"""
 SQL["shannon_entropy"] = "WITH x AS (SELECT o_orderkey, string_split(o_orderkey || '-' || o_orderpriority || '-' || o_orderstatus, '') AS c FROM orders), n AS (SELECT o_orderkey, len(c) AS n, unnest(c) AS ch FROM x), k AS (SELECT o_orderkey, n, ch, count(*) AS k FROM n GROUP BY ALL) SELECT o_orderkey, round(-sum(k::DOUBLE / n * log2(k::DOUBLE / n)), 6) AS entropy FROM k GROUP BY o_orderkey"
 model("intent_keywords", "", f"SELECT id, {COUNT} AS word_count, array_to_string({KEYWORDS}, '|') AS keywords FROM prompts")
 model("jaccard_pairs", f"k AS (SELECT id, {KEYWORDS} AS a, lead({KEYWORDS}) OVER (PARTITION BY session_id ORDER BY id) AS b FROM prompts)", "SELECT id, round(len(list_distinct(list_intersect(a, b)))::DOUBLE / greatest(len(list_distinct(list_concat(a, b))), 1), 6) AS jaccard FROM k WHERE b IS NOT NULL")
