@@ -388,8 +388,13 @@ def similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def frequent_shingles(d: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of more than one of a bounded number of texts, in order, and how many of these have them."""
-    some = d.orderBy("k1").limit(ORDER_TEXTS).select("text").distinct().repartition(2 * d.sparkSession.sparkContext.defaultParallelism)
+    """Shingles of more than one of some texts, in order, and how many of these have them.
+
+    Texts are taken by a threshold on their hash that ORDER_TEXTS of all rows pass, a few hundred more or less, and where they are:
+    none goes through a task that gathers them. Which texts these are changes the cost of what follows, not its results.
+    """
+    most = 2**64 * ORDER_TEXTS // max(d.count(), ORDER_TEXTS) - 2**63 - 1
+    some = d.where(F.col("k1") <= F.lit(most)).select("text").distinct().repartition(2 * d.sparkSession.sparkContext.defaultParallelism)
     counts = some.mapInArrow(shingle_batches, "shingle long").groupBy("shingle").count()
     rows = counts.where("count > 1").orderBy(F.desc("count")).limit(ORDER_SHINGLES).toArrow()
     often = rows.column("shingle").to_numpy().view(np.uint64)
