@@ -97,11 +97,14 @@ def repeated_intents(t: Tables, *, as_of: int, threshold: int = THRESHOLD, half_
     # No keywords: such intents are like none, each is a cluster of its own.
     s = s.withColumn("bag", F.array_join("words", " ")).where("bag != ''")
     bags = checkpoint(s.groupBy("bag").agg(F.min(F.struct("started_at", "id")).alias("first"), F.first("words").alias("words")))
-    s = s.join(_seeds(bags), "bag")
+    s = checkpoint(s.join(_seeds(bags), "bag").select("seed", "id", "started_at", "intent"))
     heat = F.sum(exp_decay((F.lit(as_of) - F.col("started_at")) / 3600.0, half_life))
-    g = s.groupBy("seed").agg(F.count("*").alias("session_count"), F.round(heat, 6).alias("heat"), F.array_sort(F.collect_set("id")).alias("sessions"), F.max_by("intent", F.struct("started_at", "id")).alias("example"))
+    g = s.groupBy("seed").agg(F.count("*").alias("session_count"), F.round(heat, 6).alias("heat"), F.max_by("intent", F.struct("started_at", "id")).alias("example"))
     g = g.where(F.col("session_count") >= threshold).withColumn("pattern", short_intent(F.col("example")))
-    return g.select(F.lit("repeated_intent").alias("kind"), "pattern", "session_count", "heat", "sessions", "example").orderBy(F.desc("heat"), "pattern").limit(TOP)
+    g = checkpoint(g.orderBy(F.desc("heat"), "pattern").limit(TOP))
+    # Only the sessions of the few clusters that stay are gathered.
+    of = s.join(F.broadcast(g.select("seed")), "seed").groupBy("seed").agg(F.array_sort(F.collect_set("id")).alias("sessions"))
+    return g.join(of, "seed").select(F.lit("repeated_intent").alias("kind"), "pattern", "session_count", "heat", "sessions", "example").orderBy(F.desc("heat"), "pattern")
 
 
 def normalised(patterns: DataFrame) -> DataFrame:

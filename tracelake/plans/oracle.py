@@ -258,6 +258,15 @@ _STOP = """
 """
 KEYWORDS = rf"list_filter(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]+'), lambda x: strlen(x) > 2 AND x NOT IN ({_STOP}))"
 COUNT = "(length(content) - length(replace(content, ' ', '')) + 1)"
+#: Sets of words in order of their first session: each goes to the first seed that it is like, or becomes one.
+_ALIKE_SEED = "list_filter(walk.seeds, lambda x: len(list_intersect(x, b.w)) * 10 >= len(list_distinct(list_concat(x, b.w))) * 4)[1]"
+_WORDS = KEYWORDS.replace("content", "intent")
+SQL["repeated_intents_parts"] = f"""WITH RECURSIVE s AS (SELECT 'part-' || p_partkey AS id, p_partkey * 600 AS started_at, p_name || ' ' || replace(p_brand, '#', '') AS intent FROM part), k AS (SELECT *, list_sort(list_distinct({_WORDS})) AS w FROM s),
+b AS MATERIALIZED (SELECT w, row_number() OVER (ORDER BY min(started_at)) AS rn FROM k WHERE len(w) > 0 GROUP BY w),
+walk AS (SELECT 0::BIGINT AS rn, []::VARCHAR[][] AS seeds, NULL::VARCHAR[] AS w, NULL::VARCHAR[] AS seed
+  UNION ALL SELECT rn, CASE WHEN first IS NULL THEN list_append(seeds, w) ELSE seeds END, w, coalesce(first, w) FROM (SELECT b.rn, b.w, walk.seeds, {_ALIKE_SEED} AS first FROM walk JOIN b ON b.rn = walk.rn + 1)),
+g AS (SELECT count(*) AS session_count, round(sum({decay('((SELECT max(started_at) FROM s) - started_at)::DOUBLE / 3600', '168')}), 6) AS heat, min(id) AS first_session, max_by(intent, started_at) AS example FROM k JOIN walk ON walk.w = k.w GROUP BY walk.seed)
+SELECT 'repeated_intent' AS kind, example AS pattern, session_count, heat, session_count AS n_sessions, first_session, example FROM g WHERE session_count >= 3 ORDER BY heat DESC, pattern LIMIT 20"""
 EPISODES = f"""up AS (SELECT session_id, id, timestamp, content, {COUNT} < 5 AS terse, list_distinct({KEYWORDS}) AS kw, row_number() OVER (PARTITION BY session_id ORDER BY id) AS rn FROM prompts WHERE source = 'user'),
 walk AS (SELECT session_id, rn, id, timestamp, content, 1 AS episode, CASE WHEN terse THEN [] ELSE kw END AS words FROM up WHERE rn = 1
   UNION ALL SELECT up.session_id, up.rn, up.id, up.timestamp, up.content,

@@ -173,6 +173,16 @@ def repeated_intents(spark, sf_dir):
     return _patterns(patterns.repeated_intents(t, as_of=now))
 
 
+@query
+def repeated_intents_parts(spark, sf_dir):
+    """Parts as sessions, ten minutes apart, whose intents are names and brands: many sets of words that are alike by degrees."""
+    d = src.read(spark, sf_dir, "part")
+    intent = F.concat_ws(" ", "p_name", F.replace("p_brand", F.lit("#"), F.lit("")))
+    sessions = d.select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("id"), (F.col("p_partkey") * 600).alias("started_at"), F.to_json(F.struct(intent.alias("intent"))).alias("summary"))
+    now = sessions.agg(F.coalesce(F.max("started_at"), F.lit(0))).first()[0]
+    return _patterns(patterns.repeated_intents(Tables(sessions=sessions), as_of=now))
+
+
 @query
 def pattern_heat_normalized(spark, sf_dir):
     t, now = loaded(spark, sf_dir)
