@@ -7,6 +7,9 @@ import json
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -121,26 +124,43 @@ def friction(obs_type: Column, content: Column, failed: Column) -> Column:
 # --- linear models over word and character n-grams ---
 
 
+def words_of(text: str) -> list[str]:
+    """Words, A-Z in lower case."""
+    return re.findall(r"\w+", text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+
+
+def joined(words: list[str], lo: int, hi: int) -> Iterator[str]:
+    """All runs of ``lo`` to ``hi`` words, the short ones first."""
+    return chain.from_iterable(words if n == 1 else map(" ".join, zip(*(words[i:] for i in range(n)))) for n in range(lo, hi + 1))
+
+
 def word_grams(text: str, lo: int, hi: int) -> Counter:
-    words = ["".join(c.lower() if c.isascii() else c for c in w) for w in re.findall(r"\w+", text)]
-    return Counter(" ".join(words[i : i + n]) for n in range(lo, hi + 1) for i in range(len(words) - n + 1))
+    return Counter(joined(words_of(text), lo, hi))
+
+
+def cut(word: str, lo: int, hi: int) -> tuple[str, ...]:
+    """The n-grams of a word with a space on both sides, repeats included."""
+    w = f" {word} "
+    return tuple(w[i : i + n] for n in range(lo, hi + 1) for i in range(len(w) - n + 1))
+
+
+_cut = lru_cache(16384)(cut)
 
 
 def char_grams(text: str, lo: int, hi: int) -> Counter:
-    """Within words, each with a space on both sides."""
+    """Within words, each with a space on both sides. A word that comes again is cut once."""
     out: Counter = Counter()
-    for w in text.lower().split():
-        w = f" {w} "
-        for n in range(lo, hi + 1):
-            out.update(w[i : i + n] for i in range(len(w) - n + 1))
+    for w, n in Counter(text.lower().split()).items():
+        for g in _cut(w, lo, hi) if len(w) <= 32 else cut(w, lo, hi):  # long ones aren't kept
+            out[g] = out.get(g, 0) + n
     return out
 
 
 def part_score(part: dict, counts: Counter) -> float:
     """Dot product of weights with the tf-idf of known grams, scaled to length one."""
-    v = {}
+    v, known = {}, part["vocabulary"]
     for g, c in counts.items():
-        if (i := part["vocabulary"].get(g)) is not None:
+        if (i := known.get(g)) is not None:
             tf = 1.0 if part["binary"] else math.log(1 + c) if part["sublinear_tf"] else float(c)
             v[i] = tf * part["idf"][i]
     norm = math.sqrt(sum(x * x for x in v.values()))
@@ -149,7 +169,9 @@ def part_score(part: dict, counts: Counter) -> float:
 
 def predict(model: dict, text: str) -> tuple[str, float]:
     """The class and how sure: the second class from a half on."""
-    z = part_score(model["word"], word_grams(text, *model["word"]["ngram_range"])) + part_score(model["char"], char_grams(text, *model["char"]["ngram_range"])) + model["bias"]
+    # A part that knows no grams needs none counted.
+    word, char = (part_score(model[k], grams(text, *model[k]["ngram_range"])) if model[k]["vocabulary"] else 0.0 for k, grams in (("word", word_grams), ("char", char_grams)))
+    z = word + char + model["bias"]
     p = 1 / (1 + math.exp(-z))
     return (model["classes"][1], p) if p >= 0.5 else (model["classes"][0], 1 - p)
 
