@@ -1,6 +1,8 @@
 """Training on all rows against training on a sample, against plain descent, and with variants of rows kept together."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -69,3 +71,44 @@ def test_descent_finds_the_least():
         if d.done:
             break
     assert d.x == pytest.approx(np.linalg.solve(h, b), abs=1e-5)
+
+
+def test_grams_are_counted_as_by_hand(spark):
+    """Counts of a task against plain ones, for words that repeat, hold a gram twice, or are no words; in several batches of counts."""
+    texts = ["aaa bbb aaa", "", "ÄB äb Ab_1 aaa!", "the THE  the\n", "x" * 50 + " aaaa", "日本 日本語 ſ K"]
+    for text in texts:
+        words = ["".join(c.lower() if c.isascii() else c for c in w) for w in re.findall(r"\w+", text)]
+        assert classify.word_grams(text, 1, 2) == Counter(" ".join(words[i : i + n]) for n in (1, 2) for i in range(len(words) - n + 1))
+        assert classify.char_grams(text, 3, 5) == Counter(f" {w} "[i : i + n] for w in text.lower().split() for n in (3, 4, 5) for i in range(len(w) + 3 - n))
+    counts = training.Counts((1, 2), (3, 5))
+    for text in texts * 2:
+        counts.add(text)
+    have = {(p, g): (d, t) for b in counts.out() for p, g, d, t in zip(*(b.column(i).to_pylist() for i in range(4)))}
+    word, char = (Counter(g for t in texts * 2 for g in f(t, *r)) for f, r in ((classify.word_grams, (1, 2)), (classify.char_grams, (3, 5))))
+    total = sum((classify.char_grams(t, 3, 5) for t in texts * 2), Counter())
+    assert have == {("word", g): (n, n) for g, n in word.items()} | {("char", g): (n, total[g]) for g, n in char.items()}
+
+
+def test_labels_share_passes(spark, table, monkeypatch):
+    """Models of two labels at once are those that each gets alone, from one count of the grams."""
+    both = table.where("label <> 'neither'").withColumn("odd", F.when(F.col("seed") % 2 == 1, "rough").otherwise("calm"))
+    made, count = [], training.vocabulary
+    monkeypatch.setattr(training, "vocabulary", lambda *a, **k: made.append(1) or count(*a, **k))
+    two = training.train_each(both, "text", ["label", "odd"], ("calm", "rough"), folds=2, rounds=6)
+    assert len(made) == 1
+    for model, label in zip(two, ("label", "odd")):
+        one = training.train_all(both, "text", label, ("calm", "rough"), folds=2, rounds=6)
+        assert one["accuracy"] == pytest.approx(model["accuracy"], abs=0.02) and one["word"]["idf"] == model["word"]["idf"]
+        assert one["word"]["weights"] == pytest.approx(model["word"]["weights"], abs=0.01)
+
+
+def test_a_model_without_grams_counts_none(monkeypatch):
+    monkeypatch.setattr(classify, "char_grams", None)
+    part = {"vocabulary": {"fix": 0}, "idf": [1.0], "weights": [2.0], "ngram_range": [1, 1], "binary": True, "sublinear_tf": True}
+    none = {"vocabulary": {}, "idf": [], "weights": [], "ngram_range": [3, 5], "binary": False, "sublinear_tf": True}
+    assert classify.predict({"classes": ["a", "b"], "word": part, "char": none, "bias": 0.0}, "Fix it")[0] == "b"
+
+
+def test_a_word_that_comes_again_is_cut_once():
+    classify._cut.cache_clear()
+    assert classify.char_grams("Abc abc abc", 3, 3)["abc"] == 3 and classify._cut.cache_info().misses == 1

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.reliable import checkpoint
-from tracelake.operators.classify import char_grams, word_grams
+from tracelake.operators.classify import cut, joined, words_of
 
 #: Distinct grams that a task counts before it hands them on.
 COUNTED = 500_000
+#: Vectors that are worked on at a time.
+ROWS = 64
 
 
 class Descent:
@@ -61,33 +63,74 @@ class Descent:
         self.trial = self.x + self.step * self.way
 
 
-def _grams(text: str, word: tuple[int, int], char: tuple[int, int]) -> dict[str, Counter]:
-    return {"word": word_grams(text, *word), "char": char_grams(text, *char)}
+class Words:
+    """Numbers of the character grams of words: a word is cut once, whichever texts it comes in."""
+
+    def __init__(self, lo: int, hi: int, known: dict[str, int] | None = None):
+        self.range, self.known, self.grams, self.of = (lo, hi), known, {} if known is None else known, {}
+
+    def numbers(self, words: Iterable[str]) -> list[np.ndarray]:
+        """For each word those of its grams, repeats included; only of known ones if such were given."""
+        out = []
+        for w in words:
+            if (own := self.of.get(w)) is None:
+                found = cut(w, *self.range)
+                if self.known is None:
+                    own = [self.grams.setdefault(g, len(self.grams)) for g in found]
+                else:
+                    own = [i for g in found if (i := self.grams.get(g)) is not None]
+                self.of[w] = own = np.array(own, np.int32)
+            out.append(own)
+        return out
+
+
+class Counts:
+    """Of texts: in how many each gram is, and how often it comes in all."""
+
+    def __init__(self, word: tuple[int, int], char: tuple[int, int]):
+        self.word, self.docs, self.words, self.often = word, Counter(), Words(*char), Counter()
+        self.char_docs, self.slot = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
+    def add(self, text: str) -> None:
+        self.docs.update(set(joined(words_of(text), *self.word)))
+        own = Counter(text.lower().split())
+        self.often.update(own)
+        if not own:
+            return
+        at = np.concatenate(self.words.numbers(own))
+        if (size := len(self.words.grams)) > len(self.slot):
+            self.char_docs = np.concatenate([self.char_docs, np.zeros(2 * size - len(self.char_docs), np.int64)])
+            self.slot = np.zeros(2 * size, np.int64)
+        # Of a gram's places in the text only the last one is still its own.
+        place = np.arange(len(at))
+        self.slot[at] = place
+        self.char_docs[at[self.slot[at] == place]] += 1
+
+    def __len__(self) -> int:
+        return len(self.docs) + len(self.words.grams) + len(self.words.of)
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        known, n = list(self.docs), pa.array(list(self.docs.values()), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(["word"] * len(known), pa.string()), pa.array(known, pa.string()), n, n], ["part", "gram", "docs", "total"])
+        size, total = len(self.words.grams), np.zeros(len(self.words.grams), np.int64)
+        if size:
+            parts = self.words.numbers(self.often)
+            np.add.at(total, np.concatenate(parts), np.repeat(np.fromiter(self.often.values(), np.int64, len(parts)), [len(x) for x in parts]))
+        yield pa.RecordBatch.from_arrays([pa.array(["char"] * size, pa.string()), pa.array(list(self.words.grams), pa.string()), pa.array(self.char_docs[:size]), pa.array(total)], ["part", "gram", "docs", "total"])
 
 
 def vocabulary(rows: DataFrame, n: int, *, word: tuple[int, int], char: tuple[int, int], grams: tuple[int, int], least_docs: int, most_docs: float) -> dict[str, dict]:
     """Of ``rows`` (``text``) the parts of a model without weights: at most ``grams`` of words and of characters."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs: dict[str, Counter] = {"word": Counter(), "char": Counter()}
-        total = Counter()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for part, c in docs.items():
-                known = list(c)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(known), pa.string()), pa.array(known, pa.string()), pa.array([c[g] for g in known], pa.int64()), pa.array([total[g] if part == "char" else c[g] for g in known], pa.int64())], ["part", "gram", "docs", "total"])
-                c.clear()
-            total.clear()
-
+        counts = Counts(word, char)
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                found = _grams(text, word, char)
-                for part, c in found.items():
-                    docs[part].update(c.keys())
-                total.update(found["char"])
-                if len(docs["word"]) + len(docs["char"]) > COUNTED:
-                    yield from out()
-        yield from out()
+                counts.add(text)
+                if len(counts) > COUNTED:
+                    yield from counts.out()
+                    counts = Counts(word, char)
+        yield from counts.out()
 
     counted = rows.mapInArrow(count, "part string, gram string, docs long, total long").groupBy("part", "gram").agg(F.sum("docs").alias("docs"), F.sum("total").alias("total"))
     counted = checkpoint(counted.where((F.col("docs") >= least_docs) & (F.col("docs") <= most_docs * n)))
@@ -100,84 +143,104 @@ def vocabulary(rows: DataFrame, n: int, *, word: tuple[int, int], char: tuple[in
 
 def _vectors(parts: dict[str, dict], word: tuple[int, int], char: tuple[int, int]):
     """``y, fold, indices, values``: the rows that ``classify.part_score`` multiplies with the weights, and a constant."""
-    cut = len(parts["word"]["vocabulary"])
-    last = cut + len(parts["char"]["vocabulary"])
+    cut_at = len(parts["word"]["vocabulary"])
+    last = cut_at + len(parts["char"]["vocabulary"])
+
+    def scaled(tf: np.ndarray) -> np.ndarray:
+        return tf / np.sqrt(tf @ tf) if len(tf) else tf
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, idf = parts["word"]["vocabulary"], {k: np.array(p["idf"], float) for k, p in parts.items()}
+        words = Words(*char, known=parts["char"]["vocabulary"])
         for batch in batches:
             indices, values = [], []
             for text in batch.column("text").to_pylist():
-                at, weight = [], []
-                for part, c in _grams(text, word, char).items():
-                    p = parts[part]
-                    own = {i: (1.0 if p["binary"] else math.log(1 + k)) * p["idf"][i] for g, k in c.items() if (i := p["vocabulary"].get(g)) is not None}
-                    norm = math.sqrt(sum(x * x for x in own.values()))
-                    at += [i + (cut if part == "char" else 0) for i in own]
-                    weight += [x / norm for x in own.values()]
-                indices.append([*at, last])
-                values.append([*weight, 1.0])
+                # Words are binary, so a gram counts once.
+                at = np.array([i for g in dict.fromkeys(joined(words_of(text), *word)) if (i := known.get(g)) is not None], np.int32)
+                own = Counter(text.lower().split())
+                n = np.zeros(last - cut_at)
+                if own:
+                    found = words.numbers(own)
+                    n = np.bincount(np.concatenate(found), np.repeat(np.fromiter(own.values(), np.int64, len(found)), [len(x) for x in found]), last - cut_at)
+                there = np.flatnonzero(n)
+                indices.append(np.concatenate([at, there + cut_at, [last]]).astype(np.int32))
+                values.append(np.concatenate([scaled(idf["word"][at]), scaled(np.log(1 + n[there]) * idf["char"][there]), [1.0]]).astype(np.float32))
+                if len(words.of) > COUNTED:
+                    words.of.clear()
             yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("fold"), pa.array(indices, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["y", "fold", "indices", "values"])
 
     return run
 
 
-def _margins(batch: pa.RecordBatch, weights: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of a batch of vectors: y, fold, indices, values, the row of each, and the margins (row of weights by row of the batch)."""
-    y, fold = batch.column("y").to_numpy(), batch.column("fold").to_numpy()
+def _blocks(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a batch of vectors, some rows at a time: y (a column for each label), fold, and the rows in full."""
+    fold = batch.column("fold").to_numpy()
+    y = batch.column("y").flatten().to_numpy().reshape(len(fold), -1)
     lists = batch.column("indices")
-    indices, values = lists.flatten().to_numpy(), batch.column("values").flatten().to_numpy().astype(float)
-    size = np.diff(lists.offsets.to_numpy())
-    starts = np.cumsum(size) - size  # each row has its constant, so none is empty
-    return y, fold, indices, values, np.repeat(np.arange(len(y)), size), np.stack([np.add.reduceat(values * w[indices], starts) for w in weights])
+    indices, values = lists.flatten().to_numpy(), batch.column("values").flatten().to_numpy()
+    ends = np.r_[0, np.cumsum(np.diff(lists.offsets.to_numpy()))]
+    for lo in range(0, len(fold), ROWS):
+        hi = min(lo + ROWS, len(fold))
+        own = slice(ends[lo], ends[hi])
+        x = np.zeros((hi - lo, width))
+        x[np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1])), indices[own]] = values[own]
+        yield y[lo:hi], fold[lo:hi], x
 
 
-def _sums(shared, of_class):
-    """A row for each task: of each model (of all rows but those of one fold) the loss and its gradient."""
+def _sums(shared, of_class: list[tuple[int, int, float, float]]):
+    """A row for each task: of each model (its label, the fold that it leaves out, weights of its classes) the loss and its gradient."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
+        label, without, less, more = (np.array(x) for x in zip(*of_class))
         out = np.zeros((len(weights), weights.shape[1] + 1))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            y, fold, indices, values, row, margins = _margins(batch, weights)
-            for k, margin in enumerate(margins):
-                own = np.where(fold == k, 0.0, np.where(y > 0, of_class[k][1], of_class[k][0]))
-                missed = np.maximum(0, 1 - y * margin)
-                out[k, 0] += float((own * missed * missed).sum())
-                out[k, 1:] += np.bincount(indices, (-2 * own * y * missed)[row] * values, weights.shape[1])
+            for y, fold, x in _blocks(batch, weights.shape[1]):
+                y = y[:, label]
+                own = np.where(fold[:, None] == without, 0.0, np.where(y > 0, more, less))
+                missed = np.maximum(0, 1 - y * (x @ weights.T))
+                out[:, 0] += (own * missed * missed).sum(axis=0)
+                out[:, 1:] += (-2 * own * y * missed).T @ x
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["sums"])
 
     return run
 
 
-def train_all(rows: DataFrame, text: str, label: str, classes: tuple[str, str], *, group: str | None = None, word: tuple[int, int] = (1, 2), char: tuple[int, int] = (3, 5), grams: tuple[int, int] = (3000, 2000), least_docs: int = 2, most_docs: float = 0.95, c: float = 1.0, folds: int = 0, rounds: int = 60) -> dict:
-    """A model as ``classify.train`` makes it, of all rows that have a text and one of the two labels.
+def train_all(rows: DataFrame, text: str, label: str, classes: tuple[str, str], **settings) -> dict:
+    """A model as ``classify.train`` makes it, of all rows that have a text and one of the two labels; settings as for ``train_each``."""
+    return train_each(rows, text, [label], classes, **settings)[0]
+
+
+def train_each(rows: DataFrame, text: str, labels: list[str], classes: tuple[str, str], *, group: str | None = None, word: tuple[int, int] = (1, 2), char: tuple[int, int] = (3, 5), grams: tuple[int, int] = (3000, 2000), least_docs: int = 2, most_docs: float = 0.95, c: float = 1.0, folds: int = 0, rounds: int = 60) -> list[dict]:
+    """A model for each of ``labels``, of the rows that have a text and one of the two classes in every label. Grams are counted
+    and texts made vectors once for all, and each round's pass serves all models.
 
     With ``folds`` (two or more), "accuracy" is that on rows whose fold a model hasn't learned from; rows that are equal in
     ``group`` (the text, if none is named) share a fold, so that variants of a row don't tell on it. Without rows all is zero.
     """
     spark = rows.sparkSession
-    fold = F.pmod(F.xxhash64(group or text), F.lit(max(1, folds))).cast("int") if folds else F.lit(0)
-    d = rows.where(F.col(label).isin(*classes) & F.col(text).isNotNull())
-    # Models 0 to folds - 1 leave out the fold of their number, the last one none.
-    d = checkpoint(d.select(F.col(text).alias("text"), F.when(F.col(label) == classes[1], 1.0).otherwise(-1.0).alias("y"), fold.alias("fold")))
-    sizes = {(r.fold, r.y): r["count"] for r in d.groupBy("fold", "y").count().collect()}  # two rows a fold
-    n = sum(sizes.values())
+    fold = F.pmod(F.xxhash64(group or text), F.lit(max(1, folds))).cast("int") if folds else F.lit(-1)
+    d = rows.where(F.col(text).isNotNull())
+    for x in labels:
+        d = d.where(F.col(x).isin(*classes))
+    # Without folds no row has the number of a model.
+    d = checkpoint(d.select(F.col(text).alias("text"), F.array(*[F.when(F.col(x) == classes[1], 1.0).otherwise(-1.0) for x in labels]).alias("y"), fold.alias("fold")))
+    sizes = d.groupBy("fold").agg(F.count("*").alias("n"), F.array(*[F.count_if(F.get("y", F.lit(i)) > 0) for i in range(len(labels))]).alias("more")).collect()  # a row a fold
+    n = sum(r.n for r in sizes)
     parts = vocabulary(d.select("text"), n, word=word, char=char, grams=grams, least_docs=least_docs, most_docs=most_docs)
-    cut = len(parts["word"]["vocabulary"])
-    width = cut + len(parts["char"]["vocabulary"]) + 1
-    model = {"classes": list(classes), **parts, "bias": 0.0}
+    cut_at = len(parts["word"]["vocabulary"])
+    width = cut_at + len(parts["char"]["vocabulary"]) + 1
+    models = [{"classes": list(classes), **{k: dict(p) for k, p in parts.items()}, "bias": 0.0} for _ in labels]
     if not n:
-        return model
-    vectors = checkpoint(d.mapInArrow(_vectors(parts, word, char), "y double, fold int, indices array<int>, values array<float>"))
+        return models
+    vectors = checkpoint(d.mapInArrow(_vectors(parts, word, char), "y array<double>, fold int, indices array<int>, values array<float>"))
+    # Of each label, models 0 to folds - 1 leave out the fold of their number, the last one (-2) none.
     of_class = []
-    for k in [*range(folds), -1]:
-        own = {y: sum(m for (f, side), m in sizes.items() if f != k and side == y) for y in (-1.0, 1.0)}
-        of_class.append([c * sum(own.values()) / 2 / max(1, own[y]) for y in (-1.0, 1.0)])
+    for i in range(len(labels)):
+        for k in [*range(folds), -2]:
+            own, more = (sum(x for r, x in zip(sizes, of) if r.fold != k) for of in ([r.n for r in sizes], [r.more[i] for r in sizes]))
+            of_class.append((i, k, c * own / 2 / max(1, own - more), c * own / 2 / max(1, more)))
     found = [Descent(width) for _ in of_class]
-    # Without folds no row has the number of a model.
-    vectors = vectors if folds else vectors.withColumn("fold", F.lit(-1))
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(np.stack([m.trial for m in found]))
         tasks = vectors.mapInArrow(_sums(shared, of_class), "sums binary").rdd.map(lambda r: np.frombuffer(r.sums))
@@ -187,17 +250,21 @@ def train_all(rows: DataFrame, text: str, label: str, classes: tuple[str, str],
             m.told(float(x[0] + m.trial @ m.trial / 2), x[1:] + m.trial)
         if all(m.done for m in found):
             break
-    w = found[-1].x
-    parts["word"]["weights"], parts["char"]["weights"], model["bias"] = w[:cut].tolist(), w[cut:-1].tolist(), float(w[-1])
+    for i, model in enumerate(models):
+        w = found[i * (folds + 1) + folds].x
+        model["word"]["weights"], model["char"]["weights"], model["bias"] = w[:cut_at].tolist(), w[cut_at:-1].tolist(), float(w[-1])
     if folds:
-        weights = np.stack([m.x for m in found[:-1]])
+        weights = np.stack([m.x for m in found])
 
         def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first = np.arange(len(labels)) * (folds + 1)
             for batch in batches:
-                if batch.num_rows:
-                    y, fold, *_, margins = _margins(batch, weights)
-                    hit = (margins[fold, np.arange(len(y))] >= 0) == (y > 0)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(hit.sum())], pa.int64())], ["n"])
-
-        model["accuracy"] = vectors.mapInArrow(right, "n long").agg(F.sum("n")).first()[0] / n
-    return model
+                hit = np.zeros(len(labels), np.int64)
+                for y, own, x in _blocks(batch, width):
+                    hit += ((np.take_along_axis(x @ weights.T, first + own[:, None], axis=1) >= 0) == (y > 0)).sum(axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(labels)), pa.int64()), pa.array(hit)], ["label", "n"])
+
+        hits = {r.label: r.n for r in vectors.mapInArrow(right, "label long, n long").groupBy("label").agg(F.sum("n").alias("n")).collect()}
+        for i, model in enumerate(models):
+            model["accuracy"] = hits[i] / n
+    return models

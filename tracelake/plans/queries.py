@@ -550,11 +550,10 @@ def classifier_trained(spark, sf_dir):
 def classifier_all_rows(spark, sf_dir):
     """Models of quality and of toxicity, trained on all labelled rows and measured on folds; equal texts share a fold."""
     d = src.read(spark, sf_dir, "documents").join(src.read(spark, sf_dir, "labels"), "doc_id")
-    out = []
-    for of in ("quality", "toxic"):
-        rows = d.select("text", F.when(F.col(of) == 1, "yes").otherwise("no").alias("label"))
-        model = training.train_all(rows, "text", "label", ("no", "yes"), folds=5)
-        out.append((of, len(model["word"]["vocabulary"]), len(model["char"]["vocabulary"]), round(model["accuracy"], 3)))
+    named = ("quality", "toxic")
+    rows = d.select("text", *[F.when(F.col(of) == 1, "yes").otherwise("no").alias(of) for of in named])
+    models = training.train_each(rows, "text", list(named), ("no", "yes"), folds=5)
+    out = [(of, len(model["word"]["vocabulary"]), len(model["char"]["vocabulary"]), round(model["accuracy"], 3)) for of, model in zip(named, models)]
     return spark.createDataFrame(out, "dimension string, word_grams long, char_grams long, accuracy double")
 
 
