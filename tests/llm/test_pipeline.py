@@ -8,7 +8,7 @@ import corpus_pipeline
 
 from tests.llm import brute
 from tests.llm.test_operators import DIR, docs, items, table  # noqa: F401
-from tracelake.llm import mixing
+from tracelake.llm import mixing, near_dedup
 
 
 def rows(df):
@@ -68,3 +68,23 @@ def test_stages_of_an_empty_table(spark, table):  # noqa: F811
         docs_ = stage(spark, docs_, DIR)
         assert docs_.count() == 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_duplicates_by_fingerprints(spark, monkeypatch):
+    """With prefixes switched off, fingerprints still find what is near by them; an exact check drops pairs whose fingerprints are equal but not their texts."""
+    body = " ".join(f"w{i % 11}" for i in range(1100))
+    far = [f"{body} " + " ".join(f"{own}{i}" for i in range(40)) for own in "xy"]
+    near = [(own := " ".join(f"v{i % 31}" for i in range(1000))), f"{own} end"]
+    texts = [*far, *near, *near[:1], "another text that has nothing in common with them"]
+    fps, sets = [near_dedup.shingle_fingerprint(t.encode()) for t in texts], [shingles(t) for t in texts]
+    assert all((fps[i] ^ fps[i + 1]).bit_count() <= 3 for i in (0, 2))
+    assert [len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]) for i in (0, 2)] == [False, True]
+
+    def none(batches):
+        for batch in batches:
+            if batch.num_rows < 0:
+                yield batch
+
+    monkeypatch.setattr(near_dedup, "first_pairs", none)
+    docs_ = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs_, DIR).orderBy("doc_id").collect()] == [0, 1, 2, 5]

@@ -6,7 +6,8 @@ under an exact first segment and a second one with four of its bits left out; th
 full Hamming check. Only distinct fingerprints are compared. A bucket yields a path through each of its components, not its
 pairs, so a large group of near copies makes as many rows as it has members; components are then merged by star steps.
 
-``near_groups`` links fingerprints of 64 bits within 3, as the query asks for. ``similar_groups`` is for documents whose sets of
+``near_groups`` links fingerprints of 64 bits within 3, as the query asks for. ``fingerprinted_groups``, the pipeline's, takes pairs
+of such fingerprints, checks their texts exactly and finds what else is similar by ``similar_groups``. That is for documents whose sets of
 five-word shingles have a similarity of 0.8 or more, which is too far apart for that. It is exact: similar sets share one of
 their first shingles in any order of all shingles (prefix filter; frequent ones come last in it), sizes and places bound what
 they can share, and each pair that is left is verified by its whole sets. A large bucket first links its rows to one of them
@@ -218,6 +219,13 @@ def node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(nodes.view(np.int64))], names=[*kept, "node"])
 
 
+def marked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node_batches`` and ``fingerprint_batches`` of the same texts."""
+    for batch in batches:
+        (nodes,), (fps,) = node_batches(iter([batch])), fingerprint_batches(iter([batch]))
+        yield nodes.append_column("fp", fps.column("fp"))
+
+
 def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``node, own`` from ``node, text``: the set of a text's shingles, as bytes."""
     for batch in batches:
@@ -402,18 +410,36 @@ def frequent_shingles(d: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return often[order], rows.column("count").to_numpy()[order]
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_pairs(nodes: DataFrame) -> DataFrame:
+    """``a, b``: pairs of nodes (``node, fp``; equal words have equal fingerprints) along paths through all whose fingerprints are within the radius."""
+    first = checkpoint(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")))
+    equal = nodes.join(first.where("n > 1").select("fp", F.col("node").alias("a")), "fp").select("a", F.col("node").alias("b"))
+    ends = links(first.select("fp")).distinct()
+    for x in ("a", "b"):
+        ends = ends.join(first.select(F.col("fp").alias(x), F.col("node").alias(f"node_{x}")), x)
+    both = equal.unionByName(ends.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))).where("a != b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def fingerprinted_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``similar_groups``, the same result, whose pairs come from fingerprints by pigeonring, as those of ``near_groups``, and from prefixes."""
+    return similar_groups(docs, id_col, text_col, fingerprints=True)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fingerprints: bool = False) -> DataFrame:
     """``doc_id, k1, k2, component``: every row with its group of similar documents, over any chain of links.
 
-    Two texts are linked if, and only if, their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+    Two texts are linked if, and only if, their sets of five-word shingles have a Jaccard similarity of 0.8 or more. With
+    ``fingerprints`` pairs within the radius are candidates too; what they join is not compared in large buckets any more.
     Texts without words are one group. Repeated rows, nulls, empty tables and other columns: as for ``near_groups``.
     """
     d = columns(docs, id=id_col, text=text_col)
     d = d.select("id", *row_key(d["id"], d["text"]), "text")
     order = d.sparkSession.sparkContext.broadcast(frequent_shingles(d))
-    rows = checkpoint(d.mapInArrow(node_batches, f"id {d.schema['id'].dataType.simpleString()}, k1 long, k2 long, node long"))
+    rows = checkpoint(d.mapInArrow(marked_batches if fingerprints else node_batches, f"id {d.schema['id'].dataType.simpleString()}, k1 long, k2 long, node long" + ", fp long" * fingerprints))
     # One row stands for all of a node; only that one's shingles are looked at.
-    one = checkpoint(rows.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("one"), F.count("*").alias("rows")).select("node", "one.k1", "one.k2", "rows"))
+    fp = [F.min("fp").alias("fp")] if fingerprints else []
+    one = checkpoint(rows.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("one"), F.count("*").alias("rows"), *fp).select("node", "one.k1", "one.k2", "rows", *["fp"] * fingerprints))
     copied = one.where("rows > 1").select("node", F.col("k1").alias("one1"), F.col("k2").alias("one2"))
     others = rows.join(broadcast_if_small(copied, copied.count()), "node").where("k1 != one1 OR k2 != one2").select("k1", "k2")
     others = checkpoint(others.distinct())
@@ -421,7 +447,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prefixes = prefixes.join(broadcast_if_small(others, others.count(), common.KEYS), ["k1", "k2"], "left_anti")
     places = prefixes.select("node", "n", F.posexplode("prefix").alias("at", "bucket")).select("bucket", "node", "n", "at")
     found = checkpoint(places.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(first_pairs, "a long, b long, bucket long, n long, at long"))
-    pairs = checkpoint(found.where("b IS NOT NULL").select("a", "b").distinct())
+    pairs = found.where("b IS NOT NULL").select("a", "b")
+    if fingerprints:
+        pairs = pairs.unionByName(near_pairs(one.select("node", "fp")))
+    pairs = checkpoint(pairs.distinct())
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         """``node, text`` of each of the distinct nodes."""
@@ -436,8 +465,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         # Stored, not kept as a checkpoint: that would hand the joins' partitioning on to each round of the components.
         return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(similar_batches, "a long, b long"))
 
-    links = verified(pairs)
-    joined = stored(components(links))
+    linked = verified(pairs)
+    joined = stored(components(linked))
     places = found.where("b IS NULL").select("bucket", F.col("a").alias("node"), "n", "at")
     for joining in (True, False):
         if places.isEmpty():
@@ -456,8 +485,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         more = checkpoint(more.join(pairs, ["a", "b"], "left_anti"))
         if n := more.count():
             more = more.coalesce(max(1, -(-n // SMALL_PART)))
-            links = links.unionByName(verified(more))
-            joined = stored(components(links))
+            linked = linked.unionByName(verified(more))
+            joined = stored(components(linked))
             pairs = pairs.unionByName(more)
     return rows.join(broadcast_if_small(joined, joined.count()), "node", "left").select(F.col("id").alias("doc_id"), "k1", "k2", F.coalesce("component", "node").alias("component"))
 
@@ -465,7 +494,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups_of=near_groups) -> DataFrame:
     """The rows of ``docs``, all its columns, that stay: of each group the row of the smallest id (null last), then hash.
 
-    Groups are those of ``near_groups`` or, with ``groups_of=similar_groups``, of similar documents.
+    Groups are those of ``near_groups`` or, with ``groups_of``, those of ``similar_groups`` or ``fingerprinted_groups``.
 
     Of rows that repeat id and text one stays, whichever. An empty table gives an empty result.
     """
