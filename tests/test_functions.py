@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import sqlite3
 
 import pytest
@@ -180,3 +181,12 @@ def test_display_strings(spark):
     logs = [("git_commit", None, "git commit", '{"commit_hash":"ab1","commit_message":"m","insertions":3}'), ("git_push", None, "git push", '{"hash_range":"a..b","branch":"main"}'), ("git_push", None, "git push", None), ("file_read", "/f", "x", None), ("command", None, "y" * 99, None)]
     assert col(spark, logs, scalar.log_message, ["string"] * 4) == ["git_commit: [ab1] m (3+/0−)", "git_push: a..b main → ?", "git_push: git push", "file_read: /f", "command: " + "y" * 80]
     assert col(spark, [("/f", "x"), (None, "z" * 61), (None, "short")], scalar.row_title, ["string"] * 2) == ["/f", "z" * 60 + "...", "short"]
+
+
+def test_each_word_is_stemmed_once(monkeypatch):
+    seen, plain = [], kernels.porter
+    monkeypatch.setattr(kernels, "porter", lambda w: seen.append(w) or plain(w))
+    monkeypatch.setattr(kernels, "_STEMS", {})
+    texts = ["Handing handing HANDED", "handed, Élan", None]
+    assert [kernels.known_stems(t) for t in texts] == [["hand"] * 3, ["hand", "elan"], []] and sorted(seen) == ["elan", "handed", "handing"]
+    assert all(kernels.fold(t) == "".join(c for c in unicodedata.normalize("NFD", t.lower()) if not unicodedata.combining(c)) for t in ("a\u0301\u0327b \u1e69 \uac01", "\u3099が \U0001d165", "İI"))
