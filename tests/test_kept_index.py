@@ -109,3 +109,36 @@ def test_phrases_in_long_texts(spark):
     """A phrase costs time in proportion to a text: quadratic, this one of 400,000 words would take hours."""
     texts = spark.range(2).select(F.col("id").alias("doc"), F.repeat(F.lit("quick brown "), 200_000).alias("x"))
     assert [r.doc for r in search.matches(search.build(texts, "doc", "x", False), '"brown quick"').orderBy("doc").collect()] == [0, 1]
+
+
+def test_postings_are_grouped_where_texts_are(spark, monkeypatch):
+    """Postings of many texts at once against plain grouping, in pieces of few tokens; grouping them shuffles nothing."""
+    monkeypatch.setattr(search, "TOKENS", 7)
+    texts = [(1, ["a", "b", "a"]), (2, []), (3, ["b"]), (4, ["c", "a", "c", "c", "d", "e", "f", "a", "é"]), (5, ["a"])]
+    df = spark.createDataFrame(texts, "doc bigint, tokens array<string>")
+    for present in (None, ""):
+        want = {(t, d, tuple(i for i, x in enumerate(w) if x == t), len(w)) for d, w in texts for t in w} | ({("", d, (len(w),), len(w)) for d, w in texts} if present == "" else set())
+        made = search.postings_of(df, present)
+        have = [(r.term, r.doc, tuple(r.positions), r.dl) for r in made.collect()]
+        assert sorted(have) == sorted(want) and "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_integrity_gathers_what_differs_only(spark, tmp_path):
+    """A document that is gone, one with a word more, one of the same words in another order and one too many, in an index as stored and as made on the fly."""
+    rows = [(1, "a b a"), (2, "b c"), (3, "c d e"), (4, "x y"), (5, ""), (6, "same words here")]
+    other = [(1, "a b a"), (2, "b c c"), (3, "d c e"), (5, ""), (6, "same words here"), (7, "new")]
+    corpus, wrong = (spark.createDataFrame(x, "id long, x string") for x in (rows, other))
+    index = search.build(wrong, "id", "x", stemmed=False)
+    want = {("missing", 2, "c", "1"), ("extra", 2, "c", "1,2"), ("missing", 3, "c", "0"), ("missing", 3, "d", "1"), ("extra", 3, "d", "0"), ("extra", 3, "c", "1"), ("missing", 4, "x", "0"), ("missing", 4, "y", "1"), ("extra", 7, "new", "0")}
+    for own in (index, search.store(index, str(tmp_path / "index"), 4)):
+        found = search.missing_postings(own, corpus, "id", "x")
+        # A text's length is a part of its digest only: the word that is as before doesn't count.
+        assert {(r.side, r.doc, r.term, r["at"]) for r in found.collect()} == want
+    gathered = []
+    plain = search._of_docs
+    search._of_docs = lambda i, docs: gathered.append(sorted(r.doc for r in docs.collect())) or plain(i, docs)
+    try:
+        search.missing_postings(index, corpus, "id", "x").collect()
+    finally:
+        search._of_docs = plain
+    assert gathered[0] == [2, 3, 4, 7]

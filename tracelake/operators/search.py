@@ -1,7 +1,8 @@
 """Ranked full-text search: terms, phrases, prefixes, AND, OR, NOT, BM25, blended ranks, tiers.
 
 An index is of words without endings and diacritics unless it is asked for plain ones. One made on the fly reads its texts
-twice for a search, whatever the number of its terms: once for the corpus' figures, once for ranks; nothing is shuffled. A stored
+twice for a search, whatever the number of its terms: once for the corpus' figures, once for ranks; nothing is shuffled. Of stems,
+which cost more, frequencies are kept for the second pass. A stored
 one has postings (one row for a term of a document, with its positions), sorted by term in buckets of its hash, so that a search
 reads its own terms' rows only, and gathers them by document.
 """
@@ -9,12 +10,17 @@ reads its own terms' rows only, and gathers them by document.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tracelake.functions import kernels
+from tracelake.functions.reliable import checkpoint
 from tracelake.functions.scalar import exp_decay, type_weight
 from tracelake.model import Tables
 from tracelake.operators.patterns import like
@@ -23,6 +29,8 @@ from tracelake.operators.ranking import between
 K1, B = 1.2, 0.75
 #: Buckets of a stored index.
 BUCKETS = 64
+#: Tokens whose postings are grouped at a time; a longer text's are grouped alone.
+TOKENS = 1_000_000
 
 
 @dataclass
@@ -45,10 +53,45 @@ def tokens(text: Column, stemmed: bool) -> Column:
     return kernels.stems_udf(text) if stemmed else F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def postings_of(texts: DataFrame) -> DataFrame:
-    """``term, doc, positions, dl`` from ``doc, tokens``: a group for each term and document."""
-    t = texts.select("doc", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
-    return t.groupBy("term", "doc", "dl").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+def posting_batches(doc: pa.DataType, present: str | None = None):
+    """``term, doc, positions, dl`` from ``doc, tokens``: each term of a text with its positions, grouped where the text is. With
+    ``present`` each text also has that term, behind its last token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            lists = whole.column("tokens")
+            ends = np.r_[0, np.cumsum(np.diff(lists.offsets.to_numpy()))]
+            at = 0
+            while at < whole.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + TOKENS, "right")) - 1)
+                yield group(whole.slice(at, to - at))
+                at = to
+
+    def group(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column("tokens")
+        size = np.diff(lists.offsets.to_numpy())
+        coded = lists.flatten().dictionary_encode()
+        words, row = coded.dictionary, np.repeat(np.arange(len(size)), size)
+        code, place = coded.indices.to_numpy().astype(np.int64), np.arange(len(row)) - (np.cumsum(size) - size)[row]
+        if present is not None:
+            # Its code is one that no token has.
+            code, row, place = np.r_[code, np.full(len(size), len(words))], np.r_[row, np.arange(len(size))], np.r_[place, size]
+            words = pa.concat_arrays([words, pa.array([present], words.type)])
+        key = row * np.int64(len(words)) + code
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(order) else order
+        one = order[first]
+        positions = pa.ListArray.from_arrays(pa.array(np.r_[first, len(order)], pa.int32()), pa.array(place[order], pa.int32()))
+        return pa.RecordBatch.from_arrays([words.take(pa.array(code[one])).cast(pa.string()), batch.column("doc").take(pa.array(row[one])).cast(doc), positions, pa.array(size[row[one]], pa.int32())], ["term", "doc", "positions", "dl"])
+
+    return run
+
+
+def postings_of(texts: DataFrame, present: str | None = None) -> DataFrame:
+    """``term, doc, positions, dl`` from ``doc, tokens``: a row for each term of a text. Nothing is shuffled."""
+    texts = texts.select("doc", "tokens")
+    kind = texts.schema["doc"].dataType
+    return texts.mapInArrow(posting_batches(to_arrow_type(kind), present), f"term string, doc {kind.simpleString()}, positions array<int>, dl int")
 
 
 def build(corpus: DataFrame, id_col: str, text_col: str, stemmed: bool = True) -> Index:
@@ -75,11 +118,43 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(None, f["stemmed"], spark.read.parquet(f"{path}/postings").select("bucket", "term", "doc", "positions", "dl"), f["n"], f["average"], f["buckets"])
 
 
+def _digests(index: Index) -> DataFrame:
+    """``doc, digest``: of each document that has a word four sums over its tokens' places, with the text's length."""
+    halves = [lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF)), lambda h: F.shiftrightunsigned(h, 32)]
+    if index.stored is None:
+        hashed = lambda seed: F.transform("tokens", lambda x, i: F.xxhash64(F.lit(seed), x, i, F.size("tokens")))
+        rows = index.texts.where(F.size("tokens") > 0)
+    else:
+        hashed = lambda seed: F.transform("positions", lambda i: F.xxhash64(F.lit(seed), F.col("term"), i, F.col("dl")))
+        rows = index.stored
+    total = lambda hashes, half: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + half(h))
+    sums = [total(hashed(seed), half).cast("decimal(38,0)") for seed in (1, 2) for half in halves]
+    rows = rows.select("doc", *[x.alias(f"s{i}") for i, x in enumerate(sums)])
+    return rows.groupBy("doc").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(sums))]).select("doc", F.struct("s0", "s1", "s2", "s3").alias("digest"))
+
+
+def _of_docs(index: Index, docs: DataFrame) -> Index:
+    """The index of these documents (``doc``) only."""
+    part = lambda x: x if x is None else x.join(docs, "doc", "left_semi")
+    return replace(index, texts=part(index.texts), stored=part(index.stored))
+
+
 def missing_postings(index: Index, corpus: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """An integrity check: postings that should be there and aren't, or are and shouldn't (side)."""
-    want, have = (x.select("term", "doc", F.array_join("positions", ",").alias("at")) for x in (build(corpus, id_col, text_col, index.stemmed).postings, index.postings))
-    on = ["term", "doc", "at"]
-    return want.join(have, on, "left_anti").withColumn("side", F.lit("missing")).unionByName(have.join(want, on, "left_anti").withColumn("side", F.lit("extra")))
+    """An integrity check: postings that should be there and aren't, or are and shouldn't (side).
+
+    Documents are compared by 128 bits of sums over all their words and places first; only the postings of those that differ are
+    gathered and compared one by one.
+    """
+    wanted = build(corpus, id_col, text_col, index.stemmed)
+    sides = _digests(wanted).unionByName(_digests(index))
+    # Equal documents are there twice with one digest.
+    same = sides.groupBy("doc", "digest").agg(F.count("*").alias("n"))
+    differ = checkpoint(same.where("n = 1").select("doc").distinct())
+    want, have = (_of_docs(x, differ).postings.select("term", "doc", F.array_join("positions", ",").alias("at")) for x in (wanted, index))
+    both = want.withColumn("side", F.lit("missing")).unionByName(have.withColumn("side", F.lit("extra")))
+    seen = both.groupBy("term", "doc", "at").agg(*[F.count_if(F.col("side") == x).alias(x) for x in ("missing", "extra")]).where("missing = 0 OR extra = 0")
+    # As often as it is there.
+    return seen.select("term", "doc", "at", F.when(F.col("extra") == 0, "missing").otherwise("extra").alias("side"), F.explode(F.sequence(F.lit(1), F.greatest("missing", "extra").cast("int"))).alias("_")).drop("_")
 
 
 @dataclass
@@ -205,6 +280,8 @@ def _evaluated(index: Index, queries: list[str]) -> tuple[DataFrame, list[tuple[
     docs = _frequencies(index, q.leaves)
     if not trees:
         return docs, [], []
+    if index.stored is None and index.stemmed:
+        docs = checkpoint(docs)  # a few numbers each, kept for both passes: stems are the dear part
     figures = docs.agg(
         F.count("*").alias("n"),
         F.coalesce(F.avg("dl"), F.lit(0.0)).alias("average"),
