@@ -101,8 +101,7 @@ def add(spark: SparkSession, path: str, corpus: DataFrame, id_col: str, text_col
         new = new.join(_present(spark, path, s).select("doc"), "doc", "left_anti")
     words = new.select("doc", search.tokens(F.col("text"), s.stemmed).alias("tokens"))
     # The mark of presence is a last token, so that texts are tokenised once.
-    t = words.select("doc", F.size("tokens").alias("dl"), F.posexplode(F.array_append("tokens", PRESENT)).alias("pos", "term"))
-    rows = t.groupBy("term", "doc", "dl").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    rows = search.postings_of(words, PRESENT)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(s.buckets)).cast("int"))
     n, words = _write(rows, path, s)
     if n:
