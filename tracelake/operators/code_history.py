@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.functions.reliable import checkpoint
+from tracelake.functions.reliable import checkpoint, dealt
 from tracelake.functions.scalar import failed, is_revert
 from tracelake.model import Tables
 
@@ -39,13 +39,25 @@ def blame(hunks: DataFrame, lines: DataFrame, block: int = 64) -> DataFrame:
 
     Lines meet the hunks of their block of lines only, so that a long file's are dealt out; a hunk is in each block it reaches.
     """
-    h = hunks.where("count > 0").select("file", F.struct("start", "count", "commit").alias("h"))
+    h = hunks.where("count > 0").select("file", "start", "count", "commit")
+    n = h.count()
+    # Of hunks of the same lines only that of the least commit can be the first.
+    h = dealt(h, n, "file", "start").groupBy("file", "start", "count").agg(F.min(F.struct("commit")).alias("c"))
+    h = h.select("file", F.struct("start", "count", "c.commit").alias("h"))
     h = h.select("file", "h", F.explode(F.sequence(F.floor(F.col("h.start") / block), F.floor((F.col("h.start") + F.col("h.count") - 1) / block))).alias("block"))
     at = lines.withColumn("block", F.floor(F.col("line") / block))
-    found = at.join(h, ["file", "block"]).where((F.col("h.start") <= F.col("line")) & (F.col("line") < F.col("h.start") + F.col("h.count"))).groupBy("file", "line").agg(F.min("h").alias("h"))
+    found = dealt(at, n, "file", "block").join(dealt(h, n, "file", "block"), ["file", "block"]).where((F.col("h.start") <= F.col("line")) & (F.col("line") < F.col("h.start") + F.col("h.count")))
+    found = found.groupBy("file", "block", "line").agg(F.min("h").alias("h")).drop("block")
     return lines.join(found, ["file", "line"], "left").select("file", "line", "h.commit", (F.col("line") - F.col("h.start")).alias("offset"))
 
 
+def lines_of(hunks: DataFrame, after: int = 0) -> DataFrame:
+    """``file, line``: the lines that any hunk (``file, start, count``) has, and so many after each."""
+    h = hunks.where(F.col("count") + after > 0).select("file", "start", "count")
+    h = dealt(h, h.count(), "file", "start").distinct()
+    return h.select("file", F.explode(F.sequence("start", F.col("start") + F.col("count") + (after - 1))).alias("line")).distinct()
+
+
 def resolve_uses(modules: DataFrame, uses: DataFrame) -> DataFrame:
     """Uses with the module they mean: one of that name, else one of that last part of a path; others are dropped."""
     names = modules.select(F.col("module").alias("_name")).distinct()

@@ -656,8 +656,7 @@ def blame_lookup(spark, sf_dir):
     """All lines that any hunk of a file has, and the one after each."""
     li = src.read(spark, sf_dir, "lineitem")
     hunks = li.select(F.concat(F.lit("f"), (F.col("l_partkey") % 1000).cast("string")).alias("file"), (F.col("l_orderkey") % 5000).alias("start"), (F.col("l_quantity").cast("long") % 7 + 1).alias("count"), F.concat(F.lit("c"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("commit"))
-    lines = hunks.select("file", F.explode(F.sequence("start", F.col("start") + F.col("count"))).alias("line")).distinct()
-    return code_history.blame(hunks, lines)
+    return code_history.blame(hunks, code_history.lines_of(hunks, after=1))
 
 
 @query
