@@ -6,6 +6,8 @@ import random
 import pytest
 
 from tracelake.operators import code_history
+from tracelake.functions import reliable
+from tracelake.sources import driver_tables
 
 
 def plain(commits, parents):
@@ -68,3 +70,32 @@ def test_first_parent_changes(spark):
     trees = spark.createDataFrame([("r", c, f, b) for c, own in tree.items() for f, b in own.items()], "repo string, commit long, path string, blob long")
     got = code_history.first_parent_changes(trees, spark.createDataFrame(parents, "repo string, commit long, parent long, place int"))
     assert sorted((r.commit, r.path, r.change) for r in got.collect()) == sorted(want) and len(want) > 30
+
+
+def test_commits_are_dealt_out_by_their_number(spark, monkeypatch):
+    """Lines and orders meet in as many partitions as their number asks for, not in a fixed number."""
+    monkeypatch.setattr(reliable, "DEALT", 50)
+    made = driver_tables.commits(spark, "/root/testdata/sf0.001")
+    assert made.rdd.getNumPartitions() >= spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() // 50
+
+
+def test_summaries_of_churn_do_not_depend_on_partitions(spark, monkeypatch):
+    plain = sorted(map(tuple, code_history.dense_summary(code_history.churn(driver_tables.commits(spark, "/root/testdata/sf0.001"))).collect()))
+    monkeypatch.setattr(reliable, "DEALT", 300)
+    made = code_history.dense_summary(code_history.churn(driver_tables.commits(spark, "/root/testdata/sf0.001")))
+    assert sorted(map(tuple, made.collect())) == plain and "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blame_of_many_hunks(spark, monkeypatch):
+    """Against a plain search, with hunks that repeat, have no commit, or reach over blocks; dealt out by their number."""
+    monkeypatch.setattr(reliable, "DEALT", 20)
+    rng = random.Random(5)
+    hunks = [(rng.choice("ab"), rng.randrange(40), rng.randrange(-1, 9), rng.choice(["x", "y", "z", None])) for _ in range(200)] + [("a", 3, 90, "long")]
+    h = spark.createDataFrame(hunks, "file string, start bigint, count bigint, commit string")
+    lines = code_history.lines_of(h, after=1)
+    want = {(f, i) for f, s, n, _ in hunks for i in range(s, s + n + 1)}
+    assert sorted(map(tuple, lines.collect())) == sorted(want)
+    first = lambda f, i: min(((s, n, c or "") for g, s, n, c in hunks if g == f and s <= i < s + n), default=None)
+    made = code_history.blame(h, lines, block=16)
+    assert {(r.file, r.line): (r.commit or "", r.offset) for r in made.collect()} == {(f, i): ((x[2], i - x[0]) if (x := first(f, i)) else ("", None)) for f, i in want}
+    assert "hashpartitioning(file" in (plan := made._jdf.queryExecution().executedPlan().toString()) and f", {sum(n > 0 for _, _, n, _ in hunks) // 20 + 1}), REPARTITION_BY_NUM" in plan
