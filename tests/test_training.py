@@ -1,5 +1,6 @@
 """Training on all rows against training on a sample, against plain descent, and with variants of rows kept together."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -112,3 +113,39 @@ def test_a_model_without_grams_counts_none(monkeypatch):
 def test_a_word_that_comes_again_is_cut_once():
     classify._cut.cache_clear()
     assert classify.char_grams("Abc abc abc", 3, 3)["abc"] == 3 and classify._cut.cache_info().misses == 1
+
+
+def test_pairs_to_measure_are_made_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def said(x):
+        seen.add(1)
+        return "good" if x % 3 else "poor"
+
+    pairs = spark.range(40).select(F.when(F.col("id") % 2 == 0, "good").otherwise("poor").alias("expected"), said("id").alias("predicted"))
+    got = {r["class"]: r.tp for r in classify.measures(pairs).collect()}
+    assert got == {"good": sum(i % 2 == 0 and i % 3 > 0 for i in range(40)), "poor": sum(i % 2 > 0 and i % 3 == 0 for i in range(40))}
+    assert seen.value == 40
+
+
+def test_scorer_gives_what_predict_gives_and_cuts_a_word_once(monkeypatch):
+    rng = random.Random(3)
+    words = ["Fix", "fix", "the", "lamp", "É.é", "a", "_b", "x" * 40, "o'clock"]
+    texts = ["", "  ", "unheard", *(" ".join(rng.choices(words, k=rng.randrange(1, 30))) for _ in range(60))]
+
+    def part(counts, n, binary, sublinear):
+        known = sorted({g for t in texts for g in counts(t, *n)})[::2]
+        return {"vocabulary": {g: i for i, g in enumerate(known)}, "idf": [1 + rng.random() for _ in known], "weights": [rng.gauss(0, 1) for _ in known], "ngram_range": list(n), "binary": binary, "sublinear_tf": sublinear}
+
+    for binary, sublinear in ((True, True), (False, True), (False, False)):
+        model = {"classes": ["no", "yes"], "word": part(classify.word_grams, (1, 2), binary, sublinear), "char": part(classify.char_grams, (3, 5), binary, sublinear), "bias": 0.1}
+        want = [classify.predict(model, t) for t in texts]
+        with monkeypatch.context() as m:
+            cuts, cut = [], classify.cut
+            m.setattr(classify, "cut", lambda w, lo, hi: cuts.append(w) or cut(w, lo, hi))
+            score = classify.Scorer(model)
+            got = [score(t) for t in texts]
+            short = [w for w in cuts if len(w) <= classify.LONG]
+            assert len(short) == len(set(short)) and "lamp" in short
+        assert [a for a, _ in got] == [a for a, _ in want] and all(math.isclose(a, b) for (_, a), (_, b) in zip(got, want))

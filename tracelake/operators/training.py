@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.reliable import checkpoint
-from tracelake.operators.classify import cut, joined, words_of
+from tracelake.operators.classify import Words, joined, words_of
 
 #: Distinct grams that a task counts before it hands them on.
 COUNTED = 500_000
@@ -63,27 +63,6 @@ class Descent:
         self.trial = self.x + self.step * self.way
 
 
-class Words:
-    """Numbers of the character grams of words: a word is cut once, whichever texts it comes in."""
-
-    def __init__(self, lo: int, hi: int, known: dict[str, int] | None = None):
-        self.range, self.known, self.grams, self.of = (lo, hi), known, {} if known is None else known, {}
-
-    def numbers(self, words: Iterable[str]) -> list[np.ndarray]:
-        """For each word those of its grams, repeats included; only of known ones if such were given."""
-        out = []
-        for w in words:
-            if (own := self.of.get(w)) is None:
-                found = cut(w, *self.range)
-                if self.known is None:
-                    own = [self.grams.setdefault(g, len(self.grams)) for g in found]
-                else:
-                    own = [i for g in found if (i := self.grams.get(g)) is not None]
-                self.of[w] = own = np.array(own, np.int32)
-            out.append(own)
-        return out
-
-
 class Counts:
     """Of texts: in how many each gram is, and how often it comes in all."""
 
