@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -444,3 +445,29 @@ def test_decontamination_of_empty_tables(spark, table):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {(r.n_hit, len(r["items"])) for r in decontaminate.find_contaminated(table, none).collect()} == {(0, 0)}
     assert decontaminate.find_contaminated(table.limit(0), none).collect() == []
+
+
+def test_windows_slide_by_doubling_and_words_are_hashed_once(spark):
+    d = spark.createDataFrame([(i, list(range(100 * i, 100 * i + i))) for i in range(9)], "id int, a array<long>")
+    for n in range(1, 8):
+        got = {r.id: r.a for r in decontaminate.sliding(d, "a", n, lambda x, y: F.greatest(x, y)).collect()}
+        assert got == {i: [100 * i + min(j + n - 1, i - 1) for j in range(i)] for i in range(9)}
+    rng = random.Random(6)
+    texts = [[rng.choice("abcdé") for _ in range(n)] for n in (0, 1, 4, 5, 9, 10, 11, 60)]
+    w = spark.createDataFrame(list(enumerate(texts)), "id int, words array<string>")
+    made = decontaminate.fingerprints(w, ["id"], 10, 5)
+    assert "xxhash64(0, words" not in (plan := made._jdf.queryExecution().analyzed().toString()) and plan.count("transform(words") == 1
+    found = {}
+    for r in made.collect():
+        found.setdefault(r.id, {})[r.pos] = r.fp
+    for i, t in enumerate(texts):
+        own = found.get(i, {})
+        # Each window has the place of one of its grams, and equal grams have equal fingerprints.
+        assert all(any(p <= q <= p + 5 for q in own) for p in range(len(t) - 9)) and bool(own) == (len(t) >= 10)
+        assert len({(tuple(t[q : q + 5]), fp) for q, fp in own.items()}) == len({tuple(t[q : q + 5]) for q in own}) and all(q <= len(t) - 5 for q in own)
+
+
+def test_lowered_changes_only_ascii_letters(spark):
+    texts = ["AbZ[@`{", "ÀÉ AbC İ", "", None, "\x00A\x7f"]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").orderBy("i").select(decontaminate.lowered(F.col("text"))).collect()]
+    assert got == ["abz[@`{", "ÀÉ abc İ", "", None, "\x00a\x7f"]

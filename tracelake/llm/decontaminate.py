@@ -8,6 +8,8 @@ the benchmark's windows by 128 hash bits. Items of under 10 words, too short for
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,19 +34,35 @@ def upto(last: Column) -> Column:
     return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
-def winnowed(words: Column, window: int, gram: int) -> Column:
-    """The distinct fingerprints: 31 hash bits of a gram above its position, the least of each window."""
-    grams = F.transform(
-        upto(F.size(words) - gram),
-        lambda i: F.shiftleft(ngram_hash(words, i, gram, 0).bitwiseAND(F.lit(0x7FFFFFFF)), 32).bitwiseOR(i.cast("long")),
-    )
-    return grams, lambda g: F.array_distinct(F.transform(upto(F.size(g) - (window - gram + 1)), lambda i: F.least(*[F.get(g, i + j) for j in range(window - gram + 1)])))
+def lowered(text: Column) -> Column:
+    """``lower_ascii``; where all is ASCII, as ``lower`` does it, which is many times faster."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(lower_ascii(text))
+
+
+def sliding(d: DataFrame, col: str, n: int, f: Callable[[Column, Column], Column]) -> DataFrame:
+    """``col``, an array, becomes the array of ``f`` of all of each n elements in a row, by doubling; the last n - 1 are of fewer.
+
+    Each step is a projection of its own, so that an element of it is worked out once; ``f`` leaves out nulls.
+    """
+    reach = 1
+    while reach < n:
+        ahead = min(reach, n - reach)
+        x = F.col(col)
+        d = d.withColumn(col, F.zip_with(x, F.slice(x, F.lit(1 + ahead), F.size(x)), f))
+        reach += ahead
+    return d
 
 
 def fingerprints(d: DataFrame, keep: list[str], window: int, gram: int) -> DataFrame:
-    """``keep`` and ``fp`` (31 bits), ``pos``: one row for each fingerprint of ``words``."""
-    grams, least = winnowed(F.col("words"), window, gram)
-    d = d.select(*keep, grams.alias("grams")).select(*keep, F.explode(least(F.col("grams"))).alias("v"))
+    """``keep`` and ``fp`` (31 bits), ``pos``: one row for each distinct fingerprint of ``words``, the least gram of each window.
+
+    A word is hashed once, and a gram's hash is that of hashes. With its position below, the leftmost of equal ones is the least.
+    """
+    whole = lambda n: F.slice("v", F.lit(1), F.greatest(F.col("n") - (n - 1), F.lit(0)))
+    d = d.select(*keep, F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("v"))
+    d = sliding(d, "v", gram, lambda x, y: F.xxhash64(x, y)).select(*keep, "n", whole(gram).alias("v"))
+    d = d.withColumn("v", F.transform("v", lambda x, i: F.shiftleft(x.bitwiseAND(F.lit(0x7FFFFFFF)), 32).bitwiseOR(i.cast("long"))))
+    d = sliding(d, "v", window - gram + 1, lambda x, y: F.least(x, y)).select(*keep, F.explode(F.array_distinct(whole(window))).alias("v"))
     return d.select(*keep, F.shiftright("v", 32).alias("fp"), F.col("v").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"))
 
 
@@ -57,9 +75,12 @@ def find_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     """
     d = columns(docs, id=id_col, text=text_col)
     d = d.select("id", "text", *row_key(d["id"], d["text"]))
-    worded = d.select("k1", "k2", words_of(lower_ascii(F.col("text"))).alias("words")).where(F.col("words").isNotNull())
+    # Nulls are left out by text, so that no filter splits texts a second time.
+    texts = d.where(F.col("text").isNotNull()).select("k1", "k2", "text")
+    words = words_of(lowered(F.col("text"))).alias("words")
+    worded = texts.select("k1", "k2", words)
 
-    b = columns(items, item=item_id, text=item_text).select(F.col("item").cast("string").alias("item"), words_of(lower_ascii(F.col("text"))).alias("words"))
+    b = columns(items, item=item_id, text=item_text).select(F.col("item").cast("string").alias("item"), words_of(lowered(F.col("text"))).alias("words"))
     b = checkpoint(b.where(F.size("words") > 0).select("item", "words", F.least(F.size("words"), F.lit(window)).alias("n"), F.xxhash64("words").alias("c1"), F.xxhash64(F.lit(1), "words").alias("c2")))
     lengths = sorted(r["n"] for r in b.select("n").distinct().collect())  # at most `window` of them
     unique = b.dropDuplicates(["c1", "c2"])
@@ -81,7 +102,8 @@ def find_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
         hits = fingerprints(worded, ["k1", "k2"], window, gram).join(broadcast_if_small(theirs, theirs.count()), "fp", "left_semi")
         hits = checkpoint(hits.groupBy("k1", "k2").agg(F.collect_set("pos").alias("pos")))
         size = hits.agg(F.sum(F.size("pos") + 8)).first()[0] or 0
-        hit = worded.join(broadcast_if_small(hits, size, 10 * common.BROADCAST_ROWS), ["k1", "k2"])
+        # Only texts that are hit are split again.
+        hit = texts.join(broadcast_if_small(hits, size, 10 * common.BROADCAST_ROWS), ["k1", "k2"]).select("k1", "k2", "pos", words)
         around = F.array_distinct(F.flatten(F.transform("pos", lambda p: F.sequence(F.greatest(p - (window - gram), F.lit(0)), p))))
         at = hit.select("k1", "k2", "words", F.explode(around).alias("i")).where(F.col("i") <= F.size("words") - window)
         found.append(at.select("k1", "k2", "i", F.lit(window).alias("n"), *[ngram_hash(F.col("words"), F.col("i"), window, s).alias(f"w{s}") for s in (1, 2)]))
