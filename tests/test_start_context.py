@@ -148,3 +148,23 @@ def test_quality_of_documents(spark):
     assert fleet.document_quality(c.limit(0)).count() == 0
     found = spark.createDataFrame([(2, -1.0), (1, -1.0), (3, -5.0)], "id long, rank double")
     assert [x.id for x in fleet.answer(found, True, 2).collect()] == [3, 1] and fleet.answer(found, False, 2).count() == 0
+
+
+def test_starts_full_of_pins_are_not_numbered_again(spark, monkeypatch):
+    """A start with as many pins as it may be told asks for no edits; one with fewer still is told them, newest first."""
+    t = random_tables(spark)
+    starts = spark.createDataFrame([(f"n{k}", "hot", NOW, k) for k in (0, 1, 3, 500)], "session_id string, project string, t long, local_limit long")
+    asked, latest = [], start_context.latest
+
+    def noted(marks, probes, order, k, by=("project",)):
+        if "kind" in by and "edit" in (kinds := {r.kind for r in probes.select("kind").collect()}):
+            assert kinds == {"edit", "git"}
+            asked.extend(sorted({r[0] for r in probes.select("s.session_id").collect()}))
+        return latest(marks, probes, order, k, by)
+
+    monkeypatch.setattr(start_context, "latest", noted)
+    got = {r.session_id: r.context for r in start_context.at_starts(replace(t, work_units=t.work_units.limit(0)), starts).collect()}
+    assert asked == ["n0", "n500"]
+    lines = {n: [x for x in text.split("## Pinned Elsewhere")[0].partition("## Recent Activity\n")[2].split("\n") if x] for n, text in got.items()}
+    assert [len(lines[n]) for n in ("n0", "n1", "n3")] == [0, 1, 3] and all("(pinned)" in x for n in ("n1", "n3") for x in lines[n])
+    assert any("(pinned)" in x for x in lines["n500"])

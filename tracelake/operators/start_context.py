@@ -7,10 +7,12 @@ within blocks of time and added up over blocks, so that a project of a third of
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.functions.reliable import checkpoint
+from tracelake.functions.reliable import checkpoint, dealt
 from tracelake.functions.scalar import phase_label, relative_time
 from tracelake.model import Tables
 from tracelake.operators import context
@@ -110,6 +112,7 @@ def _of_summaries(t: Tables, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
         kind = F.when(F.col("has"), "split").otherwise("plain")
     m = F.struct("started_at", "id", F.coalesce(F.get_json_object("summary", "$.intent"), F.lit("?")).alias("intent"), F.get_json_object("summary", "$.next_steps").alias("steps"))
     marks = sessions.select("project", F.col("started_at").alias("at"), "id", m.alias("m"), F.explode(F.array(F.lit("all"), kind)).alias("kind"))
+    marks = checkpoint(dealt(marks, sessions.count(), "id"))
     # Sessions that have episodes are told when the window of episodes is over.
     probes = _of_kinds(starts, "all", "split", "plain").withColumn("at", F.col("at") - F.when(F.col("kind") == "split", F.col("s.hours") * HOUR).otherwise(0))
     found = latest(marks, probes, ["id"], F.when(F.col("kind") == "all", 1).otherwise(context.SUMMARIES), ("kind", "project"))
@@ -138,15 +141,19 @@ def _activity(t: Tables, starts: DataFrame) -> list[DataFrame]:
     kind = F.when(F.col("is_pinned"), "pin").when(F.col("obs_type") == "file_edit", "edit").when(F.col("obs_type").isin("git_commit", "git_push"), "git")
     # A title takes 60 characters of the content and needs to know whether there are more.
     m = F.struct("is_pinned", "timestamp", "id", "obs_type", "file_path", F.substring("content", 1, 61).alias("content"))
-    marks = o.select("project", F.col("timestamp").alias("at"), "id", m.alias("m"), kind.alias("kind")).where("kind IS NOT NULL")
-    k = F.col("s.local_limit")
-    rows = latest(marks, _of_kinds(starts, "pin", "edit", "git"), ["id"], k, ("kind", "project"))
-    hours = F.when(F.col("kind") == "edit", 2).when(F.col("kind") == "git", 24)
-    rows = rows.where(F.col("kind").eqNullSafe("pin") | (F.col("m.timestamp") > F.col("s.t") - hours * HOUR))
+    marks = checkpoint(o.select("project", F.col("timestamp").alias("at"), "id", m.alias("m"), kind.alias("kind")).where("kind IS NOT NULL"))
+    k, pins = F.col("s.local_limit"), marks.where("kind = 'pin'").drop("kind")
+    told = checkpoint(latest(pins, starts, ["id"], k))
+    # Pins come first, so a start that has as many as it may be told is told nothing else.
+    full = told.where(F.col("i") == k - 1).select("s")
+    rest = checkpoint(starts.join(full, "s", "left_anti"))
+    rows = latest(marks.where("kind <> 'pin'"), _of_kinds(rest, "edit", "git"), ["id"], k, ("kind", "project"))
+    hours = F.when(F.col("kind") == "edit", 2).otherwise(24)
+    rows = told.select("s", "m").unionByName(rows.where(F.col("m.timestamp") > F.col("s.t") - hours * HOUR).select("s", "m"))
     # At most three times the limit for each start.
     first = rows.groupBy("s").agg(F.sort_array(F.collect_list("m"), asc=False).alias("m"))
     local = first.select("s", F.inline(F.slice("m", F.lit(1), k.cast("int"))))
-    elsewhere = latest_of_others(marks.where("kind = 'pin'").drop("kind"), starts, ["id"], F.col("s.cross_limit")).select("s", "m.*")
+    elsewhere = latest_of_others(pins, starts, ["id"], F.col("s.cross_limit")).select("s", "m.*")
     return [_lines(local, 3), _lines(elsewhere, 4)]
 
 
@@ -163,7 +170,11 @@ def at_starts(t: Tables, starts: DataFrame) -> DataFrame:
     s = starts.where("project IS NOT NULL AND t IS NOT NULL").select(
         "session_id", "project", F.col("t").cast("long").alias("t"), have("local_limit", usual(0)).cast("long").alias("local_limit"), have("cross_limit", usual(1)).cast("long").alias("cross_limit"), have("hours", F.lit(context.WINDOW_HOURS)).cast("long").alias("hours")
     )
-    s = s.distinct().select("project", F.col("t").alias("at"), F.struct("session_id", "project", "t", "local_limit", "cross_limit", "hours").alias("s"))
+    # All parts read the starts, and two of them the episodes, several times: they are made once, the starts in as many partitions
+    # as they need, not those of the sessions' table, each of which would be dealt out anew by every part.
+    s = checkpoint(dealt(s, s.count(), "session_id").distinct().select("project", F.col("t").alias("at"), F.struct("session_id", "project", "t", "local_limit", "cross_limit", "hours").alias("s")))
+    if t.work_units is not None:
+        t = replace(t, work_units=checkpoint(t.work_units))
     earlier, steps = _of_summaries(t, s)
     parts = [earlier, *_activity(t, s)]
     if t.work_units is not None:
