@@ -6,10 +6,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tracelake.operators import classify, training
+from tracelake.plans import registry
 
 WORDS = {"calm": "gentle quiet steady careful ready tidy".split(), "rough": "broken angry crash failed panic noisy".split()}
 
@@ -149,3 +151,40 @@ def test_scorer_gives_what_predict_gives_and_cuts_a_word_once(monkeypatch):
             short = [w for w in cuts if len(w) <= classify.LONG]
             assert len(short) == len(set(short)) and "lamp" in short
         assert [a for a, _ in got] == [a for a, _ in want] and all(math.isclose(a, b) for (_, a), (_, b) in zip(got, want))
+
+
+def test_the_query_learns_from_all_rows_but_the_fourth(spark, tmp_path, monkeypatch):
+    """More rows than the bounded sample of ``classify.train``: the grams' weights tell of how many texts they were counted."""
+    n = 3200
+    own = lambda i: WORDS["calm" if i % 3 else "rough"]
+    spark.createDataFrame([(i, f"{own(i)[i % 6]} {own(i)[i % 5]}" + " seldom" * (i % 400 == 1)) for i in range(n)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(n)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    made, score = [], classify.classifier
+    monkeypatch.setattr(classify, "classifier", lambda s, models: made.append(models["quality"]) or score(s, models))
+    got = {r["class"]: r for r in registry.QUERIES["classifier_trained"](spark, str(tmp_path)).collect()}
+    word = made[0]["word"]
+    assert word["idf"][word["vocabulary"]["seldom"]] == pytest.approx(math.log((1 + n * 3 / 4) / (1 + n / 400)) + 1)
+    assert {k: r.tp for k, r in got.items()} == {"good": sum(i % 3 > 0 for i in range(0, n, 4)), "poor": sum(i % 3 == 0 for i in range(0, n, 4))}
+
+
+def test_blocks_give_what_full_rows_give():
+    """Margins and sums of sparse vectors, several blocks of them, against plain products."""
+    rng = np.random.default_rng(4)
+    rows, width, weights = 2 * training.ROWS + 3, 12, rng.normal(size=(3, 12))
+    full = np.where(rng.random((rows, width)) < 0.3, rng.normal(size=(rows, width)), 0).astype(np.float32)
+    full[:, -1] = 1
+    at = [np.flatnonzero(x).astype(np.int32) for x in full]
+    by = rng.normal(size=(rows, 3))
+    batch = pa.RecordBatch.from_arrays([pa.array([[1.0, -1.0]] * rows), pa.array(range(rows), pa.int32()), pa.array([x.tobytes() for x in at]), pa.array([x[i].tobytes() for x, i in zip(full, at)])], ["y", "fold", "indices", "values"])
+    blocks = list(training._blocks(batch))
+    assert np.concatenate([b.fold for b in blocks]).tolist() == list(range(rows)) and all(b.y.shape == (len(b.fold), 2) for b in blocks)
+    assert np.concatenate([b.margins(weights) for b in blocks]) == pytest.approx(full @ weights.T, abs=1e-6)
+    assert sum(b.weighed(by[b.fold], width) for b in blocks) == pytest.approx(by.T @ full, abs=1e-5)
+    assert list(training._blocks(batch.slice(0, 0))) == []
+
+
+def test_a_word_is_cut_at_all_places():
+    for word in ("", "a", "abc", "日本", "x" * classify.LONG, "x" * (classify.LONG + 1)):
+        w = f" {word} "
+        for lo, hi in ((3, 5), (1, 1), (5, 5), (2, 9)):
+            assert classify.cut(word, lo, hi) == tuple(w[i : i + n] for n in range(lo, hi + 1) for i in range(len(w) - n + 1))

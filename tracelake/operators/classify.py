@@ -6,10 +6,11 @@ import hashlib
 import json
 import math
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -143,9 +144,17 @@ def word_grams(text: str, lo: int, hi: int) -> Counter:
     return Counter(joined(words_of(text), lo, hi))
 
 
+@lru_cache(1024)
+def _slices(size: int, lo: int, hi: int) -> Callable[[str], tuple[str, ...]]:
+    at = [slice(i, i + n) for n in range(lo, hi + 1) for i in range(size - n + 1)]
+    return itemgetter(*at) if len(at) > 1 else lambda w: tuple(w[x] for x in at)
+
+
 def cut(word: str, lo: int, hi: int) -> tuple[str, ...]:
     """The n-grams of a word with a space on both sides, repeats included."""
     w = f" {word} "
+    if len(word) <= LONG:
+        return _slices(len(w), lo, hi)(w)
     return tuple(w[i : i + n] for n in range(lo, hi + 1) for i in range(len(w) - n + 1))
 
 
@@ -192,7 +201,9 @@ class Words:
     """Numbers of the character grams of words: a word is cut once, whichever texts it comes in."""
 
     def __init__(self, lo: int, hi: int, known: dict[str, int] | None = None):
-        self.range, self.known, self.grams, self.of = (lo, hi), known, {} if known is None else known, {}
+        self.range, self.known, self.grams, self.of = (lo, hi), known, defaultdict() if known is None else known, {}
+        if known is None:
+            self.grams.default_factory = self.grams.__len__  # a gram not seen before gets the next number
 
     def numbers(self, words: Iterable[str]) -> list[np.ndarray]:
         """For each word those of its grams, repeats included; only of known ones if such were given."""
@@ -201,9 +212,9 @@ class Words:
             if (own := self.of.get(w)) is None:
                 found = cut(w, *self.range)
                 if self.known is None:
-                    own = [self.grams.setdefault(g, len(self.grams)) for g in found]
+                    own = list(map(self.grams.__getitem__, found))
                 else:
-                    own = [i for g in found if (i := self.grams.get(g)) is not None]
+                    own = [i for i in map(self.grams.get, found) if i is not None]
                 own = np.array(own, np.int32)
                 if len(w) <= LONG:
                     self.of[w] = own

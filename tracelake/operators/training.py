@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -121,7 +122,8 @@ def vocabulary(rows: DataFrame, n: int, *, word: tuple[int, int], char: tuple[in
 
 
 def _vectors(parts: dict[str, dict], word: tuple[int, int], char: tuple[int, int]):
-    """``y, fold, indices, values``: the rows that ``classify.part_score`` multiplies with the weights, and a constant."""
+    """``y, fold, indices, values``: the rows that ``classify.part_score`` multiplies with the weights, and a constant; as bytes,
+    which each round reads again without a step for each number."""
     cut_at = len(parts["word"]["vocabulary"])
     last = cut_at + len(parts["char"]["vocabulary"])
 
@@ -142,28 +144,45 @@ def _vectors(parts: dict[str, dict], word: tuple[int, int], char: tuple[int, int
                     found = words.numbers(own)
                     n = np.bincount(np.concatenate(found), np.repeat(np.fromiter(own.values(), np.int64, len(found)), [len(x) for x in found]), last - cut_at)
                 there = np.flatnonzero(n)
-                indices.append(np.concatenate([at, there + cut_at, [last]]).astype(np.int32))
-                values.append(np.concatenate([scaled(idf["word"][at]), scaled(np.log(1 + n[there]) * idf["char"][there]), [1.0]]).astype(np.float32))
+                indices.append(np.concatenate([at, there + cut_at, [last]]).astype(np.int32).tobytes())
+                values.append(np.concatenate([scaled(idf["word"][at]), scaled(np.log(1 + n[there]) * idf["char"][there]), [1.0]]).astype(np.float32).tobytes())
                 if len(words.of) > COUNTED:
                     words.of.clear()
-            yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("fold"), pa.array(indices, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["y", "fold", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("fold"), pa.array(indices, pa.binary()), pa.array(values, pa.binary())], ["y", "fold", "indices", "values"])
 
     return run
 
 
-def _blocks(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of a batch of vectors, some rows at a time: y (a column for each label), fold, and the rows in full."""
+class Block(NamedTuple):
+    """Some vectors: y (a column for each label), fold, where each begins, and all their places and values one after another."""
+
+    y: np.ndarray
+    fold: np.ndarray
+    starts: np.ndarray
+    indices: np.ndarray
+    values: np.ndarray
+
+    def margins(self, weights: np.ndarray) -> np.ndarray:
+        """A column for each model. No vector is empty, as each has the constant."""
+        return np.stack([np.add.reduceat(w[self.indices] * self.values, self.starts) for w in weights], axis=1)
+
+    def weighed(self, by: np.ndarray, width: int) -> np.ndarray:
+        """For each column of ``by`` the sum of the vectors times their numbers in it."""
+        sizes = np.diff(np.r_[self.starts, len(self.indices)])
+        return np.stack([np.bincount(self.indices, np.repeat(b, sizes) * self.values, width) for b in by.T])
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[Block]:
+    """A batch of vectors, some rows at a time."""
+    if not batch.num_rows:
+        return
     fold = batch.column("fold").to_numpy()
     y = batch.column("y").flatten().to_numpy().reshape(len(fold), -1)
-    lists = batch.column("indices")
-    indices, values = lists.flatten().to_numpy(), batch.column("values").flatten().to_numpy()
-    ends = np.r_[0, np.cumsum(np.diff(lists.offsets.to_numpy()))]
+    indices, values = batch.column("indices").to_pylist(), batch.column("values").to_pylist()
     for lo in range(0, len(fold), ROWS):
-        hi = min(lo + ROWS, len(fold))
-        own = slice(ends[lo], ends[hi])
-        x = np.zeros((hi - lo, width))
-        x[np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1])), indices[own]] = values[own]
-        yield y[lo:hi], fold[lo:hi], x
+        own = slice(lo, lo + ROWS)
+        starts = np.cumsum([0, *map(len, indices[own])])[:-1] // 4
+        yield Block(y[own], fold[own], starts, np.frombuffer(b"".join(indices[own]), np.int32), np.frombuffer(b"".join(values[own]), np.float32).astype(float))
 
 
 def _sums(shared, of_class: list[tuple[int, int, float, float]]):
@@ -174,12 +193,12 @@ def _sums(shared, of_class: list[tuple[int, int, float, float]]):
         label, without, less, more = (np.array(x) for x in zip(*of_class))
         out = np.zeros((len(weights), weights.shape[1] + 1))
         for batch in batches:
-            for y, fold, x in _blocks(batch, weights.shape[1]):
-                y = y[:, label]
-                own = np.where(fold[:, None] == without, 0.0, np.where(y > 0, more, less))
-                missed = np.maximum(0, 1 - y * (x @ weights.T))
+            for block in _blocks(batch):
+                y = block.y[:, label]
+                own = np.where(block.fold[:, None] == without, 0.0, np.where(y > 0, more, less))
+                missed = np.maximum(0, 1 - y * block.margins(weights))
                 out[:, 0] += (own * missed * missed).sum(axis=0)
-                out[:, 1:] += (-2 * own * y * missed).T @ x
+                out[:, 1:] += block.weighed(-2 * own * y * missed, weights.shape[1])
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["sums"])
 
     return run
@@ -212,7 +231,7 @@ def train_each(rows: DataFrame, text: str, labels: list[str], classes: tuple[str
     models = [{"classes": list(classes), **{k: dict(p) for k, p in parts.items()}, "bias": 0.0} for _ in labels]
     if not n:
         return models
-    vectors = checkpoint(d.mapInArrow(_vectors(parts, word, char), "y array<double>, fold int, indices array<int>, values array<float>"))
+    vectors = checkpoint(d.mapInArrow(_vectors(parts, word, char), "y array<double>, fold int, indices binary, values binary"))
     # Of each label, models 0 to folds - 1 leave out the fold of their number, the last one (-2) none.
     of_class = []
     for i in range(len(labels)):
@@ -239,8 +258,8 @@ def train_each(rows: DataFrame, text: str, labels: list[str], classes: tuple[str
             first = np.arange(len(labels)) * (folds + 1)
             for batch in batches:
                 hit = np.zeros(len(labels), np.int64)
-                for y, own, x in _blocks(batch, width):
-                    hit += ((np.take_along_axis(x @ weights.T, first + own[:, None], axis=1) >= 0) == (y > 0)).sum(axis=0)
+                for block in _blocks(batch):
+                    hit += ((np.take_along_axis(block.margins(weights), first + block.fold[:, None], axis=1) >= 0) == (block.y > 0)).sum(axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(labels)), pa.int64()), pa.array(hit)], ["label", "n"])
 
         hits = {r.label: r.n for r in vectors.mapInArrow(right, "label long, n long").groupBy("label").agg(F.sum("n").alias("n")).collect()}
