@@ -188,3 +188,19 @@ def test_a_word_is_cut_at_all_places():
         w = f" {word} "
         for lo, hi in ((3, 5), (1, 1), (5, 5), (2, 9)):
             assert classify.cut(word, lo, hi) == tuple(w[i : i + n] for n in range(lo, hi + 1) for i in range(len(w) - n + 1))
+
+
+def test_many_texts_cut_at_once_give_what_each_gives():
+    """Also with so many characters that a gram's number has to be made smaller, and without grams."""
+    wide = " ".join("".join(chr(0x4E00 + 7 * i + k) for k in range(7)) for i in range(1400))
+    texts = ["aaa bbb aaa", "", "ab\x00 \x00 a", "日本 K ſ aaa", wide, "aaa " + wide[:900], " \n "]
+    for lo, hi in ((3, 5), (1, 2), (2, 7)):
+        want = [classify.char_grams(t, lo, hi) for t in texts]
+        names, text, gram, often = classify.char_places(texts, lo, hi)
+        got = [Counter() for _ in texts]
+        for t, g, n in zip(text.tolist(), gram.tolist(), often.tolist()):
+            got[t][names[g]] += n
+        assert got == want and len(names) == len(set(names))
+    _, text, gram, often = classify.char_places(texts, 3, 5, {"aaa": 7, "none": 1})
+    assert sorted(zip(text.tolist(), gram.tolist(), often.tolist())) == [(0, 7, 2), (3, 7, 1), (5, 7, 1)]
+    assert [len(x) for x in classify.char_places(["", " "], 3, 5, {})] == [0] * 4 and [len(x) for x in classify.char_places([], 3, 5)] == [0] * 4

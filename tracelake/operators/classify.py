@@ -198,30 +198,67 @@ def fingerprint(model: dict) -> str:
 
 
 class Words:
-    """Numbers of the character grams of words: a word is cut once, whichever texts it comes in."""
+    """Numbers of the known character grams of words: a word is cut once, whichever texts it comes in."""
 
-    def __init__(self, lo: int, hi: int, known: dict[str, int] | None = None):
-        self.range, self.known, self.grams, self.of = (lo, hi), known, defaultdict() if known is None else known, {}
-        if known is None:
-            self.grams.default_factory = self.grams.__len__  # a gram not seen before gets the next number
+    def __init__(self, lo: int, hi: int, known: dict[str, int]):
+        self.range, self.known, self.of = (lo, hi), known, {}
 
     def numbers(self, words: Iterable[str]) -> list[np.ndarray]:
-        """For each word those of its grams, repeats included; only of known ones if such were given."""
+        """For each word those of its grams that are known, repeats included."""
         out = []
         for w in words:
             if (own := self.of.get(w)) is None:
-                found = cut(w, *self.range)
-                if self.known is None:
-                    own = list(map(self.grams.__getitem__, found))
-                else:
-                    own = [i for i in map(self.grams.get, found) if i is not None]
-                own = np.array(own, np.int32)
+                own = np.array([i for i in map(self.known.get, cut(w, *self.range)) if i is not None], np.int32)
                 if len(w) <= LONG:
                     self.of[w] = own
             out.append(own)
         return out
 
 
+def _cut_all(words: list[str], lo: int, hi: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct grams that ``cut`` gives for any of the words, and side by side the word and the gram of each place."""
+    whole = "\n".join(f" {w} " for w in words)  # no word holds a line's end
+    chars = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    word = np.cumsum(chars == 10)
+    there = np.zeros(int(chars.max(initial=0)) + 1, np.int64)
+    there[chars] = 1
+    digit, base = (np.cumsum(there) - 1)[chars], int(there.sum())
+    code, range_, grams, of, at = digit, base, [], [], []
+    for n in range(1, min(hi, len(chars)) + 1):
+        if n > 1:
+            if range_ * base >= 1 << 63:
+                known, code = np.unique(code, return_inverse=True)
+                range_ = len(known)
+            code, range_ = code[:-1] * base + digit[n - 1 :], range_ * base
+        if n >= lo:
+            own = np.flatnonzero((word[: len(code)] == word[n - 1 :]) & (chars[: len(code)] != 10))
+            _, first, number = np.unique(code[own], return_index=True, return_inverse=True)
+            of.append(word[own])
+            at.append(number + len(grams))
+            grams += [whole[i : i + n] for i in own[first].tolist()]
+    none = np.zeros(0, np.int64)
+    return grams, np.concatenate([none, *of]), np.concatenate([none, *at])
+
+
+def char_places(texts: list[str], lo: int, hi: int, known: dict[str, int] | None = None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """``char_grams`` of many texts, each distinct word cut once: the distinct grams, and side by side text, gram and how often, a row
+    for each gram of each distinct word of a text. With ``known``, only grams in it, by its numbers."""
+    counts = [Counter(t.lower().split()) for t in texts]
+    ids: defaultdict[str, int] = defaultdict()
+    ids.default_factory = ids.__len__  # a word not seen before gets the next number
+    word = np.fromiter(chain.from_iterable(map(ids.__getitem__, c) for c in counts), np.int64)
+    often = np.fromiter(chain.from_iterable(c.values() for c in counts), np.int64)
+    text = np.repeat(np.arange(len(texts)), [len(c) for c in counts])
+    grams, of, gram = _cut_all(list(ids), lo, hi)
+    if known is not None:
+        gram = np.array([known.get(g, -1) for g in grams], np.int64)[gram]
+        of, gram = of[gram >= 0], gram[gram >= 0]
+    gram = gram[np.argsort(of, kind="stable")]
+    sizes = np.bincount(of, minlength=len(ids))
+    begin, n = (np.cumsum(sizes) - sizes)[word], sizes[word]
+    place = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return grams, np.repeat(text, n), gram[place], np.repeat(often, n)
+
 
 class Scorer:
     """What ``predict`` gives, for many texts: only grams that the model knows are counted, and a word that comes again is cut once."""

@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.reliable import checkpoint
-from tracelake.operators.classify import Words, joined, words_of
+from tracelake.operators.classify import char_places, joined, words_of
 
-#: Distinct grams that a task counts before it hands them on.
-COUNTED = 500_000
-#: Vectors that are worked on at a time.
+#: Characters of texts whose grams a task counts before it hands them on.
+COUNTED = 1_000_000
+#: Texts and vectors that are worked on at a time.
 ROWS = 64
 
 
@@ -68,35 +68,27 @@ class Counts:
     """Of texts: in how many each gram is, and how often it comes in all."""
 
     def __init__(self, word: tuple[int, int], char: tuple[int, int]):
-        self.word, self.docs, self.words, self.often = word, Counter(), Words(*char), Counter()
-        self.char_docs, self.slot = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.word, self.char, self.docs, self.texts, self.size = word, char, Counter(), [], 0
 
     def add(self, text: str) -> None:
         self.docs.update(set(joined(words_of(text), *self.word)))
-        own = Counter(text.lower().split())
-        self.often.update(own)
-        if not own:
-            return
-        at = np.concatenate(self.words.numbers(own))
-        if (size := len(self.words.grams)) > len(self.slot):
-            self.char_docs = np.concatenate([self.char_docs, np.zeros(2 * size - len(self.char_docs), np.int64)])
-            self.slot = np.zeros(2 * size, np.int64)
-        # Of a gram's places in the text only the last one is still its own.
-        place = np.arange(len(at))
-        self.slot[at] = place
-        self.char_docs[at[self.slot[at] == place]] += 1
+        self.texts.append(text)
+        self.size += len(text)
 
     def __len__(self) -> int:
-        return len(self.docs) + len(self.words.grams) + len(self.words.of)
+        return self.size
 
     def out(self) -> Iterator[pa.RecordBatch]:
         known, n = list(self.docs), pa.array(list(self.docs.values()), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(["word"] * len(known), pa.string()), pa.array(known, pa.string()), n, n], ["part", "gram", "docs", "total"])
-        size, total = len(self.words.grams), np.zeros(len(self.words.grams), np.int64)
-        if size:
-            parts = self.words.numbers(self.often)
-            np.add.at(total, np.concatenate(parts), np.repeat(np.fromiter(self.often.values(), np.int64, len(parts)), [len(x) for x in parts]))
-        yield pa.RecordBatch.from_arrays([pa.array(["char"] * size, pa.string()), pa.array(list(self.words.grams), pa.string()), pa.array(self.char_docs[:size]), pa.array(total)], ["part", "gram", "docs", "total"])
+        grams, text, gram, often = char_places(self.texts, *self.char)
+        total = np.zeros(len(grams), np.int64)
+        np.add.at(total, gram, often)
+        # Each gram once for each text that has it.
+        both = np.sort(text * len(grams) + gram)
+        once = both[np.diff(both, prepend=-1) > 0]
+        docs = np.bincount(once % max(1, len(grams)), minlength=len(grams))
+        yield pa.RecordBatch.from_arrays([pa.array(["char"] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(docs, pa.int64()), pa.array(total)], ["part", "gram", "docs", "total"])
 
 
 def vocabulary(rows: DataFrame, n: int, *, word: tuple[int, int], char: tuple[int, int], grams: tuple[int, int], least_docs: int, most_docs: float) -> dict[str, dict]:
@@ -132,22 +124,19 @@ def _vectors(parts: dict[str, dict], word: tuple[int, int], char: tuple[int, int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, idf = parts["word"]["vocabulary"], {k: np.array(p["idf"], float) for k, p in parts.items()}
-        words = Words(*char, known=parts["char"]["vocabulary"])
         for batch in batches:
             indices, values = [], []
-            for text in batch.column("text").to_pylist():
-                # Words are binary, so a gram counts once.
-                at = np.array([i for g in dict.fromkeys(joined(words_of(text), *word)) if (i := known.get(g)) is not None], np.int32)
-                own = Counter(text.lower().split())
-                n = np.zeros(last - cut_at)
-                if own:
-                    found = words.numbers(own)
-                    n = np.bincount(np.concatenate(found), np.repeat(np.fromiter(own.values(), np.int64, len(found)), [len(x) for x in found]), last - cut_at)
-                there = np.flatnonzero(n)
-                indices.append(np.concatenate([at, there + cut_at, [last]]).astype(np.int32).tobytes())
-                values.append(np.concatenate([scaled(idf["word"][at]), scaled(np.log(1 + n[there]) * idf["char"][there]), [1.0]]).astype(np.float32).tobytes())
-                if len(words.of) > COUNTED:
-                    words.of.clear()
+            texts = batch.column("text").to_pylist()
+            for lo in range(0, len(texts), ROWS):
+                own = texts[lo : lo + ROWS]
+                _, text, gram, often = char_places(own, *char, known=parts["char"]["vocabulary"])
+                counts = np.bincount(text * (last - cut_at) + gram, often, len(own) * (last - cut_at)).reshape(len(own), last - cut_at)
+                for x, n in zip(own, counts):
+                    # Words are binary, so a gram counts once.
+                    at = np.array([i for g in dict.fromkeys(joined(words_of(x), *word)) if (i := known.get(g)) is not None], np.int32)
+                    there = np.flatnonzero(n)
+                    indices.append(np.concatenate([at, there + cut_at, [last]]).astype(np.int32).tobytes())
+                    values.append(np.concatenate([scaled(idf["word"][at]), scaled(np.log(1 + n[there]) * idf["char"][there]), [1.0]]).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("fold"), pa.array(indices, pa.binary()), pa.array(values, pa.binary())], ["y", "fold", "indices", "values"])
 
     return run
